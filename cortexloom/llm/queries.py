@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, mixing, pieces, quality, token_counts, top_k, warc
+from . import fingerprints, language, mixing, near_duplicates, pieces, quality, repeats, token_counts, top_k, warc
 from .common import crc_mod, shared_dir, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -32,10 +32,20 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_dart_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -63,12 +73,25 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pfair_mixing, op3_token_counts, op5_fingerprints, op7_exact_top_k, op8_language_id, op9_piece_ids, op10_warc_round_trip)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pfair_mixing, op3_token_counts, op4_dart_near_duplicates, op5_fingerprints, op6_repeated_passages, op7_exact_top_k, op8_language_id, op9_piece_ids, op10_warc_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_top_k": OP7_SQL, "op10_warc_round_trip": OP10_SQL}
-
+    return {"op6_repeated_passages": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op10_warc_round_trip": OP10_SQL}
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+n AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM w WHERE len(ws) >= 13),
+g AS (SELECT doc_id, i, list_slice(ws, i, i + 12) AS k FROM n),
+m AS (SELECT k, min(doc_id) AS low FROM g GROUP BY k HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT g.doc_id, list(DISTINCT g.i) AS places FROM g JOIN m USING (k) WHERE g.doc_id > m.low GROUP BY g.doc_id),
+c AS (SELECT doc_id, list_distinct(flatten(list_transform(places, lambda i: generate_series(i, i + 12)))) AS gone FROM r),
+o AS (SELECT w.doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN c USING (doc_id))
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_select(ws, list_sort(list_filter(generate_series(1, len(ws)), lambda j: NOT list_contains(gone, j)))), ' '), '')) AS kept_sha256
+FROM o
+"""
 
 OP7_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
