@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import stats
 
@@ -126,23 +127,23 @@ def z_from_effect(effect: Column, se: Column | None = None, p: Column | None = N
     return centred / se if se is not None else F.signum(centred) * F.sqrt(chi2_isf(p))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom; Spark has no erfc."""
     return pd.Series(stats.chi2_sf(x.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_isf(p: pd.Series) -> pd.Series:
     return pd.Series(stats.chi2_isf(p.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_sf(x: pd.Series) -> pd.Series:
     return pd.Series(stats.norm_sf(x.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def hwe(hom: pd.Series, het: pd.Series, alt: pd.Series) -> pd.Series:
     """Exact Hardy-Weinberg mid-p of genotype counts (O-104)."""
     memo: dict = {}

@@ -165,8 +165,10 @@ def set_tests(members: DataFrame, ld: DataFrame, bases: np.ndarray, variance: np
     SKAT and the omnibus are computed for cmac above 100, annotation weights used above 500.  Rows
     whose smallest p-value is above max_p are left out.
     """
-    pairs = members.select("set_name", "mask", F.col("variant").alias("i"))
-    joined = pairs.join(ld, "i").join(members.select("set_name", "mask", F.col("variant").alias("j")), ["set_name", "mask", "j"]).select("set_name", "mask", "i", "j", "value")
+    one = members.select(F.col("set_name").alias("set_i"), F.col("mask").alias("mask_i"), F.col("variant").alias("at_i"))
+    two = members.select(F.col("set_name").alias("set_j"), F.col("mask").alias("mask_j"), F.col("variant").alias("at_j"))
+    pairs = one.join(ld, F.col("at_i") == F.col("i")).join(two, (F.col("set_i") == F.col("set_j")) & (F.col("mask_i") == F.col("mask_j")) & (F.col("j") == F.col("at_j")))
+    joined = pairs.select("set_j", "mask_j", "i", "j", "value")
     schema = "index int, set_name string, mask string, n_variants int, cmac long, burden_effect double, burden_se double, burden_p double, skat_p double, staar_o double"
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -194,7 +196,7 @@ def set_tests(members: DataFrame, ld: DataFrame, bases: np.ndarray, variance: np
         frame = pd.DataFrame({"index": np.arange(1, voxels + 1, dtype=np.int32), "set_name": key[0], "mask": key[1], "n_variants": np.int32(len(left)), "cmac": np.int64(cmac), **out})
         return frame[~(frame[["burden_p", "skat_p", "staar_o"]].min(axis=1) > max_p)]
 
-    return members.groupBy("set_name", "mask").cogroup(joined.groupBy("set_name", "mask")).applyInPandas(run, schema)
+    return members.groupBy("set_name", "mask").cogroup(joined.groupBy("set_j", "mask_j")).applyInPandas(run, schema)
 
 
 def exceeds_band(members: DataFrame, bands: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Registered queries of the library's own operators, and the same in SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import analytic, relational
+from .registry import QUERIES, SQL
+
+__all__ = ["analytic", "relational", "queries", "oracle_sql"]
 
 
 def queries() -> dict:
