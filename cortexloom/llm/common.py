@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -39,6 +41,11 @@ def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def mapped(frame: DataFrame, run, schema: str) -> DataFrame:
+    """frame.mapInArrow that gives memory back at the end of each task."""
+    return frame.mapInArrow(lambda batches: released(run(batches)), schema)
+
+
 def crc_mod(column: str, modulus: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
@@ -76,6 +83,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _MUL1, _MUL2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _BASE, _STEP = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _POWERS: dict[int, np.ndarray] = {}
+#: Longest table of powers that a worker keeps; longer ones are made for the text that needs them.
+KEPT_POWERS = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,10 +99,24 @@ def _powers(base: int, n: int) -> np.ndarray:
     if got is None or len(got) < n:
         steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
-        got = _POWERS[base] = np.multiply.accumulate(steps)
+        got = np.multiply.accumulate(steps)
+        if len(got) <= KEPT_POWERS:
+            _POWERS[base] = got
     return got[:n]
 
 
+def released(batches):
+    """The batches of a task; when they are all given out, what the allocators hold goes back to the system,
+    as Python workers live on and share an executor's memory."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of the words [^\\x20\\x09-\\x0D]+ of joined texts, and per text the index of its first word (n+1)."""
     if not len(data):

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, text_buffer, window_hashes, word_hashes, words
+from .common import mapped, mix, slices, text_buffer, window_hashes, word_hashes, words
 
 WINDOW = 13
 LEVELS = (1, 2, 4, 8)
 BITS = 12
 #: Suffixes in a shard: as many as give up to FEW shards, at most MOST.
 LEAST, MOST, FEW = 25_000, 2_000_000, 512
-SLICE_BYTES, TASK_WINDOWS = 4 << 20, 3_000_000
+SLICE_BYTES, TASK_WINDOWS = 1 << 20, 1_500_000
 SCHEMA = "shard int, kind int, docs binary, counts binary, places binary, hashes binary"
 _EMPTY = b""
 
@@ -76,7 +76,7 @@ def _count_prefixes(docs: DataFrame, window: int) -> dict[int, np.ndarray]:
         level, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[level, bucket])], names=["level", "bucket", "n"])
 
-    got = docs.select("doc_id", "text").mapInArrow(run, "level int, bucket int, n long").groupBy("level", "bucket").agg(F.sum("n").alias("n")).collect()  # len(levels) * 4096 rows at most
+    got = mapped(docs.select("doc_id", "text"), run, "level int, bucket int, n long").groupBy("level", "bucket").agg(F.sum("n").alias("n")).collect()  # len(levels) * 4096 rows at most
     out = {n: np.zeros(1 << BITS, np.int64) for n in levels}
     for r in got:
         out[levels[r["level"]]][r["bucket"]] = r["n"]
@@ -271,7 +271,7 @@ def _repeated_anchors(docs: DataFrame, window: int, shards: int) -> DataFrame:
         ends = np.append(at[1:], len(d))
         return pa.table({"doc_id": pa.array(d[at]), "anchors": pa.array([np.unique(low[a:b]).tobytes() for a, b in zip(at, ends)], pa.binary())})
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, SCHEMA)
+    sent = mapped(docs.select("doc_id", "text"), send, SCHEMA)
     decided = sent.groupBy("shard").applyInArrow(decide, SCHEMA)
     return decided.groupBy("shard").applyInArrow(collect, "doc_id long, anchors binary")
 
@@ -283,10 +283,12 @@ def _covered(docs: DataFrame, window: int, shards: Shards) -> DataFrame:
         held = _Entries()
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
+                if part.column("anchors").null_count == part.num_rows:
+                    continue
                 h = Hashed(part.column("text"), window)
                 if not len(h.at):
                     continue
-                flags = part.column("anchors").to_pylist()
+                flags = part.column("anchors").to_pylist()  # null: nothing of this text repeats
                 known = [np.frombuffer(f, np.uint32).astype(np.uint64) | (np.uint64(i) << np.uint64(32)) for i, f in enumerate(flags) if f]
                 known = np.concatenate(known) if known else np.zeros(0, np.uint64)
                 keys = (h.anchors(window) & np.uint64(0xFFFFFFFF)) | (h.doc.astype(np.uint64) << np.uint64(32))
@@ -318,7 +320,7 @@ def _covered(docs: DataFrame, window: int, shards: Shards) -> DataFrame:
         ends = np.append(at[1:], len(d))
         return pa.table({"doc_id": pa.array(d[at]), "windows": pa.array([p[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())})
 
-    sent = docs.select("doc_id", "text", "anchors").mapInArrow(send, SCHEMA)
+    sent = mapped(docs, send, SCHEMA)
     decided = sent.groupBy("shard").applyInArrow(trees, SCHEMA)
     return decided.groupBy("shard").applyInArrow(collect, "doc_id long, windows binary")
 
@@ -362,8 +364,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     counts = _count_prefixes(named, window)
     shards = Shards(counts)
     anchors = _repeated_anchors(named, window, shards.n)
-    flagged = named.join(anchors, "doc_id")
-    covered = _covered(flagged, window, shards)
+    # Both joins below shuffle the same columns of the same rows, so that Spark writes the texts once.
+    covered = _covered(rows.join(anchors, "doc_id", "left"), window, shards)
 
     def finish(batches):
         for batch in batches:
@@ -378,4 +380,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     out = "doc_id long, kept string, n_words long, n_removed long, spans array<struct<start:int,end:int>>"
     if carry:
         out += f", row {rows.schema['row'].dataType.simpleString()}"
-    return rows.join(covered, "doc_id", "left").select("doc_id", "text", "windows", *(["row"] if carry else [])).mapInArrow(finish, out)
+    return mapped(rows.join(covered, "doc_id", "left"), finish, out)
