@@ -11,9 +11,9 @@ coordinate with a probability that equals their weighted Jaccard similarity.
 Bands of the signature are joined.  Equal texts are one node.  In a bucket of a band, every node is
 paired with the smallest one only, and the pairs are checked exactly on the whole texts; connected
 nodes become classes.  Then the nodes of a bucket that aren't in the class of its smallest node are
-paired with all nodes there of other classes, if a sketch of the signatures lets them be similar,
-and these pairs are checked too.  So no link between classes is lost that the bands have found, and
-a bucket of many similar texts costs as many pairs as it has members.
+compared with all nodes there of other classes, in tiles, with exact intersections by matrix
+products.  So no link between classes is lost that the bands have found, a bucket of many similar
+texts costs as many pairs as it has members, and no list of all pairs is ever made.
 """
 
 from __future__ import annotations
@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, materialize, mix, slices, text_buffer, window_hashes, word_hashes, words
+from .common import ids_and_texts, mapped, materialize, mix, slices, text_buffer, window_hashes, word_hashes, words
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 5  # a pair at the threshold is missed with probability (1 - 0.8**5)**30 = 7e-6
 SKETCH_LONGS = 3
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Nodes in a tile of a bucket that holds several classes.
+TILE = 256
 _UNIT, _DART, _PLACE, _TIME = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 
 
@@ -141,7 +143,7 @@ def sign(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
                     names=["doc_id", "h1", "h2", "weight", "keys", *(f"s{c}" for c in range(SKETCH_LONGS))],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, weight long, keys array<long>, " + ", ".join(f"s{c} long" for c in range(SKETCH_LONGS)))
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, h1 long, h2 long, weight long, keys array<long>, " + ", ".join(f"s{c} long" for c in range(SKETCH_LONGS)))
 
 
 def _similar(texts: DataFrame, pairs: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -165,7 +167,116 @@ def _similar(texts: DataFrame, pairs: DataFrame, threshold: float, size: int) ->
     one = texts.select(F.col("doc_id").alias("_ia"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc_id").alias("_ib"), F.col("text").alias("text_b"))
     # the second text goes to the first: pairs (member, hub) then carry the member's text once and meet a hub's in a join that can be split
-    return pairs.join(two, F.col("b") == F.col("_ib")).join(one, F.col("a") == F.col("_ia")).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return mapped(pairs.join(two, F.col("b") == F.col("_ib")).join(one, F.col("a") == F.col("_ia")).select("a", "b", "text_a", "text_b"), run, "a long, b long")
+
+
+def _mixed_links(placed: DataFrame, sizes: DataFrame, known: DataFrame, texts: DataFrame, threshold: float, limit: int, size: int) -> DataFrame:
+    """Links (a, b) that join the classes of buckets which hold several.
+
+    The nodes outside the class of a bucket's smallest node are cut into tiles, and so are all its
+    nodes; each pair of tiles is one unit of work of at most 2 * TILE texts.  It compares all pairs
+    of nodes of different classes exactly, by products of its incidence matrices, and returns a
+    spanning forest of the links it finds, so that no list of all pairs exists anywhere.
+    """
+    mixed = placed.join(sizes, F.col("key") == F.col("_key")).select("key", "id", "class", "hub_class", F.ceil(F.col("_rest") / TILE).alias("_l"), F.ceil(F.col("_all") / TILE).alias("_r"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = mixed.where("class <> hub_class").select("key", "id", "class", own("_l").alias("l"), every("_r").alias("r"), F.lit(0).alias("side"))
+    right = mixed.select("key", "id", "class", every("_l").alias("l"), own("_r").alias("r"), F.lit(1).alias("side"))
+    nodes = known.join(texts.select(F.col("doc_id").alias("_t"), "text"), F.col("doc_id") == F.col("_t")).drop("_t")
+    rows = left.unionAll(right).join(nodes, F.col("id") == F.col("doc_id")).drop("doc_id")
+    tiles = rows.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            edges = _edges(table)
+            if len(edges) > 1:  # the last tile may go on in the next batch
+                yield from _tile_links(table.slice(0, edges[-1]), edges, threshold, limit, size)
+            rest = table.slice(edges[-1]).combine_chunks()
+        if rest is not None and rest.num_rows:
+            yield from _tile_links(rest, np.array([0, rest.num_rows]), threshold, limit, size)
+
+    return mapped(tiles, run, "a long, b long").distinct()
+
+
+def _edges(table: pa.Table) -> np.ndarray:
+    """Rows at which a tile begins."""
+    new = np.zeros(table.num_rows, bool)
+    for c in ("key", "l", "r"):
+        v = table.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.append(0, np.flatnonzero(new)) if table.num_rows else np.zeros(1, np.int64)
+
+
+def _tile_links(table: pa.Table, edges: np.ndarray, threshold: float, limit: int, size: int):
+    ids, classes, side, weight = (table.column(c).to_numpy() for c in ("id", "class", "side", "weight"))
+    bits = np.column_stack([table.column(f"s{c}").to_numpy() for c in range(SKETCH_LONGS)]).view(np.uint64)
+    parts, base, counts = [], 0, []
+    for part in table.combine_chunks().to_batches():
+        for piece in slices(part, "text", SLICE_BYTES):
+            doc, e, *_ = unit_elements(piece.column("text"), size)
+            order = np.argsort(doc, kind="stable")
+            parts.append(e[order])
+            counts.append(np.bincount(doc, minlength=piece.num_rows))
+            base += piece.num_rows
+    elements, counts = np.concatenate(parts), np.concatenate(counts)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    found: list = []
+    for lo, hi in zip(edges, np.append(edges[1:], table.num_rows)):
+        if lo >= table.num_rows:
+            break
+        one, two = (np.arange(lo, hi)[side[lo:hi] == k] for k in (0, 1))
+        may = classes[one][:, None] != classes[two][None, :]
+        may &= np.minimum(weight[one][:, None], weight[two][None, :]) >= threshold * np.maximum(weight[one][:, None], weight[two][None, :])
+        may &= np.bitwise_count(bits[one][:, None, :] ^ bits[two][None, :, :]).sum(axis=2) <= limit
+        one, two, may = one[may.any(axis=1)], two[may.any(axis=0)], may[may.any(axis=1)][:, may.any(axis=0)]
+        if not len(one):
+            continue
+        common = _intersections(elements, at, one, two)
+        union = counts[one][:, None] + counts[two][None, :] - common
+        i, j = np.nonzero(may & (common >= threshold * union - 1e-9))
+        parent: dict = {}
+        for a, b in zip(ids[one[i]].tolist(), ids[two[j]].tolist()):
+            ra, rb = _root(parent, a), _root(parent, b)
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+                found.append((min(a, b), max(a, b)))
+    if found:
+        a, b = zip(*found)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _root(parent: dict, x: int) -> int:
+    while x in parent:
+        x = parent[x]
+    return x
+
+
+def _intersections(elements: np.ndarray, at: np.ndarray, one: np.ndarray, two: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Common elements of each of `one` with each of `two`: incidence matrices over the elements both sides have."""
+    sides = []
+    for rows in (one, two):
+        n = at[rows + 1] - at[rows]
+        sides.append((np.concatenate([elements[at[r] : at[r + 1]] for r in rows]), np.repeat(np.arange(len(rows)), n)))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(one), len(two)), np.float32)
+    coded = []
+    for values, row in sides:
+        spot = np.minimum(np.searchsorted(both, values), max(0, len(both) - 1))
+        hit = both[spot] == values if len(both) else np.zeros(len(values), bool)
+        coded.append((spot[hit], row[hit]))
+    for lo in range(0, len(both), columns):
+        m = []
+        for (spot, row), n in zip(coded, (len(one), len(two))):
+            here = (spot >= lo) & (spot < lo + columns)
+            dense = np.zeros((n, min(columns, len(both) - lo)), np.float32)
+            dense[row[here], spot[here] - lo] = 1
+            m.append(dense)
+        out += m[0] @ m[1].T
+    return out
 
 
 def links_and_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -198,14 +309,9 @@ def links_and_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int
 
     # Nodes that aren't in the class of their bucket's smallest node, against those of other classes there.
     root_of = lambda frame, column, name: frame.join(rooted.select(F.col("member").alias(f"_m{name}"), F.col("root").alias(name)), F.col(column) == F.col(f"_m{name}"), "left").withColumn(name, F.coalesce(name, column)).drop(f"_m{name}")
-    placed = root_of(root_of(shared, "id", "class"), "hub", "hub_class")
-    placed = materialize(placed.join(side("x"), F.col("id") == F.col("_x")).drop("_x"))
-    rest = placed.where("class <> hub_class")
-    mixed = rest.groupBy("key").agg(F.count("*").alias("_n")).select(F.col("key").alias("_key"))
-    others = placed.join(mixed, F.col("key") == F.col("_key"), "left_semi").select(F.col("key").alias("_key"), F.col("id").alias("y"), F.col("class").alias("y_class"), F.col("hub").alias("_hub"), F.col("hub_class").alias("y_hub_class"), *[F.col(f"x_{c}").alias(f"y_{c}") for c in sketches.columns if c != "doc_id"])
-    differ = (F.col("class") != F.col("y_class")) & (F.col("y") != F.col("_hub")) & ((F.col("y_class") == F.col("y_hub_class")) | (F.col("id") < F.col("y")))
-    second = rest.join(others, (F.col("key") == F.col("_key")) & differ & may("x", "y")).select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
-    more = materialize(_similar(texts, materialize(second), threshold, size))
+    placed = materialize(root_of(root_of(shared, "id", "class"), "hub", "hub_class"))
+    sizes = placed.groupBy("key").agg(F.count("*").alias("_all"), F.count_if(F.col("class") != F.col("hub_class")).alias("_rest")).where("_rest > 0").select(F.col("key").alias("_key"), "_all", "_rest")
+    more = materialize(_mixed_links(placed, sizes, known, texts, threshold, limit, size))
     if more.limit(1).count():
         rooted = components(rooted.select(F.col("root").alias("a"), F.col("member").alias("b")).unionAll(more.select("a", "b")))
     return rooted, membership
