@@ -17,7 +17,7 @@ from cortexloom.llm.queries import tokenizer_path
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; texts that are null or without a letter go."""
     learned = language.train(docs.where(crc_mod("doc_id", 4) != 2))
-    return docs.where(language.language_of(F.col("text"), learned) != language.UNDETERMINED)
+    return language.keep_languages(docs, learned)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,16 +12,14 @@ cut into lanes whose first phrases are parsed anew from the state that the lane
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, slices
+from .common import ids_and_texts, mapped, slices
 
 #: Training text for a language: at most so many characters, from whole texts of at most MAX_TEXT of them.
 TRAIN_CHARS, MAX_TEXT = 60_000, 20_000
@@ -226,29 +224,22 @@ def identify(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text
     def run(batches):
         parser = Parser(sent.value)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 names, score = parser.predict(pc.fill_null(part.column("text"), "").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return mapped(ids_and_texts(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double")
 
 
-def language_of(text, languages: Languages):
-    """The same prediction as a string Column over a text Column, for filters that keep rows where they are."""
-    from pyspark.sql import SparkSession
-
-    sent = SparkSession.active().sparkContext.broadcast(languages)
+def keep_languages(docs: DataFrame, languages: Languages, rejected: tuple = (UNDETERMINED,), text_col: str = "text") -> DataFrame:
+    """The rows of docs, whole and where they are, whose predicted language isn't one of `rejected`."""
+    sent = docs.sparkSession.sparkContext.broadcast(languages)
 
-    @F.pandas_udf("string")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches):
         parser = Parser(sent.value)
-        for texts in batches:
-            texts, got = texts.fillna(""), []
-            size = texts.str.len().cumsum().to_numpy()
-            cuts = [0, *(int(np.searchsorted(size, b)) for b in range(4 << 20, int(size[-1]) if len(size) else 0, 4 << 20)), len(texts)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if b > a:
-                    got += parser.predict(texts.iloc[a:b].tolist())[0]
-            yield pd.Series(got, dtype=object)
-
-    return predict(text)
+        for batch in batches:
+            for part in slices(batch, text_col, 2 << 20):
+                names, _ = parser.predict(pc.fill_null(part.column(text_col), "").to_pylist())
+                yield part.filter(pa.array([n not in rejected for n in names]))
+
+    return mapped(docs, run, docs.schema)

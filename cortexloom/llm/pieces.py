@@ -16,10 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import ids_and_texts, slices, text_buffer
+from .common import ids_and_texts, mapped, slices, text_buffer
 from .piece_automaton import SPACE, PieceAutomaton, PieceBytes, automaton_for, encode, load_model
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 class StreamingViterbi:
@@ -117,7 +117,7 @@ def _encode(docs: DataFrame, model_path: str, id_col: str, text_col: str, check:
                     columns.append(pa.array(_same(pieces, ids, offsets, texts)))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>" + ", round_trip boolean" * check)
+    return mapped(ids_and_texts(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids array<int>" + ", round_trip boolean" * check)
 
 
 def _same(pieces: PieceBytes, ids: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> np.ndarray:
@@ -143,4 +143,4 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
             data = data.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([data[at[i] : at[i + 1]].decode("utf-8", "replace") for i in range(len(lists))], pa.string())], names=["doc_id", "text"])
 
-    return encoded.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{ids_col}` as array<int>) ids").mapInArrow(run, "doc_id long, text string")
+    return mapped(encoded.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{ids_col}` as array<int>) ids"), run, "doc_id long, text string")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, slices, text_buffer, word_hashes, words
+from .common import ids_and_texts, mapped, slices, text_buffer, word_hashes, words
 
 #: Labelled rows that the classifier is fitted on, at most (chosen by a hash of the id).
 TRAIN_ROWS = 20_000
@@ -79,11 +79,11 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 got = statistics(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in got.T)], names=["doc_id", *STATISTICS])
 
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return mapped(docs, run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 def _tree(bins: np.ndarray, grad: np.ndarray, hess: np.ndarray, rows: np.ndarray, path: tuple, depth: int, found: list) -> np.ndarray:

@@ -13,10 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import ids_and_texts, slices
+from .common import ids_and_texts, mapped, slices
 from .piece_automaton import automaton_for, count, load_model
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,4 +38,4 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(ids_and_texts(docs, id_col, text_col), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -72,8 +72,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the k best other rows of each row that is_query selects.
 
-    is_query: a Column over vec_id.  score: inner product of floor(scale * component), exact.  Ties
-    go to the smaller vec_id.  Vectors that are null, empty, or hold null or non-finite components
+    is_query: a Column over vec_id.  score: inner product of floor(scale * component), exact, or the
+    nearest 64-bit integer if it is beyond them.  Ties go to the smaller vec_id.  Vectors that are null, empty, or hold null or non-finite components
     take no part; a query with fewer than k others gets all.  Rows that repeat an id are candidates
     each, but never of a query with that id; of query rows that repeat an id the one with the smallest
     vector asks.  Vectors of different lengths raise.
