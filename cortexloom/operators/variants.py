@@ -124,7 +124,7 @@ def cmac(members: DataFrame, sets: list[str] = ("set_name",), low: int = 2, high
     return got if high is None else got.where(F.col("cmac") <= high)
 
 
-#: Bins of cumulative minor allele count: lowest and highest value of each.
+# Bins of cumulative minor allele count, lowest and highest value of each.
 CMAC_BINS = [(2, 2), (3, 3), (4, 4), (5, 5), (6, 7), (8, 9), (10, 11), (12, 14), (15, 20), (21, 30), (31, 60), (61, 100)]
 
 

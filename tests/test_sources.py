@@ -114,3 +114,15 @@ def test_sumstats(spark, tmp_path):
     assert sumstats.load(spark, str(tmp_path / "s")).count() == 2
     sumstats.write_tsv(spark.createDataFrame(got).select("snp", "z"), str(tmp_path / "t"), ["z"], ["snp"])
     assert any("0.00000e+00" in f.read_text() for f in (tmp_path / "t").glob("part*"))
+
+
+def test_favor(spark):
+    from cortexloom.sources import annotation
+
+    raw = spark.createDataFrame([("1", 5, "A", "G", None, "3.0", "9.0", "x", "10"), ("1", 6, "A", "G", "2", "1.0", "8.0", "y", "0")], "chromosome string, position string, ref_vcf string, alt_vcf string, cadd_phred string, apc_conservation string, apc_conservation_v2 string, genehancer string, apc_local_nucleotide_diversity_v3 string")
+    got = annotation.favor_table(raw).orderBy("pos").collect()
+    assert [(r["contig"], r["annot"]["cadd_phred"], r["annot"]["apc_conservation"], r["annot"]["genehancer"]) for r in got] == [("chr1", 0.0, 9.0, "x"), ("chr1", 2.0, 8.0, "y")]
+    assert got[0]["annot"]["apc_local_nucleotide_diversity2"] == pytest.approx(-10 * np.log10(1 - 0.1)) and got[1]["annot"]["apc_local_nucleotide_diversity2"] is None
+    assert annotation.pick(annotation.favor_table(raw), ["CADD"]).schema["annot"].dataType.fieldNames() == ["cadd_phred"]
+    with pytest.raises(ValueError):
+        annotation.pick(annotation.favor_table(raw), ["x"])
