@@ -40,16 +40,26 @@ def truncated(r: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
     return values[:k], vectors[:, :k]
 
 
-def ld_blocks(genotypes: DataFrame, share: float = 0.95) -> DataFrame:
+def densified(calls: pd.DataFrame, n: int) -> pd.DataFrame:
+    """A row a variant with dosages of subjects 0 to n - 1, from the calls (snp, iid, dosage, ...) of a group; no call is 0."""
+    code, _ = pd.factorize(calls["snp"])
+    out = np.zeros((code.max() + 1, n))
+    out[code, calls["iid"].to_numpy(int)] = calls["dosage"].to_numpy(float)
+    rows = calls.drop(columns=["iid", "dosage"]).iloc[np.unique(code, return_index=True)[1]]
+    return rows.assign(dosages=list(out))
+
+
+def ld_blocks(genotypes: DataFrame, share: float = 0.95, n: int | None = None) -> DataFrame:
     """block_idx, snp, ldscore, factor, inverse_factor (O-167).
 
-    genotypes: (block_idx, snp, pos, dosages array<double>).  factor: eigenvectors times the root of
-    their values, inverse_factor: divided by it.
+    genotypes: (block_idx, snp, pos, dosages array<double>), or with n, the number of subjects, calls
+    (block_idx, snp, pos, iid, dosage) that are made dense block by block.  factor: eigenvectors times
+    the root of their values, inverse_factor: divided by it.
     """
     schema = "block_idx int, snp string, pos int, ldscore double, factor array<double>, inverse_factor array<double>"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "snp"])
+        pdf = (pdf if n is None else densified(pdf, n)).sort_values(["pos", "snp"])
         z = np.stack(pdf["dosages"].to_numpy()).astype(float)
         r = correlation(z)
         values, vectors = truncated(r, share)
@@ -233,3 +243,36 @@ def ld_prune(variants: DataFrame, r2: float = 0.3, width: int = 500_000) -> Data
         return pd.DataFrame({"contig": out["contig"].astype(str), "pos": out["pos"].astype(np.int32), "snp": out["snp"].astype(str)})
 
     return variants.groupBy("contig").applyInPandas(run, schema)
+
+
+def ld_prune_calls(calls: DataFrame, n: int, r2: float = 0.3, width: int = 500_000) -> DataFrame:
+    """The same from the calls (contig, pos, snp, iid, dosage) of n subjects; no call is 0, a null dosage the variant's mean.
+
+    Correlations are sums over the calls of two variants, so nothing is made dense but one variant at a time.
+    """
+    schema = "contig string, pos int, snp string"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pos", "snp"], kind="stable")
+        snp, pos = pdf["snp"].to_numpy(), pdf["pos"].to_numpy()
+        iid, dosage = pdf["iid"].to_numpy(int), pdf["dosage"].to_numpy(float)
+        at = np.flatnonzero(np.r_[True, (snp[1:] != snp[:-1]) | (pos[1:] != pos[:-1])])
+        kept, near, row = [], [], np.zeros(n)
+        for a, b in zip(at, np.r_[at[1:], len(pdf)]):
+            own, g = iid[a:b], dosage[a:b]
+            missing = np.isnan(g)
+            if missing.any():
+                g = np.where(missing, np.nansum(g) / max(1, n - missing.sum()), g)
+            total = g.sum()
+            square = n * (g @ g) - total * total
+            near = [x for x in near if pos[a] - x[0] <= width]
+            row[own] = g
+            linked = any((n * (row[i] @ d) - total * t) ** 2 > r2 * square * q for _, i, d, t, q in near if square > 0 and q > 0)
+            row[own] = 0
+            if not linked:
+                kept.append(a)
+                near.append((pos[a], own, g, total, square))
+        out = pdf.iloc[kept]
+        return pd.DataFrame({"contig": out["contig"].astype(str), "pos": out["pos"].astype(np.int32), "snp": out["snp"].astype(str)})
+
+    return calls.select("contig", "pos", "snp", "iid", "dosage").groupBy("contig").applyInPandas(run, schema)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -233,21 +232,13 @@ def tails(spark, sf_dir):
     return Study(spark, sf_dir).panel.select("snp", "pos", "z", C.chi2_sf(F.col("z") * F.col("z")).alias("p"))
 
 
-def _dosage_vectors(s: Study, limit: int) -> DataFrame:
-    """variant rows with dosages of all subjects in the order of their ids, densified from maps in groups."""
-    n = s.n
-    rows = s.geno.where(F.col("variant") < limit)
+def _calls(s: Study) -> DataFrame:
+    """Genotypes with the place of their variants; operators make them dense block by block."""
+    return s.geno.join(s.variants.select("variant", "contig", "pos", F.col("rsid").alias("snp")), "variant")
 
-    def dense(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(n)
-        out[pdf["iid"].to_numpy(int)] = pdf["dosage"].to_numpy(float)
-        return pd.DataFrame({"variant": pdf["variant"].iloc[:1], "dosages": [out]})
 
-    return rows.groupBy("variant").applyInPandas(dense, "variant long, dosages array<double>").join(s.variants.select("variant", "contig", "pos", F.col("rsid").alias("snp"), F.col("ref").alias("a1"), F.col("alt").alias("a2")), "variant")
-
-
-def _blocks(s: Study, limit: int = 400) -> DataFrame:
-    return ld.ld_blocks(_dosage_vectors(s, limit).withColumn("block_idx", F.floor(F.col("pos") / 50).cast("int")))
+def _blocks(s: Study) -> DataFrame:
+    return ld.ld_blocks(_calls(s).select(F.floor(F.col("pos") / 50).cast("int").alias("block_idx"), "snp", "pos", "iid", "dosage"), n=s.n)
 
 
 @query("o167_ld_scores")
@@ -257,13 +248,14 @@ def ld_scores(spark, sf_dir):
 
 @query("o187_ld_prune")
 def ld_prune(spark, sf_dir):
-    return ld.ld_prune(_dosage_vectors(Study(spark, sf_dir), 200), 0.3, 20)
+    s = Study(spark, sf_dir)
+    return ld.ld_prune_calls(_calls(s), s.n, 0.3, 20)
 
 
-def _component_stats(s: Study, limit: int = 400) -> tuple:
+def _component_stats(s: Study) -> tuple:
     subjects = s.plain_subjects
     cov = linear.covariance(linear.cross_products(subjects))
-    g = linear.gwas(s.geno.where(F.col("variant") < limit), subjects)
+    g = linear.gwas(s.geno, subjects)
     table = g.select(F.concat(F.lit("rs"), F.col("variant").cast("string")).alias("snp"), F.col("n_called").cast("double").alias("n"), F.col("t_stat").alias("z"), (F.get("t_stat", 0) * 0.9 + 0.1).alias("z2"), F.col("n_called").cast("double").alias("n2"))
     return table, cov
 
@@ -324,9 +316,9 @@ def loco_predictions(spark, sf_dir):
     y = np.stack(subjects["resid"].to_numpy())
     scale = y.std(axis=0)
     subjects["y"] = list(y / scale)
-    vectors = _dosage_vectors(s, 600).select("variant", "dosages", "pos", "snp", "contig")
-    blocks = intervals.equal_blocks(vectors, 150, "snp").withColumn("block", (F.col("contig").cast("int") * 1000 + F.col("block")).cast("int"))
-    preds = relatedness.level0(blocks, subjects, 600)
+    called = s.variants.join(s.geno.select("variant"), "variant", "left_semi").select("variant", "contig", "pos", F.col("rsid").alias("snp"))
+    blocks = intervals.equal_blocks(called, 150, "snp").select("variant", "contig", "snp", (F.col("contig").cast("int") * 1_000_000 + F.col("block")).cast("int").alias("block"))
+    preds = relatedness.level0(s.geno.join(blocks, "variant").select("block", "contig", "snp", "iid", "dosage"), subjects, called.count(), calls=True)
     return relatedness.level1(preds, subjects, scale)
 
 
