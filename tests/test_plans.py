@@ -59,3 +59,14 @@ def test_component_statistics_of_all_variants(spark, wide, dosages):
 def test_loco_over_all_contigs(spark, wide):
     got = analytic.loco_predictions(spark, wide).collect()
     assert {r["contig"] for r in got} == {"1", "2", "3", "4"} and all(len(r["pred"]) == 1500 for r in got)
+
+
+def test_conditional_test_of_all_variants(spark, wide, dosages):
+    z, own = dosages
+    got = {r["variant"]: r["beta"] for r in analytic.conditional_test(spark, wide).collect()}
+    assert set(got) == set(own.tolist()) - {1, 2}
+    subjects = Study(spark, wide).subjects.toPandas().sort_values("iid")
+    y, given = np.stack(subjects["y"].to_numpy()), [z[own == v][0] for v in (1, 2)]
+    for v in (0, 61, 1999):
+        full = np.column_stack([np.ones(len(y)), *given, z[own == v][0]])
+        assert got[v] == pytest.approx(np.linalg.lstsq(full, y, rcond=None)[0][-1], rel=1e-6)
