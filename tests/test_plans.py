@@ -70,3 +70,18 @@ def test_conditional_test_of_all_variants(spark, wide, dosages):
     for v in (0, 61, 1999):
         full = np.column_stack([np.ones(len(y)), *given, z[own == v][0]])
         assert got[v] == pytest.approx(np.linalg.lstsq(full, y, rcond=None)[0][-1], rel=1e-6)
+
+
+def test_association_of_all_variants(spark, wide, dosages):
+    z, own = dosages
+    got = {r["variant"]: r for r in analytic.gwas_all(spark, wide).collect()}
+    assert set(got) == set(own.tolist())
+    subjects = Study(spark, wide).subjects.toPandas().sort_values("iid")
+    x, y = np.stack(subjects["x"].to_numpy()), np.stack(subjects["y"].to_numpy())
+    m = np.eye(len(x)) - x @ np.linalg.solve(x.T @ x, x.T)
+    gr, r = z @ m, m @ y
+    left = (gr * gr).sum(axis=1)
+    beta = gr @ r / left[:, None]
+    se = np.sqrt(((r * r).sum(axis=0) - beta**2 * left[:, None]) / (len(x) - 3) / left[:, None])
+    assert np.stack([got[v]["beta"] for v in own]) == pytest.approx(beta, rel=1e-6)
+    assert np.stack([got[v]["standard_error"] for v in own]) == pytest.approx(se, rel=1e-6)
