@@ -507,3 +507,29 @@ def test_labels_are_split_by_hash(spark):
 
     got = spark.range(50).select("id", crc_mod("id", 5).alias("m")).collect()
     assert all(r["m"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in got)
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.61, "b": 0.3897, "c": 0.0003}, {"a": math.sqrt(7), "b": math.sqrt(3), "c": 1e-4}])
+def test_mixing_keeps_the_given_weights(weights):
+    blocks = {"a": 60_000, "b": 60_000, "c": 1_000}
+    order = mixing.turns(blocks, weights)
+    total, n = sum(weights.values()), 60_000  # before a source runs out
+    for s, w in weights.items():
+        done = np.cumsum(np.array(order[:n]) == s)
+        assert (np.abs(done - np.arange(1, n + 1) * w / total) < 1 + 1e-9).all()
+    assert Counter(order) == blocks
+
+
+def test_mixing_of_many_sources(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.pmod("id", F.lit(1500))).alias("source"))
+    got = mixing.schedule(docs).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(3000)) and {r["slot"] for r in got} == set(range(1500))
+
+
+def test_mixing_after_a_source_runs_out():
+    blocks, weights = {"a": 3, "b": 30, "c": 60}, {"a": 2, "b": 1, "c": 1}
+    order = mixing.turns(blocks, weights)
+    for t in range(6, 64):  # a runs out at slot 6, when b and c have 1.5 blocks each, b at 63
+        assert abs(order[:t].count("b") - (1.5 + (t - 6) / 2)) < 1
+    with pytest.raises(ValueError):
+        mixing.turns({"a": 1, "b": 1}, {"a": 0, "b": 1})
