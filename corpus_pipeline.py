@@ -40,9 +40,23 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.repartitionByRange("_order").sortWithinPartitions("_order").select(*docs.columns)
 
 
+def placed_rows(docs: DataFrame) -> DataFrame:
+    """docs with `position` (part, file, row), which sorts as the rows were written.
+
+    A scan reads files in any order, so the place in a written table comes from the names of its part
+    files and the rows' numbers in them; of a DataFrame that is not a scan, from its partitions.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation"):
+        number = lambda pattern: F.coalesce(F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("int"), F.lit(0))
+        part, file, row = number(r"^part-(\d+)"), number(r"-c(\d+)\."), F.col("_metadata.row_index")
+    else:
+        part, file, row = F.lit(0), F.lit(0), F.monotonically_increasing_id()
+    return docs.select("*", F.struct(part.alias("part"), file.alias("file"), row.alias("row")).alias("position"))
+
+
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, round_trip."""
-    return pieces.encode_and_check(docs, tokenizer_path())
+    """doc_id, n_tokens, ids, round_trip, position; sorted by position the rows are the mix."""
+    return pieces.encode_and_check(placed_rows(docs), tokenizer_path(), carry=("position",))
 
 
 STAGES = [

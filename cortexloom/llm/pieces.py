@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import ids_and_texts, mapped, slices, text_buffer
+from .common import mapped, slices, text_buffer
 from .piece_automaton import SPACE, PieceAutomaton, PieceBytes, automaton_for, encode, load_model
 
 SLICE_BYTES = 2 << 20
@@ -97,14 +98,14 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     return _encode(docs, model_path, id_col, text_col, check=False)
 
 
-def encode_and_check(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As encode_pieces, and round_trip: whether decoding the ids gives the text again (U+2581 reads as a space)."""
-    return _encode(docs, model_path, id_col, text_col, check=True)
+def encode_and_check(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
+    """As encode_pieces, and round_trip: whether decoding the ids gives the text again (U+2581 reads as a space); the columns `carry` of docs follow."""
+    return _encode(docs, model_path, id_col, text_col, check=True, carry=carry)
 
 
-def _encode(docs: DataFrame, model_path: str, id_col: str, text_col: str, check: bool) -> DataFrame:
+def _encode(docs: DataFrame, model_path: str, id_col: str, text_col: str, check: bool, carry: tuple = ()) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(load_model(model_path))
-    names = ["doc_id", "n_tokens", "ids"] + ["round_trip"] * check
+    names = ["doc_id", "n_tokens", "ids"] + ["round_trip"] * check + list(carry)
 
     def run(batches):
         automaton, pieces = automaton_for(model.value), PieceBytes(model.value)
@@ -115,9 +116,12 @@ def _encode(docs: DataFrame, model_path: str, id_col: str, text_col: str, check:
                 columns = [part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))]
                 if check:
                     columns.append(pa.array(_same(pieces, ids, offsets, texts)))
+                columns += [part.column(c) for c in carry]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return mapped(ids_and_texts(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids array<int>" + ", round_trip boolean" * check)
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    kinds = "".join(f", `{c}` {read.schema[c].dataType.simpleString()}" for c in carry)
+    return mapped(read, run, "doc_id long, n_tokens long, ids array<int>" + ", round_trip boolean" * check + kinds)
 
 
 def _same(pieces: PieceBytes, ids: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> np.ndarray:

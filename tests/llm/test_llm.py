@@ -533,3 +533,35 @@ def test_mixing_after_a_source_runs_out():
         assert abs(order[:t].count("b") - (1.5 + (t - 6) / 2)) < 1
     with pytest.raises(ValueError):
         mixing.turns({"a": 1, "b": 1}, {"a": 0, "b": 1})
+
+
+def test_mix_survives_the_reread(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, "x " * (1 + (i % 700 if i % 3 else 1)), "en", f"src{i % 3}", 0) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    named, path = dict(corpus_pipeline.STAGES), str(tmp_path / "mix")
+    want = [r["doc_id"] for r in mixing.schedule(docs).orderBy("slot", "place").collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        named["mixing"](spark, docs, "").write.option("maxRecordsPerFile", 40).parquet(path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    files = list((tmp_path / "mix").glob("*.parquet"))
+    assert len(files) > 13 and len({f.stat().st_size for f in files}) > 13
+    reread = spark.read.parquet(path)
+    assert [r["doc_id"] for r in reread.select("doc_id").collect()] != want  # the scan's own order is another
+    assert [r["doc_id"] for r in named["encoding"](spark, reread, "").orderBy("position").collect()] == want
+    mixed = named["mixing"](spark, docs, "")
+    assert [r["doc_id"] for r in named["encoding"](spark, mixed, "").orderBy("position").collect()] == want
+
+
+def test_position_of_rows_that_are_no_scan(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    turned = docs.repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"))
+    got = [r["doc_id"] for r in corpus_pipeline.placed_rows(turned).orderBy("position").collect()]
+    assert got == sorted(got, reverse=True) and len(got) == docs.count()
