@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import ids_and_texts, mapped, slices
 
-#: Training text for a language: at most so many characters, from whole texts of at most MAX_TEXT of them.
+#: Training text for a language: it ends with the text that reaches so many characters; of a longer text, MAX_TEXT from its first letter on.
 TRAIN_CHARS, MAX_TEXT = 60_000, 20_000
 #: Expected rows collected for a language.
 TRAIN_ROWS = 120
@@ -168,6 +168,10 @@ class Parser:
             ready[now] = True
             carried = carried[~ready[carried]]
 
+    def lettered(self, texts: list[str]) -> list[bool]:
+        """Whether each text has a letter."""
+        return [bool(self.letters[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any()) for t in texts]
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         names, weights = self.languages.names, np.array(self.languages.weights)
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -194,15 +198,17 @@ class Parser:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
-    """Learn from the rows of docs with text and lang: a sample bounded for each language by TRAIN_ROWS
-    expected rows of at most MAX_TEXT characters and TRAIN_CHARS in all, chosen by a hash of the id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    """Learn each lang of the rows of docs whose text has a letter: a sample bounded for each language by
+    TRAIN_ROWS expected rows and TRAIN_CHARS, chosen by a hash of the id.  A text longer than MAX_TEXT
+    gives an excerpt of that length."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     have = {r["lang"]: r["n"] for r in rows.select("lang").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not have:
         return Languages({})
     space = 1 << 40
     limit = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(have.items()) for x in (k, max(1, min(space, space * TRAIN_ROWS // n)))]), F.col("lang"))
-    picked = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(space)) < limit) & (F.length("text") <= MAX_TEXT)).withColumn("_h", F.xxhash64("doc_id")).toArrow()
+    excerpt = F.when(F.length("text") <= MAX_TEXT, F.col("text")).otherwise(F.substring(F.regexp_replace("text", r"^\P{L}++", ""), 1, MAX_TEXT))
+    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < limit).withColumn("text", excerpt).withColumn("_h", F.xxhash64("doc_id")).toArrow()
     samples: dict[str, list[str]] = {}
     for r in sorted(picked.to_pylist(), key=lambda r: (r["_h"], r["doc_id"] or 0, r["text"])):
         got = samples.setdefault(r["lang"], [])
@@ -232,14 +238,20 @@ def identify(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text
 
 
 def keep_languages(docs: DataFrame, languages: Languages, rejected: tuple = (UNDETERMINED,), text_col: str = "text") -> DataFrame:
-    """The rows of docs, whole and where they are, whose predicted language isn't one of `rejected`."""
+    """The rows of docs, whole and where they are, whose predicted language isn't one of `rejected`.
+
+    If nothing was learned, no text has a language and only null texts and those without a letter count
+    as "und"."""
     sent = docs.sparkSession.sparkContext.broadcast(languages)
 
     def run(batches):
         parser = Parser(sent.value)
         for batch in batches:
             for part in slices(batch, text_col, 2 << 20):
-                names, _ = parser.predict(pc.fill_null(part.column(text_col), "").to_pylist())
-                yield part.filter(pa.array([n not in rejected for n in names]))
+                texts = pc.fill_null(part.column(text_col), "").to_pylist()
+                names, _ = parser.predict(texts)
+                if not parser.languages.names:
+                    names = [None if some else n for n, some in zip(names, parser.lettered(texts))]
+                yield part.filter(pa.array([n not in rejected for n in names], pa.bool_()))
 
     return mapped(docs, run, docs.schema)

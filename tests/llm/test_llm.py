@@ -565,3 +565,23 @@ def test_position_of_rows_that_are_no_scan(spark, sf_dir):
     turned = docs.repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"))
     got = [r["doc_id"] for r in corpus_pipeline.placed_rows(turned).orderBy("position").collect()]
     assert got == sorted(got, reverse=True) and len(got) == docs.count()
+
+
+def test_languages_of_long_texts_only(spark):
+    rng = random.Random(5)
+    words = {"x": ["alpha", "beta", "gamma", "delta"], "y": ["𐐨eins", "zwei", "drei", "vier"]}
+    long = {k: " ".join(rng.choice(w) for _ in range(8000)) for k, w in words.items()}
+    assert min(map(len, long.values())) > language.MAX_TEXT
+    rows = [(0, long["x"], "x"), (1, "🙂 7 " * 9000 + long["y"], "y"), (2, "12 34", "z"), (3, "9 " * 15_000, "z"), (4, None, "z"), (5, "one two", None)]
+    learned = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert learned.names == ["x", "y"]
+    names, _ = language.Parser(learned).predict(["gamma beta beta", "drei vier zwei", "77"])
+    assert names == ["x", "y", "und"]
+
+
+def test_nothing_learned_drops_no_text_with_letters(spark):
+    docs = spark.createDataFrame([(0, "some text", None), (1, None, None), (2, "12 !", "en"), (3, "", None), (4, "é", None)], "doc_id long, text string, lang string")
+    learned = language.train(docs)
+    assert not learned.names
+    assert sorted(r["doc_id"] for r in language.keep_languages(docs, learned).collect()) == [0, 4]
+    assert {r["lang_pred"] for r in language.identify(docs, learned).collect()} == {"und"}
