@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import math
 import tempfile
 import uuid
@@ -81,10 +82,11 @@ def ceil_div(a: int, b: int) -> int:
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _MUL1, _MUL2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_BASE, _STEP = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-_POWERS: dict[int, np.ndarray] = {}
-#: Longest table of powers that a worker keeps; longer ones are made for the text that needs them.
-KEPT_POWERS = 1 << 21
+_SEED = np.uint64(0xD6E8FEB86659FD93)
+#: The bits of a lane of eight bytes that its first k bytes take.
+_LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word above which it is hashed by itself.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -94,17 +96,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    got = _POWERS.get(base)
-    if got is None or len(got) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        got = np.multiply.accumulate(steps)
-        if len(got) <= KEPT_POWERS:
-            _POWERS[base] = got
-    return got[:n]
-
-
 def released(batches):
     """The batches of a task; when they are all given out, what the allocators hold goes back to the system,
     as Python workers live on and share an executor's memory."""
@@ -134,14 +125,39 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same at any place."""
+    """A 64-bit hash of each word's bytes, the same at any place: lanes of eight bytes mixed in one by one, longer words by BLAKE2."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    p = _powers(_BASE, len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p, out=sums[1:])
-    back = _powers(pow(_BASE, -1, 1 << 64), len(data))
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _MUL1)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) * _MUL1 + _SEED)
+    at, left, open_ = starts, np.where(sizes > LONG_WORD, 8, sizes), np.arange(len(starts))
+    while len(open_):
+        out[open_] = mix(out[open_] ^ (lanes[at] & _LANE[np.minimum(left, 8)]))
+        more = left > 8
+        open_, at, left = open_[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
+
+
+def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the run of `size` hashes from each place on, put together from runs of powers of two."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    join = lambda a, b: mix(a * _MUL2 + b)
+    power, length, out, done = hashes, 1, None, 0
+    while True:
+        if size & length:
+            here = power[done : done + n]
+            out = here if out is None else join(out, here)
+            done += length
+        if 2 * length > size:
+            return mix(out ^ _SEED)
+        power, length = join(power[:-length], power[length:]), 2 * length
 
 
 def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +169,4 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     np.add.at(inside, np.maximum(first[1:] - size + 1, first[:-1]), 1)
     np.add.at(inside, first[1:], -1)
     at = np.flatnonzero(np.cumsum(inside[:n]) == 0)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * _powers(_STEP, len(hashes)), out=sums[1:])
-    back = _powers(pow(_STEP, -1, 1 << 64), len(hashes))
-    return at, mix((sums[at + size] - sums[at]) * back[at])
+    return at, run_hashes(hashes, size)[at]

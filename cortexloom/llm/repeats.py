@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, mix, slices, text_buffer, window_hashes, word_hashes, words
+from .common import mapped, mix, run_hashes, slices, text_buffer, window_hashes, word_hashes, words
 
 WINDOW = 13
 LEVELS = (1, 2, 4, 8)
@@ -30,7 +30,8 @@ BITS = 12
 #: Suffixes in a shard: as many as give up to FEW shards, at most MOST.
 LEAST, MOST, FEW = 25_000, 2_000_000, 512
 SLICE_BYTES, TASK_WINDOWS = 1 << 20, 1_500_000
-SCHEMA = "shard int, kind int, docs binary, counts binary, places binary, hashes binary"
+SCHEMA = "shard int, kind int, docs binary, counts binary, places binary, hashes binary, checks binary"
+_CHECK = np.uint64(0xA24BAED4963EE407)
 _EMPTY = b""
 
 
@@ -45,6 +46,10 @@ class Hashed:
         self.doc = np.searchsorted(self.first, self.at, "right") - 1
         self.place = self.at - self.first[self.doc]
 
+    def checks(self, window: int) -> np.ndarray:
+        """32 further bits of each window's hash, so that different windows meet at no size of the corpus."""
+        return (run_hashes(self.hashes ^ _CHECK, window)[self.at] >> np.uint64(32)).astype(np.uint32) if len(self.at) else np.zeros(0, np.uint32)
+
     def runs(self, size: int) -> np.ndarray:
         """Hash of the run of `size` words at the start of each window."""
         got = np.zeros(len(self.hashes), np.uint64)
@@ -123,14 +128,14 @@ class Shards:
 
 
 class _Entries:
-    """(hash, document, place) triples gathered in a task, packed by shard."""
+    """(hash, its further bits, document, place) of windows gathered in a task, packed by shard."""
 
     def __init__(self):
         self.parts: list = []
         self.n = 0
 
-    def add(self, shard, hashes, docs, places) -> None:
-        self.parts.append((shard.astype(np.int32), hashes, docs, places.astype(np.int32)))
+    def add(self, shard, hashes, checks, docs, places) -> None:
+        self.parts.append((shard.astype(np.int32), hashes, checks, docs, places.astype(np.int32)))
         self.n += len(hashes)
 
     def packed(self, shards: int, blocks: int):
@@ -138,23 +143,24 @@ class _Entries:
         document that isn't the smallest with its hash in this task."""
         if not self.n:
             return []
-        shard, hashes, docs, places = (np.concatenate(x) for x in zip(*self.parts))
+        shard, hashes, checks, docs, places = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.n = [], 0
-        smallest = smallest_docs(hashes, docs)
-        later = docs > smallest
-        # an anchor that several documents have here is known to repeat: kind 2 tells the trees
-        rows = pack(0, shard[~later], hashes[~later], docs[~later], places[~later])
+        later = docs > smallest_docs(hashes, docs, checks)
+        rows = pack(0, shard[~later], hashes[~later], docs[~later], places[~later], checks[~later])
         if later.any():
-            rows += pack(1, block_of(docs[later], blocks), hashes[later], docs[later], places[later])
+            rows += pack(1, block_of(docs[later], blocks), None, docs[later], places[later])
         return rows
 
 
-def smallest_docs(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each entry the smallest document with its hash."""
+def smallest_docs(hashes: np.ndarray, docs: np.ndarray, checks: np.ndarray | None = None) -> np.ndarray:
+    """For each entry the smallest document with its hash, and with its further bits if they are given."""
     order = np.argsort(hashes, kind="stable")
     sorted_ = hashes[order]
     new = np.ones(len(order), bool)
     new[1:] = sorted_[1:] != sorted_[:-1]
+    if checks is not None and (~new[1:] & (checks[order[1:]] != checks[order[:-1]])).any():  # one hash, different windows
+        order = np.lexsort((checks, hashes))
+        new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (checks[order[1:]] != checks[order[:-1]])
     at = np.flatnonzero(new)
     low = np.minimum.reduceat(docs[order], at) if len(at) else docs[:0]
     out = np.empty(len(docs), np.int64)
@@ -170,11 +176,11 @@ def block_of(docs: np.ndarray, blocks: int) -> np.ndarray:
     return (mix(docs.astype(np.uint64)) % np.uint64(blocks)).astype(np.int32)
 
 
-def pack(kind: int, shard: np.ndarray, hashes: np.ndarray | None, docs: np.ndarray, places: np.ndarray | None) -> list[dict]:
+def pack(kind: int, shard: np.ndarray, hashes: np.ndarray | None, docs: np.ndarray, places: np.ndarray | None, checks: np.ndarray | None = None) -> list[dict]:
     """A row for each shard: its documents, entries of each, and the entries in the order of documents and places."""
     order = np.lexsort((docs, shard)) if places is None else np.lexsort((places, docs, shard))
     shard, docs = shard[order], docs[order]
-    hashes, places = (None if x is None else x[order] for x in (hashes, places))
+    hashes, places, checks = (None if x is None else x[order] for x in (hashes, places, checks))
     edges = np.append(np.flatnonzero(np.diff(shard, prepend=shard[:1] - 1)), len(shard))
     rows = []
     for a, b in zip(edges[:-1], edges[1:]):
@@ -184,6 +190,7 @@ def pack(kind: int, shard: np.ndarray, hashes: np.ndarray | None, docs: np.ndarr
         rows.append({
             "shard": int(shard[a]), "kind": kind, "docs": np.diff(own, prepend=np.int64(0)).tobytes(), "counts": counts.tobytes(),
             "places": _EMPTY if places is None else np.diff(places[a:b], prepend=np.int32(0)).astype(np.int32).tobytes(), "hashes": _EMPTY if hashes is None else hashes[a:b].tobytes(),
+            "checks": _EMPTY if checks is None else checks[a:b].tobytes(),
         })
     return rows
 
@@ -195,13 +202,13 @@ def unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         d = np.repeat(np.cumsum(np.frombuffer(r["docs"], np.int64)), np.frombuffer(r["counts"], np.int32))
         docs.append(d)
         places.append(np.cumsum(np.frombuffer(r["places"], np.int32), dtype=np.int64) if r["places"] else np.zeros(len(d), np.int64))
-        hashes.append(np.frombuffer(r["hashes"], r.get("_type", np.uint64)) if r["hashes"] else np.zeros(len(d), np.uint64))
+        hashes.append(np.frombuffer(r["hashes"], np.uint64) if r["hashes"] else np.zeros(len(d), np.uint64))
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(docs), np.concatenate(places), np.concatenate(hashes)
 
 
-_ARROW = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("hashes", pa.binary())])
+_ARROW = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("hashes", pa.binary()), ("checks", pa.binary())])
 
 
 def _batches(rows: list[dict]):
@@ -295,21 +302,20 @@ def _covered(docs: DataFrame, window: int, shards: Shards) -> DataFrame:
                 spot = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
                 keep = known[spot] == keys if len(known) else np.zeros(len(keys), bool)
                 if keep.any():
-                    held.add(shards(h)[keep], h.whole[keep], part.column("doc_id").to_numpy(zero_copy_only=False)[h.doc[keep]], h.place[keep])
+                    held.add(shards(h)[keep], h.whole[keep], h.checks(window)[keep], part.column("doc_id").to_numpy(zero_copy_only=False)[h.doc[keep]], h.place[keep])
                 if held.n >= TASK_WINDOWS:
                     yield from _batches(held.packed(shards.n, shards.n))
         yield from _batches(held.packed(shards.n, shards.n))
 
     def trees(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        d, p, h = unpack([r for r in rows if r["kind"] == 0])
+        entries = [r for r in rows if r["kind"] == 0]
+        d, p, h = unpack(entries)
         out = [r for r in rows if r["kind"] == 1]
         if len(d):
-            later = d > smallest_docs(h, d)
+            later = d > smallest_docs(h, d, np.concatenate([np.frombuffer(r["checks"], np.uint32) for r in entries]))
             if later.any():
                 out += pack(1, block_of(d[later], shards.n), None, d[later], p[later])
-        for r in out:
-            r["hashes"] = _EMPTY
         return pa.Table.from_pylist(out, schema=_ARROW)
 
     def collect(table: pa.Table) -> pa.Table:
@@ -333,6 +339,7 @@ def _keep(text: str | None, windows: bytes | None, size: int) -> tuple[str, int,
     gone = np.zeros(len(starts) + 1, np.int32)
     if windows:
         places = np.unique(np.frombuffer(windows, np.int32))
+        places = places[places + size <= len(starts)]  # of a longer row with the same id
         np.add.at(gone, places, 1)
         np.add.at(gone, places + size, -1)
         away = np.cumsum(gone[:-1]) > 0
@@ -356,7 +363,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     document with a smaller id; all windows are judged on the input.  kept: the other words joined
     by one space.  A null text has no words.  Rows that repeat an id count as one document as to
     what repeats; each gets the spans of all of them that lie within its words, so ids should be
-    unique.  Rows with a null id are kept whole.  Texts are compared by 64-bit hashes of their windows.
+    unique.  Rows with a null id are kept whole.  Windows are compared by 96 bits of hash of their words.
     """
     extra = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
