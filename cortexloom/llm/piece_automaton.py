@@ -10,22 +10,66 @@ from; there are finitely many.  A transition carries the change of the number of
 state entered carries the last piece.  Where no piece holds two neighbouring characters side by
 side, the state is the start state whatever came before.
 
-Long texts are cut into chunks.  A chunk's state map takes the state before it to the state after
-it and a count.  It is constant from the first such boundary in the chunk on; a prefix scan over
-the chunks composes the maps: chunks with a boundary give their end state at once, the others
-follow from their predecessors, then all heads run from the states found.
+Texts are read in blocks, and blocks are cut into chunks.  A chunk's state map takes the state
+before it to the state after it.  From the first boundary in the chunk on where nothing is carried
+over the map is constant.  The maps of chunks without one are tabulated over the states that occur
+between chunks (equal chunks share a map, and a run ends early where it meets the run from the start
+state), and a prefix scan composes them in as many rounds as the number of chunks has bits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
+from .transitions import CLASS_BITS, Transitions, keys_of
+
 SPACE = "▁"
 START = ("", (None,), (0,))
 STRIDE = 192
+#: Characters read at once; states, maps and backpointers are held for these only.
+BLOCK = 1 << 18
+#: States that a worker keeps; beyond them it forgets all and compiles anew what is needed.
+MOST_STATES = 1 << 18
+#: Pairs of a chunk and a state that maps are tabulated over; beyond them chunks follow one another.
+MOST_MAPPED = 1 << 16
+
+
+#: Values of the field model_type of a model file's trainer_spec: fixed by the format.
+KINDS = {1: "unigram", 2: "bpe", 3: "word", 4: "char"}
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(raw):
+        number, form = divmod(varint(), 8)
+        if form == 0:
+            yield number, varint()
+        else:
+            size = {1: 8, 5: 4}.get(form) or varint()
+            yield number, raw[at : at + size]
+            at += size
+
+
+def model_kind(raw: bytes) -> str:
+    """Type of a model file: field 3 of its field 2, unigram if it is not set."""
+    return KINDS[next((v for spec in (v for k, v in _fields(raw) if k == 2) for k, v in _fields(spec) if k == 3), 1)]
 
 
 def load_model(path: str) -> dict:
@@ -41,7 +85,10 @@ def load_model(path: str) -> dict:
         "scores": [sp.get_score(i) for i in range(len(pieces))],
         "bytes": {int(pieces[i][3:5], 16): i for i in range(len(pieces)) if sp.is_byte(i)},
         "unknown": sp.unk_id(),
+        "kind": model_kind(sp.serialized_model_proto()),
     }
+    if model["kind"] not in ("bpe", "unigram"):
+        raise ValueError(f"a {model['kind']} model is not supported")
     if len(model["bytes"]) != 256:
         raise ValueError("a model without byte fallback is not supported")
     if sp.encode("a  b ") == sp.encode("a b") or sp.encode("ﬁ") == sp.encode("fi"):
@@ -65,7 +112,9 @@ def _unpacked(raw: bytes) -> tuple:
 
 
 class PieceAutomaton:
-    def __init__(self, model: dict, most_cells: int = 1 << 25):
+    def __init__(self, model: dict, most_states: int = MOST_STATES, most_mapped: int = MOST_MAPPED):
+        if model.get("kind", "bpe") != "bpe":
+            raise ValueError("only byte-pair models can be compiled")
         self.model = model
         self.id = {model["pieces"][i]: i for i in model["normal"]}
         self.score = {p: model["scores"][i] for p, i in self.id.items()}
@@ -74,20 +123,21 @@ class PieceAutomaton:
         self.length = np.ones(len(model["pieces"]) + 5, np.int64)  # the last five: characters that become bytes
         for p, i in self.id.items():
             self.length[i] = len(p)
+        self.longest = int(self.length.max())
         self.byte_ids = np.array([model["bytes"][b] for b in range(256)], np.int32)
         self.pairs: dict[int, bool] = {}
-        self.most_cells = most_cells
+        self.most_states, self.most_mapped = most_states, most_mapped
         self.classes: list = [None, 0]  # class 0: not seen yet; 1: a cut between texts
         self.index: dict = {}
         self.class_of = np.zeros(0x110000, np.uint16)
-        self.width = 128
-        self.joins = np.zeros((0, 0), bool)
+        self.joins = np.zeros(0, np.int64)
+        self.joined = 0  # classes that joins knows
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.keys: list[bytes] = []
-        self.next = np.full((1024, self.width), -1, np.int32)
+        self.next = Transitions()
         self.delta = np.zeros(1024, np.int16)
         self.token = np.zeros(1024, np.int32)
         self.start = self._state((*START, 0, -1))
@@ -98,11 +148,9 @@ class PieceAutomaton:
         if s is None:
             s = self.known[raw] = len(self.keys)
             self.keys.append(raw)
-            if s >= len(self.next):
-                size = len(self.next) * 5 // 4
-                for table in (self.next, self.delta, self.token):  # in place: no second copy for a while
-                    table.resize((size, *table.shape[1:]), refcheck=False)
-                self.next[s:] = -1
+            if s >= len(self.delta):
+                for table in (self.delta, self.token):
+                    table.resize(len(table) * 3 // 2, refcheck=False)
             self.delta[s], self.token[s] = key[3], key[4]
         return s
 
@@ -169,27 +217,34 @@ class PieceAutomaton:
                     self.index[kind] = len(self.classes)
                     self.classes.append(kind)
                 self.class_of[p] = self.index[kind]
-            if len(self.classes) > self.width:
-                self.width = 2 * len(self.classes)
-                self._clear()
             got = self.class_of[points]
-        if len(self.joins) != len(self.classes):
-            of = {c: k for k, c in enumerate(self.classes) if isinstance(c, str)}
-            self.joins = np.zeros((len(self.classes), len(self.classes)), bool)
-            for a, b in self.neighbours:
-                if a in of and b in of:
-                    self.joins[of[a], of[b]] = True
         return got
 
-    def _fill(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    def carried(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Whether a piece has two neighbouring characters of these classes side by side."""
+        if self.joined != len(self.classes):
+            of = {c: k for k, c in enumerate(self.classes) if isinstance(c, str)}
+            pairs = ((of.get(p[0]), of.get(p[1])) for p in self.neighbours)
+            self.joins = np.unique(np.array([a << 16 | b for a, b in pairs if a and b], np.int64))
+            self.joined = len(self.classes)
+            n = self.joined
+            self.dense = np.zeros((n, n), bool) if n <= 2048 else None
+            if self.dense is not None:
+                self.dense[self.joins >> 16, self.joins & 0xFFFF] = True
+        if self.dense is not None:
+            return self.dense[before, after]
+        return np.isin(before.astype(np.int64) << 16 | after, self.joins)
+
+    def _next(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Next states, adding the transitions that are missing."""
-        flat = states.astype(np.int64) * self.width + codes
-        got = self.next.reshape(-1)[flat]
-        for f in np.unique(flat[got < 0]).tolist():
-            s, c = divmod(f, self.width)
-            to = self._state(self.step(_unpacked(self.keys[s]), self.classes[c]))
-            self.next[s, c] = to
-        return self.next.reshape(-1)[flat]
+        keys = keys_of(states, codes)
+        got = self.next.get(keys)
+        if len(got) and got.min() < 0:
+            new = np.unique(keys[got < 0])
+            to = [self._state(self.step(_unpacked(self.keys[k >> CLASS_BITS]), self.classes[k & ((1 << CLASS_BITS) - 1)])) for k in new.tolist()]
+            self.next.put(new, np.array(to, np.int32))
+            got = self.next.get(keys)
+        return got
 
     def _lockstep(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, states: np.ndarray, out: np.ndarray) -> None:
         """Run lanes begin..end side by side from the given states; out gets the state after each character."""
@@ -201,96 +256,215 @@ class PieceAutomaton:
             while live and lengths[live - 1] <= k:
                 live -= 1
             at = begin[:live] + k
-            c = codes[at]
-            got = self.next.reshape(-1)[states[:live].astype(np.int64) * self.width + c]
-            if got.min() < 0:
-                got = self._fill(states[:live], c)
-            states[:live] = got
-            out[at] = got
-
-    def run(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """States after each character of joined texts, and the positions where nothing is carried over."""
-        if len(self.keys) * self.width > self.most_cells:
-            self._clear()
+            states[:live] = out[at] = self._next(states[:live], codes[at])
+
+    def _exits(self, codes: np.ndarray, begin: np.ndarray, states: np.ndarray, trace: np.ndarray) -> np.ndarray:
+        """State after each whole chunk from the given state, given the states of its run from the start state in `trace`."""
+        out = trace[begin + STRIDE - 1].copy()
+        lane, states = np.arange(len(begin)), states.astype(np.int32)
+        for k in range(STRIDE):
+            states = self._next(states, codes[begin[lane] + k])
+            apart = states != trace[begin[lane] + k]
+            if k == STRIDE - 1:
+                out[lane[apart]] = states[apart]
+            lane, states = lane[apart], states[apart]
+            if not len(lane):
+                break
+        return out
+
+    def _compose(self, codes: np.ndarray, chunk: np.ndarray, free: np.ndarray, out: np.ndarray) -> np.ndarray | None:
+        """The state before each chunk of `free` (whole chunks whose maps are not constant), by a prefix scan of their maps;
+        out holds the runs of these chunks from the start state, and the right end of those that are not free.  None: too many states."""
+        _, first, content = np.unique(np.lib.stride_tricks.sliding_window_view(codes, STRIDE)[chunk[free]].copy().view(f"V{STRIDE * codes.itemsize}").ravel(), return_index=True, return_inverse=True)
+        content = content.ravel()
+        begin = chunk[free][first]
+        alone = np.diff(free, prepend=free[0] - 2) > 1  # the chunk before is not free: its end is known
+        places = [int(x) for x in np.unique(out[chunk[free[alone]] - 1])]
+        index, rows, done = {s: k for k, s in enumerate(places)}, [], 0
+        while done < len(places):
+            new = np.array(places[done:], np.int64)
+            if len(places) * len(begin) > self.most_mapped or len(places) * len(free) > 16 * self.most_mapped:
+                return None
+            got = self._exits(codes, np.repeat(begin, len(new)), np.tile(new, len(begin)), out).reshape(len(begin), len(new))
+            rows.append(got)
+            done = len(places)
+            for s in np.unique(got).tolist():
+                if s not in index:
+                    index[s] = len(places)
+                    places.append(s)
+        table = np.array(places)
+        order = np.argsort(table)
+        maps = order[np.searchsorted(table, np.concatenate(rows, axis=1), sorter=order)][content].astype(np.int32)  # chunk x state -> state
+        start = np.maximum.accumulate(np.where(alone, np.arange(len(free)), 0))
+        step = 1
+        while step < len(free):  # maps[i]: all chunks from the later of i - step + 1 and the start of the run to i
+            i = np.flatnonzero(np.arange(len(free)) - step >= start)
+            if not len(i):
+                break
+            maps[i] = np.take_along_axis(maps[i], maps[i - step], 1)
+            step *= 2
+        entry = np.array([index[int(s)] for s in out[chunk[free[start]] - 1].tolist()])
+        before = np.where(alone, entry, maps[np.maximum(np.arange(len(free)) - 1, 0), entry])
+        return table[before]
+
+    def run(self, codes: np.ndarray, last: int = 1, state: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States after each character, and the positions before which nothing is carried over.
+
+        last, state: class of the character before and the state after it (None: the start state)."""
         n = len(codes)
-        out = np.empty(n, np.int32)
+        out = np.empty(n + 1, np.int32)
+        out[-1] = self.start if state is None else state  # chunk 0 finds it at place -1
         if not n:
-            return out, np.zeros(0, np.int64)
-        sync = np.ones(n, bool)
-        sync[1:] = ~self.joins[codes[:-1], codes[1:]]
+            return out[:0], np.zeros(0, np.int64)
+        sync = ~self.carried(np.concatenate([[np.uint16(last)], codes[:-1]]), codes)
         bounds = np.flatnonzero(sync)
         chunk = np.arange(0, n, STRIDE)
         stop = np.minimum(chunk + STRIDE, n)
-        here = bounds[np.minimum(np.searchsorted(bounds, chunk), len(bounds) - 1)]
-        here = np.where((here >= chunk) & (here < stop), here, -1)
+        here = np.append(bounds, n)[np.searchsorted(bounds, chunk)]
+        here = np.where(here < stop, here, -1)
         tails = np.flatnonzero(here >= 0)
         self._lockstep(codes, here[tails], stop[tails], np.full(len(tails), self.start), out)
-        heads = np.flatnonzero((here != chunk))
-        ready = np.zeros(len(chunk), bool)
-        ready[tails] = True
-        while len(heads):  # one round, unless a run without a boundary is longer than a chunk
-            now = heads[ready[heads - 1]]
+        free = np.flatnonzero((here < 0) & (stop - chunk == STRIDE))
+        heads, ready = np.flatnonzero(here != chunk), here >= 0
+        if len(free) > 1:
+            self._lockstep(codes, chunk[free], stop[free], np.full(len(free), self.start), out)
+            before = self._compose(codes, chunk, free, out)
+            if before is not None:
+                self._lockstep(codes, chunk[free], stop[free], before, out)
+                ready[free] = True
+                heads = heads[~np.isin(heads, free)]
+        while len(heads):  # one round, unless chunks have to follow one another
+            now = heads[ready[heads - 1] | (heads == 0)]
             self._lockstep(codes, chunk[now], np.where(here[now] >= 0, here[now], stop[now]), out[chunk[now] - 1], out)
             ready[now] = True
             heads = heads[~np.isin(heads, now)]
-        return out, bounds
-
+        return out[:n], bounds
+
+
+def blocks(texts: list[str], size: int = BLOCK) -> Iterator[np.ndarray]:
+    """Code points of the texts one after the other, each with a place for a cut and, unless it is empty, a space before it."""
+    held, have = [], 0
+    for t in texts:
+        t = "\n " + t if t else "\n"
+        at = 0
+        while at < len(t):
+            part = t[at : at + size - have]
+            held.append(part)
+            at, have = at + len(part), have + len(part)
+            if have == size:
+                yield np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+                held, have = [], 0
+    if held:
+        yield np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def places(texts: list[str]) -> np.ndarray:
+    """Place of the cut before each text in the blocks taken together, and their length."""
+    return np.concatenate([[0], np.cumsum([len(t) + 2 if t else 1 for t in texts], dtype=np.int64)])
+
+
+def _runs(automaton: PieceAutomaton, texts: list[str], size: int) -> Iterator[tuple]:
+    """Of each block: its place, code points, states and boundaries."""
+    cuts, at, last, state = places(texts)[:-1], 0, 1, None
+    for points in blocks(texts, size):
+        if len(automaton.keys) > automaton.most_states:
+            raw = None if state is None else automaton.keys[state]
+            automaton._clear()
+            state = None if raw is None else automaton._state(_unpacked(raw))
+        codes = automaton.codes(points).copy()
+        codes[cuts[np.searchsorted(cuts, at) : np.searchsorted(cuts, at + len(points))] - at] = 1
+        states, bounds = automaton.run(codes, last, state)
+        last, state = int(codes[-1]), int(states[-1])
+        yield at, points, states, bounds
+        at += len(points)
+
+
+def count(automaton: PieceAutomaton, texts: list[str], size: int = BLOCK) -> np.ndarray:
+    """Number of pieces of each text."""
+    edges, out = places(texts), np.zeros(len(texts), np.int64)
+    for at, points, states, _ in _runs(automaton, texts, size):
+        sums = np.zeros(len(points) + 1, np.int64)
+        np.cumsum(automaton.delta[states], out=sums[1:])
+        lo, hi = np.searchsorted(edges, at, "right") - 1, np.searchsorted(edges, at + len(points))
+        out[lo:hi] += np.diff(sums[np.clip(edges[lo : hi + 1] - at, 0, len(points))])
+    return out
 
-def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the texts, each with a place for a cut and, unless it is empty, a space before it; their n+1 offsets."""
-    parts = ["\n " + t if t else "\n" for t in texts]
-    offsets = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    return np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32), offsets
 
+class PieceWindow:
+    """The streaming Viterbi pass over blocks of text, many lanes side by side.
 
-def _states(automaton: PieceAutomaton, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    points, offsets = joined(texts)
-    codes = automaton.codes(points).copy()
-    codes[offsets[:-1]] = 1
-    states, bounds = automaton.run(codes)
-    return points, offsets, states, bounds
+    Each position has one surviving backpointer, its last piece.  A later piece can begin at the last
+    `longest` positions only; where all their paths meet, the ids before are final: they are given
+    out, and only the backpointers behind that boundary stay in the window.
+    """
 
+    def __init__(self, automaton: PieceAutomaton):
+        self.automaton = automaton
+        self.tokens, self.points, self.bounds, self.at = np.zeros(0, np.int32), np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
+
+    def feed(self, tokens: np.ndarray, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Add the last pieces of the next positions; the ids that became final, and the place that each one's piece ends in front of."""
+        self.bounds = np.concatenate([self.bounds, bounds + len(self.tokens)])
+        self.tokens, self.points = np.concatenate([self.tokens, tokens]), np.concatenate([self.points, points])
+        return self._commit(self._meeting())
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._commit(len(self.tokens))
+
+    def _meeting(self) -> int:
+        """The last boundary that the paths from all live positions have in common."""
+        n, length = len(self.tokens), self.automaton.length
+        live = set(range(max(0, n - self.automaton.longest + 1), n + 1))
+        while len(live) > 1:
+            last = max(live)
+            live.remove(last)
+            live.add(last - int(length[self.tokens[last - 1]]))
+        return live.pop()
+
+    def _commit(self, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Follow the backpointers from all boundaries up to `end` at once."""
+        automaton = self.automaton
+        inside = self.bounds[: np.searchsorted(self.bounds, end)]
+        begin = inside if len(inside) and inside[0] == 0 else np.concatenate([[0], inside])
+        at = np.append(begin[1:], end) - 1
+        begin, at = begin[at >= begin], at[at >= begin]
+        ends = np.zeros(end, bool)
+        while len(at):
+            ends[at] = True
+            at = at - automaton.length[self.tokens[at]]
+            more = at >= begin
+            at, begin = at[more], begin[more]
+        place = np.flatnonzero(ends)
+        ids = self.tokens[place]
+        extra = ids - len(automaton.model["pieces"])  # number of bytes of a character that no piece has; 0: a cut
+        place, ids, extra = place[extra != 0], ids[extra != 0], extra[extra != 0]
+        repeat = np.maximum(extra, 1)
+        where = np.cumsum(repeat) - repeat
+        out = np.repeat(ids, repeat)
+        for k in range(1, 5):
+            those = np.flatnonzero(extra == k)
+            if len(those):
+                raw = np.array(self.points[place[those]]).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+                out[where[those][:, None] + np.arange(k)] = automaton.byte_ids[np.frombuffer(raw, np.uint8).reshape(-1, k)]
+        got = out, np.repeat(place, repeat) + self.at
+        self.tokens, self.points, self.bounds, self.at = self.tokens[end:].copy(), self.points[end:].copy(), self.bounds[self.bounds >= end] - end, self.at + end
+        return got
 
-def count(automaton: PieceAutomaton, texts: list[str]) -> np.ndarray:
-    """Number of pieces of each text."""
-    points, offsets, states, _ = _states(automaton, texts)
-    sums = np.zeros(len(points) + 1, np.int64)
-    np.cumsum(automaton.delta[states], out=sums[1:])
-    return sums[offsets[1:]] - sums[offsets[:-1]]
 
+def encode(automaton: PieceAutomaton, texts: list[str], size: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts joined, and their n+1 offsets."""
+    edges, window, ids, counts = places(texts), PieceWindow(automaton), [], np.zeros(len(texts), np.int64)
 
-def encode(automaton: PieceAutomaton, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts joined, and their n+1 offsets.
+    def keep(got: tuple) -> None:
+        ids.append(got[0])
+        lo = np.searchsorted(edges, got[1][:1], "right")[0] - 1 if len(got[1]) else 0
+        n = np.bincount(np.searchsorted(edges, got[1], "right") - 1 - lo)
+        counts[lo : lo + len(n)] += n
 
-    Each position has one surviving backpointer, its last piece.  Wherever nothing is carried over,
-    all later paths go through that boundary and the ids before it are final; the backpointers are
-    followed from all these boundaries at once.
-    """
-    points, offsets, states, bounds = _states(automaton, texts)
-    n = len(points)
-    token = automaton.token[states]
-    begin, at = bounds, np.append(bounds[1:], n) - 1
-    ends = np.zeros(n, bool)
-    while len(at):
-        ends[at] = True
-        at = at - automaton.length[token[at]]
-        more = at >= begin
-        at, begin = at[more], begin[more]
-    ends[offsets[:-1]] = False
-    place = np.flatnonzero(ends)
-    ids = token[place]
-    extra = ids - len(automaton.model["pieces"])  # number of bytes of a character that no piece has
-    repeat = np.maximum(extra, 1)
-    where = np.zeros(len(place) + 1, np.int64)
-    np.cumsum(repeat, out=where[1:])
-    out = np.repeat(ids, repeat)
-    for k in range(1, 5):
-        those = np.flatnonzero(extra == k)
-        if len(those):
-            raw = np.array(points[place[those]]).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
-            out[where[those][:, None] + np.arange(k)] = automaton.byte_ids[np.frombuffer(raw, np.uint8).reshape(-1, k)]
-    return out, where[np.searchsorted(place, offsets)]
+    for _, points, states, bounds in _runs(automaton, texts, size):
+        keep(window.feed(automaton.token[states], points, bounds))
+    keep(window.close())
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum(counts)])
 
 
 class PieceBytes:

@@ -5,8 +5,10 @@ positions, at most the longest piece back, can still matter; whenever all of the
 boundary, the ids before it are final and leave the window.  For a byte-pair model a path is worth
 something only if all its neighbouring pieces are admissible pairs (see piece_automaton), so each
 position keeps one backpointer and the best path is the model's own encoding; for a unigram model
-the edges carry the piece scores.  `encode_pieces` runs the byte-pair case compiled, many windows
-side by side; `StreamingViterbi` is the plain form for either model.
+the edges carry the piece scores.  For byte-pair models the pass is compiled (`PieceWindow`): a
+block of text gives the backpointers of its positions, many lanes at once, and the ids up to the
+boundary where the live paths meet leave the window.  `StreamingViterbi` takes single characters,
+for either type of model; unigram models are encoded by it.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ from pyspark.sql import functions as F
 from .common import mapped, slices, text_buffer
 from .piece_automaton import SPACE, PieceAutomaton, PieceBytes, automaton_for, encode, load_model
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 class StreamingViterbi:
     """Feeds characters one at a time; `feed` and `close` return the ids that have become final."""
 
-    def __init__(self, model: dict, kind: str = "bpe"):
+    def __init__(self, model: dict, kind: str | None = None):
+        kind = kind or model["kind"]
         self.model, self.kind = model, kind
         self.ids = {model["pieces"][i]: i for i in model["normal"]}
         self.longest = max(map(len, self.ids))
@@ -89,6 +92,15 @@ class StreamingViterbi:
         return out + self.close()
 
 
+def encode_texts(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts joined, and their n+1 offsets, by the pass for the model's type."""
+    if model["kind"] == "bpe":
+        return encode(automaton_for(model), texts)
+    viterbi = StreamingViterbi(model)
+    got = [viterbi.encode(t) for t in texts]
+    return np.array([i for ids in got for i in ids], np.int32), np.concatenate([[0], np.cumsum([len(ids) for ids in got], dtype=np.int64)])
+
+
 def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (array of int), one row for each row of docs.
 
@@ -108,11 +120,11 @@ def _encode(docs: DataFrame, model_path: str, id_col: str, text_col: str, check:
     names = ["doc_id", "n_tokens", "ids"] + ["round_trip"] * check + list(carry)
 
     def run(batches):
-        automaton, pieces = automaton_for(model.value), PieceBytes(model.value)
+        pieces = PieceBytes(model.value)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 texts = pc.fill_null(part.column("text"), "")
-                ids, offsets = encode(automaton, texts.to_pylist())
+                ids, offsets = encode_texts(model.value, texts.to_pylist())
                 columns = [part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))]
                 if check:
                     columns.append(pa.array(_same(pieces, ids, offsets, texts)))

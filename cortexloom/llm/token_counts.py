@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from .common import ids_and_texts, mapped, slices
 from .piece_automaton import automaton_for, count, load_model
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

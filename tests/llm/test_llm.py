@@ -53,8 +53,8 @@ def test_piece_automaton_gives_the_librarys_ids(sp):
     want = sp.encode(texts)
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
     assert piece_automaton.count(automaton, texts).tolist() == [len(w) for w in want]
-    small = piece_automaton.PieceAutomaton(model, most_cells=1000)  # forgets its states at every batch
-    assert [piece_automaton.count(small, texts[i : i + 50]).tolist() for i in range(0, 100, 50)] == [[len(w) for w in want[i : i + 50]] for i in range(0, 100, 50)]
+    small = piece_automaton.PieceAutomaton(model, most_states=1000)  # forgets its states at every block
+    assert [piece_automaton.count(small, texts[i : i + 50], 700).tolist() for i in range(0, 100, 50)] == [[len(w) for w in want[i : i + 50]] for i in range(0, 100, 50)]
     data, places = piece_automaton.PieceBytes(model).decode(ids, at)
     assert [data[a:b].tobytes().decode() for a, b in zip(places[:-1], places[1:])] == [t.replace("▁", " ") for t in texts]
 
