@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ids_and_texts, mapped, slices
+from .transitions import Transitions, keys_of
 
 #: Training text for a language: it ends with the text that reaches so many characters; of a longer text, MAX_TEXT from its first letter on.
 TRAIN_CHARS, MAX_TEXT = 60_000, 20_000
@@ -27,6 +28,9 @@ TRAIN_CHARS, MAX_TEXT = 60_000, 20_000
 TRAIN_ROWS = 120
 LETTER, GAP = 1, 0
 STRIDE = 512
+SLICE_BYTES = 512 << 10
+#: Cells of a language's table (states x letters) above which its transitions are hashed.
+DENSE_CELLS = 1 << 23
 UNDETERMINED = "und"
 
 
@@ -64,25 +68,12 @@ def suffix_automaton(text: str) -> list[dict]:
     return to
 
 
-class Languages:
-    """Transducers of all languages over common character classes."""
+class DenseTable:
+    """Next state and phrases ended by state and class; a state is the offset of its row."""
 
-    def __init__(self, samples: dict[str, str]):
-        self.names = sorted(k for k in samples if samples[k])
-        folded = {k: fold(samples[k])[:TRAIN_CHARS] for k in self.names}
-        self.names = [k for k in self.names if folded[k]]
-        self.alphabet = sorted({c for k in self.names for c in folded[k]} - {" "})
-        code = {c: i + 2 for i, c in enumerate(self.alphabet)} | {" ": GAP}
-        self.weights = [np.log2(max(2, len(folded[k]))) for k in self.names]
-        self.tables = [self._compile(folded[k], code, len(self.alphabet) + 2) for k in self.names]
-
-    @staticmethod
-    def _compile(text: str, code: dict, width: int) -> np.ndarray:
-        """(start of the next state's row) * 4 + phrases ended, at row + class.  A letter that the
-        language's text lacks ends the phrase before it and is one itself."""
-        states = suffix_automaton(text)
+    def __init__(self, states: list[dict], code: dict, width: int):
         table = np.empty((len(states), width), np.int32)
-        again = np.full(width, 2, np.int32)
+        again = np.full(width, 2, np.int32)  # a letter that the language's text lacks ends the phrase before it and is one itself
         for c, s in states[0].items():
             again[code[c]] = 4 * width * s + 1
         table[:] = again
@@ -90,12 +81,64 @@ class Languages:
         for i, row in enumerate(states):
             for c, s in row.items():
                 table[i, code[c]] = 4 * width * s
-        return table.reshape(-1)
+        self.table = table.reshape(-1)
+
+    def step(self, states: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """4 * next state + phrases ended."""
+        return self.table[states + classes]
+
+
+class HashedTable:
+    """The same for a large alphabet: only the transitions that there are."""
+
+    def __init__(self, states: list[dict], code: dict, width: int):
+        rows = [(i, code[c], s) for i, row in enumerate(states) for c, s in row.items()]
+        i, c, s = (np.array(x, np.int64) for x in zip(*rows))
+        self.next = Transitions()
+        self.next.put(keys_of(i, c), (4 * s).astype(np.int32))
+        self.again = np.full(width, 2, np.int32)
+        root = i == 0
+        self.again[c[root]] = 4 * s[root] + 1
+
+    def step(self, states: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        got = self.next.get(keys_of(states, classes))
+        none = np.flatnonzero(got < 0)
+        got[none] = np.where(states[none] == 0, 1, self.again[classes[none]])
+        return got
+
+
+class Languages:
+    """Transducers of all languages, each over the classes of its own letters."""
+
+    def __init__(self, samples: dict[str, str], dense_cells: int = DENSE_CELLS):
+        self.names = sorted(k for k in samples if samples[k])
+        folded = {k: fold(samples[k])[:TRAIN_CHARS] for k in self.names}
+        self.names = [k for k in self.names if folded[k]]
+        self.alphabet = sorted({c for k in self.names for c in folded[k]} - {" "})
+        self.weights = [np.log2(max(2, len(folded[k]))) for k in self.names]
+        self.tables, self.own = [], []
+        for k in self.names:
+            letters = sorted(set(folded[k]) - {" "})
+            states, width = suffix_automaton(folded[k]), len(letters) + 2
+            kind = DenseTable if len(states) * width <= dense_cells else HashedTable
+            self.tables.append(kind(states, {c: i + 2 for i, c in enumerate(letters)} | {" ": GAP}, width))
+            place = {c: i + 2 for i, c in enumerate(letters)}
+            self.own.append(np.array([GAP, LETTER, *(place.get(c, LETTER) for c in self.alphabet)], np.int32))  # class of each common class
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_parser"}
+
+    def parser(self) -> "Parser":
+        """One for each worker."""
+        if not hasattr(self, "_parser"):
+            self._parser = Parser(self)
+        return self._parser
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
         """Class of each code point after lower-casing, and which are letters."""
         letters = np.zeros(0x110000, bool)
-        table = np.zeros(0x110000, np.uint8 if len(self.alphabet) < 250 else np.uint16)
+        n = len(self.alphabet) + 2
+        table = np.zeros(0x110000, np.uint8 if n < 1 << 8 else np.uint16 if n < 1 << 16 else np.uint32)
         code = {c: i + 2 for i, c in enumerate(self.alphabet)}
         for p in range(0x110000):
             kind = unicodedata.category(chr(p))
@@ -127,17 +170,18 @@ class Parser:
         place[order] = np.arange(len(order))  # the column of each lane
         longest = length[order]
         live = np.searchsorted(-longest, -np.arange(1, STRIDE + 1), "right")
-        grid = codes[np.minimum(begin[order][None, :] + np.arange(STRIDE)[:, None], len(codes) - 1)].astype(np.int32)
+        common = codes[np.minimum(begin[order][None, :] + np.arange(STRIDE)[:, None], len(codes) - 1)]
         trace = np.zeros((STRIDE, len(order)), np.int32)
         ends_text = np.append(first[1:], True)
         for k, table in enumerate(self.languages.tables):
+            grid = self.languages.own[k][common]
             counts = np.zeros(len(order), np.int32)
             state = np.zeros(len(order), np.int32)
             for j in range(STRIDE):
                 n = live[j]
                 if not n:
                     break
-                got = table[state[:n] + grid[j, :n]]
+                got = table.step(state[:n], grid[j, :n])
                 counts[:n] += got & 3
                 state[:n] = trace[j, :n] = got >> 2
             last = state[place]
@@ -157,7 +201,7 @@ class Parser:
             lane, column, state, before, j = now, place[now], last[now - 1], np.zeros(len(now), np.int32), 0
             while len(lane):
                 c = grid[j, column]
-                got, old = table[state + c], table[before + c]
+                got, old = table.step(state, c), table.step(before, c)
                 counts[lane] += (got & 3) - (old & 3)
                 state, before = got >> 2, trace[j, column]
                 j += 1
@@ -199,16 +243,18 @@ class Parser:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """Learn each lang of the rows of docs whose text has a letter: a sample bounded for each language by
-    TRAIN_ROWS expected rows and TRAIN_CHARS, chosen by a hash of the id.  A text longer than MAX_TEXT
-    gives an excerpt of that length."""
+    TRAIN_ROWS expected rows and TRAIN_CHARS, chosen by a hash of id and text.  Rows that repeat both count
+    once.  A text longer than MAX_TEXT gives an excerpt of that length."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    have = {r["lang"]: r["n"] for r in rows.select("lang").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("_h", F.xxhash64("doc_id", "text"))
+    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("_h").alias("n")).collect()}  # a row for each language
     if not have:
         return Languages({})
     space = 1 << 40
-    limit = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(have.items()) for x in (k, max(1, min(space, space * TRAIN_ROWS // n)))]), F.col("lang"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(have.items()) for x in (k, max(1, min(space, space * TRAIN_ROWS // max(1, n))))]), F.col("lang"))
     excerpt = F.when(F.length("text") <= MAX_TEXT, F.col("text")).otherwise(F.substring(F.regexp_replace("text", r"^\P{L}++", ""), 1, MAX_TEXT))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < limit).withColumn("text", excerpt).withColumn("_h", F.xxhash64("doc_id")).toArrow()
+    # rows that repeat an id and a text are one, so that their number bounds nothing but the work of this aggregation
+    picked = rows.where(F.pmod("_h", F.lit(space)) < limit).withColumn("text", excerpt).distinct().toArrow()
     samples: dict[str, list[str]] = {}
     for r in sorted(picked.to_pylist(), key=lambda r: (r["_h"], r["doc_id"] or 0, r["text"])):
         got = samples.setdefault(r["lang"], [])
@@ -228,9 +274,9 @@ def identify(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text
     sent = docs.sparkSession.sparkContext.broadcast(languages)
 
     def run(batches):
-        parser = Parser(sent.value)
+        parser = sent.value.parser()
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", SLICE_BYTES):
                 names, score = parser.predict(pc.fill_null(part.column("text"), "").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -245,9 +291,9 @@ def keep_languages(docs: DataFrame, languages: Languages, rejected: tuple = (UND
     sent = docs.sparkSession.sparkContext.broadcast(languages)
 
     def run(batches):
-        parser = Parser(sent.value)
+        parser = sent.value.parser()
         for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
+            for part in slices(batch, text_col, SLICE_BYTES):
                 texts = pc.fill_null(part.column(text_col), "").to_pylist()
                 names, _ = parser.predict(texts)
                 if not parser.languages.names:
