@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import hashlib
@@ -21,20 +22,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; set to a temporary one only where it is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir.  Where it is unset and everything runs
+    in this process (tests), a temporary one; on a cluster it has to be set."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="cortexloom-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder; what is written there goes when this program ends."""
+    path = f"{shared_dir(spark)}/cortexloom-{kind}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(_remove_scratch)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def _remove_scratch() -> None:
+    for spark, path in _SCRATCH:
+        context = spark.sparkContext
+        if context._jsc is None or context._jsc.sc().isStopped():
+            return  # nothing is left that could remove them
+        there = context._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(context._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cortexloom-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

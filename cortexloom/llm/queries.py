@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, language, mixing, near_duplicates, pieces, quality, repeats, token_counts, top_k, warc
-from .common import crc_mod, shared_dir, table
+from .common import crc_mod, scratch, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -61,9 +61,8 @@ def op9_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    """The archive is written when this is called, to a folder of its own that goes when the program ends; the result reads it."""
+    path = scratch(spark, "warc")
     warc.write_pages(table(spark, sf_dir, "pages"), path)
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     responses = warc.read_archive(spark, path).where("record_type = 'response'").select(*columns, F.length("payload").cast("long").alias("_read"))

@@ -1,11 +1,13 @@
 """WARC archives as a PySpark Python data source, format name "warc".
 
-Writing: each task writes members compressed record by record to a file of its own; commit writes a
-manifest that names the files of the tasks that succeeded, and only those are read, so a task that
-is run again leaves no double records.  Reading: one partition for each range of members of a file;
-filters on the record type and on headers are taken over from Spark; the headers of a record are
-parsed first, and its payload is decoded only if the filters let the record pass and payloads are
-asked for, else its bytes are skipped.
+Writing: each task writes members compressed record by record to a file of its own, and the length
+of each member to an index beside it; commit writes a manifest that names the files of the tasks
+that succeeded, and only those are read, so a task that is run again leaves no double records.
+Reading: one partition for each range of members of a file; filters on the record type and on
+headers are taken over from Spark; the headers of a record are parsed first, and its payload is
+decoded only if the filters let the record pass and payloads are asked for.  Else the reader goes
+to the next member by the index: what is left of the payload is neither inflated nor, if it is
+longer than a read, fetched.
 
 Columns written: page_id, url, payload (binary), record_type, payload_digest, refers_to.
 """
@@ -17,9 +19,11 @@ import hashlib
 import json
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
-from urllib.parse import urlparse
+from urllib.parse import quote, urlparse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +34,14 @@ DATE = "1970-01-01T00:00:00Z"  # a fixed date: equal tables give equal archives
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, record_bytes long, payload binary"
 MANIFEST = "manifest.json"
+#: Ending of the index of a file: the compressed length of each member, 32-bit little-endian, 0 for one beyond that range (found by inflating it).
+INDEX = ".lengths"
+#: Characters of a url that stay as they are in WARC-Target-URI; others are percent-encoded, and X-Page-URL has the url as a JSON string.
+_PLAIN = "".join(chr(c) for c in range(0x21, 0x7F))
 #: Compressed bytes of a file after which a new member range begins; a partition of the reader.
 RANGE_BYTES = 32 << 20
-_READ = 1 << 20
+#: Bytes fetched at once, and decoded at once while headers are looked for.
+_READ, _STEP = 1 << 20, 1024
 BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 
 
@@ -50,13 +59,20 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def record(page_id: int, url: str | None, payload: bytes, kind: str, payload_digest: str, refers_to: int | None) -> bytes:
+def _urn(page_id: int | None) -> str:
+    return "<urn:page:>" if page_id is None else f"<urn:page:{page_id}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, kind: str, payload_digest: str, refers_to: int | None) -> bytes:
     """One record; a revisit has no payload of its own."""
     body = payload if kind != "revisit" else b""
-    clean = "".join(c for c in url or "" if c >= " ")
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", DATE), ("WARC-Target-URI", clean), ("WARC-Payload-Digest", f"sha1:{payload_digest}"), ("X-Payload-Length", str(len(payload)))]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", _urn(page_id)), ("WARC-Date", DATE)]
+    if url is not None:
+        clean = quote(url, safe=_PLAIN)
+        head += [("WARC-Target-URI", clean)] + [("X-Page-URL", json.dumps(url))] * (clean != url)
+    head += [("WARC-Payload-Digest", f"sha1:{payload_digest}"), ("X-Payload-Length", str(len(payload)))]
     if kind == "revisit":
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn(refers_to))]
     head += [("Content-Type", "text/html"), ("Content-Length", str(len(body)))]
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + body + b"\r\n\r\n"
 
@@ -73,7 +89,7 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator) -> Written:
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        name, starts, size, records, out = f"part-{uuid.uuid4().hex}.warc.gz", [0], 0, 0, None
+        name, starts, firsts, size, lengths, out = f"part-{uuid.uuid4().hex}.warc.gz", [0], [0], 0, array("I"), None
         for batch in iterator:
             for row in batch.to_pylist():
                 out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
@@ -81,12 +97,16 @@ class WarcWriter(DataSourceArrowWriter):
                 raw = deflate.compress(record(row["page_id"], row["url"], row["payload"] or b"", row["record_type"], row["payload_digest"], row["refers_to"])) + deflate.flush()
                 if size - starts[-1] >= RANGE_BYTES:
                     starts.append(size)
+                    firsts.append(len(lengths))
                 out.write(raw)
-                size, records = size + len(raw), records + 1
+                size += len(raw)
+                lengths.append(len(raw) if len(raw) < 1 << 32 else 0)
         if out is None:
             return Written([])
         out.close()
-        return Written([{"name": name, "starts": starts, "size": size, "records": records}])
+        with fs.open_output_stream(f"{root}/{name}{INDEX}", compression=None) as index:
+            index.write(np.array(lengths, "<u4").tobytes())
+        return Written([{"name": name, "starts": starts, "firsts": firsts, "size": size, "records": len(lengths)}])
 
     def commit(self, messages) -> None:
         fs, root = filesystem(self.path)
@@ -98,48 +118,63 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = filesystem(self.path)
         for f in (f for m in messages if m for f in m.files):
             fs.delete_file(f"{root}/{f['name']}")
+            fs.delete_file(f"{root}/{f['name']}{INDEX}")
 
 
 class Members(InputPartition):
-    def __init__(self, name: str, start: int, end: int):
-        self.name, self.start, self.end = name, start, end
+    """Bytes start..end of a file: the members first..last of its index."""
+
+    def __init__(self, name: str, start: int, end: int, first: int, last: int):
+        self.name, self.start, self.end, self.first, self.last = name, start, end, first, last
 
 
 class _Stream:
-    """The decompressed bytes of one member after the other, read in blocks; what is skipped is not kept."""
+    """The decompressed bytes of one member after the other, read in blocks; what is skipped is not inflated."""
 
-    def __init__(self, raw, left: int):
-        self.raw, self.left, self.buffer, self.rest, self.member = raw, left, b"", b"", None
+    def __init__(self, raw, start: int, end: int, lengths: np.ndarray):
+        self.raw, self.end, self.lengths, self.at = raw, end, lengths, 0
+        self.base, self.block, self.pos = start, b"", 0  # place of the block in the file, the block, what of it is used
+        self.buffer, self.member, self.next = b"", None, None
+        self.inflated = 0  # compressed bytes that were decoded
+        raw.seek(start)
 
     def begin(self) -> bool:
         """Go to the next member."""
-        while self.member is not None and not self.member.eof:
-            self.buffer = b""
-            self._more()
+        if self.member is not None and self.next is None:  # its length is not known: inflate to its end
+            while self._more(_READ):
+                self.buffer = b""
+        elif self.member is not None and self.base <= self.next <= self.base + len(self.block):
+            self.pos = self.next - self.base
+        elif self.member is not None:
+            self.raw.seek(self.next)
+            self.base, self.block, self.pos = self.next, b"", 0
         self.buffer = b""
-        if self.member is not None:
-            self.rest = self.member.unused_data
-        self.member = zlib.decompressobj(31)
-        if not self.rest and not self._pull():
+        if self.at >= len(self.lengths):
             return False
+        length = int(self.lengths[self.at])
+        self.next = self.base + self.pos + length if length else None
+        self.at += 1
+        self.member = zlib.decompressobj(31)
         return True
 
-    def _pull(self) -> bool:
-        got = self.raw.read(min(_READ, self.left)) if self.left > 0 else b""
-        self.left -= len(got)
-        self.rest += got
-        return bool(got)
-
-    def _more(self) -> bool:
-        if self.member.eof or not self.rest and not self._pull():
+    def _more(self, step: int) -> bool:
+        """Decode at most `step` compressed bytes of the member."""
+        if self.member.eof:
+            return False
+        if self.pos == len(self.block):
+            self.base, self.pos = self.base + len(self.block), 0
+            self.block = self.raw.read(min(_READ, self.end - self.base)) if self.base < self.end else b""
+        data = self.block[self.pos : self.pos + step]
+        if not data:
             return False
-        data, self.rest = self.rest, b""
         self.buffer += self.member.decompress(data)
+        used = len(data) - len(self.member.unused_data)
+        self.pos, self.inflated = self.pos + used, self.inflated + used
         return True
 
     def until(self, mark: bytes) -> bytes:
         while (at := self.buffer.find(mark)) < 0:
-            if not self._more():
+            if not self._more(_STEP):
                 raise ValueError("a record without end of headers")
         got, self.buffer = self.buffer[:at], self.buffer[at + len(mark) :]
         return got
@@ -148,7 +183,7 @@ class _Stream:
         parts, have = [self.buffer], len(self.buffer)
         while have < n:
             self.buffer = b""
-            if not self._more():
+            if not self._more(_READ >> 4):
                 raise ValueError("a record that ends early")
             parts.append(self.buffer)
             have += len(self.buffer)
@@ -165,12 +200,14 @@ def parse_headers(raw: bytes) -> dict[str, str]:
 
 
 def page_of(urn: str | None) -> int | None:
-    return int(urn.removeprefix("<urn:page:").removesuffix(">")) if urn and urn.startswith("<urn:page:") else None
+    """The page_id in a record's name; None for other names and for a record of a row without page_id."""
+    number = urn.removeprefix("<urn:page:").removesuffix(">") if urn and urn.startswith("<urn:page:") else ""
+    return int(number) if number else None
 
 
 def fields(head: dict[str, str]) -> dict:
     return {
-        "page_id": page_of(head.get("warc-record-id")), "url": head.get("warc-target-uri"), "record_type": head.get("warc-type"),
+        "page_id": page_of(head.get("warc-record-id")), "url": json.loads(head["x-page-url"]) if "x-page-url" in head else head.get("warc-target-uri"), "record_type": head.get("warc-type"),
         "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload_bytes": int(head.get("x-payload-length", head.get("content-length", "0"))),
         "refers_to": page_of(head.get("warc-refers-to")), "record_bytes": int(head.get("content-length", "0")),
     }
@@ -198,16 +235,19 @@ class WarcReader(DataSourceReader):
         fs, root = filesystem(self.path)
         with fs.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
             files = json.loads(f.read())["files"]
-        return [Members(f["name"], a, b) for f in files for a, b in zip(f["starts"], [*f["starts"][1:], f["size"]])] or [Members("", 0, 0)]
+        ranges = lambda f: zip(f["starts"], [*f["starts"][1:], f["size"]], f["firsts"], [*f["firsts"][1:], f["records"]])
+        return [Members(f["name"], *r) for f in files for r in ranges(f)] or [Members("", 0, 0, 0, 0)]
 
     def read(self, part: Members):
         if not part.name:
             return
         fs, root = filesystem(self.path)
         rows, held = [], 0
+        with fs.open_input_file(f"{root}/{part.name}{INDEX}") as index:
+            index.seek(4 * part.first)
+            lengths = np.frombuffer(index.read(4 * (part.last - part.first)), "<u4")
         with fs.open_input_file(f"{root}/{part.name}") as raw:
-            raw.seek(part.start)
-            stream = _Stream(raw, part.end - part.start)
+            stream = _Stream(raw, part.start, part.end, lengths)
             while stream.begin():
                 row = fields(parse_headers(stream.until(b"\r\n\r\n")))
                 if not self.passes(row):
@@ -259,7 +299,9 @@ def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
     The payload is the html in UTF-8, null as empty.  Of the rows with equal payloads of at least
     `least` bytes the one with the largest page_id is a response, the others are revisits that refer
     to it; rows with smaller payloads are all responses.  If rows repeat a page_id, all with the
-    largest one are responses.  An empty table gives an archive without records.
+    largest one are responses.  A row without page_id is a response that no revisit refers to.  A url
+    comes back as it was, null as null.  An empty table gives an archive without records.  Rows of one
+    payload, however many, meet their group's one row in a join that adaptive execution splits.
     """
     register(pages.sparkSession)
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
