@@ -32,8 +32,10 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 5  # a pair at the threshold is missed with probability (1 - 0.8**5)**30 = 7e-6
 SKETCH_LONGS = 3
 SLICE_BYTES = 1 << 20
-#: Nodes in a tile of a bucket that holds several classes.
-TILE = 256
+#: Nodes, and runs of words, in a tile of a bucket that holds several classes: on average, one node at least.
+TILE, TILE_WEIGHT = 256, 200_000
+#: Parts that the rows of one text are dealt to, however many they are.
+SALTS = 256
 _UNIT, _DART, _PLACE, _TIME = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 
 
@@ -178,7 +180,7 @@ def _mixed_links(placed: DataFrame, sizes: DataFrame, known: DataFrame, texts: D
     of nodes of different classes exactly, by products of its incidence matrices, and returns a
     spanning forest of the links it finds, so that no list of all pairs exists anywhere.
     """
-    mixed = placed.join(sizes, F.col("key") == F.col("_key")).select("key", "id", "class", "hub_class", F.ceil(F.col("_rest") / TILE).alias("_l"), F.ceil(F.col("_all") / TILE).alias("_r"))
+    mixed = placed.join(sizes, F.col("key") == F.col("_key")).select("key", "id", "class", "hub_class", "_l", "_r")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = mixed.where("class <> hub_class").select("key", "id", "class", own("_l").alias("l"), every("_r").alias("r"), F.lit(0).alias("side"))
@@ -279,15 +281,27 @@ def _intersections(elements: np.ndarray, at: np.ndarray, one: np.ndarray, two: n
     return out
 
 
+def _nodes(signed: DataFrame) -> DataFrame:
+    """doc_id, node (the smallest id with the same words) of all rows.
+
+    Rows of one text are counted in SALTS parts, the parts meet, and the rows go to their part's
+    result, so that no task gets all rows of a text that very many documents share."""
+    rows = signed.select("doc_id", "h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("_salt"))
+    parts = rows.groupBy("h1", "h2", "_salt").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_last"))
+    several = parts.groupBy("h1", "h2").agg(F.min("_least").alias("_node"), F.max("_last").alias("_end")).where("_node < _end").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "_node")
+    known = parts.join(several, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).select("_h1", "_h2", F.col("_salt").alias("_part"), "_node")
+    mine = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("_salt") == F.col("_part"))
+    return rows.join(known, mine, "left").select("doc_id", F.coalesce("_node", "doc_id").alias("node"))
+
+
 def links_and_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(member, root) of nodes in classes of several nodes, and (doc_id, node) of all texts with words."""
     signed = materialize(sign(docs, bands, rows, size))
-    nodes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    membership = materialize(signed.select("doc_id", "h1", "h2").join(nodes, ["h1", "h2"]).select("doc_id", "node"))
+    membership = materialize(_nodes(signed))
     own = membership.where("doc_id = node").select(F.col("node").alias("_node")).distinct()
-    entries = signed.join(own, F.col("doc_id") == F.col("_node"), "left_semi").select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    entries = signed.join(own, F.col("doc_id") == F.col("_node"), "left_semi").select(F.col("doc_id").alias("id"), "weight", F.explode("keys").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("_last")).where("hub < _last").select(F.col("key").alias("_key"), "hub")
-    shared = materialize(entries.join(hubs, F.col("key") == F.col("_key")).select("key", "id", "hub"))
+    shared = materialize(entries.join(hubs, F.col("key") == F.col("_key")).select("key", "id", "weight", "hub"))
     sketches = signed.select("doc_id", "weight", *[f"s{c}" for c in range(SKETCH_LONGS)])
     involved = shared.select("id").distinct()
     texts = materialize(docs.select("doc_id", "text").join(involved, F.col("doc_id") == F.col("id"), "left_semi"))
@@ -310,7 +324,10 @@ def links_and_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int
     # Nodes that aren't in the class of their bucket's smallest node, against those of other classes there.
     root_of = lambda frame, column, name: frame.join(rooted.select(F.col("member").alias(f"_m{name}"), F.col("root").alias(name)), F.col(column) == F.col(f"_m{name}"), "left").withColumn(name, F.coalesce(name, column)).drop(f"_m{name}")
     placed = materialize(root_of(root_of(shared, "id", "class"), "hub", "hub_class"))
-    sizes = placed.groupBy("key").agg(F.count("*").alias("_all"), F.count_if(F.col("class") != F.col("hub_class")).alias("_rest")).where("_rest > 0").select(F.col("key").alias("_key"), "_all", "_rest")
+    other = F.col("class") != F.col("hub_class")
+    sizes = placed.groupBy("key").agg(F.count("*").alias("_n"), F.sum("weight").alias("_w"), F.count_if(other).alias("_no"), F.sum(F.when(other, F.col("weight"))).alias("_wo")).where("_no > 0")
+    tiles = lambda n, w: F.greatest(F.ceil(F.col(n) / TILE), F.ceil(F.col(w) / TILE_WEIGHT))
+    sizes = sizes.select(F.col("key").alias("_key"), tiles("_no", "_wo").alias("_l"), tiles("_n", "_w").alias("_r"))
     more = materialize(_mixed_links(placed, sizes, known, texts, threshold, limit, size))
     if more.limit(1).count():
         rooted = components(rooted.select(F.col("root").alias("a"), F.col("member").alias("b")).unionAll(more.select("a", "b")))
