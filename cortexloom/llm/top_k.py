@@ -3,12 +3,13 @@
 A group of queries whose size is bounded by construction is broadcast as a matrix; each task
 multiplies its batches of the table with tiles of it, selects the best k of each tile, and folds
 them into its running lists.  The tasks' lists meet in two levels of merging, by query and group of
-tasks first.  Queries beyond one group's bound are handled by further passes over the table.
+tasks first.  Queries beyond one group's bound are handled by further passes over the table, one
+after the other: a pass writes its lists to the shared folder and its queries are dropped, so that
+the driver and the executors hold one group at any time.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -17,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import scratch
+
 #: Bytes of query vectors that one pass broadcasts.
 GROUP_BYTES = 32 << 20
 QUERY_TILE, SHARD = 1024, 4096
@@ -83,17 +86,25 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col
     queries = rows.where(is_query).where("vector is not null and size(vector) > 0")
     n, width = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
     groups = max(1, math.ceil((n or 0) * 8 * (width or 1) / group_bytes))
-    found = []
+    if groups == 1:
+        return _pass(rows, _sent(queries, scale), k, scale)
+    path = scratch(spark, "lists")
     for g in range(groups):
-        mine = queries if groups == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g)
-        table = mine.toArrow()
-        matrix, usable = _matrix(table.column("vector").combine_chunks(), scale)
-        ids = table.column("vec_id").combine_chunks().to_numpy(zero_copy_only=False)[usable]
-        order = np.lexsort((*matrix.T[::-1], ids))
-        order = order[np.diff(ids[order], prepend=ids[order][:1] - 1) != 0]
-        sent = spark.sparkContext.broadcast((ids[order], matrix[order]))
-        found.append(_pass(rows, sent, k, scale))
-    return functools.reduce(DataFrame.union, found)
+        sent = _sent(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g), scale)
+        found = _pass(rows, sent, k, scale)
+        found.write.mode("append").parquet(path)
+        sent.destroy()
+    return spark.read.schema(found.schema).parquet(path)
+
+
+def _sent(queries: DataFrame, scale: float):
+    """Ids and vectors of a group of queries, whose size is bounded, on all executors."""
+    table = queries.toArrow()
+    matrix, usable = _matrix(table.column("vector").combine_chunks(), scale)
+    ids = table.column("vec_id").combine_chunks().to_numpy(zero_copy_only=False)[usable]
+    order = np.lexsort((*matrix.T[::-1], ids))
+    order = order[np.diff(ids[order], prepend=ids[order][:1] - 1) != 0]
+    return queries.sparkSession.sparkContext.broadcast((ids[order], matrix[order]))
 
 
 def _pass(rows: DataFrame, sent, k: int, scale: float) -> DataFrame:
