@@ -124,21 +124,26 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     the very first row to the lowest range; guests are dropped by the caller.
     """
     bounds = _ranges(docs)
+    aside = (-1 - F.pmod(F.monotonically_increasing_id(), F.lit(4096))).cast("int")  # rows without id, next to none
     if not bounds:
-        return docs.select("doc_id", *columns, F.lit(0).alias("_range"), F.lit(False).alias("_guest"))
+        return docs.select("doc_id", *columns, aside.alias("_range"), F.lit(False).alias("_guest"))
     step = max(1, int(len(bounds) ** 0.5))
     coarse = F.array(*[F.lit(b) for b in bounds[step - 1 :: step]])
     blocks = F.array(*[F.array(*[F.lit(b) for b in bounds[i : i + step]]) for i in range(0, len(bounds), step)])
     at = F.size(F.filter(coarse, lambda b: b < F.col("doc_id")))
     rank = at * step + F.size(F.filter(F.get(blocks, F.least(at, F.lit(-(-len(bounds) // step) - 1))), lambda b: b < F.col("doc_id")))
     edge = F.array_contains(F.get(blocks, at), F.col("doc_id"))
-    here = F.struct(F.col("_at").alias("r"), F.lit(False).alias("g"))
+    here = F.struct(F.when(F.col("doc_id").isNull(), aside).otherwise(F.col("_at")).alias("r"), F.lit(False).alias("g"))
     above = F.struct(F.pmod(F.col("_at") + 1, F.lit(len(bounds))).alias("r"), F.lit(True).alias("g"))
     dealt = docs.select("doc_id", *columns, rank.alias("_at"), edge.alias("_edge")).select("doc_id", *columns, F.explode(F.when(F.col("_edge"), F.array(here, above)).otherwise(F.array(here))).alias("_to"))
     return dealt.select("doc_id", *columns, F.col("_to.r").alias("_range"), F.col("_to.g").alias("_guest"))
 
 
 def next_of(column: str) -> Column:
+    return F.when(F.col("doc_id").isNull(), F.col(column)).otherwise(_lead(column))
+
+
+def _lead(column: str) -> Column:
     return F.lead(column).over(Window.partitionBy("_range").orderBy(F.col("_guest"), F.col("doc_id").desc(), F.col("text")))
 
 
@@ -154,9 +159,9 @@ def compare_with_next(docs: DataFrame, size: int = WORDS, bins: int = BINS, bits
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many, or
     all, of the next document: by descending doc_id, rows that repeat an id by text, after the last
     the first (a single row is its own next).  A null text counts as empty; the fingerprint of a
-    text without words is "".  Rows with a null id are left out.
+    text without words is "".  A row with a null id has no place in that order and is its own next.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     dealt = with_next(rows, ["text"]).withColumn("_next", next_of("text")).withColumn("n_chars", F.length("text").cast("long"))
     tail = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 3) as int))"), F.substring(F.coalesce(F.col("_next"), F.lit("")), F.lit(1), tail))

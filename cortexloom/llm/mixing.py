@@ -30,27 +30,6 @@ BLOCK_ROWS = 64
 BUCKET_ROWS = 512
 
 
-def quantized(weights: dict, period: int = PERIOD) -> dict:
-    """Integers in proportion to the weights that sum to `period`, one at least each (largest remainders)."""
-    total = sum(weights.values())
-    exact = {s: Fraction(w) * period / Fraction(total) for s, w in weights.items()}
-    got = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    order = sorted(weights, key=lambda s: (-(exact[s] - math.floor(exact[s])), str(s)))
-    while (left := period - sum(got.values())) != 0:
-        for s in order if left > 0 else sorted(weights, key=lambda s: (got[s] - exact[s], str(s)), reverse=True):
-            if left > 0 or got[s] > 1:
-                got[s] += 1 if left > 0 else -1
-                left += -1 if left > 0 else 1
-            if left == 0:
-                break
-    return got
-
-
-def template(shares: dict, period: int = PERIOD) -> list:
-    """The source of each slot of a period, for integer shares that sum to it."""
-    return turns(shares, shares)
-
-
 def turns(blocks: dict, weights: dict) -> list:
     """The source of each slot until all blocks are placed: earliest deadline first among the released blocks, ties by name."""
     exact = {s: Fraction(weights[s]) for s, n in blocks.items() if n > 0}
@@ -112,17 +91,18 @@ def schedule(docs: DataFrame, weights: dict | None = None, block_rows: int = BLO
     """doc_id, source, block (of its source), slot (of the mix), place (in the block): one row for each row of docs.
 
     Sorted by (slot, place) the rows are the mix.  Every row is placed.  weights: target weight by
-    source, positive; None: default_weights.  A null source is a source of its own, named "" in
-    weights and result; a source missing in weights raises.  Any number of sources is placed.
+    source, positive; None: default_weights.  A null source is a source of its own, None in weights
+    and null in the result; an empty name is another; a source missing in weights raises.  Any number of sources is placed.
     Rows that repeat an id are placed each.  An empty table gives no rows.  period: blocks of a source
     in a row of the table of slots; the result does not depend on it.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
+    named = F.concat(F.lit("="), F.col(source_col).cast("string"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(named, F.lit("")).alias("source"))  # "": null
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    weights = weights or default_weights(counts)
+    weights = {"" if s is None else f"={s}": w for s, w in weights.items()} if weights else default_weights(counts)
     if missing := sorted(set(counts) - set(weights)):
-        raise ValueError(f"no weight for {missing[:5]}")
+        raise ValueError(f"no weight for {[s[1:] or None for s in missing[:5]]}")
     order = turns({s: math.ceil(n / block_rows) for s, n in counts.items()}, weights) if counts else []
     buckets = spark.createDataFrame([(s, max(1, n // BUCKET_ROWS)) for s, n in counts.items()], "_source string, _buckets long")  # a row for each source
     hashed = rows.withColumn("_h", F.xxhash64("doc_id", F.lit(17))).join(F.broadcast(buckets), F.col("source") == F.col("_source")).select("doc_id", "source", "_h", F.pmod(F.xxhash64("_h"), F.col("_buckets")).alias("_bucket"))
@@ -149,4 +129,5 @@ def _slots(placed: DataFrame, order: list, period: int) -> DataFrame:
     frame = placed.sparkSession.createDataFrame(pa.Table.from_arrays(columns, ["_source", "_part", "_spots"]))
     hit = (F.col("source") == F.col("_source")) & (F.floor(F.col("block") / period) == F.col("_part"))
     slot = F.element_at("_spots", (F.col("block") % period).cast("int") + 1)
-    return placed.join(F.broadcast(frame), hit).select("doc_id", "source", "block", slot.cast("long").alias("slot"), "place")
+    source = F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)).alias("source")
+    return placed.join(F.broadcast(frame), hit).select("doc_id", source, "block", slot.cast("long").alias("slot"), "place")

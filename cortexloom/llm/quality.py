@@ -180,16 +180,24 @@ def _lasso(a: np.ndarray, y: np.ndarray, penalty: float) -> tuple[float, np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> RuleEnsemble:
-    """Fit on at most TRAIN_ROWS labelled rows; null labels take no part, repeated ids count once for each pair."""
+    """Fit on at most TRAIN_ROWS labels, and as many rows of docs, chosen by hashes.
+
+    Null labels and null ids take no part.  An id and a label count once, however often they repeat; an
+    id with both labels counts with each; rows of docs that repeat an id count each with its labels."""
     spark = docs.sparkSession
-    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("_label")).where("doc_id is not null and _label is not null")
+    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("_label")).where("doc_id is not null and _label is not null").distinct()
     picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(TRAIN_ROWS)
-    known = {r["doc_id"]: r["_label"] for r in picked.collect()}
+    known: dict[int, list[int]] = {}
+    for r in picked.collect():
+        known.setdefault(r["doc_id"], []).append(r["_label"])
     if not known:
         return RuleEnsemble(0.0, [])
-    table = spark.createDataFrame(list(known.items()), "doc_id long, _label int")  # TRAIN_ROWS rows at most
-    got = with_statistics(ids_and_texts(docs, id_col, text_col).join(F.broadcast(table.select("doc_id")), "doc_id", "left_semi")).toArrow().to_pandas().sort_values("doc_id", kind="stable")
-    return RuleEnsemble.fit(got[STATISTICS].to_numpy(float), np.array([known[d] for d in got["doc_id"]], float))
+    table = spark.createDataFrame([(d,) for d in known], "doc_id long")  # TRAIN_ROWS rows at most
+    found = with_statistics(ids_and_texts(docs, id_col, text_col).join(F.broadcast(table), "doc_id", "left_semi"))
+    got = found.orderBy(F.xxhash64("doc_id", *STATISTICS)).limit(TRAIN_ROWS).toArrow().to_pandas().sort_values(["doc_id", *STATISTICS], kind="stable")
+    each = [known[d] for d in got["doc_id"]]
+    x = np.repeat(got[STATISTICS].to_numpy(float), [len(e) for e in each], axis=0)
+    return RuleEnsemble.fit(x, np.array([y for e in each for y in e], float))
 
 
 def score(docs: DataFrame, rules: RuleEnsemble, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -141,23 +141,21 @@ def test_statistics_by_hand():
 
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 5, "b": 3, "c": 1}, {"a": 0.61, "b": 0.28, "c": 0.11}])
 def test_pfair_deviation(weights):
-    shares = mixing.quantized(weights)
-    assert sum(shares.values()) == mixing.PERIOD
-    turn = mixing.template(shares)
-    for s, k in shares.items():
-        done = np.cumsum([t == s for t in turn])
-        assert (np.abs(done - np.arange(1, mixing.PERIOD + 1) * k / mixing.PERIOD) < 1).all()
+    n = 1024
+    turn, total = mixing.turns({s: n for s in weights}, weights)[:n], sum(weights.values())
+    for s, w in weights.items():
+        assert (np.abs(np.cumsum([t == s for t in turn]) - np.arange(1, n + 1) * w / total) < 1).all()
 
 
 def test_mixing(spark):
     docs = spark.createDataFrame([(i, "a" if i < 700 else "b" if i < 900 else None) for i in range(1000)], "doc_id long, source string")
-    got = mixing.schedule(docs, {"a": 1, "b": 2, "": 1}, block_rows=10, period=64).collect()
+    got = mixing.schedule(docs, {"a": 1, "b": 2, None: 1}, block_rows=10, period=64).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(1000))
     blocks = {(r["source"], r["block"]): r["slot"] for r in got}
     assert sorted(blocks.values()) == list(range(100)) and len({(r["slot"], r["place"]) for r in got}) == 1000
     order = [s for (s, _), _ in sorted(blocks.items(), key=lambda x: x[1])]
     first = order[:36]  # until the first source runs out
-    for s, w in (("a", 0.25), ("b", 0.5), ("", 0.25)):
+    for s, w in (("a", 0.25), ("b", 0.5), (None, 0.25)):
         assert all(abs(first[: t + 1].count(s) - (t + 1) * w) < 1 for t in range(36))
     assert all(slot > blocks[(s, b - 1)] for (s, b), slot in blocks.items() if b)
 
