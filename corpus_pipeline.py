@@ -1,7 +1,9 @@
 """From raw documents to mixed, encoded training text: five stages, each one operator of cortexloom.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents.  What a stage rejects is gone for the next.
+of documents.  What a stage rejects is gone for the next.  doc_id names a document: rows that repeat
+one are judged together, and rows without one are kept as documents of their own by all stages that
+do not read their language.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near-duplicates."""
+    """The document with the smallest id of each class of near-duplicates.
+
+    Rows that repeat an id are one document and stay or go together; rows without id stay."""
     gone = near_duplicates.near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
