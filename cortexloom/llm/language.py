@@ -29,6 +29,8 @@ TRAIN_ROWS = 120
 LETTER, GAP = 1, 0
 STRIDE = 512
 SLICE_BYTES = 512 << 10
+#: Rounds in which all lanes of a slice are parsed again side by side.
+MEND_ROUNDS = 8
 #: Cells of a language's table (states x letters) above which its transitions are hashed.
 DENSE_CELLS = 1 << 23
 UNDETERMINED = "und"
@@ -188,17 +190,28 @@ class Parser:
             counts = counts[place]
             # A lane that begins inside a text was parsed from the root: parse it again from the state that the
             # lane before ends in, until both parses are in the same state.
-            self._mend(first, counts, last, grid, trace, place, length, table)
+            self._mend(first, text, counts, last, grid, trace, place, length, table)
             counts[ends_text] += last[ends_text] != 0  # the phrase that the end of a text closes
             np.add.at(out[:, k], text, counts)
         return out
 
     @staticmethod
-    def _mend(first, counts, last, grid, trace, place, length, table) -> None:
-        ready, carried = first.copy(), np.flatnonzero(~first)
-        while len(carried):
-            now = carried[ready[carried - 1]]
-            lane, column, state, before, j = now, place[now], last[now - 1], np.zeros(len(now), np.int32), 0
+    def _mend(first, text, counts, last, grid, trace, place, length, table) -> None:
+        """All lanes at once; what a lane ends in seldom depends on what it begins with, so a few rounds settle most.
+        From then on the first open lane of each text goes alone, as the lanes before it are final."""
+        roots, ends, used, rounds = counts.copy(), last.copy(), np.zeros(len(first), last.dtype), 0
+        while True:
+            now = np.flatnonzero(~first & (used != np.concatenate([last[:1], last[:-1]])))
+            if not len(now):
+                return
+            if rounds >= MEND_ROUNDS:
+                now = now[np.diff(text[now], prepend=-1) != 0]
+            rounds += 1
+            used[now] = last[now - 1]
+            counts[now], last[now] = roots[now], ends[now]
+            lane, column, state, before, j = now, place[now], used[now], np.zeros(len(now), np.int32), 0
+            live = state != before
+            lane, column, state, before = lane[live], column[live], state[live], before[live]
             while len(lane):
                 c = grid[j, column]
                 got, old = table.step(state, c), table.step(before, c)
@@ -209,8 +222,6 @@ class Parser:
                 last[lane[over]] = state[over]
                 more = ~over & (state != before)
                 lane, column, state, before = lane[more], column[more], state[more], before[more]
-            ready[now] = True
-            carried = carried[~ready[carried]]
 
     def lettered(self, texts: list[str]) -> list[bool]:
         """Whether each text has a letter."""

@@ -39,3 +39,30 @@ def test_many_rows_of_one_id(spark):
     assert names == ["de", "en", "en"]
     got = [tuple(r) for r in language.identify(few.unionAll(few), langs).select("doc_id", "lang_pred").collect()]
     assert sorted(got) == sorted([(i, "en") for i in range(4)] * 2)
+
+
+def test_lanes_of_one_text(monkeypatch):
+    """Texts of many lanes, with parses that meet late or never, against the greedy parse; also when lanes go one by one."""
+    rng = random.Random(9)
+    samples = {"x": "abababababab" * 30 + "aab" + "b" * 700, "y": "".join(rng.choice("ab ") for _ in range(3000))}
+    texts = ["ab" * 4000, "a" * 3000, "b" * 5000, "".join(rng.choice("ab") for _ in range(4000)), "ab" * 600 + "c" + "ba" * 900]
+    langs = language.Languages(samples)
+
+    def phrases(text, sample):
+        n = i = 0
+        while i < len(text):
+            j = i + 1
+            while j <= len(text) and text[i:j] in sample:
+                j += 1
+            i, n = max(j - 1, i + 1), n + 1
+        return n
+
+    import numpy as np
+
+    parser = langs.parser()
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    codes = parser.table[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+    want = [[phrases(t, language.fold(samples[k])) for k in langs.names] for t in texts]
+    for rounds in (0, 1, 8):
+        monkeypatch.setattr(language, "MEND_ROUNDS", rounds)
+        assert parser.phrases(codes, at).tolist() == want
