@@ -34,21 +34,28 @@ def bandwidths(n_voxels: int, dim: int) -> list[float]:
     return [c * n_voxels ** (-1 / (4 + dim)) for c in (0.5, 1, 2, 3, 5, 10)]
 
 
-def smoothing_weights(coords: np.ndarray, bw: float) -> dict[int, tuple[np.ndarray, np.ndarray]] | None:
-    """Local linear Gaussian weights of each voxel (O-163): neighbours within 4 bandwidths, a ridge of 1e-6,
-    weights above 1/N kept; None if more than N // 10 are left on average."""
-    n, out, kept = len(coords), {}, 0
-    scaled = coords / bw
+def smoothing_weights(coords: np.ndarray, bw: float | np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]] | None:
+    """Local linear weights of each voxel (O-163): a product of Gaussian densities over its neighbours nearer than
+    4 bandwidths in each direction, a ridge of 1e-6, and only weights whose size is above 1/N; None if more
+    than N // 10 are left on average.  bw: one bandwidth, or one for each direction."""
+    n, dim = coords.shape
+    bw = np.broadcast_to(np.asarray(bw, float), (dim,))
+    density = float(np.prod(1 / (np.sqrt(2 * np.pi) * bw)))
+    order = np.argsort(coords[:, 0], kind="stable")
+    first = coords[order, 0]
+    out, kept = {}, 0
     for i in range(n):
-        away = scaled - scaled[i]
-        near = np.flatnonzero((np.abs(away) <= 4).all(axis=1))
-        x = np.column_stack([np.ones(len(near)), away[near]])
-        k = np.exp(-0.5 * (away[near] ** 2).sum(axis=1))
-        a = x.T @ (k[:, None] * x) + 1e-6 * np.eye(x.shape[1])
-        w = np.linalg.solve(a, (k[:, None] * x).T)[0]
-        big = w > 1 / n
-        out[i] = (near[big], w[big])
-        kept += int(big.sum())
+        lo, hi = np.searchsorted(first, coords[i, 0] - 4 * bw[0]), np.searchsorted(first, coords[i, 0] + 4 * bw[0], "right")
+        near = np.sort(order[lo:hi])  # all that can be near
+        away = coords[near] - coords[i]
+        inside = (np.abs(away / bw) < 4).all(axis=1)
+        near, away = near[inside], away[inside]
+        x = np.column_stack([np.ones(len(near)), away])
+        kx = density * np.exp(-0.5 * ((away / bw) ** 2).sum(axis=1))[:, None] * x
+        w = np.linalg.solve(kx.T @ x + 1e-6 * np.eye(dim + 1), kx.T)[0]
+        large = np.abs(w) > 1 / n
+        out[i] = (near[large], w[large])
+        kept += int(large.sum())
     return None if kept / n > n // 10 else out
 
 

@@ -30,19 +30,26 @@ def cluster_sizes(significant: DataFrame, variants: DataFrame, samples: int) ->
     return every.join(found, ["sample_id", "snp"], "left").select("sample_id", "snp", F.coalesce("n", F.lit(0)).alias("size"))
 
 
-def random_sets(mac: np.ndarray, sets: int = 10_000, seed: int = 1) -> dict[str, list[tuple[int, int]]]:
-    """Runs [start, end) of variants by bin of cumulative count (O-192): of `mac` in order, windows of
-    max(2, lo/10) to hi variants in steps of 0.8 * width + 1, `sets` of them at most, drawn by seed."""
-    rng, total, out = np.random.default_rng(seed), np.concatenate([[0], np.cumsum(mac)]), {}
-    for lo, hi in CMAC_BINS:
-        found = []
-        for width in range(max(2, lo // 10), hi + 1):
-            starts = np.arange(0, len(mac) - width + 1, int(0.8 * width) + 1)
-            c = total[starts + width] - total[starts]
-            found += [(int(s), int(s + width)) for s in starts[(c >= lo) & (c <= hi)]]
-        if found:
-            pick = rng.permutation(len(found))[:sets]
-            out[f"{lo}_{hi}"] = [found[i] for i in sorted(pick)]
+def random_sets(mac: np.ndarray, sets: int = 10_000, seed: int = 1, most_passes: int = 10_000) -> dict[str, list[np.ndarray]]:
+    """Random sets of variants by bin of cumulative count (O-192), as indices into `mac`.
+
+    For each bin the variants are shuffled, a width is drawn between max(2, lo / 10) and hi, and windows
+    of that width, 0.8 * width + 1 apart, whose count is in the bin become sets; this goes on until
+    there are `sets` of them.  A bin that no window meets in `most_passes` passes has what was found.
+    """
+    n, out = len(mac), {}
+    for k, (lo, hi) in enumerate(CMAC_BINS):
+        rng, found = np.random.default_rng([seed, k]), []
+        for _ in range(most_passes):
+            order, width = rng.permutation(n), int(rng.integers(max(2, int(lo * 0.1)), hi + 1))
+            starts = np.arange(0, n - width, int(width * 0.8) + 1)
+            if len(starts):
+                total = np.concatenate([[0], np.cumsum(mac[order])])
+                count = total[starts + width] - total[starts]
+                found += [order[s : s + width] for s in starts[(count >= lo) & (count <= hi)][: sets - len(found)]]
+            if len(found) >= sets:
+                break
+        out[f"{lo}_{hi}"] = found
     return out
 
 
@@ -99,59 +106,115 @@ def permuted_rows(resid: DataFrame, samples: int, seed: int = 1) -> DataFrame:
     return ranked.select("sample_id", "iid", "_a").join(ranked.select("sample_id", F.col("_b").alias("_a"), "resid"), ["sample_id", "_a"]).select("sample_id", "iid", "resid")
 
 
-def grid_components(coords: np.ndarray) -> np.ndarray:
-    """Labels of voxels connected by faces, from 0 in the order of their first voxel."""
+def grid_neighbours(coords: np.ndarray) -> np.ndarray:
+    """For each voxel those that share a face with it (voxels x directions), -1 where there is none."""
     place = {tuple(c): i for i, c in enumerate(coords.tolist())}
-    label = np.full(len(coords), -1)
-    steps = [tuple(s) for s in np.vstack([np.eye(coords.shape[1], dtype=int), -np.eye(coords.shape[1], dtype=int)])] if len(coords) else []
-    n = 0
-    for i in range(len(coords)):
-        if label[i] >= 0:
-            continue
-        stack, label[i] = [i], n
-        while stack:
-            at = coords[stack.pop()]
-            for s in steps:
-                j = place.get(tuple((at + s).tolist()))
-                if j is not None and label[j] < 0:
-                    label[j] = n
-                    stack.append(j)
-        n += 1
-    return label
-
-
-def tfce_scores(coords: np.ndarray, logp: np.ndarray, h: float = 2, e: float = 0.5, dh: float = 0.1, floor: float = 0.001) -> np.ndarray:
-    """Sum over thresholds of extent^e * height^h * dh of the component a voxel is in (O-171)."""
-    out = np.zeros(len(logp))
-    low = max(float(logp.min()), floor) if len(logp) else 0
-    for t in np.arange(low, float(logp.max()) if len(logp) else 0, dh):
-        up = np.flatnonzero(logp >= t)
-        label = grid_components(coords[up])
-        out[up] += np.bincount(label)[label] ** e * t**h * dh
-    return out
+    steps = np.vstack([np.eye(coords.shape[1], dtype=int), -np.eye(coords.shape[1], dtype=int)])
+    return np.array([[place.get(tuple(c), -1) for c in (coords + s).tolist()] for s in steps]).T.reshape(len(coords), len(steps))
+
+
+class _Forest:
+    """Components that grow as voxels are added, with a value for each voxel that grows with its component."""
+
+    def __init__(self, n: int):
+        self.parent, self.size, self.value = list(range(n)), [1] * n, [0.0] * n
+
+    def root(self, x: int) -> int:
+        """The root of x; values on the way are kept relative to the parent's."""
+        path = []
+        while self.parent[x] != x:
+            path.append(x)
+            x = self.parent[x]
+        for y in reversed(path[:-1]):
+            self.value[y] += self.value[self.parent[y]]
+            self.parent[y] = x
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        if self.size[a] < self.size[b]:
+            a, b = b, a
+        self.parent[b] = a
+        self.size[a] += self.size[b]
+        self.value[b] -= self.value[a]
+
+    def total(self, x: int) -> float:
+        r = self.root(x)
+        return self.value[r] if r == x else self.value[x] + self.value[r]
+
+
+def grid_components(neighbours: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Labels of the voxels `up` (indices) connected by faces, from 0 in the order of their first voxel."""
+    forest, held = _Forest(len(neighbours)), np.zeros(len(neighbours), bool)
+    held[up] = True
+    for v in up.tolist():
+        for u in neighbours[v].tolist():
+            if u >= 0 and held[u]:
+                a, b = forest.root(v), forest.root(u)
+                if a != b:
+                    forest.join(a, b)
+    _, first, label = np.unique([forest.root(v) for v in up.tolist()], return_index=True, return_inverse=True) if len(up) else ([], np.zeros(0, int), np.zeros(0, int))
+    return np.argsort(np.argsort(first))[label] if len(up) else np.zeros(0, int)
+
+
+def tfce_scores(neighbours: np.ndarray, at: np.ndarray, logp: np.ndarray, h: float = 2, e: float = 0.5, dh: float = 0.1, floor: float = 0.001) -> np.ndarray:
+    """Sum over thresholds of extent^e * height^h * dh of the component a voxel is in (O-171), for the voxels `at`.
+
+    Voxels enter from the highest on.  A component is charged for the thresholds at which it had its
+    extent when it changes, so each pair of neighbours is looked at once, whatever the thresholds."""
+    if not len(logp):
+        return np.zeros(0)
+    levels = np.arange(max(float(logp.min()), floor), float(logp.max()), dh)
+    height = np.searchsorted(levels, logp, "right")  # thresholds below or at the voxel's value
+    worth = np.concatenate([[0.0], np.cumsum(levels**h * dh)])
+    forest, since = _Forest(len(neighbours)), [0] * len(neighbours)
+    held = np.zeros(len(neighbours), bool).tolist()
+
+    def charge(r: int, level: int) -> None:
+        if since[r] > level:
+            forest.value[r] += forest.size[r] ** e * (worth[since[r]] - worth[level])
+            since[r] = level
+
+    order = np.argsort(-height, kind="stable")
+    for v, level in zip(at[order].tolist(), height[order].tolist()):
+        held[v], since[v] = True, level
+        for u in neighbours[v].tolist():
+            if u >= 0 and held[u]:
+                a, b = forest.root(v), forest.root(u)
+                if a != b:
+                    charge(a, level)
+                    charge(b, level)
+                    forest.join(a, b)
+                    since[forest.root(a)] = level
+    for r in {forest.root(v) for v in at.tolist()}:
+        charge(r, 0)
+    return np.array([forest.total(v) for v in at.tolist()])
 
 
 def tfce(results: DataFrame, coords: DataFrame, keys: list[str], sig: float = 2.5e-6, thresh: float = 0.0) -> DataFrame:
     """Summary of each set's map (O-171): most_sig_p, max_tfce, n_sig_voxels, n_clusters, voxels_in_each_cluster.
 
     results: keys, index (one-based voxel), p; coords: voxel (zero-based) and xyz array, one image grid.
+    A set's map is one row of two arrays of at most the image's size.
     """
     grid = coords.toPandas().sort_values("voxel")
-    xyz = np.stack(grid["xyz"].to_numpy()).astype(int)
+    sent = results.sparkSession.sparkContext.broadcast(grid_neighbours(np.stack(grid["xyz"].to_numpy()).astype(int)))
     kinds = ", ".join(f"`{k}` {results.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{kinds}, most_sig_p double, max_tfce double, n_sig_voxels int, n_clusters int, voxels_in_each_cluster string"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.dropna(subset=["p"])
-        at, value = p["index"].to_numpy(int) - 1, p["p"].to_numpy(float)
-        logp = -np.log10(np.maximum(value, 1e-300))
-        score = tfce_scores(xyz[at], logp)
-        hit = value < sig
-        if thresh > 0:
-            hit = hit & (score >= thresh)
-        label = grid_components(xyz[at[hit]])
-        sizes = np.bincount(label) if len(label) else []
-        head = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**head, "most_sig_p": [value.min() if len(value) else np.nan], "max_tfce": [score.max() if len(score) else 0.0], "n_sig_voxels": [np.int32(hit.sum())], "n_clusters": [np.int32(len(sizes))], "voxels_in_each_cluster": [",".join(map(str, sizes))]})
-
-    return results.select(*keys, "index", "p").groupBy(*keys).applyInPandas(run, schema)
+    tested = F.col("p").isNotNull() & ~F.isnan("p")
+    maps = results.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(tested, F.struct((F.col("index") - 1).alias("v"), "p")))).alias("_m"))
+
+    def run(batches):
+        neighbours = sent.value
+        for pdf in batches:
+            out = []
+            for at, value in zip(pdf["_v"], pdf["_p"]):
+                at, value = np.asarray(at, int), np.asarray(value, float)
+                score = tfce_scores(neighbours, at, -np.log10(np.maximum(value, 1e-300)))
+                hit = value < sig
+                if thresh > 0:
+                    hit = hit & (score >= thresh)
+                sizes = np.bincount(grid_components(neighbours, at[hit])) if hit.any() else np.zeros(0, int)
+                out.append((value.min() if len(value) else np.nan, score.max() if len(score) else 0.0, int(hit.sum()), len(sizes), ",".join(map(str, sizes))))
+            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(out, columns=["most_sig_p", "max_tfce", "n_sig_voxels", "n_clusters", "voxels_in_each_cluster"])], axis=1)
+
+    return maps.select(*keys, F.col("_m.v").alias("_v"), F.col("_m.p").alias("_p")).mapInPandas(run, schema)

@@ -126,19 +126,22 @@ def cmac(members: DataFrame, sets: list[str] = ("set_name",), low: int = 2, high
 
 # Bins of cumulative minor allele count, lowest and highest value of each.
 CMAC_BINS = [(2, 2), (3, 3), (4, 4), (5, 5), (6, 7), (8, 9), (10, 11), (12, 14), (15, 20), (21, 30), (31, 60), (61, 100)]
+# The bins that sets are counted in; those above the null distributions' bins too, the last one open.
+HISTOGRAM_BINS = [*CMAC_BINS, (101, 500), (501, None)]
 
 
-def cmac_bin(value: Column) -> Column:
-    """`lo_hi` of the bin, null outside (O-157)."""
+def cmac_bin(value: Column, bins: list[tuple] = CMAC_BINS) -> Column:
+    """`lo_hi` of the bin, `lo` if it is open, null outside (O-157)."""
     out = F.lit(None).cast("string")
-    for lo, hi in reversed(CMAC_BINS):
-        out = F.when((value >= lo) & (value <= hi), F.lit(f"{lo}_{hi}")).otherwise(out)
+    for lo, hi in reversed(bins):
+        inside = value >= lo if hi is None else (value >= lo) & (value <= hi)
+        out = F.when(inside, F.lit(f"{lo}" if hi is None else f"{lo}_{hi}")).otherwise(out)
     return out
 
 
 def bin_histogram(sets: DataFrame) -> DataFrame:
     """Sets in each bin (O-114)."""
-    return sets.select(cmac_bin(F.col("cmac")).alias("bin")).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n_sets"))
+    return sets.select(cmac_bin(F.col("cmac"), HISTOGRAM_BINS).alias("bin")).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n_sets"))
 
 
 def nan_summary(data: DataFrame, column: str) -> DataFrame:

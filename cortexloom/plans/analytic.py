@@ -306,7 +306,7 @@ def tfce(spark, sf_dir):
 def smooth_images(spark, sf_dir):
     s = Study(spark, sf_dir)
     grid = np.array([[v // 16, v // 4 % 4, v % 4] for v in range(VOXELS)], float)
-    weights = images.smoothing_weights(grid, 0.4)
+    weights = images.smoothing_weights(grid, 0.6)
     return images.smooth(s.images, weights).select("iid", F.posexplode("voxels").alias("voxel", "value"))
 
 
@@ -340,8 +340,8 @@ def permuted_rows(spark, sf_dir):
 def random_sets(spark, sf_dir):
     s = Study(spark, sf_dir)
     mac = np.array([r[0] for r in variants.variant_qc(s.geno, s.n).orderBy("variant").select("mac").collect()])
-    rows = [(b, a, e) for b, own in nulls.random_sets(mac // 10, 200).items() for a, e in own]
-    return spark.createDataFrame(rows, "bin string, first int, last int")
+    rows = [(b, k, own.tolist()) for b, found in nulls.random_sets(mac // 10, 200, most_passes=50).items() for k, own in enumerate(found)]
+    return spark.createDataFrame(rows, "bin string, set_idx int, variants array<long>")
 
 
 @query("o193_permutation_null")

@@ -352,10 +352,17 @@ def cluster_sizes(spark, sf_dir):
     return sizes(hits, s.variants.select(F.col("rsid").alias("snp")), 1).select("snp", "size")
 
 
-@query("o114_cmac_bins", CTE + """, c AS (SELECT mac FROM qc) SELECT CASE WHEN mac = 2 THEN '2_2' WHEN mac = 3 THEN '3_3' WHEN mac = 4 THEN '4_4' WHEN mac = 5 THEN '5_5' WHEN mac <= 7 THEN '6_7' WHEN mac <= 9 THEN '8_9' WHEN mac <= 11 THEN '10_11' WHEN mac <= 14 THEN '12_14' WHEN mac <= 20 THEN '15_20' WHEN mac <= 30 THEN '21_30' WHEN mac <= 60 THEN '31_60' ELSE '61_100' END AS bin, count(*) AS n_sets FROM c WHERE mac BETWEEN 2 AND 100 GROUP BY 1""")
+CMAC_BIN_SQL = """CASE WHEN cmac < 2 THEN NULL WHEN cmac = 2 THEN '2_2' WHEN cmac = 3 THEN '3_3' WHEN cmac = 4 THEN '4_4' WHEN cmac = 5 THEN '5_5' WHEN cmac <= 7 THEN '6_7' WHEN cmac <= 9 THEN '8_9' WHEN cmac <= 11 THEN '10_11' WHEN cmac <= 14 THEN '12_14'
+WHEN cmac <= 20 THEN '15_20' WHEN cmac <= 30 THEN '21_30' WHEN cmac <= 60 THEN '31_60' WHEN cmac <= 100 THEN '61_100' WHEN cmac <= 500 THEN '101_500' ELSE '501' END"""
+
+
+@query("o114_cmac_bins", CTE + f""", c AS (SELECT variant // 3 * 3 AS g, 1 AS kind, CAST(sum(mac) AS BIGINT) AS cmac FROM qc GROUP BY 1 UNION ALL SELECT variant // 40, 2, CAST(sum(mac) AS BIGINT) FROM qc GROUP BY 1 UNION ALL SELECT variant, 3, CAST(mac // 10 AS BIGINT) FROM qc)
+SELECT {CMAC_BIN_SQL} AS bin, count(*) AS n_sets FROM c WHERE cmac >= 2 GROUP BY 1""")
 def cmac_bins(spark, sf_dir):
     s = Study(spark, sf_dir)
-    return variants.bin_histogram(variants.variant_qc(s.geno, s.n).select(F.col("mac").alias("cmac")))
+    qc = variants.variant_qc(s.geno, s.n).select("variant", "mac")
+    size = lambda k: qc.groupBy(F.floor(F.col("variant") / k)).agg(F.sum("mac").alias("cmac")).select("cmac")
+    return variants.bin_histogram(size(3).unionAll(size(40)).unionAll(qc.select(F.floor(F.col("mac") / 10).alias("cmac"))))
 
 
 @query("o115_nan_summary", CTE + "SELECT round(avg(z), 6) AS mean, round(median(z), 6) AS median, round(max(z), 6) AS max, round(min(z), 6) AS min FROM panel WHERE pos % 7 <> 0")

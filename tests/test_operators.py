@@ -193,8 +193,8 @@ def test_jackknife_and_recovery(spark):
 
 def test_tfce_and_components(spark):
     grid = np.array([[0, 0], [0, 1], [2, 2], [3, 2], [5, 5]])
-    assert nulls.grid_components(grid).tolist() == [0, 0, 1, 1, 2]
-    one = nulls.tfce_scores(np.array([[0]]), np.array([1.0]))
+    assert nulls.grid_components(nulls.grid_neighbours(grid), np.arange(len(grid))).tolist() == [0, 0, 1, 1, 2]
+    one = nulls.tfce_scores(np.array([[-1, -1]]), np.array([0]), np.array([1.0]))
     assert one[0] == pytest.approx(sum(t**2 * 0.1 for t in np.arange(1.0, 1.0, 0.1)))
 
 
