@@ -87,38 +87,47 @@ def gamma_q(a, x) -> np.ndarray:
     return np.vectorize(_gamma_q, otypes=[float])(a, x)
 
 
-def _beta_cf(a: float, b: float, x: float) -> float:
-    tiny, c = 1e-300, 1.0
-    d = 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
+def _beta_cf(a: float, b: float, x: np.ndarray) -> np.ndarray:
+    """The continued fraction of the incomplete beta function, for all x until each has settled."""
+    tiny = 1e-300
+    away = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    out, open_ = np.ones_like(x), np.arange(len(x))
+    c, d = np.ones_like(x), 1 / away(1 - (a + b) * x / (a + 1))
     h = d
     for m in range(1, 10_000):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-16:
-            break
-    return h
+            d = 1 / away(1 + num * d)
+            c = away(1 + num / c)
+            h = h * d * c
+        going = np.abs(d * c - 1) > 3e-16
+        if not going.all():
+            out[open_[~going]] = h[~going]
+            open_, x, c, d, h = open_[going], x[going], c[going], d[going], h[going]
+            if not len(x):
+                return out
+    out[open_] = h
+    return out
 
 
-def _beta_inc(a: float, b: float, x: float) -> float:
-    if math.isnan(x):
-        return math.nan
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_cf(a, b, x) / a
-    return 1 - front * _beta_cf(b, a, 1 - x) / b
+def beta_inc(a: float, b: float, x) -> np.ndarray:
+    """Regularised incomplete beta function of an array."""
+    x = np.asarray(x, float)
+    out = np.where(np.isnan(x), np.nan, (x >= 1).astype(float))
+    inside = (x > 0) & (x < 1)
+    v = x[inside]
+    front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * np.log(v) + b * np.log1p(-v))
+    low = v < (a + 1) / (a + b + 2)
+    got = np.empty_like(v)
+    got[low] = front[low] * _beta_cf(a, b, v[low]) / a
+    got[~low] = 1 - front[~low] * _beta_cf(b, a, 1 - v[~low]) / b
+    out[inside] = got
+    return out
 
 
 def t_sf2(t, df: float) -> np.ndarray:
     """Two-sided p-value of Student's t."""
     t = np.asarray(t, float)
-    return np.vectorize(_beta_inc, otypes=[float])(df / 2, 0.5, df / (df + t * t))
+    return beta_inc(df / 2, 0.5, df / (df + t * t))
 
 
 def beta_pdf(x, a: float, b: float) -> np.ndarray:

@@ -138,54 +138,61 @@ def gwas(geno: DataFrame, subjects: DataFrame, names: DataFrame | None = None) -
     inverse = np.linalg.inv(xx)
     made = residuals(subjects, products).select("iid", "x", "resid")
     rss = np.diag(products["yy"] - products["xy"].T @ inverse @ products["xy"]).copy()
-    carried = geno.join(made, "iid")  # missing calls too: their covariates are needed
-    long = carried.select("variant", "dosage", "x", "resid")
+    p, r = len(xx), len(rss)
+    kind = geno.schema["variant"].dataType.simpleString()
+    called, absent = F.coalesce(F.col("dosage").cast("double"), F.lit(0.0)), F.col("dosage").isNull().cast("double")
+    rows = geno.join(made, "iid").select("variant", called.alias("_d"), absent.alias("_m"), "x", "resid")  # missing calls too: their covariates are needed
+    sums = sums_by_key(rows, "variant", [(None, "_d", 1), ("_d", "_d", 1), (None, "_m", 1), ("_d", "x", p), ("_d", "resid", r), ("_m", "x", p), ("_m", "resid", r)])
+    df = n - p - 1
 
-    def partial(batches):
+    def finish(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            code, uniques = pd.factorize(pdf["variant"])
-            x, y = np.stack(pdf["x"].to_numpy()).astype(float), np.stack(pdf["resid"].to_numpy()).astype(float)
-            g = pdf["dosage"].to_numpy(float)
-            missing = np.isnan(g)
-            d = np.where(missing, 0, g)
-            order = np.argsort(code, kind="stable")
-            at = np.flatnonzero(np.diff(code[order], prepend=-1))
-            fold = lambda m: np.add.reduceat(m[order], at, axis=0)
-            cols = np.column_stack([d, d * d, missing])
-            parts = [fold(cols), fold(d[:, None] * x), fold(d[:, None] * y), fold(missing[:, None] * x), fold(missing[:, None] * y)]
-            yield pd.DataFrame({"variant": uniques[code[order][at]], "sums": list(np.hstack(parts))})
-
-    kind = geno.schema["variant"].dataType.simpleString()
-    partials = long.mapInPandas(partial, f"variant {kind}, sums array<double>")
-    p, r = len(xx), len(rss)
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)
-        ac, gg, missing = s[:3]
-        gx, gy = s[3 : 3 + p], s[3 + p : 3 + p + r]
-        mx, my = s[3 + p + r : 3 + 2 * p + r], s[3 + 2 * p + r :]
-        called = n - missing
-        mean = ac / called if called else 0.0
-        gg, gx, gy = gg + mean * mean * missing, gx + mean * mx, gy + mean * my
-        left = gg - gx @ inverse @ gx
-        df = n - p - 1
-        if left <= 1e-10 * max(gg, 1e-300) or df <= 0:
-            none = np.full(r, np.nan)
-            beta, se, t, pv = none, none, none, none
-        else:
-            beta = gy / left
-            se = np.sqrt(np.maximum(rss - gy * beta, 0) / df / left)
+            s = np.stack(pdf["sums"].to_numpy())
+            ac, gg, missing = s[:, 0], s[:, 1], s[:, 2]
+            gx, gy, mx, my = np.split(s[:, 3:], [p, p + r, 2 * p + r], axis=1)
+            have = n - missing
+            mean = np.divide(ac, have, out=np.zeros(len(s)), where=have > 0)
+            gg, gx, gy = gg + mean * mean * missing, gx + mean[:, None] * mx, gy + mean[:, None] * my
+            left = gg - np.einsum("ij,jk,ik->i", gx, inverse, gx)
+            left[(left <= 1e-10 * np.maximum(gg, 1e-300)) | (df <= 0)] = np.nan
+            beta = gy / left[:, None]
+            se = np.sqrt(np.maximum(rss - gy * beta, 0) / max(df, 1) / left[:, None])
             with np.errstate(divide="ignore", invalid="ignore"):
                 t = beta / se
-            pv = stats.t_sf2(t, df)
-        return pd.DataFrame({"variant": [pdf["variant"].iloc[0]], "n_called": [int(called)], "alt_allele_freq": [mean / 2], "beta": [beta], "standard_error": [se], "t_stat": [t], "p_value": [pv]})
+            yield pd.DataFrame({"variant": pdf["variant"], "n_called": have.astype(np.int64), "alt_allele_freq": mean / 2, "beta": list(beta), "standard_error": list(se), "t_stat": list(t), "p_value": list(stats.t_sf2(t, df))})
 
-    out = partials.groupBy("variant").applyInPandas(finish, f"variant {kind}, n_called long, alt_allele_freq double, beta array<double>, standard_error array<double>, t_stat array<double>, p_value array<double>")
+    out = sums.mapInPandas(finish, f"variant {kind}, n_called long, alt_allele_freq double, beta array<double>, standard_error array<double>, t_stat array<double>, p_value array<double>")
     return out if names is None else out.join(names, "variant")
 
 
+#: Sums up to which they are columns of one hash aggregation; beyond, arrays are summed by slices of so many elements.
+MOST_SUMS = 96
+
+
+def sums_by_key(rows: DataFrame, key: str, terms: list[tuple[str | None, str, int]]) -> DataFrame:
+    """key, sums array<double>: over the rows of each key, for each term (weight, value, size) the sum of
+    weight * value, or of value if the weight is None; a value of size 1 that is no array, or each element of one.
+
+    Spark's hash aggregation sums within each task before it shuffles, so a key with very many rows is spread."""
+    kind = {f.name: f.dataType.typeName() for f in rows.schema}
+    elements = []
+    for weight, value, size in terms:
+        for k in range(size):
+            element = F.get(value, k) if kind[value] == "array" else F.col(value)
+            elements.append(element if weight is None else F.col(weight) * element)
+    if len(elements) <= MOST_SUMS:
+        got = rows.groupBy(key).agg(*[F.sum(e).alias(f"_s{i}") for i, e in enumerate(elements)])
+        return got.select(key, F.array(*[F.col(f"_s{i}") for i in range(len(elements))]).alias("sums"))
+    parts = [elements[i : i + MOST_SUMS] for i in range(0, len(elements), MOST_SUMS)]
+    cut = rows.select(key, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.array(*p, *[F.lit(0.0)] * (MOST_SUMS - len(p))).alias("v")) for i, p in enumerate(parts)])).alias("_p"))
+    summed = cut.groupBy(key, F.col("_p.i").alias("_i")).agg(*[F.sum(F.get("_p.v", k)).alias(f"_s{k}") for k in range(MOST_SUMS)])
+    each = summed.select(key, F.struct("_i", F.array(*[F.col(f"_s{k}") for k in range(MOST_SUMS)]).alias("v")).alias("_p"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["v"]))
+    return each.groupBy(key).agg(F.slice(whole, 1, len(elements)).alias("sums"))
+
+
 def gwas_loco(geno: DataFrame, subjects: DataFrame, loco: DataFrame, contigs: list) -> DataFrame:
     """The same by contig with the leave-one-chromosome-out predictions taken off y, stacked (O-137S, O-161).
 

@@ -14,31 +14,24 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import stats
-from .linear import cross_products, times
+from .linear import cross_products, sums_by_key, times
 from .variants import CMAC_BINS
 
 
-def weighted_sums(rows: DataFrame, key: str, weight: str, value: str) -> DataFrame:
-    """key, sums: sum over rows of weight * array, by key (O-176); summed by partition first."""
-    kind = rows.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, sums array<double>"
+def weighted_sums(rows: DataFrame, key: str, weight: str, value: str, size: int) -> DataFrame:
+    """key, sums: sum over rows of weight * array of `size` elements, by key (O-176)."""
+    return sums_by_key(rows.withColumn(weight, F.col(weight).cast("double")), key, [(weight, value, size)])
 
-    def partial(batches):
-        for pdf in batches:
-            if len(pdf):
-                code, names = pd.factorize(pdf[key])
-                m = np.stack(pdf[value].to_numpy()).astype(float) * pdf[weight].to_numpy(float)[:, None]
-                order = np.argsort(code, kind="stable")
-                at = np.flatnonzero(np.diff(code[order], prepend=-1))
-                yield pd.DataFrame({key: names[code[order][at]], "sums": list(np.add.reduceat(m[order], at, axis=0))})
 
-    parts = rows.select(key, weight, value).mapInPandas(partial, schema)
-    return parts.groupBy(key).applyInPandas(lambda pdf: pd.DataFrame({key: pdf[key].iloc[:1], "sums": [np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)]}), schema)
+def _size(null: DataFrame, column: str) -> int:
+    """Elements of the column's arrays, from one row."""
+    first = null.select(F.size(column)).first()
+    return first[0] if first else 0
 
 
 def scores(geno: DataFrame, null: DataFrame) -> DataFrame:
     """variant, score array: Z'resid (O-176)."""
-    return weighted_sums(geno.join(null.select("iid", "resid"), "iid"), "variant", "dosage", "resid").withColumnRenamed("sums", "score")
+    return weighted_sums(geno.join(null.select("iid", "resid"), "iid"), "variant", "dosage", "resid", _size(null, "resid")).withColumnRenamed("sums", "score")
 
 
 def half_projection(xx: np.ndarray) -> np.ndarray:
@@ -50,7 +43,7 @@ def half_projection(xx: np.ndarray) -> np.ndarray:
 def projections(geno: DataFrame, null: DataFrame, xx: np.ndarray) -> DataFrame:
     """variant, proj array (O-177)."""
     moved = null.select("iid", times(half_projection(xx), F.col("x")).alias("u"))
-    return weighted_sums(geno.join(moved, "iid"), "variant", "dosage", "u").withColumnRenamed("sums", "proj")
+    return weighted_sums(geno.join(moved, "iid"), "variant", "dosage", "u", len(xx)).withColumnRenamed("sums", "proj")
 
 
 def banded_ld(geno: DataFrame, variants: DataFrame, width: int) -> DataFrame:
@@ -158,17 +151,37 @@ def acat_v(score: np.ndarray, cov: np.ndarray, maf: np.ndarray, mac: np.ndarray,
     return stats.cauchy_combination(np.stack(ps), np.array(ws))
 
 
-def set_tests(members: DataFrame, ld: DataFrame, bases: np.ndarray, variance: np.ndarray, tests: tuple = ("burden", "skat", "staar"), max_p: float = 1.0, cmac_min: int = 2, null: dict | None = None) -> DataFrame:
+def set_products(calls: pd.DataFrame, place: dict, subjects: int = 4096) -> np.ndarray:
+    """Z'Z of the variants of one set (variant -> row in `place`) from their calls (variant, iid, dosage), by blocks of subjects."""
+    out = np.zeros((len(place), len(place)))
+    row, _ = pd.factorize(calls["iid"])
+    column, dosage = calls["variant"].map(place).to_numpy(int), calls["dosage"].to_numpy(float)
+    order = np.argsort(row, kind="stable")
+    row, column, dosage = row[order], column[order], dosage[order]
+    for lo in range(0, int(row[-1]) + 1 if len(row) else 0, subjects):
+        a, b = np.searchsorted(row, [lo, lo + subjects])
+        z = np.zeros((min(subjects, int(row[-1]) + 1 - lo), len(place)))
+        z[row[a:b] - lo, column[a:b]] = dosage[a:b]
+        out += z.T @ z
+    return out
+
+
+def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, variance: np.ndarray, tests: tuple = ("burden", "skat", "staar"), max_p: float = 1.0, cmac_min: int = 2, null: dict | None = None, calls: DataFrame | None = None) -> DataFrame:
     """index, set_name, mask, n_variants, cmac, and p-values of variant sets (O-179 to O-185, O-196).
 
-    members: (set_name, mask, variant, maf, mac, score, proj, annot array or null), ld: (i, j, value).
+    members: (set_name, mask, variant, maf, mac, score, proj, annot array or null), ld: (i, j, value), or None and
+    calls: (variant, iid, dosage), from which each set's products are made where it is tested, so that no pair
+    of variants is formed that no set needs.
     SKAT and the omnibus are computed for cmac above 100, annotation weights used above 500.  Rows
     whose smallest p-value is above max_p are left out.
     """
-    one = members.select(F.col("set_name").alias("set_i"), F.col("mask").alias("mask_i"), F.col("variant").alias("at_i"))
-    two = members.select(F.col("set_name").alias("set_j"), F.col("mask").alias("mask_j"), F.col("variant").alias("at_j"))
-    pairs = one.join(ld, F.col("at_i") == F.col("i")).join(two, (F.col("set_i") == F.col("set_j")) & (F.col("mask_i") == F.col("mask_j")) & (F.col("j") == F.col("at_j")))
-    joined = pairs.select("set_j", "mask_j", "i", "j", "value")
+    if ld is None:
+        joined = members.select(F.col("set_name").alias("set_j"), F.col("mask").alias("mask_j"), F.col("variant").alias("_at")).join(calls.select("variant", "iid", "dosage"), F.col("_at") == F.col("variant")).drop("_at")
+    else:
+        one = members.select(F.col("set_name").alias("set_i"), F.col("mask").alias("mask_i"), F.col("variant").alias("at_i"))
+        two = members.select(F.col("set_name").alias("set_j"), F.col("mask").alias("mask_j"), F.col("variant").alias("at_j"))
+        pairs = one.join(ld, F.col("at_i") == F.col("i")).join(two, (F.col("set_i") == F.col("set_j")) & (F.col("mask_i") == F.col("mask_j")) & (F.col("j") == F.col("at_j")))
+        joined = pairs.select("set_j", "mask_j", "i", "j", "value")
     schema = "index int, set_name string, mask string, n_variants int, cmac long, burden_effect double, burden_se double, burden_p double, skat_p double, staar_o double"
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -178,9 +191,12 @@ def set_tests(members: DataFrame, ld: DataFrame, bases: np.ndarray, variance: np
         if len(left) < 2 or cmac < cmac_min:
             return none
         place = {v: k for k, v in enumerate(left["variant"])}
-        cov = np.zeros((len(left), len(left)))
-        i, j = right["i"].map(place).to_numpy(int), right["j"].map(place).to_numpy(int)
-        cov[i, j] = cov[j, i] = right["value"].to_numpy(float)
+        if ld is None:
+            cov = set_products(right, place)
+        else:
+            cov = np.zeros((len(left), len(left)))
+            i, j = right["i"].map(place).to_numpy(int), right["j"].map(place).to_numpy(int)
+            cov[i, j] = cov[j, i] = right["value"].to_numpy(float)
         proj, score, maf = np.stack(left["proj"].to_numpy()), np.stack(left["score"].to_numpy()), left["maf"].to_numpy(float)
         cov = cov - proj @ proj.T
         annot = np.stack(left["annot"].to_numpy()).astype(float) if cmac > 500 and left["annot"].notna().all() else None

@@ -147,8 +147,8 @@ def voxel_variance(spark, sf_dir):
     return spark.createDataFrame([(round(float(v[0]), 2), round(float(v[1]), 2))], "v1 double, v2 double")
 
 
-def _summary(s: Study, width: int = 40):
-    """Members of genes with scores, projections and the band they need; one covariate, two components."""
+def _summary(s: Study):
+    """Members of genes with scores and projections, and the calls of rare variants; one covariate, two components."""
     null = linear.residuals(s.plain_subjects)
     xx, bases = np.array([[float(s.n)]]), np.eye(2)
     qc = variants.variant_qc(s.geno, s.n).where(variants.maf_filter(0, 0.01)).select("variant", "maf", "mac")
@@ -156,8 +156,8 @@ def _summary(s: Study, width: int = 40):
     variance = rare.voxel_variance(null, bases, 1)
     placed = table.join(s.variants.select("variant", "contig", "pos", "phred"), "variant")
     members = intervals.interval_join(placed, s.genes).select("set_name", F.lit("all").alias("mask"), "variant", "maf", "mac", "score", "proj", F.array("phred").alias("annot"))
-    band = rare.banded_ld(s.geno.join(qc.select("variant"), "variant", "left_semi"), s.variants, width)
-    return members, band, bases, variance, table
+    calls = s.geno.join(qc.select("variant"), "variant", "left_semi")
+    return members, calls, bases, variance, table
 
 
 @query("o188_single_variants", CTE + SUBJECTS + """, r AS (SELECT iid, y1 - avg(y1) OVER () AS r1 FROM s), v AS (SELECT var_samp(y1) AS s2 FROM s),
@@ -179,24 +179,24 @@ b AS (SELECT set_name, iid, sum(dosage) AS load FROM m JOIN geno USING (variant)
 t AS (SELECT set_name, sum(load * r1) AS score, sum(load * load) - power(sum(load), 2) / max(num.n) AS cov FROM b JOIN r USING (iid), num GROUP BY set_name)
 SELECT set_name, n_variants, cmac, round(score / cov, 4) AS burden_effect, round(sqrt(s2 / cov), 4) AS burden_se FROM k JOIN t USING (set_name), v""")
 def burden_test(spark, sf_dir):
-    members, band, bases, variance, _ = _summary(Study(spark, sf_dir))
-    got = rare.set_tests(members, band, bases, variance, ("burden",))
+    members, calls, bases, variance, _ = _summary(Study(spark, sf_dir))
+    got = rare.set_tests(members, None, bases, variance, ("burden",), calls=calls)
     return got.where("index = 1").select("set_name", F.col("n_variants").cast("long").alias("n_variants"), "cmac", F.round("burden_effect", 4).alias("burden_effect"), F.round("burden_se", 4).alias("burden_se"))
 
 
 @query("o185_omnibus_tests")
 def omnibus_tests(spark, sf_dir):
-    members, band, bases, variance, _ = _summary(Study(spark, sf_dir))
-    return rare.set_tests(members, band, bases, variance, ("burden", "skat", "staar"))
+    members, calls, bases, variance, _ = _summary(Study(spark, sf_dir))
+    return rare.set_tests(members, None, bases, variance, ("burden", "skat", "staar"), calls=calls)
 
 
 @query("o122_sliding_window_tests")
 def sliding_window_tests(spark, sf_dir):
     s = Study(spark, sf_dir)
-    _, band, bases, variance, table = _summary(s)
+    _, calls, bases, variance, table = _summary(s)
     windows = intervals.sliding_windows(variants.range_summary(s.variants), 20)
     members = intervals.interval_join(table.join(s.variants.select("variant", "contig", "pos"), "variant"), windows).select("set_name", F.lit("window").alias("mask"), "variant", "maf", "mac", "score", "proj", F.lit(None).cast("array<double>").alias("annot"))
-    return rare.set_tests(members, band, bases, variance, ("burden", "skat"), cmac_min=10)
+    return rare.set_tests(members, None, bases, variance, ("burden", "skat"), cmac_min=10, calls=calls)
 
 
 @query("o187_conditional_test")
