@@ -90,3 +90,31 @@ def read_images(files: DataFrame, kind: str = "nifti", coords: np.ndarray | None
             yield pd.DataFrame({"iid": pdf["iid"], "voxels": out})
 
     return files.select("iid", "content").mapInPandas(run, "iid string, voxels array<double>")
+
+
+#: Bytes of image values that a batch holds.
+BATCH_BYTES = 256 << 20
+
+
+def image_batches(images: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """images (iid, voxels) with `batch`, from 0: batches of about equal size, of at most `batch_bytes` of single-precision
+    values on average, dealt by a hash of the subject (O-029).  A batch is one partition, so work on batches
+    (mapInArrow, applyInPandas) holds one at a time; the images themselves are a Parquet table."""
+    first = images.agg(F.count("*").alias("n"), F.max(F.size("voxels")).alias("voxels")).first()
+    batches = max(1, -(-(first["n"] or 0) * (first["voxels"] or 0) * 4 // batch_bytes))
+    return images.withColumn("batch", F.pmod(F.xxhash64("iid"), F.lit(batches)).cast("int")).repartition(batches, "batch")
+
+
+def save_images(images: DataFrame, path: str) -> None:
+    """Images (iid, voxels) as a table sorted by subject, values in single precision (O-051)."""
+    images.select("iid", F.col("voxels").cast("array<float>").alias("voxels")).repartitionByRange("iid").sortWithinPartitions("iid").write.mode("overwrite").parquet(path)
+
+
+def load_images(spark: SparkSession, path: str, keep: DataFrame | None = None, remove: DataFrame | None = None) -> DataFrame:
+    """The images of the kept subjects without the removed ones; none left raises (O-029, O-091)."""
+    images = spark.read.parquet(path)
+    images = images if keep is None else images.join(keep.select("iid"), "iid", "left_semi")
+    images = images if remove is None else images.join(remove.select("iid"), "iid", "left_anti")
+    if not images.limit(1).count():
+        raise ValueError("no subject is left")
+    return images

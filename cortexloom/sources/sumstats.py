@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,10 +72,51 @@ def write_tsv(result: DataFrame, path: str, scientific: list[str], order: list[s
     result.orderBy(*order).select(*columns).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
 
 
-def write_sets(result: DataFrame, path: str) -> DataFrame:
-    """Results by variant set in one partitioned table, and the index of its sets (O-048)."""
-    result.write.mode("overwrite").partitionBy("set_name").parquet(path)
-    return result.sparkSession.read.parquet(path).select("set_name").distinct().withColumn("result_file", F.concat(F.lit(f"{path}/set_name="), F.col("set_name")))
+#: Columns of the index of results, and of a null association table without header.
+INDEX_COLUMNS = ("VARIANT_SET", "CHR", "START", "END", "RESULT_FILE")
+NULL_COLUMNS = ("SAMPLE_ID", "GENE_ID", "INDEX", "STAAR-O")
+
+
+def write_sets(result: DataFrame, path: str, sets: DataFrame | None = None) -> DataFrame:
+    """Results by variant set as one table sorted by set, and the index of its sets (O-048), which is returned.
+
+    sets: (set_name, contig, start, end).  The rows of a set lie together, so that a scan for one reads what
+    its footers do not exclude; a folder for each gene would make as many files as there are genes."""
+    result.repartitionByRange("set_name").sortWithinPartitions("set_name").write.mode("overwrite").parquet(f"{path}/results")
+    found = result.sparkSession.read.parquet(f"{path}/results").select("set_name").distinct()
+    if sets is None:
+        placed = found.select("set_name", *[F.lit(None).cast(t).alias(c) for c, t in (("contig", "string"), ("start", "int"), ("end", "int"))])
+    else:
+        placed = found.join(sets.select("set_name", "contig", "start", "end"), "set_name", "left")
+    index = placed.select(F.col("set_name").alias("VARIANT_SET"), F.col("contig").alias("CHR"), F.col("start").alias("START"), F.col("end").alias("END"), F.lit(f"{path}/results").alias("RESULT_FILE"))
+    index.write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{path}/index")
+    return read_index(result.sparkSession, f"{path}/index")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index of results (O-037)."""
+    index = spark.read.option("sep", "\t").option("header", True).csv(path)
+    if lacking := [c for c in INDEX_COLUMNS if c not in index.columns]:
+        raise ValueError(f"{path} lacks {lacking}")
+    return index.select("VARIANT_SET", "CHR", F.col("START").cast("int").alias("START"), F.col("END").cast("int").alias("END"), "RESULT_FILE")
+
+
+def read_results(spark: SparkSession, index: DataFrame, most_files: int = 100_000) -> DataFrame:
+    """The results that an index names, of its sets only (O-037): each file is read once, columns that a file lacks are null."""
+    files = sorted(r[0] for r in index.select("RESULT_FILE").distinct().limit(most_files + 1).collect())
+    if len(files) > most_files:
+        raise ValueError(f"an index of more than {most_files} files")
+    if not files:
+        raise ValueError("an empty index")
+    rows = stack([spark.read.parquet(f) for f in files]) if len(files) < 50 else spark.read.option("mergeSchema", True).parquet(*files)
+    return rows.join(index.select(F.col("VARIANT_SET").alias("_set")).distinct(), F.col("set_name") == F.col("_set"), "left_semi")
+
+
+def stack(frames: list[DataFrame]) -> DataFrame:
+    """Result frames one below the other, columns by name, null where a frame lacks one (O-137S, O-138S)."""
+    if not frames:
+        raise ValueError("nothing to stack")
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def append_null(rows: DataFrame, path: str) -> None:
@@ -81,6 +124,35 @@ def append_null(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def append_null_text(rows: DataFrame, path: str) -> None:
+    """The same as tab-separated text without header: (sample_id, gene_id, index, p) (O-049)."""
+    rows.select("sample_id", "gene_id", "index", "p").write.mode("append").option("sep", "\t").csv(path)
+
+
+def read_null_associations(spark: SparkSession, path: str) -> DataFrame:
+    """sample_id, gene_id, index, p of a headerless table of NULL_COLUMNS (O-038)."""
+    raw = spark.read.option("sep", "\t").schema("SAMPLE_ID string, GENE_ID string, INDEX int, `STAAR-O` double").csv(path)
+    return raw.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(NULL_COLUMNS, ("sample_id", "gene_id", "index", "p"))])
+
+
+def check_points(null: DataFrame, total_points: int) -> int:
+    """Replicates and genes of a null table; raises unless `total_points` is greater (O-038)."""
+    n = null.select("sample_id", "gene_id").distinct().count()
+    if total_points <= n:
+        raise ValueError(f"{total_points} points in all, but {n} of them are in the table")
+    return n
+
+
+def import_frame(spark: SparkSession, frame, keys: list[str], most_bytes: int = 1 << 30) -> DataFrame:
+    """A small pandas table as a DataFrame (O-036): NaN as null, keys as text and without null or repetition."""
+    if frame.memory_usage(deep=True).sum() > most_bytes:
+        raise ValueError("too large to pass through the driver: write it as a table and read that")
+    if frame[keys].isna().any().any() or frame.duplicated(keys).any():
+        raise ValueError(f"{keys} are null or repeat")
+    out = spark.createDataFrame(frame)
+    return out.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in keys else C.flat(F.col(f"`{c}`")).alias(c) if out.schema[c].dataType.typeName() == "double" else F.col(f"`{c}`") for c in out.columns])
+
+
 def save_matrix(spark: SparkSession, matrix, path: str, name: str = "value") -> None:
     """A small dense matrix in long form (i, j, value) (O-045, O-051)."""
     rows = [(i, j, float(matrix[i, j])) for i in range(matrix.shape[0]) for j in range(matrix.shape[1])]

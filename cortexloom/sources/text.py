@@ -205,3 +205,14 @@ def read_annotations(spark: SparkSession, paths: str | list[str], favor: bool =
     head = header_of(spark, first[0])
     parts = F.split(F.trim("value"), BLANKS)
     return lines(spark, paths).where(parts.getItem(0) != head[0]).select(*[missing_as_null(parts.getItem(i)).alias(c) for i, c in enumerate(head)])
+
+
+def read_promoters(spark: SparkSession, path: str, genome: str | None = None) -> DataFrame:
+    """contig, start, end of promoter regions (O-034): a Parquet table, or text of three columns as a genome partition has them."""
+    from ..functions.columns import recode_contig
+
+    table = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_partition(spark, path)
+    if lacking := [c for c in ("contig", "start", "end") if c not in table.columns]:
+        raise ValueError(f"{path} lacks {lacking}")
+    contig = F.col("contig").cast("string")
+    return table.select((recode_contig(contig, genome) if genome else contig).alias("contig"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).where("start <= end").distinct()
