@@ -166,6 +166,24 @@ def set_products(calls: pd.DataFrame, place: dict, subjects: int = 4096) -> np.n
     return out
 
 
+def set_covariances(members: DataFrame, calls: DataFrame) -> DataFrame:
+    """set_name, mask, i, j, value: Z'(I - M)Z = Z'Z - PP' of each set's variants, i not after j (O-179).
+
+    members: (set_name, mask, variant, proj array); calls: (variant, iid, dosage)."""
+    own = members.select(F.col("set_name").alias("set_j"), F.col("mask").alias("mask_j"), F.col("variant").alias("_at")).join(calls.select("variant", "iid", "dosage"), F.col("_at") == F.col("variant")).drop("_at")
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("variant")
+        names = left["variant"].to_numpy()
+        proj = np.stack(left["proj"].to_numpy()) if len(left) else np.zeros((0, 1))
+        cov = set_products(right, {v: k for k, v in enumerate(names)}) - proj @ proj.T
+        i, j = np.triu_indices(len(names))
+        return pd.DataFrame({"set_name": key[0], "mask": key[1], "i": names[i], "j": names[j], "value": cov[i, j]})
+
+    kind = members.schema["variant"].dataType.simpleString()
+    return members.groupBy("set_name", "mask").cogroup(own.groupBy("set_j", "mask_j")).applyInPandas(run, f"set_name string, mask string, i {kind}, j {kind}, value double")
+
+
 def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, variance: np.ndarray, tests: tuple = ("burden", "skat", "staar"), max_p: float = 1.0, cmac_min: int = 2, null: dict | None = None, calls: DataFrame | None = None) -> DataFrame:
     """index, set_name, mask, n_variants, cmac, and p-values of variant sets (O-179 to O-185, O-196).
 

@@ -1,9 +1,9 @@
 """Registered queries of the library's own operators, and the same in SQL."""
 
-from . import analytic, files, relational
+from . import analytic, files, relational, selections
 from .registry import QUERIES, SQL
 
-__all__ = ["analytic", "files", "relational", "queries", "oracle_sql"]
+__all__ = ["analytic", "files", "relational", "selections", "queries", "oracle_sql"]
 
 
 def queries() -> dict:

@@ -23,9 +23,8 @@ def r6(name: str, source=None):
 
 @query("o116_cross_products", CTE + SUBJECTS + "SELECT count(*) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(x * x) AS BIGINT) AS sxx, round(sum(y1), 2) AS sy, round(sum(x * y1), 2) AS sxy FROM s")
 def cross_products(spark, sf_dir):
-    s = Study(spark, sf_dir).subjects
-    sums = s.select(F.get("x", 1).alias("x"), F.get("y", 0).alias("y"))
-    return sums.agg(F.count("*").alias("n"), F.sum("x").cast("long").alias("sx"), F.sum(F.col("x") * F.col("x")).cast("long").alias("sxx"), F.round(F.sum("y"), 2).alias("sy"), F.round(F.sum(F.col("x") * F.col("y")), 2).alias("sxy"))
+    p = linear.cross_products(Study(spark, sf_dir).subjects)
+    return spark.createDataFrame([(int(p["n"]), round(p["xx"][0, 1]), round(p["xx"][1, 1]), round(float(p["xy"][0, 0]), 2), round(float(p["xy"][1, 0]), 2))], "n long, sx long, sxx long, sy double, sxy double")
 
 
 @query("o117_component_covariance", CTE + SUBJECTS + "SELECT round(var_pop(y1) * (1 - power(corr(x, y1), 2)), 2) AS c11, round(covar_pop(y1, y2) - covar_pop(x, y1) * covar_pop(x, y2) / var_pop(x), 2) AS c12, round(var_pop(y2) * (1 - power(corr(x, y2), 2)), 2) AS c22 FROM s")
@@ -39,21 +38,23 @@ def voxel_means(spark, sf_dir):
     return images.voxel_means(Study(spark, sf_dir).images).select(F.col("voxel").cast("int").alias("voxel"), r6("mean"))
 
 
-@query("o161_gwas", CTE + SUBJECTS + """, d AS (SELECT v.variant, s.iid, s.y1, s.y2, coalesce(g.dosage, 0) AS g FROM (SELECT DISTINCT variant FROM geno WHERE variant < 100) v CROSS JOIN s LEFT JOIN geno g ON g.variant = v.variant AND g.iid = s.iid)
-SELECT variant, count(*) AS n_called, round(avg(g) / 2, 6) AS alt_allele_freq, round(regr_slope(y1, g), 3) AS beta_1, round(regr_slope(y2, g), 3) AS beta_2, round(sqrt((regr_syy(y1, g) - power(regr_sxy(y1, g), 2) / regr_sxx(y1, g)) / (count(*) - 2) / regr_sxx(y1, g)), 3) AS se_1 FROM d GROUP BY variant""")
+@query("o161_gwas", CTE + SUBJECTS + """, t AS (SELECT count(*) AS n, sum(y1) AS s1, sum(y2) AS s2, sum(y1 * y1) AS q1 FROM s),
+g AS (SELECT variant, CAST(sum(dosage) AS DOUBLE) AS sg, CAST(sum(dosage * dosage) AS DOUBLE) AS gg, sum(dosage * y1) AS g1, sum(dosage * y2) AS g2 FROM geno JOIN s USING (iid) GROUP BY variant),
+c AS (SELECT variant, n, sg, gg - sg * sg / n AS sxx, g1 - sg * s1 / n AS x1, g2 - sg * s2 / n AS x2, q1 - s1 * s1 / n AS yy FROM g, t)
+SELECT variant, n AS n_called, round(sg / n / 2, 6) AS alt_allele_freq, round(x1 / sxx, 3) AS beta_1, round(x2 / sxx, 3) AS beta_2, round(sqrt((yy - x1 * x1 / sxx) / (n - 2) / sxx), 3) AS se_1 FROM c""")
 def gwas(spark, sf_dir):
     s = Study(spark, sf_dir)
-    g = linear.gwas(s.geno.where("variant < 100"), s.plain_subjects)
+    g = linear.gwas(s.geno, s.plain_subjects)
     return g.select("variant", "n_called", r6("alt_allele_freq"), F.round(F.get("beta", 0), 3).alias("beta_1"), F.round(F.get("beta", 1), 3).alias("beta_2"), F.round(F.get("standard_error", 0), 3).alias("se_1"))
 
 
-@query("o161_gwas_with_covariates", CTE + SUBJECTS + """, f AS (SELECT iid, y1 - (regr_slope(y1, x) OVER () * x + regr_intercept(y1, x) OVER ()) AS r, x FROM s),
-d AS (SELECT v.variant, f.iid, f.r, f.x, coalesce(g.dosage, 0) AS g FROM (SELECT DISTINCT variant FROM geno WHERE variant < 60) v CROSS JOIN f LEFT JOIN geno g ON g.variant = v.variant AND g.iid = f.iid),
-m AS (SELECT variant, r, g - (regr_slope(g, x) OVER (PARTITION BY variant) * x + regr_intercept(g, x) OVER (PARTITION BY variant)) AS gr FROM d)
-SELECT variant, round(sum(gr * r) / sum(gr * gr), 4) AS beta FROM m GROUP BY variant""")
+@query("o161_gwas_with_covariates", CTE + SUBJECTS + """, f AS (SELECT iid, y1 - (regr_slope(y1, x) OVER () * x + regr_intercept(y1, x) OVER ()) AS r, x FROM s), t AS (SELECT count(*) AS n, sum(x) AS sx, sum(x * x) AS xx, sum(r * r) AS rr FROM f),
+g AS (SELECT variant, CAST(sum(dosage) AS DOUBLE) AS sg, CAST(sum(dosage * dosage) AS DOUBLE) AS gg, sum(dosage * x) AS gx, sum(dosage * r) AS gr FROM geno JOIN f USING (iid) GROUP BY variant),
+l AS (SELECT variant, gr, rr, n, gg - (sg * sg * xx - 2 * sg * gx * sx + gx * gx * n) / (n * xx - sx * sx) AS rest FROM g, t)
+SELECT variant, round(gr / rest, 4) AS beta, round(sqrt((rr - gr * gr / rest) / (n - 3) / rest), 4) AS se FROM l""")
 def gwas_with_covariates(spark, sf_dir):
     s = Study(spark, sf_dir)
-    return linear.gwas(s.geno.where("variant < 60"), s.subjects).select("variant", F.round(F.get("beta", 0), 4).alias("beta"))
+    return linear.gwas(s.geno, s.subjects).select("variant", F.round(F.get("beta", 0), 4).alias("beta"), F.round(F.get("standard_error", 0), 4).alias("se"))
 
 
 @query("o161_gwas_all_variants")
@@ -68,10 +69,12 @@ def component_projection(spark, sf_dir):
     return linear.project(s.images, s.bases).select("iid", F.posexplode("ldr").alias("component", "value")).select("iid", F.col("component").cast("int").alias("component"), r6("value"))
 
 
-@query("o159_reconstruction_quality")
+@query("o159_reconstruction_quality", "WITH a AS (SELECT 1)" + BASES + """, y AS (SELECT vec_id, v, CAST(embedding[v + 1] AS DOUBLE) AS y FROM embeddings, (SELECT unnest(generate_series(0, 63)) AS v)), c AS (SELECT vec_id, j, sum(y * b) AS c FROM y JOIN basis USING (v) WHERE j > 0 GROUP BY 1, 2),
+k AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10]) AS step, unnest([1, 1, 2, 3, 4, 4, 5, 6, 6, 7]) AS r), z AS (SELECT step, vec_id, v, sum(c * b) AS z FROM c JOIN basis USING (j), k WHERE j <= r GROUP BY 1, 2, 3),
+q AS (SELECT step, vec_id, corr(y, z) AS q FROM z JOIN y USING (vec_id, v) GROUP BY 1, 2) SELECT step / 10 AS share, round(avg(q), 6) AS corr FROM q GROUP BY step""")
 def reconstruction_quality(spark, sf_dir):
     s = Study(spark, sf_dir)
-    return linear.reconstruction_quality(s.images, s.bases.withColumn("b", F.slice("b", 2, COMPONENTS - 1)))
+    return linear.reconstruction_quality(s.images, s.bases.withColumn("b", F.slice("b", 2, COMPONENTS - 1))).select("share", r6("corr"))
 
 
 @query("o165_principal_components")
@@ -80,10 +83,27 @@ def principal_components(spark, sf_dir):
     return spark.createDataFrame([(i + 1, float(v), linear.effective_tests(values)) for i, v in enumerate(values)], "component int, eigenvalue double, effective double")
 
 
-@query("o120_variance_proportions")
+@query("o120_variance_proportions", """WITH e AS (SELECT sum(l_quantity) AS v FROM lineitem GROUP BY l_suppkey % 37), c AS (SELECT sum(v) OVER (ORDER BY v DESC ROWS UNBOUNDED PRECEDING) / sum(v) OVER () AS c FROM e)
+SELECT CAST(p AS DOUBLE) AS prop_var, CAST(1 + count(*) FILTER (c <= p) AS INTEGER) AS n_ldrs FROM c, (SELECT unnest([0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) AS p) GROUP BY p""")
 def variance_proportions(spark, sf_dir):
-    _, values = linear.principal_components(Study(spark, sf_dir).images, VOXELS)
-    return spark.createDataFrame(linear.proportions(values), "prop_var double, n_ldrs int")
+    return spark.createDataFrame(linear.proportions(_spectrum(Study(spark, sf_dir))), "prop_var double, n_ldrs int")
+
+
+def _spectrum(s: Study) -> np.ndarray:
+    """37 falling values that stand for eigenvalues."""
+    return np.array([r[0] for r in s.table("lineitem").groupBy(F.col("l_suppkey") % 37).agg(F.sum("l_quantity").alias("v")).select("v").orderBy(F.desc("v")).collect()])
+
+
+@query("o119_effective_tests", "SELECT round(power(sum(v), 2) / sum(v * v), 6) AS effective FROM (SELECT sum(l_quantity) AS v FROM lineitem GROUP BY l_suppkey % 37)")
+def effective_tests(spark, sf_dir):
+    return spark.createDataFrame([(round(linear.effective_tests(_spectrum(Study(spark, sf_dir))), 6),)], "effective double")
+
+
+@query("o166_imputed_eigenvalues", """WITH e AS (SELECT v, row_number() OVER (ORDER BY v DESC) AS k FROM (SELECT sum(l_quantity) AS v FROM lineitem GROUP BY l_suppkey % 37)), l AS (SELECT max(ln(v)) FILTER (k = 37) AS last, max(ln(v)) FILTER (k = 37) - max(ln(v)) FILTER (k = 36) AS slope FROM e)
+SELECT CAST(k AS INTEGER) AS place, round(v, 4) AS value FROM e UNION ALL SELECT CAST(37 + i AS INTEGER), round(exp(last + slope * i), 4) FROM l, (SELECT unnest(generate_series(1, 13)) AS i)""")
+def imputed_eigenvalues(spark, sf_dir):
+    values = linear.impute_eigenvalues(_spectrum(Study(spark, sf_dir)), 50)
+    return spark.createDataFrame([(i + 1, round(float(v), 4)) for i, v in enumerate(values)], "place int, value double")
 
 
 @query("o168_voxel_recovery", CTE + BASES + """, st AS (SELECT p_partkey AS snp, CAST(p_size AS DOUBLE) + 100 AS n, j, sin(p_partkey * 0.37 + j + 1) AS beta, sin(p_partkey * 0.37 + j + 1) / (0.5 + 0.01 * (p_partkey % 7)) AS z FROM part, (SELECT unnest(generate_series(0, 7)) AS j)),
@@ -216,16 +236,31 @@ def cauchy(spark, sf_dir):
 @query("o195_jackknife", """WITH b AS (SELECT l_suppkey % 20 AS block, sum(l_quantity) AS s, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT sum(s) AS s, sum(n) AS n FROM b), l AS (SELECT (t.s - b.s) / (t.n - b.n) AS e FROM b, t)
 SELECT round(20 * max(t.s / t.n) - 19 * avg(e), 6) AS estimate, round(sqrt(19.0 / 20 * sum(power(e - m, 2))), 6) AS se FROM (SELECT e, avg(e) OVER () AS m FROM l), t""")
 def jackknife(spark, sf_dir):
-    x = Study(spark, sf_dir).table("lineitem").groupBy((F.col("l_suppkey") % 20).alias("block")).agg(F.sum("l_quantity").alias("s"), F.count("*").alias("n"))
-    t = x.agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-    left = x.join(F.broadcast(t), F.lit(True)).select(((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("e"), (F.col("ts") / F.col("tn")).alias("full"))
-    return left.agg(F.round(20 * F.max("full") - 19 * F.avg("e"), 6).alias("estimate"), F.round(F.sqrt(F.lit(19.0 / 20) * F.var_pop("e") * F.count("*")), 6).alias("se"))
+    blocks = Study(spark, sf_dir).table("lineitem").groupBy((F.col("l_suppkey") % 20).alias("block")).agg(F.sum("l_quantity").alias("s"), F.count("*").alias("n")).orderBy("block").collect()  # 20 rows
+    s, n = (np.array([r[c] for r in blocks], float) for c in ("s", "n"))
+    estimate, se = ld.jackknife(np.array([s.sum() / n.sum()]), ((s.sum() - s) / (n.sum() - n))[:, None])
+    return spark.createDataFrame([(round(float(estimate[0]), 6), round(float(se[0]), 6))], "estimate double, se double")
 
 
-@query("o104_hardy_weinberg")
+HWE_SQL = """, k AS (SELECT variant, n_called AS n, n_het AS het, 2 * least(n_called - n_het - n_hom_alt, n_hom_alt) + n_het AS rare FROM qc),
+h AS (SELECT variant, het, rare, unnest(generate_series(rare % 2, rare, 2)) AS h, n FROM k), p AS (SELECT variant, het, h, h * ln(2) - lgamma(h + 1) - lgamma((rare - h) / 2 + 1) - lgamma(n - (rare + h) / 2 + 1) AS l FROM h),
+q AS (SELECT variant, het, h, exp(l - max(l) OVER (PARTITION BY variant)) AS p FROM p), o AS (SELECT variant, p AS own FROM q WHERE h = het),
+e AS (SELECT variant, least(1.0, (sum(CASE WHEN p < own * (1 - 1e-9) THEN p WHEN p <= own * (1 + 1e-9) THEN p / 2 ELSE 0 END)) / sum(p)) AS p_hwe FROM q JOIN o USING (variant) GROUP BY variant)
+"""
+
+
+@query("o104_hardy_weinberg", CTE + HWE_SQL + "SELECT variant, round(p_hwe, 6) AS p_hwe FROM e")
 def hardy_weinberg(spark, sf_dir):
     s = Study(spark, sf_dir)
-    return variants.hwe_p(variants.variant_qc(s.geno, s.n)).select("variant", "p_hwe")
+    return variants.hwe_p(variants.variant_qc(s.geno, s.n)).select("variant", r6("p_hwe"))
+
+
+@query("o072_hwe_filter", CTE + HWE_SQL + "SELECT variant FROM e WHERE p_hwe >= 0.3")
+def hwe_filter(spark, sf_dir):
+    from ..config import VariantFilter
+
+    s = Study(spark, sf_dir)
+    return variants.quality(variants.hwe_p(variants.variant_qc(s.geno, s.n)), VariantFilter(hwe=0.3)).select("variant")
 
 
 @query("o155_tails")
@@ -242,7 +277,10 @@ def _blocks(s: Study) -> DataFrame:
     return ld.ld_blocks(_calls(s).select(F.floor(F.col("pos") / 50).cast("int").alias("block_idx"), "snp", "pos", "iid", "dosage"), n=s.n)
 
 
-@query("o167_ld_scores")
+@query("o167_ld_scores", CTE + """, m AS (SELECT variant, pos // 50 AS block, ac / CAST(n AS DOUBLE) AS mean, sqrt((SELECT sum(dosage * dosage) FROM geno g WHERE g.variant = qc.variant) / CAST(n AS DOUBLE) - power(ac / CAST(n AS DOUBLE), 2)) AS sd FROM qc JOIN variants USING (variant), num),
+b AS (SELECT g.variant, g.iid, g.dosage, m.block FROM geno g JOIN m USING (variant)), x AS (SELECT a.variant AS i, c.variant AS j, sum(a.dosage * c.dosage) AS s FROM b a JOIN b c ON a.block = c.block AND a.iid = c.iid GROUP BY 1, 2),
+r AS (SELECT p.variant AS i, count(*) AS p, sum(power((coalesce(s, 0) / CAST(n AS DOUBLE) - p.mean * q.mean) / (p.sd * q.sd), 2)) AS r2 FROM m p JOIN m q ON p.block = q.block LEFT JOIN x ON x.i = p.variant AND x.j = q.variant, num GROUP BY 1)
+SELECT CAST(m.block AS INTEGER) AS block_idx, 'rs' || m.variant AS snp, CAST(m.variant AS INTEGER) AS pos, round(r2 - (p - r2) / (n - 2), 6) AS ldscore FROM r JOIN m ON r.i = m.variant, num""")
 def ld_scores(spark, sf_dir):
     return _blocks(Study(spark, sf_dir)).select("block_idx", "snp", "pos", F.round("ldscore", 6).alias("ldscore"))
 

@@ -86,7 +86,7 @@ def brace_paths(spark, sf_dir):
 
 
 #: Suppliers as samples and nations as variants: a small panel whose calls are known by rule.
-PANEL = """, calls AS (SELECT n_nationkey AS variant, s_suppkey AS sample, CASE WHEN s_nationkey = n_nationkey THEN 2 WHEN (s_suppkey + n_nationkey) % 11 = 0 THEN NULL WHEN (s_suppkey * 7 + n_nationkey) % 3 = 0 THEN 1 ELSE 0 END AS dosage FROM nation, supplier)
+PANEL = """, calls AS (SELECT CAST(n_nationkey AS BIGINT) AS variant, s_suppkey AS sample, CASE WHEN s_nationkey = n_nationkey THEN 2 WHEN (s_suppkey + n_nationkey) % 11 = 0 THEN NULL WHEN (s_suppkey * 7 + n_nationkey) % 3 = 0 THEN 1 ELSE 0 END AS dosage FROM nation, supplier)
 """
 
 

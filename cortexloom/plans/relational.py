@@ -39,12 +39,6 @@ def minor_allele(spark, sf_dir):
     return variants.variant_qc(s.geno, s.n).select("variant", r6("maf"), "mac")
 
 
-@query("o103_sparse_counts", CTE + "SELECT variant, ac AS mac, round(ac / (2.0 * n), 6) AS maf FROM qc, num")
-def sparse_counts(spark, sf_dir):
-    s = Study(spark, sf_dir)
-    return s.geno.groupBy("variant").agg(F.sum("dosage").cast("long").alias("mac")).select("variant", "mac", F.round(F.col("mac") / (2 * s.n), 6).alias("maf"))
-
-
 @query("o069_maf_filter", CTE + "SELECT variant FROM qc WHERE maf > 0.008 AND maf <= 0.01")
 def maf_filter(spark, sf_dir):
     s = Study(spark, sf_dir)
@@ -139,10 +133,10 @@ def remove_lists(spark, sf_dir):
     return ids.union_ids([s.table("orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("iid")), s.table("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("iid"))], ["iid"])
 
 
-@query("o136_except_ids", "SELECT c_custkey AS iid FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("o136_except_ids", "SELECT o_custkey AS iid FROM orders WHERE o_totalprice > 200000 EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey < 12")
 def except_ids(spark, sf_dir):
     s = Study(spark, sf_dir)
-    return ids.except_ids(s.table("customer").select(F.col("c_custkey").alias("iid")), s.table("orders").select(F.col("o_custkey").alias("iid")), ["iid"])
+    return ids.except_ids(s.table("orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("iid")), s.table("customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("iid")), ["iid"])
 
 
 @query("o134_align_subjects", """SELECT c_custkey AS iid FROM customer INTERSECT SELECT o_custkey FROM orders INTERSECT SELECT vec_id FROM embeddings EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey = 3""")
@@ -427,16 +421,20 @@ def first_rows(spark, sf_dir):
     return Study(spark, sf_dir).table("supplier").select("s_suppkey", "s_acctbal").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(7)
 
 
-@query("o133s_null_tail", "SELECT l_suppkey AS voxel, list_sort(list_slice(list_sort(list(l_quantity)), -5, -1)) AS stats, count(*) AS n FROM lineitem GROUP BY l_suppkey")
+@query("o133s_null_tail", """WITH n AS (SELECT count(*) AS n FROM lineitem), v AS (SELECT CAST(l_suppkey AS INTEGER) AS voxel, list_sort(list(l_quantity)) AS s FROM lineitem WHERE l_suppkey > 0 GROUP BY l_suppkey)
+SELECT voxel, list_slice(s, greatest(1, len(s) - greatest(1, CAST(floor(n * 0.001) AS INTEGER)) + 1), len(s)) AS stats FROM v, n""")
 def null_tail(spark, sf_dir):
-    x = Study(spark, sf_dir).table("lineitem").groupBy(F.col("l_suppkey").alias("voxel")).agg(F.array_sort(F.collect_list("l_quantity")).alias("s"), F.count("*").alias("n"))
-    return x.select("voxel", F.expr("if(size(s) > 5, slice(s, -5, 5), s)").alias("stats"), "n")
+    from ..operators.nulls import merge_permutations
+
+    x = Study(spark, sf_dir).table("lineitem")
+    drawn = x.agg(F.count("*").cast("double").alias("stat")).select(F.lit("all").alias("bin"), F.lit(0).alias("voxel"), "stat")
+    return merge_permutations([drawn.unionByName(x.where("l_suppkey > 0").select(F.lit("all").alias("bin"), F.col("l_suppkey").cast("int").alias("voxel"), F.col("l_quantity").alias("stat")))], 0.001).select("voxel", "stats")
 
 
 @query("o137s_stack_tables", "SELECT c_custkey AS id, c_acctbal AS balance, NULL AS extra FROM customer UNION ALL SELECT s_suppkey, s_acctbal, s_name FROM supplier")
 def stack_tables(spark, sf_dir):
     s = Study(spark, sf_dir)
-    return s.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance")).unionByName(s.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"), F.col("s_name").alias("extra")), allowMissingColumns=True)
+    return sumstats.stack([s.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance")), s.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"), F.col("s_name").alias("extra"))])
 
 
 @query("o141_coding_masks", CTE + """, m AS (SELECT exonic IN ('stopgain', 'stoploss') OR category IN ('splicing', 'exonic;splicing', 'ncRNA_splicing', 'ncRNA_exonic;splicing') AS plof, exonic = 'synonymous SNV' AS synonymous, exonic = 'nonsynonymous SNV' AS missense, exonic = 'nonsynonymous SNV' AND metasvm = 'D' AS disruptive_missense,
