@@ -8,21 +8,79 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .linear import covariance, cross_products, gwas, recover_voxels, residuals
 from .variants import CMAC_BINS
 
 
 def wild_bootstrap(resid: DataFrame, samples: int, seed: int = 1) -> DataFrame:
     """sample_id, iid, resid: each subject's residuals times a standard normal of its own (O-190)."""
     spread = resid.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    u = lambda k: (F.pmod(F.xxhash64("iid", "sample_id", F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
+    normal = normal_of(F.col("iid"), F.col("sample_id"), seed)
     return spread.withColumn("_w", normal).select("sample_id", "iid", F.transform("resid", lambda x: x * F.col("_w")).alias("resid"))
 
 
+def normal_of(iid: Column, sample: Column, seed: int) -> Column:
+    """A standard normal that depends on subject, replicate and seed only."""
+    u = lambda k: (F.pmod(F.xxhash64(iid, sample, F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
+
+
+def bootstrap_clusters(geno: DataFrame, subjects: DataFrame, bases: DataFrame, samples: int, max_p: float = 2.5e-6, seed: int = 1, at_once: int = 10) -> DataFrame:
+    """sample_id, variant, size: for each variant and wild-bootstrap replicate the number of voxels that are significant (O-190).
+
+    The chain of one replicate: residuals times a normal for each subject, association with all variants,
+    voxel effects from component effects, voxels with p <= max_p counted, 0 included.  `at_once`
+    replicates share a pass over the genotypes, as further components of one association.
+    """
+    null = residuals(subjects).select("iid", "x", "resid")
+    first = null.select(F.size("resid").alias("r")).first()
+    if first is None:
+        raise ValueError("no subject")
+    r, out = first["r"], None
+
+    def times_normal(k: int) -> Column:
+        return F.transform("resid", lambda v: v * normal_of(F.col("iid"), F.lit(k), seed))
+
+    for lo in range(0, samples, at_once):
+        own = range(lo, min(lo + at_once, samples))
+        wide = null.select("iid", "x", F.concat(*[times_normal(k) for k in own]).alias("y"))
+        products = cross_products(wide)
+        sigma = covariance(products)
+        tested = gwas(geno, wide)
+        for i, k in enumerate(own):
+            part = slice(i * r, (i + 1) * r)
+            table = tested.select("variant", F.col("n_called").cast("double").alias("n"), F.slice("beta", part.start + 1, r).alias("beta"), F.slice("t_stat", part.start + 1, r).alias("z"))
+            usable = table.where(~F.exists("z", lambda v: v.isNull() | F.isnan(v)))
+            found = recover_voxels(usable, bases, sigma[part, part], max_p=max_p).groupBy("variant").agg(F.count("*").alias("_n"))
+            counted = table.select("variant").join(found, "variant", "left").select(F.lit(k).alias("sample_id"), "variant", F.coalesce("_n", F.lit(0)).alias("size"))
+            out = counted if out is None else out.unionAll(counted)
+    return out
+
+
+def permuted_clusters(members: DataFrame, calls: DataFrame, null: DataFrame, bases: np.ndarray, variance: np.ndarray, samples: int, max_p: float = 2.5e-6, seed: int = 1) -> DataFrame:
+    """sample_id, set_name, mask, size: for each set and permutation of the residual rows the number of voxels whose
+    omnibus (burden where there is none) is significant (O-191).
+
+    members: (set_name, mask, variant, maf, mac, proj, annot); calls: (variant, iid, dosage); null: (iid, resid).
+    The sets' covariances do not change, so only the scores of the variants are made anew.
+    """
+    from .rare import scores, set_tests
+
+    drawn = permuted_rows(null.select("iid", "resid"), samples, seed)
+    out = None
+    for k in range(samples):
+        own = scores(calls, drawn.where(F.col("sample_id") == k).select("iid", "resid"))
+        tested = set_tests(members.join(own, "variant"), None, bases, variance, max_p=1.0, calls=calls)
+        hit = F.coalesce(F.col("staar_o"), F.col("burden_p")) <= max_p
+        counted = tested.groupBy("set_name", "mask").agg(F.count_if(hit).alias("size")).select(F.lit(k).alias("sample_id"), "set_name", "mask", "size")
+        out = counted if out is None else out.unionAll(counted)
+    return out
+
+
 def cluster_sizes(significant: DataFrame, variants: DataFrame, samples: int) -> DataFrame:
     """sample_id, snp, size: significant voxels of each variant in each replicate, 0 included (O-112)."""
     every = variants.select("snp").withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))

@@ -184,9 +184,44 @@ def set_covariances(members: DataFrame, calls: DataFrame) -> DataFrame:
     return members.groupBy("set_name", "mask").cogroup(own.groupBy("set_j", "mask_j")).applyInPandas(run, f"set_name string, mask string, i {kind}, j {kind}, value double")
 
 
+#: Kinds of p-values of a set: the test and the beta density of its weights.
+GROUPS = ("burden_1_25", "burden_1_1", "skat_1_25", "skat_1_1")
+
+
+def _by_beta(weights: list[tuple[str, np.ndarray]]) -> list[tuple[str, list[np.ndarray]]]:
+    """Weights of each beta density: alone, then times the annotations."""
+    return [(name.replace(",", "_"), [w for n, w in weights if n.split(":")[0] == name]) for name in ("1,25", "1,1")]
+
+
+def named(results: DataFrame, annotations: list[str] = (), staar_only: bool = False) -> DataFrame:
+    """Results of set_tests with a column for each p-value (O-196): INDEX, VARIANT_SET, MASK, N_VARIANTS, CMAC, STAAR-O,
+    and for each test and density Test(a,b), Test(a,b)-<annotation> and STAAR-Test(a,b), null where it was not made."""
+    head = [F.col(c).alias(n) for c, n in (("index", "INDEX"), ("set_name", "VARIANT_SET"), ("mask", "MASK"), ("n_variants", "N_VARIANTS"), ("cmac", "CMAC"), ("staar_o", "STAAR-O"))]
+    if staar_only:
+        return results.select(*head)
+    columns = []
+    for g in GROUPS:
+        test, a, b = g.split("_")
+        name = f"{test.upper() if test == 'skat' else 'Burden'}({a},{b})"
+        columns += [F.get(g, k).alias(name if not k else f"{name}-{annotations[k - 1]}") for k in range(len(annotations) + 1)]
+        columns += [F.col(f"staar_{g}").alias(f"STAAR-{name}")] * bool(annotations)
+    return results.select(*head, *columns)
+
+
+def burden_table(results: DataFrame) -> DataFrame:
+    """INDEX, VARIANT_SET, MASK, N_VARIANTS, CMAC, Burden_effect, Burden_se, Burden_pvalue of results of set_tests (O-196)."""
+    names = (("index", "INDEX"), ("set_name", "VARIANT_SET"), ("mask", "MASK"), ("n_variants", "N_VARIANTS"), ("cmac", "CMAC"), ("burden_effect", "Burden_effect"), ("burden_se", "Burden_se"), ("burden_p", "Burden_pvalue"))
+    return results.select(*[F.col(c).alias(n) for c, n in names])
+
+
 def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, variance: np.ndarray, tests: tuple = ("burden", "skat", "staar"), max_p: float = 1.0, cmac_min: int = 2, null: dict | None = None, calls: DataFrame | None = None) -> DataFrame:
     """index, set_name, mask, n_variants, cmac, and p-values of variant sets (O-179 to O-185, O-196).
 
+    burden_effect, burden_se, burden_p: the burden of the plain weights.  burden_1_25, burden_1_1, skat_1_25,
+    skat_1_1: arrays of p-values, of the beta weights alone and then times each annotation; staar_ and the same
+    name: their Cauchy combination, where there are annotations; skat_p: that of all SKAT p-values; staar_o:
+    that of all of them.  `named` gives them their columns by name.
+
     members: (set_name, mask, variant, maf, mac, score, proj, annot array or null), ld: (i, j, value), or None and
     calls: (variant, iid, dosage), from which each set's products are made where it is tested, so that no pair
     of variants is formed that no set needs.
@@ -200,10 +235,10 @@ def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, varia
         two = members.select(F.col("set_name").alias("set_j"), F.col("mask").alias("mask_j"), F.col("variant").alias("at_j"))
         pairs = one.join(ld, F.col("at_i") == F.col("i")).join(two, (F.col("set_i") == F.col("set_j")) & (F.col("mask_i") == F.col("mask_j")) & (F.col("j") == F.col("at_j")))
         joined = pairs.select("set_j", "mask_j", "i", "j", "value")
-    schema = "index int, set_name string, mask string, n_variants int, cmac long, burden_effect double, burden_se double, burden_p double, skat_p double, staar_o double"
+    schema = "index int, set_name string, mask string, n_variants int, cmac long, burden_effect double, burden_se double, burden_p double, skat_p double, staar_o double, " + ", ".join([*(f"{g} array<double>" for g in GROUPS), *(f"staar_{g} double" for g in GROUPS)])
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        none = pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in schema.split(", ")})
         left = left.sort_values("variant").reset_index(drop=True)
         cmac = int(left["mac"].sum())
         if len(left) < 2 or cmac < cmac_min:
@@ -220,15 +255,26 @@ def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, varia
         annot = np.stack(left["annot"].to_numpy()).astype(float) if cmac > 500 and left["annot"].notna().all() else None
         voxels = len(bases)
         effect, se, chi = burden(score, cov, np.ones(len(left)), bases, variance)
-        out = {"burden_effect": effect, "burden_se": se, "burden_p": burden_p(chi, cmac, null), "skat_p": np.full(voxels, np.nan), "staar_o": np.full(voxels, np.nan)}
+        nothing = np.full(voxels, np.nan)
+        out = {"burden_effect": effect, "burden_se": se, "burden_p": burden_p(chi, cmac, null), "skat_p": nothing, "staar_o": nothing}
+        groups: dict = dict.fromkeys(GROUPS)
+        every = annotation_weights(annot, maf, "burden")
+        if {"burden", "staar"} & set(tests):
+            for name, own in _by_beta(every):
+                groups[f"burden_{name}"] = np.stack([burden_p(burden(score, cov, w, bases, variance)[2], cmac, null) for w in own])
         if cmac > 100 and {"skat", "staar"} & set(tests):
-            b = [burden_p(burden(score, cov, w, bases, variance)[2], cmac) for _, w in annotation_weights(annot, maf, "burden")]
-            s = [skat(score, cov, w, bases, variance) for _, w in annotation_weights(annot, maf, "skat")]
-            out["skat_p"] = stats.cauchy_combination(np.stack(s))
+            for name, own in _by_beta(annotation_weights(annot, maf, "skat")):
+                groups[f"skat_{name}"] = np.stack([skat(score, cov, w, bases, variance) for w in own])
+            out["skat_p"] = stats.cauchy_combination(np.concatenate([groups["skat_1_25"], groups["skat_1_1"]]))
             if "staar" in tests:
-                out["staar_o"] = stats.cauchy_combination(np.stack(b + s))
+                out["staar_o"] = stats.cauchy_combination(np.concatenate([groups[g] for g in GROUPS]))
+        for g in GROUPS:
+            p = groups[g]
+            out[g] = [None] * voxels if p is None else list(p.T)
+            out[f"staar_{g}"] = stats.cauchy_combination(p) if p is not None and len(p) > 1 else nothing
         frame = pd.DataFrame({"index": np.arange(1, voxels + 1, dtype=np.int32), "set_name": key[0], "mask": key[1], "n_variants": np.int32(len(left)), "cmac": np.int64(cmac), **out})
-        return frame[~(frame[["burden_p", "skat_p", "staar_o"]].min(axis=1) > max_p)]
+        found = np.vstack([frame[["burden_p", "skat_p", "staar_o", *(f"staar_{g}" for g in GROUPS)]].to_numpy(float).T, *(p for p in groups.values() if p is not None)])
+        return frame[~(np.fmin.reduce(found, axis=0) > max_p)]
 
     return members.groupBy("set_name", "mask").cogroup(joined.groupBy("set_j", "mask_j")).applyInPandas(run, schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,6 +212,26 @@ def omnibus_tests(spark, sf_dir):
     return rare.set_tests(members, None, bases, variance, ("burden", "skat", "staar"), calls=calls)
 
 
+@query("o196_named_results")
+def named_results(spark, sf_dir):
+    members, calls, bases, variance, _ = _summary(Study(spark, sf_dir))
+    return rare.named(rare.set_tests(members, None, bases, variance, calls=calls), ["phred"])
+
+
+@query("o190_bootstrap_clusters")
+def bootstrap_clusters(spark, sf_dir):
+    s = Study(spark, sf_dir)
+    bases = spark.createDataFrame([(v, [math.cos(v / 5), math.sin(v / 5)]) for v in range(20)], "voxel int, b array<double>")
+    return nulls.bootstrap_clusters(s.geno, s.plain_subjects, bases, 4, 0.05)
+
+
+@query("o191_permuted_clusters")
+def permuted_clusters(spark, sf_dir):
+    s = Study(spark, sf_dir)
+    members, calls, bases, variance, _ = _summary(s)
+    return nulls.permuted_clusters(members.drop("score"), calls, linear.residuals(s.plain_subjects), bases, variance, 2, 0.05)
+
+
 @query("o122_sliding_window_tests")
 def sliding_window_tests(spark, sf_dir):
     s = Study(spark, sf_dir)
