@@ -85,7 +85,7 @@ def principal_components(spark, sf_dir):
     return spark.createDataFrame([(i + 1, float(v), linear.effective_tests(values)) for i, v in enumerate(values)], "component int, eigenvalue double, effective double")
 
 
-@query("o120_variance_proportions", """WITH e AS (SELECT sum(l_quantity) AS v FROM lineitem GROUP BY l_suppkey % 37), c AS (SELECT sum(v) OVER (ORDER BY v DESC ROWS UNBOUNDED PRECEDING) / sum(v) OVER () AS c FROM e)
+@query("o120_variance_proportions", """WITH e AS (SELECT sum(l_quantity) AS v FROM lineitem GROUP BY l_partkey % 37), c AS (SELECT sum(v) OVER (ORDER BY v DESC ROWS UNBOUNDED PRECEDING) / sum(v) OVER () AS c FROM e)
 SELECT CAST(p AS DOUBLE) AS prop_var, CAST(1 + count(*) FILTER (c <= p) AS INTEGER) AS n_ldrs FROM c, (SELECT unnest([0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) AS p) GROUP BY p""")
 def variance_proportions(spark, sf_dir):
     return spark.createDataFrame(linear.proportions(_spectrum(Study(spark, sf_dir))), "prop_var double, n_ldrs int")
@@ -93,15 +93,15 @@ def variance_proportions(spark, sf_dir):
 
 def _spectrum(s: Study) -> np.ndarray:
     """37 falling values that stand for eigenvalues."""
-    return np.array([r[0] for r in s.table("lineitem").groupBy(F.col("l_suppkey") % 37).agg(F.sum("l_quantity").alias("v")).select("v").orderBy(F.desc("v")).collect()])
+    return np.array([r[0] for r in s.table("lineitem").groupBy(F.col("l_partkey") % 37).agg(F.sum("l_quantity").alias("v")).select("v").orderBy(F.desc("v")).collect()])
 
 
-@query("o119_effective_tests", "SELECT round(power(sum(v), 2) / sum(v * v), 6) AS effective FROM (SELECT sum(l_quantity) AS v FROM lineitem GROUP BY l_suppkey % 37)")
+@query("o119_effective_tests", "SELECT round(power(sum(v), 2) / sum(v * v), 6) AS effective FROM (SELECT sum(l_quantity) AS v FROM lineitem GROUP BY l_partkey % 37)")
 def effective_tests(spark, sf_dir):
     return spark.createDataFrame([(round(linear.effective_tests(_spectrum(Study(spark, sf_dir))), 6),)], "effective double")
 
 
-@query("o166_imputed_eigenvalues", """WITH e AS (SELECT v, row_number() OVER (ORDER BY v DESC) AS k FROM (SELECT sum(l_quantity) AS v FROM lineitem GROUP BY l_suppkey % 37)), l AS (SELECT max(ln(v)) FILTER (k = 37) AS last, max(ln(v)) FILTER (k = 37) - max(ln(v)) FILTER (k = 36) AS slope FROM e)
+@query("o166_imputed_eigenvalues", """WITH e AS (SELECT v, row_number() OVER (ORDER BY v DESC) AS k FROM (SELECT sum(l_quantity) AS v FROM lineitem GROUP BY l_partkey % 37)), l AS (SELECT max(ln(v)) FILTER (k = 37) AS last, max(ln(v)) FILTER (k = 37) - max(ln(v)) FILTER (k = 36) AS slope FROM e)
 SELECT CAST(k AS INTEGER) AS place, round(v, 4) AS value FROM e UNION ALL SELECT CAST(37 + i AS INTEGER), round(exp(last + slope * i), 4) FROM l, (SELECT unnest(generate_series(1, 13)) AS i)""")
 def imputed_eigenvalues(spark, sf_dir):
     values = linear.impute_eigenvalues(_spectrum(Study(spark, sf_dir)), 50)
@@ -366,7 +366,7 @@ def tfce(spark, sf_dir):
 def smooth_images(spark, sf_dir):
     s = Study(spark, sf_dir)
     grid = np.array([[v // 16, v // 4 % 4, v % 4] for v in range(VOXELS)], float)
-    weights = images.smoothing_weights(grid, 0.6)
+    weights = images.smoothing_weights(grid, 0.4)
     return images.smooth(s.images, weights).select("iid", F.posexplode("voxels").alias("voxel", "value"))
 
 
@@ -419,5 +419,11 @@ def permutation_null(spark, sf_dir):
 
 @query("o181_saddlepoint")
 def saddlepoint(spark, sf_dir):
-    rows = [(q, stats.saddlepoint(q, [4, 3, 2, 1])) for q in (0.1, 5.0, 6.0, 10.0, 60.0)]
-    return spark.createDataFrame(rows, "q double, p double")
+    """Tail of a mixture of four chi-squares at a value of each supplier."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "q": pdf["q"], "p": [stats.saddlepoint(float(q), np.array([4.0, 3.0, 2.0, 1.0])) for q in pdf["q"]]})
+
+    return Study(spark, sf_dir).table("supplier").select(F.col("s_suppkey").alias("id"), (F.abs("s_acctbal") / 100 + 0.01).alias("q")).mapInPandas(run, "id long, q double, p double")
