@@ -10,7 +10,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import stats
 
@@ -75,26 +76,33 @@ def ld_extract(blocks: DataFrame, snps: DataFrame) -> DataFrame:
 
 
 def _block_sums(stats_: DataFrame, ld: DataFrame, sigma: np.ndarray, two: bool) -> DataFrame:
-    """Per block: rank, W W' and, with a second trait, W w2 and w2'w2 (A3, A5)."""
-    root = np.sqrt(np.diag(sigma))
-    joined = ld.join(stats_, "snp")
-    schema = "block_idx int, rank double, ww array<double>, cross array<double>, own double, n1 double, n2 double, score array<double>"
+    """Per block: variants, rank, W W' and, with a second trait, W w2 and w2'w2 (A3, A5).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    Only the narrow keys of the panel meet the statistics by variant; its factors are shuffled once, by block.
+    """
+    root = np.sqrt(np.diag(sigma))
+    wanted = stats_.select("snp", "n", "z", *(["n2", "z2"] if two else []))
+    placed = wanted.join(ld.select("snp", F.col("block_idx").alias("_block")), "snp").groupBy("_block")
+    factors = ld.select("block_idx", "snp", "factor", "inverse_factor").groupBy("block_idx")
+    schema = "block_idx int, m long, rank double, ww array<double>, cross array<double>, own double, n1 double, n2 double"
+
+    def run(panel: pd.DataFrame, own_stats: pd.DataFrame) -> pd.DataFrame:
+        pdf = panel.merge(own_stats.drop(columns="_block"), on="snp")
+        if pdf.empty:
+            return pd.DataFrame({k: [] for k in ("block_idx", "m", "rank", "ww", "cross", "own", "n1", "n2")})
         f, g = np.stack(pdf["factor"].to_numpy()), np.stack(pdf["inverse_factor"].to_numpy())
         n = pdf["n"].to_numpy(float)
         z = np.stack(pdf["z"].to_numpy()).astype(float) * root / np.sqrt(n)[:, None]
         w = z.T @ g
         rank = float(((f.T @ g) ** 2).sum())
-        cross, own, n2, score = np.zeros(len(root)), 0.0, 0.0, np.zeros(0)
+        cross, own, n2 = np.zeros(len(root)), 0.0, 0.0
         if two:
             m = pdf["n2"].to_numpy(float)
-            z2 = pdf["z2"].to_numpy(float) / np.sqrt(m)
-            w2 = z2 @ g
+            w2 = pdf["z2"].to_numpy(float) / np.sqrt(m) @ g
             cross, own, n2 = w @ w2, float(w2 @ w2), float(m.sum())
-        return pd.DataFrame({"block_idx": [int(pdf["block_idx"].iloc[0])], "rank": [rank], "ww": [(w @ w.T).ravel()], "cross": [cross], "own": [own], "n1": [float(n.sum())], "n2": [n2], "score": [score]})
+        return pd.DataFrame({"block_idx": [int(pdf["block_idx"].iloc[0])], "m": [len(pdf)], "rank": [rank], "ww": [(w @ w.T).ravel()], "cross": [cross], "own": [own], "n1": [float(n.sum())], "n2": [n2]})
 
-    return joined.groupBy("block_idx").applyInPandas(run, schema)
+    return factors.cogroup(placed).applyInPandas(run, schema)
 
 
 def qc_bounds(estimate: np.ndarray, se: np.ndarray, low: float = 0, high: float = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -108,14 +116,16 @@ class Heritability:
     """Estimates for voxels of one image from summary statistics and LD blocks (O-169, O-170, O-172)."""
 
     def __init__(self, stats_: DataFrame, ld: DataFrame, bases: np.ndarray, sigma: np.ndarray, two: bool = False):
-        rows = _block_sums(stats_, ld, sigma, two).collect()  # a row a block, of component size
+        rows = sorted(_block_sums(stats_, ld, sigma, two).collect(), key=lambda x: x["block_idx"])  # a row a block, of component size
         r = len(sigma)
-        self.rows = sorted(rows, key=lambda x: x["block_idx"])
-        self.snps = stats_.join(ld.select("snp"), "snp", "left_semi").count()
-        self.d = sum(x["rank"] for x in rows)
+        self.rank, self.own = np.array([x["rank"] for x in rows]), np.array([x["own"] for x in rows])
+        self.ww = np.array([x["ww"] for x in rows], float).reshape(-1, r, r)
+        self.crosses = np.array([x["cross"] for x in rows], float).reshape(-1, r)
+        self.snps = sum(x["m"] for x in rows)
+        self.d = self.rank.sum()
         self.n = sum(x["n1"] for x in rows) / max(1, self.snps)
         self.bases, self.sigma = bases, sigma
-        g = sum(np.reshape(x["ww"], (r, r)) for x in rows) - self.d * sigma / self.n
+        g = self.ww.sum(axis=0) - self.d * sigma / self.n
         self.g = g
         self.quad = np.einsum("vi,ij,vj->v", bases, sigma, bases)
         gene = np.einsum("vi,ij,vj->v", bases, g, bases)
@@ -125,8 +135,8 @@ class Heritability:
         self.two = two
         if two:
             self.n2 = sum(x["n2"] for x in rows) / max(1, self.snps)
-            self.h2_y = sum(x["own"] - x["rank"] / self.n2 for x in rows)
-            self.cross = sum(np.array(x["cross"]) for x in rows)
+            self.h2_y = self.own.sum() - self.d / self.n2
+            self.cross = self.crosses.sum(axis=0)
 
     def _h2_se(self, h, n):
         var = 2 * self.d / n**2 + 2 * h / n + 2 * h * (1 - h) / n
@@ -138,23 +148,37 @@ class Heritability:
             chi = (h / se) ** 2
         return pd.DataFrame({"index": np.arange(1, len(h) + 1), "h2": h, "se": se, "chisq": chi, "p": stats.chi2_sf(chi)})
 
-    def correlations(self) -> tuple[np.ndarray, np.ndarray]:
-        """Genetic correlation of all pairs of voxels and its error (A4); the diagonal is 1 with error 0."""
+    def correlation_rows(self, voxels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Genetic correlation of `voxels` with all voxels and its error (A4); a voxel's own is 1 with error 0."""
         n, d, h = self.n, self.d, self.h2
-        g = self.bases @ self.g @ self.bases.T
+        g = self.bases[voxels] @ self.g @ self.bases.T
         g = np.where(g == 0, 0.01, g)
-        rho = g / np.sqrt(np.outer(self.gene, self.gene))
-        c = self.bases @ self.sigma @ self.bases.T / g - 1
+        rho = g / np.sqrt(np.outer(self.gene[voxels], self.gene))
+        c = self.bases[voxels] @ self.sigma @ self.bases.T / g - 1
         a = 1 / h - 1
-        au, av = a[:, None], a[None, :]
+        au, av = a[voxels][:, None], a[None, :]
         pp = 1 - rho**2
         var = (4 / n + d / n**2) * pp**2 + (1 / n + d / n**2) * pp * (au + av) - (1 / n + d / n**2) * 2 * pp * rho**2 * c
         var += d / (2 * n**2) * rho**2 * ((au - c) ** 2 + (av - c) ** 2) + d / n**2 * (rho**4 * c**2 + au * av - rho**2 * c * (au + av))
-        np.fill_diagonal(rho, 1)
-        np.fill_diagonal(var, 0)
+        own = (np.arange(len(voxels)), voxels)
+        rho[own], var[own] = 1, 0
         rho, var = qc_bounds(rho, var, -1, 1)
         return rho, np.sqrt(var)
 
+    def correlation_table(self, spark: SparkSession, at_once: int = 64) -> DataFrame:
+        """i, gc array<double>, se array<double>: correlation_rows of every voxel, `at_once` of them at a time on the
+        executors, which get the bases (voxels x components); no matrix of voxels x voxels is held anywhere."""
+        total = len(self.bases)
+
+        def run(batches):
+            for batch in batches:
+                for start in batch["id"]:
+                    voxels = np.arange(start, min(start + at_once, total))
+                    rho, se = self.correlation_rows(voxels)
+                    yield pd.DataFrame({"i": voxels.astype(np.int32), "gc": list(rho), "se": list(se)})
+
+        return spark.range(0, total, at_once).mapInPandas(run, "i int, gc array<double>, se array<double>")
+
     def cross_trait(self) -> pd.DataFrame:
         """Genetic correlation of each voxel with the second trait, samples apart (A5)."""
         gc = self.bases @ self.cross / np.sqrt(self.quad) / np.sqrt(self.h2 * self.h2_y)
@@ -169,19 +193,17 @@ class Heritability:
         """The same with shared samples: intercepts of LD score regression come off the cross part, and the
         block jackknife gives the error (O-173).  loo_intercepts: blocks x components."""
         root = np.sqrt(np.diag(self.sigma))
-        k = len(self.rows)
-
-        def estimate(keep, icpt):
-            d = sum(x["rank"] for x in keep)
-            g = sum(np.reshape(x["ww"], self.sigma.shape) for x in keep) - d * self.sigma / self.n
-            h = np.einsum("vi,ij,vj->v", self.bases, g, self.bases) / self.quad
-            h2 = sum(x["own"] - x["rank"] / self.n2 for x in keep)
-            cross = sum(np.array(x["cross"]) for x in keep) - d * icpt * root / math.sqrt(self.n * self.n2)
+
+        def estimate(ww, cross, own, d, icpt):
+            """From sums over the blocks that are kept."""
+            h = np.einsum("vi,ij,vj->v", self.bases, ww - d * self.sigma / self.n, self.bases) / self.quad
+            cross = cross - d * icpt * root / math.sqrt(self.n * self.n2)
             with np.errstate(invalid="ignore"):
-                return self.bases @ cross / np.sqrt(self.quad) / np.sqrt(h * h2)
+                return self.bases @ cross / np.sqrt(self.quad) / np.sqrt(h * (own - d / self.n2))
 
-        full = estimate(self.rows, intercepts)
-        loo = np.stack([estimate(self.rows[:i] + self.rows[i + 1 :], loo_intercepts[i]) for i in range(k)])
+        total = self.ww.sum(axis=0), self.cross, self.own.sum(), self.d
+        full = estimate(*total, intercepts)
+        loo = np.stack([estimate(*(t - x for t, x in zip(total, block)), icpt) for *block, icpt in zip(self.ww, self.crosses, self.own, self.rank, loo_intercepts)])
         gc, se = jackknife(full, loo)
         gc, se = qc_bounds(gc, se, -1, 1)
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -215,13 +237,12 @@ def ldsc_intercept(z1, z2, n1, n2, score, h1: float, h2: float, blocks: np.ndarr
         rho = min(max(fit[1] * d / n.mean(), -1), 1)
         last = (rho * n / d * score + fit[0]) ** 2
     w = 1 / (base + last) / score
-    xwx, xwy = x.T @ (w[:, None] * x), x.T @ (w * y)
-    total = np.linalg.solve(xwx, xwy)[0]
-    out = []
-    for b in np.unique(blocks):
-        k = blocks == b
-        out.append(np.linalg.solve(xwx - x[k].T @ (w[k][:, None] * x[k]), xwy - x[k].T @ (w[k] * y[k]))[0])
-    return float(total), np.array(out)
+    code = np.unique(blocks, return_inverse=True)[1]
+    own = np.stack([np.bincount(code, v) for v in (w, w * x[:, 1], w * x[:, 1] ** 2, w * y, w * x[:, 1] * y)])
+    total = own.sum(axis=1, keepdims=True)
+    s0, s1, s2, t0, t1 = np.hstack([total, total - own])
+    out = (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1)
+    return float(out[0]), out[1:]
 
 
 def ld_prune(variants: DataFrame, r2: float = 0.3, width: int = 500_000) -> DataFrame:

@@ -332,8 +332,9 @@ def heritability(spark, sf_dir):
 def genetic_correlation(spark, sf_dir):
     s = Study(spark, sf_dir)
     table, cov = _component_stats(s)
-    rho, se = ld.Heritability(table, _blocks(s), np.array([[1.0, 0.0], [0.6, 8.0], [0.0, 1.0]]), cov).correlations()
-    return spark.createDataFrame([(i, j, float(rho[i, j]), float(se[i, j])) for i in range(3) for j in range(3)], "i int, j int, gc double, se double")
+    est = ld.Heritability(table, _blocks(s), np.array([[1.0, 0.0], [0.6, 8.0], [0.0, 1.0]]), cov)
+    pairs = est.correlation_table(spark).select("i", F.posexplode(F.arrays_zip("gc", "se")).alias("j", "_pair"))
+    return pairs.select("i", "j", F.col("_pair.gc").alias("gc"), F.col("_pair.se").alias("se"))
 
 
 @query("o172_cross_trait")
