@@ -125,12 +125,28 @@ def assign_blocks(variants: DataFrame, partition: DataFrame, most: int = 2000, t
     return joined.join(F.broadcast(sizes), ["contig", "start"]).withColumn("_rank", rank).withColumn("block_idx2", F.least(F.floor(F.col("_rank") / F.floor(F.col("_n") / parts)), parts - 1).cast("int")).drop("start", "end", "_n", "_rank")
 
 
-def equal_blocks(variants: DataFrame, size: int, key: str = "snp") -> DataFrame:
-    """Blocks of equal size of each contig (O-123): ceil(n / size) of them, floor(n / blocks) each, the rest in the last."""
-    w = Window.partitionBy("contig")
-    n, rank = F.count("*").over(w), F.row_number().over(w.orderBy("pos", key)) - 1
-    blocks = F.ceil(n / size)
-    return variants.select("*", F.least(F.floor(rank / F.floor(n / blocks)), blocks - 1).cast("int").alias("block"))
+def numbered(variants: DataFrame, order: list[str], bucket: int = 1 << 20) -> DataFrame:
+    """The variants with _rank, from 0 in the order of `pos` and then `order` within the contig, and _n, its variants.
+
+    Each range of `bucket` positions is numbered by itself and completed by a running count of the ranges
+    before it, so that a task sorts a range and never a contig.  A null contig counts as one, null positions come first.
+    """
+    at = variants.withColumn("_range", F.floor(F.col("pos") / bucket))
+    counts = at.groupBy("contig", "_range").agg(F.count("*").alias("_m"))
+    own = Window.partitionBy("contig")
+    before = F.sum("_m").over(own.orderBy(F.asc_nulls_first("_range")).rowsBetween(Window.unboundedPreceding, -1))
+    base = counts.select(F.col("contig").alias("_contig"), F.col("_range").alias("_at"), F.coalesce(before, F.lit(0)).alias("_base"), F.sum("_m").over(own).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy("contig", "_range").orderBy("pos", *order)) - 1
+    joined = at.withColumn("_rank", rank).join(base, F.col("contig").eqNullSafe(F.col("_contig")) & F.col("_range").eqNullSafe(F.col("_at")))
+    return joined.select(*variants.columns, (F.col("_rank") + F.col("_base")).alias("_rank"), "_n")
+
+
+def equal_blocks(variants: DataFrame, size: int, key: str = "snp", bucket: int = 1 << 20) -> DataFrame:
+    """Blocks of equal size of each contig (O-123): ceil(n / size) of them, floor(n / blocks) each, the rest in the last.
+    Ranks come by ranges of `bucket` positions, see `numbered`."""
+    blocks = F.ceil(F.col("_n") / size)
+    block = F.least(F.floor(F.col("_rank") / F.floor(F.col("_n") / blocks)), blocks - 1).cast("int")
+    return numbered(variants, [key], bucket).select(*variants.columns, block.alias("block"))
 
 
 def merge_by_size(sizes: list[int], target: int) -> list[int]:
@@ -158,21 +174,30 @@ def merge_every(blocks: list[tuple[str, int]], target: int = 100) -> list[tuple[
     return out
 
 
-def row_index(variants: DataFrame, order: list[str]) -> DataFrame:
-    """variant_idx from 0 in the order of contig and then `order` (O-121): numbered in each contig, which a
-    running count of the contigs before it completes, so no window spans all rows."""
-    counts = variants.groupBy("contig").agg(F.count("*").alias("_n"))
-    base = counts.select("contig", F.coalesce(F.sum("_n").over(Window.orderBy("contig").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("contig").orderBy(*order)) - 1
-    return variants.withColumn("_rank", rank).join(F.broadcast(base), "contig").withColumn("variant_idx", (F.col("_rank") + F.col("_base")).cast("long")).drop("_rank", "_base")
+def row_index(variants: DataFrame, order: list[str], bucket: int = 1 << 20) -> DataFrame:
+    """variant_idx from 0 in the order of contig and then `order`, whose first column is pos (O-121): ranges of
+    `bucket` positions are numbered by themselves (`numbered`), a running count of the contigs completes that."""
+    if order[0] != "pos":
+        raise ValueError("rows are numbered by position first")
+    counts = variants.groupBy("contig").agg(F.count("*").alias("_m"))
+    base = counts.select(F.col("contig").alias("_contig"), F.coalesce(F.sum("_m").over(Window.orderBy("contig").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    ranked = numbered(variants, order[1:], bucket).join(F.broadcast(base), F.col("contig").eqNullSafe(F.col("_contig")))  # a row a contig
+    return ranked.select(*variants.columns, (F.col("_rank") + F.col("_base")).cast("long").alias("variant_idx"))
+
 
+def band_sizes(variants: DataFrame, width: int, key: str, bucket: int = 1 << 20) -> DataFrame:
+    """Number of variants from each one on with pos <= its pos + width (O-127), those at the same position before it left out.
 
-def band_sizes(variants: DataFrame, width: int, key: str) -> DataFrame:
-    """Number of variants from each one on with pos <= its pos + width (O-127), those at the same position before it left out."""
-    w = Window.partitionBy("contig")
-    ahead = F.count("*").over(w.orderBy("pos").rangeBetween(0, width))
+    A task holds a range of positions, `bucket` or `width` + 1 wide, and the positions, with their counts, of the `width` behind it.
+    """
+    bucket = max(bucket, width + 1)
+    places = variants.groupBy("contig", "pos").agg(F.count("*").alias("_m"))
+    spread = places.withColumn("_range", F.explode(F.array_distinct(F.array(F.floor(F.col("pos") / bucket), F.floor((F.col("pos") - width) / bucket)))))
+    ahead = F.sum("_m").over(Window.partitionBy("contig", "_range").orderBy("pos").rangeBetween(0, width))
+    own = spread.withColumn("_ahead", ahead).where(F.col("_range").eqNullSafe(F.floor(F.col("pos") / bucket))).select(F.col("contig").alias("_contig"), F.col("pos").alias("_pos"), "_ahead")
     tied = F.row_number().over(Window.partitionBy("contig", "pos").orderBy(key)) - 1
-    return variants.select("*", (ahead - tied).cast("long").alias("band"))
+    joined = variants.withColumn("_tied", tied).join(own, F.col("contig").eqNullSafe(F.col("_contig")) & F.col("pos").eqNullSafe(F.col("_pos")))
+    return joined.select(*variants.columns, (F.col("_ahead") - F.col("_tied")).cast("long").alias("band"))
 
 
 def check_order(info: DataFrame) -> DataFrame:
