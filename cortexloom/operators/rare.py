@@ -228,7 +228,8 @@ def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, varia
     SKAT and the omnibus are computed for cmac above 100, annotation weights used above 500.  Rows
     whose smallest p-value is above max_p are left out.
     """
-    if ld is None:
+    by_calls = ld is None  # `run` must not hold the frame
+    if by_calls:
         joined = members.select(F.col("set_name").alias("set_j"), F.col("mask").alias("mask_j"), F.col("variant").alias("_at")).join(calls.select("variant", "iid", "dosage"), F.col("_at") == F.col("variant")).drop("_at")
     else:
         one = members.select(F.col("set_name").alias("set_i"), F.col("mask").alias("mask_i"), F.col("variant").alias("at_i"))
@@ -244,7 +245,7 @@ def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, varia
         if len(left) < 2 or cmac < cmac_min:
             return none
         place = {v: k for k, v in enumerate(left["variant"])}
-        if ld is None:
+        if by_calls:
             cov = set_products(right, place)
         else:
             cov = np.zeros((len(left), len(left)))
