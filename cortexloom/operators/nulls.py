@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .intervals import numbered
 from .linear import covariance, cross_products, gwas, recover_voxels, residuals
 from .variants import CMAC_BINS
 
@@ -155,13 +156,17 @@ def merge_permutations(frames: list[DataFrame], keep: float = 2.5e-6) -> DataFra
 
 
 def permuted_rows(resid: DataFrame, samples: int, seed: int = 1) -> DataFrame:
-    """sample_id, iid, resid: the residual rows of all subjects dealt to them in a new order (O-191)."""
-    from pyspark.sql import Window
-
+    """sample_id, iid, resid: the residual rows of all subjects dealt to them in a new order (O-191); no task takes all subjects of a replicate."""
     spread = resid.select("iid", "resid").withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    own = Window.partitionBy("sample_id")
-    ranked = spread.withColumn("_a", F.row_number().over(own.orderBy("iid"))).withColumn("_b", F.row_number().over(own.orderBy(F.xxhash64("iid", "sample_id", F.lit(seed)), "iid")))
-    return ranked.select("sample_id", "iid", "_a").join(ranked.select("sample_id", F.col("_b").alias("_a"), "resid"), ["sample_id", "_a"]).select("sample_id", "iid", "resid")
+
+    def dealt(at: Column, value: str) -> DataFrame:
+        """Numbers from 0 in the order of a hash, a 1024th of its range at a time."""
+        rows = spread.select(F.col("sample_id").alias("contig"), at.alias("pos"), "iid", "resid")
+        return numbered(rows, ["iid"], 1 << 54).select(F.col("contig").alias("sample_id"), "_rank", value)
+
+    places = dealt(F.xxhash64("iid", F.lit(seed)), "iid")
+    drawn = dealt(F.xxhash64("iid", "sample_id", F.lit(seed)), "resid")
+    return places.join(drawn, ["sample_id", "_rank"]).select("sample_id", "iid", "resid")
 
 
 def grid_neighbours(coords: np.ndarray) -> np.ndarray:

@@ -49,3 +49,18 @@ def test_numbers_of_odd_rows(spark):
     assert intervals.equal_blocks(empty, 3).count() == intervals.row_index(empty, ["pos"]).count() == intervals.band_sizes(empty, 3, "snp").count() == 0
     with pytest.raises(ValueError):
         intervals.row_index(odd, ["snp"])
+
+
+def test_permuted_rows_are_permutations(spark):
+    from cortexloom.operators import nulls
+
+    resid = spark.createDataFrame([(f"s{i}", [float(i), -float(i)]) for i in range(300)], "iid string, resid array<double>")
+    got = {}
+    for r in nulls.permuted_rows(resid, 4, seed=3).collect():
+        assert r["resid"][0] == -r["resid"][1]
+        got[r["sample_id"], r["iid"]] = int(r["resid"][0])
+    orders = [[got[k, f"s{i}"] for i in range(300)] for k in range(4)]
+    assert all(sorted(o) == list(range(300)) for o in orders)
+    assert len({tuple(o) for o in orders}) == 4 and all(sum(i == v for i, v in enumerate(o)) < 15 for o in orders)
+    again = {(r["sample_id"], r["iid"]): int(r["resid"][0]) for r in nulls.permuted_rows(resid.repartition(5), 4, seed=3).collect()}
+    assert again == got
