@@ -10,6 +10,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,31 +80,36 @@ def ld_extract(blocks: DataFrame, snps: DataFrame) -> DataFrame:
 def _block_sums(stats_: DataFrame, ld: DataFrame, sigma: np.ndarray, two: bool) -> DataFrame:
     """Per block: variants, rank, W W' and, with a second trait, W w2 and w2'w2 (A3, A5).
 
-    Only the narrow keys of the panel meet the statistics by variant; its factors are shuffled once, by block.
+    Only the narrow keys of the panel meet the statistics by variant; its factors are shuffled once, by block, in which
+    a variant is there once.
     """
     root = np.sqrt(np.diag(sigma))
-    wanted = stats_.select("snp", "n", "z", *(["n2", "z2"] if two else []))
+    wanted = stats_.select("snp", F.col("n").cast("double"), F.col("z").cast("array<double>"), *([F.col(c).cast("double") for c in ("n2", "z2")] if two else []))
     placed = wanted.join(ld.select("snp", F.col("block_idx").alias("_block")), "snp").groupBy("_block")
     factors = ld.select("block_idx", "snp", "factor", "inverse_factor").groupBy("block_idx")
+    real, reals = pa.float64(), pa.list_(pa.float64())
+    out = pa.schema([("block_idx", pa.int32()), ("m", pa.int64()), ("rank", real), ("ww", reals), ("cross", reals), ("own", real), ("n1", real), ("n2", real)])
     schema = "block_idx int, m long, rank double, ww array<double>, cross array<double>, own double, n1 double, n2 double"
 
-    def run(panel: pd.DataFrame, own_stats: pd.DataFrame) -> pd.DataFrame:
-        pdf = panel.merge(own_stats.drop(columns="_block"), on="snp")
-        if pdf.empty:
-            return pd.DataFrame({k: [] for k in ("block_idx", "m", "rank", "ww", "cross", "own", "n1", "n2")})
-        f, g = np.stack(pdf["factor"].to_numpy()), np.stack(pdf["inverse_factor"].to_numpy())
-        n = pdf["n"].to_numpy(float)
-        z = np.stack(pdf["z"].to_numpy()).astype(float) * root / np.sqrt(n)[:, None]
-        w = z.T @ g
-        rank = float(((f.T @ g) ** 2).sum())
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
+
+    def run(panel: pa.Table, own_stats: pa.Table) -> pa.Table:
+        if not panel.num_rows or not own_stats.num_rows:
+            return out.empty_table()
+        at = pc.index_in(own_stats["snp"], value_set=panel["snp"]).to_numpy()
+        f, g = matrix(panel["factor"])[at], matrix(panel["inverse_factor"])[at]
+        n = own_stats["n"].to_numpy()
+        w = (matrix(own_stats["z"]) * root / np.sqrt(n)[:, None]).T @ g
         cross, own, n2 = np.zeros(len(root)), 0.0, 0.0
         if two:
-            m = pdf["n2"].to_numpy(float)
-            w2 = pdf["z2"].to_numpy(float) / np.sqrt(m) @ g
+            m = own_stats["n2"].to_numpy()
+            w2 = own_stats["z2"].to_numpy() / np.sqrt(m) @ g
             cross, own, n2 = w @ w2, float(w2 @ w2), float(m.sum())
-        return pd.DataFrame({"block_idx": [int(pdf["block_idx"].iloc[0])], "m": [len(pdf)], "rank": [rank], "ww": [(w @ w.T).ravel()], "cross": [cross], "own": [own], "n1": [float(n.sum())], "n2": [n2]})
+        row = (panel["block_idx"][0].as_py(), len(at), float(((f.T @ g) ** 2).sum()), (w @ w.T).ravel(), cross, own, float(n.sum()), n2)
+        return pa.table([[x] for x in row], schema=out)
 
-    return factors.cogroup(placed).applyInPandas(run, schema)
+    return factors.cogroup(placed).applyInArrow(run, schema)
 
 
 def qc_bounds(estimate: np.ndarray, se: np.ndarray, low: float = 0, high: float = 1) -> tuple[np.ndarray, np.ndarray]:
