@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, mixing, near_duplicates, pieces, quality, repeats, token_counts, top_k, warc
+from . import divergence, fingerprints, host_rules, language, mixing, near_duplicates, pieces, quality, repeats, token_counts, top_k, warc, whitening
 from .common import crc_mod, scratch, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -71,12 +71,27 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.unionAll(revisits)
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source of a document is its host."""
+    judged = host_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pfair_mixing, op3_token_counts, op4_dart_near_duplicates, op5_fingerprints, op6_repeated_passages, op7_exact_top_k, op8_language_id, op9_piece_ids, op10_warc_round_trip)}
+    own = (op1_quality_rules, op2_pfair_mixing, op3_token_counts, op4_dart_near_duplicates, op5_fingerprints, op6_repeated_passages, op7_exact_top_k, op8_language_id, op9_piece_ids, op10_warc_round_trip, op11_host_rules, op12_source_divergence, op13_whitened_embeddings)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_repeated_passages": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op10_warc_round_trip": OP10_SQL}
+    return {"op6_repeated_passages": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op10_warc_round_trip": OP10_SQL, "op11_host_rules": OP11_SQL, "op12_source_divergence": OP12_SQL}
 
 
 OP6_SQL = r"""
@@ -110,3 +125,46 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   CASE WHEN top <> page_id THEN top END AS refers_to
 FROM d
 """
+
+OP11_SQL = r"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, row_number() OVER () AS r FROM documents),
+g AS (SELECT r, i, list_slice(ws, i, i + 2) AS k FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 3)),
+t AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS times FROM g),
+c AS (SELECT r, CAST(len(list_distinct(flatten(list(generate_series(i, i + 2))))) AS BIGINT) AS n_repeat_words FROM t WHERE times > 1 GROUP BY r),
+n AS (SELECT r, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+      CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+d AS (SELECT doc_id, source, n_words, word_chars, n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM n LEFT JOIN c USING (r)),
+f AS (SELECT *, unnest([{'rule': 'short', 'failed': n_words < 50}, {'rule': 'repetitive', 'failed': 100 * n_repeat_words > 50 * n_words}, {'rule': 'symbols', 'failed': 10 * n_symbols > n_words},
+      {'rule': 'lines', 'failed': 3 * n_dup_lines > n_lines}, {'rule': 'word_length', 'failed': word_chars < 3 * n_words OR word_chars > 10 * n_words}]) AS x FROM d),
+h AS (SELECT source, x.rule AS rule, CAST(count(*) AS DOUBLE) AS m, CAST(count(*) FILTER (x.failed) AS DOUBLE) AS k FROM f WHERE source IS NOT NULL GROUP BY ALL),
+s AS (SELECT rule, sum(k) / sum(m) AS p, count(*) - 1 AS chance, sum(m) - sum(m * m) / sum(m) - (count(*) - 1) AS room, sum(k * k / m) - sum(k) * (sum(k) / sum(m)) AS spread FROM h GROUP BY rule),
+o AS (SELECT rule, p, least(greatest(CASE WHEN p > 0 AND p < 1 AND room > 0 THEN (spread / (p * (1 - p)) - chance) / room ELSE 0 END, 1e-6), 0.999) AS rho FROM s),
+v AS (SELECT source, rule, (k + p * (1 / rho - 1)) / (m + (1 / rho - 1)) AS rate FROM h JOIN o USING (rule)),
+b AS (SELECT source, bool_or(rate > 0.5) AS rejected, list(rule) FILTER (rate > 0.05) AS enforced FROM v GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(rejected, false)
+  AND NOT (coalesce(list_contains(enforced, 'symbols'), false) AND 10 * n_symbols > n_words) AND NOT (coalesce(list_contains(enforced, 'lines'), false) AND 3 * n_dup_lines > n_lines)
+  AND NOT (coalesce(list_contains(enforced, 'word_length'), false) AND (word_chars < 3 * n_words OR word_chars > 10 * n_words)) AS kept
+FROM d LEFT JOIN b ON d.source = b.source
+"""
+
+OP12_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+e AS (SELECT r, lang, source, unnest(ws) AS term FROM t),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS c FROM e GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+l AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(c) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM t),
+o AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS c FROM e GROUP BY ALL),
+a AS (SELECT g.lang, g.source, k.term, coalesce(o.c, 0) AS c, k.c AS all_c FROM g JOIN k USING (lang) LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+n AS (SELECT lang, source, sum(c) AS n FROM a GROUP BY ALL),
+p AS (SELECT a.lang, a.source, a.term, a.c, 1 + (1000000000 * (a.c + 5)) // (n.n + 5 * l.v) AS p, 1 + (1000000000 * (a.all_c + 5)) // (l.n + 5 * l.v) AS q
+      FROM a JOIN n USING (lang, source) JOIN l USING (lang)),
+s AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+d AS (SELECT x.lang, x.source, y.source AS item, coalesce(s.value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+      LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+f AS (SELECT lang, source, 'pair' AS part, item, value FROM d UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM f)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
