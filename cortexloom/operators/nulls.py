@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from .intervals import numbered
 from .linear import covariance, cross_products, gwas, recover_voxels, residuals
-from .variants import CMAC_BINS
 
 
 def wild_bootstrap(resid: DataFrame, samples: int, seed: int = 1) -> DataFrame:
@@ -89,70 +88,19 @@ def cluster_sizes(significant: DataFrame, variants: DataFrame, samples: int) ->
     return every.join(found, ["sample_id", "snp"], "left").select("sample_id", "snp", F.coalesce("n", F.lit(0)).alias("size"))
 
 
-def random_sets(mac: np.ndarray, sets: int = 10_000, seed: int = 1, most_passes: int = 10_000) -> dict[str, list[np.ndarray]]:
-    """Random sets of variants by bin of cumulative count (O-192), as indices into `mac`.
-
-    For each bin the variants are shuffled, a width is drawn between max(2, lo / 10) and hi, and windows
-    of that width, 0.8 * width + 1 apart, whose count is in the bin become sets; this goes on until
-    there are `sets` of them.  A bin that no window meets in `most_passes` passes has what was found.
-    """
-    n, out = len(mac), {}
-    for k, (lo, hi) in enumerate(CMAC_BINS):
-        rng, found = np.random.default_rng([seed, k]), []
-        for _ in range(most_passes):
-            order, width = rng.permutation(n), int(rng.integers(max(2, int(lo * 0.1)), hi + 1))
-            starts = np.arange(0, n - width, int(width * 0.8) + 1)
-            if len(starts):
-                total = np.concatenate([[0], np.cumsum(mac[order])])
-                count = total[starts + width] - total[starts]
-                found += [order[s : s + width] for s in starts[(count >= lo) & (count <= hi)][: sets - len(found)]]
-            if len(found) >= sets:
-                break
-        out[f"{lo}_{hi}"] = found
-    return out
-
-
-def burden_permutations(spark, resid_voxels: np.ndarray, carriers: dict[str, list[tuple[np.ndarray, float]]], permutations: int, batch: int = 100, keep: float = 2.5e-6, seed: int = 1) -> DataFrame:
-    """bin, voxel (one-based), stat of the burden statistic under permuted subjects (O-193), only those whose
-    chi-square tail is below `keep`; and one row a batch and bin with voxel 0 that counts what was drawn.
-
-    resid_voxels: subjects x voxels, scaled by the voxels' deviation; carriers: for each bin its
-    sets, as the set's burden of each subject and the sum of its covariance.
-    """
-    limit = float(stats.chi2_isf(keep))
-    sent = spark.sparkContext.broadcast((resid_voxels, carriers))
-    batches = spark.range(0, -(-permutations // batch), 1)
-
-    def run(frames):
-        resid, sets = sent.value
-        for pdf in frames:
-            for b in pdf["id"]:
-                rng = np.random.default_rng([seed, int(b)])
-                n = min(batch, permutations - int(b) * batch)
-                rows = {name: [] for name in sets}
-                for _ in range(n):
-                    shuffled = resid[rng.permutation(len(resid))]
-                    for name, own in sets.items():
-                        for load, cov in own:
-                            stat = (load @ shuffled) ** 2 / cov
-                            v = np.flatnonzero(stat > limit)
-                            rows[name].append((v + 1, stat[v]))
-                for name, found in rows.items():
-                    v, s = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0), np.zeros(0))
-                    yield pd.DataFrame({"bin": name, "voxel": np.append(v, 0).astype(np.int32), "stat": np.append(s, float(n * len(sets[name])))})
-
-    return batches.mapInPandas(run, "bin string, voxel int, stat double")
-
-
 def merge_permutations(frames: list[DataFrame], keep: float = 2.5e-6) -> DataFrame:
-    """bin, voxel, stats (ascending, the int(keep * count) largest), count of several permutation nulls (O-133S, O-194): counts add up by bin."""
+    """bin, voxel, stats (ascending, the int(keep * count) largest), count of several nulls (O-133S, O-194).
+
+    Counts add up by bin.  The rows of a bin and voxel are numbered from the largest on and cut before they
+    become an array, so no array is longer than what is kept."""
     stacked = frames[0]
     for f in frames[1:]:
         stacked = stacked.unionByName(f)
-    counts = stacked.where("voxel = 0").groupBy("bin").agg(F.sum("stat").cast("long").alias("count"))
-    kept = stacked.where("voxel > 0").groupBy("bin", "voxel").agg(F.array_sort(F.collect_list("stat")).alias("stats"))
+    counts = stacked.where("voxel = 0").groupBy(F.col("bin").alias("_bin")).agg(F.sum("stat").cast("long").alias("count"))
     most = F.greatest(F.lit(1), F.floor(F.col("count") * keep).cast("int"))
-    return kept.join(F.broadcast(counts), "bin").select("bin", "voxel", F.expr("stats").alias("_s"), most.alias("_k"), "count").select("bin", "voxel", F.when(F.size("_s") > F.col("_k"), F.slice("_s", -F.col("_k"), F.col("_k"))).otherwise(F.col("_s")).alias("stats"), "count")
+    place = F.row_number().over(Window.partitionBy("bin", "voxel").orderBy(F.desc("stat")))
+    kept = stacked.where("voxel > 0").withColumn("_k", place).join(F.broadcast(counts), F.col("bin") == F.col("_bin")).where(F.col("_k") <= most)  # a row a bin
+    return kept.groupBy("bin", "voxel", "count").agg(F.array_sort(F.collect_list("stat")).alias("stats")).select("bin", "voxel", "stats", "count")
 
 
 def permuted_rows(resid: DataFrame, samples: int, seed: int = 1) -> DataFrame:

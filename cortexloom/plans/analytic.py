@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import stats
-from ..operators import images, intervals, ld, linear, nulls, rare, relatedness, variants
+from ..operators import images, intervals, ld, linear, nulls, permutations, rare, relatedness, variants
 from .registry import query
 from .surrogate import COMPONENTS, CTE, VOXELS, Study
 
@@ -397,25 +397,46 @@ def permuted_rows(spark, sf_dir):
     return nulls.permuted_rows(linear.residuals(s.plain_subjects), 3)
 
 
-@query("o192_random_sets")
+RANDOM_SETS_SQL = """WITH g AS (SELECT (l_partkey * 10000 + l_suppkey) * 8 + l_linenumber AS variant, o_custkey, least(2, count(*)) AS dosage FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), num AS (SELECT count(*) AS n FROM customer),
+m AS (SELECT variant, CAST(least(sum(dosage), 2 * n - sum(dosage)) AS BIGINT) AS mac FROM g, num GROUP BY variant, n), p AS (SELECT unnest(generate_series(0, 3)) AS pass),
+o AS (SELECT variant, mac, pass, row_number() OVER (PARTITION BY pass ORDER BY CAST('0x' || substr(md5('order:' || variant || ':' || pass || ':1'), 1, 15) AS BIGINT), variant) - 1 AS place, count(*) OVER (PARTITION BY pass) AS n FROM m, p),
+b AS (SELECT unnest([2, 3, 4, 5, 6, 8, 10, 12, 15, 21, 31, 61]) AS lo, unnest([2, 3, 4, 5, 7, 9, 11, 14, 20, 30, 60, 100]) AS hi),
+w AS (SELECT lo || '_' || hi AS bin, lo, hi, pass, greatest(2, lo // 10) + CAST('0x' || substr(md5('width:' || lo || '_' || hi || ':' || pass || ':1'), 1, 15) AS BIGINT) % (hi - greatest(2, lo // 10) + 1) AS width FROM b, p),
+x AS (SELECT *, unnest([place // (width * 4 // 5 + 1), place // (width * 4 // 5 + 1) - 1]) AS win FROM o JOIN w USING (pass)),
+z AS (SELECT bin, pass, win, CAST(sum(mac) AS BIGINT) AS cmac, list_sort(list(variant)) AS variants FROM x WHERE win >= 0 AND place < win * (width * 4 // 5 + 1) + width AND win * (width * 4 // 5 + 1) < n - width GROUP BY bin, lo, hi, pass, win HAVING sum(mac) BETWEEN lo AND hi),
+k AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY pass, win) - 1 AS k FROM z) SELECT bin, CAST(k AS INTEGER) AS set_idx, variants, cmac FROM k WHERE k < 1000"""
+
+
+@query("o192_random_sets", RANDOM_SETS_SQL)
 def random_sets(spark, sf_dir):
+    """A thousand sets of each bin, of the variants that parts, suppliers and line numbers make."""
     s = Study(spark, sf_dir)
-    mac = np.array([r[0] for r in variants.variant_qc(s.geno, s.n).orderBy("variant").select("mac").collect()])
-    rows = [(b, k, own.tolist()) for b, found in nulls.random_sets(mac // 10, 200, most_passes=50).items() for k, own in enumerate(found)]
-    return spark.createDataFrame(rows, "bin string, set_idx int, variants array<long>")
+    return permutations.draw_sets(variants.variant_qc(s.rare_geno, s.n), 1000, most_passes=4)
+
+
+def _drawn_null(s: Study, sets: int = 200, count: int = 300, keep: float = 0.001) -> DataFrame:
+    """Tail of the burden statistics of drawn sets under permutations, merged (O-192 to O-194)."""
+    geno, null = s.rare_geno, linear.residuals(s.subjects)
+    drawn = permutations.draw_sets(variants.variant_qc(geno, s.n), sets, most_passes=4)
+    products = linear.cross_products(s.subjects)
+    frame = permutations.permutation_null(drawn, geno, null, products["xx"], np.eye(2), rare.voxel_variance(null, np.eye(2), 2), count, keep)
+    return nulls.merge_permutations([frame], keep)
 
 
 @query("o193_permutation_null")
 def permutation_null(spark, sf_dir):
+    return _drawn_null(Study(spark, sf_dir))
+
+
+@query("o193_burden_by_permutation")
+def burden_by_permutation(spark, sf_dir):
+    """Burden tests of the variants of each part, whose p-values come from the permutation null where their count is 100 or less."""
     s = Study(spark, sf_dir)
-    resid = linear.residuals(s.plain_subjects).select("iid", "resid").toPandas().sort_values("iid")
-    y = np.stack(resid["resid"].to_numpy())
-    y = y / y.std(axis=0)
-    load = np.zeros(len(y))
-    load[:30] = 1
-    carriers = {"21_30": [(load, float(load @ load - load.sum() ** 2 / len(load)))]}
-    frame = nulls.burden_permutations(spark, y, carriers, 400, 100, keep=0.05)
-    return nulls.merge_permutations([frame, frame], 0.05)
+    geno, null, products = s.rare_geno, linear.residuals(s.subjects), linear.cross_products(s.subjects)
+    table = variants.variant_qc(geno, s.n).where(variants.maf_filter(0, 0.01)).select("variant", "maf", "mac").join(rare.scores(geno, null), "variant").join(rare.projections(geno, null, products["xx"]), "variant")
+    members = table.select(F.concat(F.lit("P"), F.floor(F.col("variant") / 80000).cast("string")).alias("set_name"), F.lit("all").alias("mask"), "variant", "maf", "mac", "score", "proj", F.lit(None).cast("array<double>").alias("annot"))
+    tested = rare.set_tests(members, None, np.eye(2), rare.voxel_variance(null, np.eye(2), 2), ("burden",), calls=geno)
+    return rare.burden_table(permutations.burden_by_null(tested, _drawn_null(s)))
 
 
 @query("o181_saddlepoint")

@@ -32,6 +32,13 @@ class Study:
         joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         return joined.groupBy(F.col("l_partkey").alias("variant"), F.col("o_custkey").alias("iid")).agg(F.least(F.lit(2), F.count("*")).cast("int").alias("dosage"))
 
+    @property
+    def rare_geno(self) -> DataFrame:
+        """Calls of rarer variants: one for each part, supplier and line number."""
+        lines, orders = self.table("lineitem").select("l_orderkey", ((F.col("l_partkey") * 10000 + F.col("l_suppkey")) * 8 + F.col("l_linenumber")).alias("variant")), self.table("orders").select("o_orderkey", "o_custkey")
+        joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        return joined.groupBy("variant", F.col("o_custkey").alias("iid")).agg(F.least(F.lit(2), F.count("*")).cast("int").alias("dosage"))
+
     @property
     def geno_missing(self) -> DataFrame:
         return self.geno.withColumn("dosage", F.when((F.col("variant") * 31 + F.col("iid")) % 17 == 0, None).otherwise(F.col("dosage")))

@@ -106,21 +106,6 @@ def test_tfce_summaries(spark):
         assert sum(sizes) == hit.sum() and len(sizes) == r["n_clusters"]
 
 
-def test_random_sets():
-    mac = np.random.default_rng(1).integers(1, 4, 3000)
-    got = nulls.random_sets(mac, 150, most_passes=400)
-    assert list(got) == [f"{a}_{b}" for a, b in variants.CMAC_BINS] and all(len(v) == 150 for v in got.values())
-    for name, found in got.items():
-        lo, hi = map(int, name.split("_"))
-        widths = {len(s) for s in found}
-        assert all(lo <= mac[s].sum() <= hi and len(set(s.tolist())) == len(s) for s in found) and min(widths) >= max(2, int(lo * 0.1)) and max(widths) <= hi
-    spread = [np.abs(np.diff(s)).mean() for s in got["31_60"]]
-    assert np.mean(spread) > 300  # drawn from all variants, not neighbours
-    again = nulls.random_sets(mac, 150, most_passes=400)
-    assert all((a == b).all() for k in got for a, b in zip(got[k], again[k]))
-    assert nulls.random_sets(np.full(50, 1000), 10, most_passes=3) == {k: [] for k in got}
-
-
 def test_bins_of_counts(spark):
     values = [1, 2, 3, 5, 6, 7, 8, 100, 101, 500, 501, 9999]
     frame = spark.createDataFrame([(v,) for v in values], "cmac long")
