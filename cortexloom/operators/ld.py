@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..session import scratch
 
 
 def correlation(z: np.ndarray) -> np.ndarray:
@@ -147,7 +148,11 @@ class Heritability:
 
     def _h2_se(self, h, n):
         var = 2 * self.d / n**2 + 2 * h / n + 2 * h * (1 - h) / n
-        return np.sqrt(np.where(np.abs(var) < 1e-10, 0, var))
+        return np.sqrt(np.where(np.abs(var) < 1e-10, 0, np.where(var < 0, np.nan, var)))
+
+    def intercepts(self, stats_: DataFrame, ld: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """LD score regression intercepts for cross_trait_overlap, with this estimate's heritabilities and LD rank."""
+        return ldsc_intercepts(stats_, ld, np.diag(self.g) / np.diag(self.sigma), self.h2_y, self.d)
 
     def heritability(self) -> pd.DataFrame:
         h, se = qc_bounds(self.h2, self.se)
@@ -225,31 +230,74 @@ def jackknife(full: np.ndarray, loo: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k * full - (k - 1) * mean, np.sqrt((k - 1) / k * ((loo - mean) ** 2).sum(axis=0))
 
 
-def ldsc_intercept(z1, z2, n1, n2, score, h1: float, h2: float, blocks: np.ndarray, iterations: int = 2) -> tuple[float, np.ndarray]:
-    """Intercept of the cross-trait LD score regression and, for each block, without it (A6).
+def _by_block(rows: DataFrame, terms) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks in order and, for each, the sums that terms(batch of rows as arrays) gives; summed in the tasks, then by block."""
+
+    def run(batches):
+        held: dict = {}
+        for pdf in batches:
+            if len(pdf):
+                code, names = pd.factorize(pdf["block_idx"])
+                values = terms(pdf)
+                sums = np.zeros((len(names), values.shape[1]))
+                np.add.at(sums, code, values)
+                for name, own in zip(names, sums):
+                    held[name] = held[name] + own if name in held else own
+        if held:
+            yield pd.DataFrame({"block_idx": np.array(list(held), np.int32), "sums": list(held.values())})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block_idx": pdf["block_idx"].iloc[:1], "sums": [np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)]})
+
+    schema = "block_idx int, sums array<double>"
+    got = sorted(rows.mapInPandas(run, schema).groupBy("block_idx").applyInPandas(add, schema).collect(), key=lambda r: r["block_idx"])  # a row a block
+    return np.array([r["block_idx"] for r in got]), np.array([r["sums"] for r in got], float)
 
-    Weighted least squares of z1 z2 on [1, score * n / mean(n)], reweighted `iterations` times; the
-    blocks' sums use the same final weights as the totals, so that leaving one out is a subtraction.
+
+def ldsc_intercepts(stats_: DataFrame, ld: DataFrame, h1: np.ndarray, h2: float, d: float, iterations: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Intercepts of the cross-trait LD score regressions of all components, and those without each block (O-173, A6).
+
+    stats_: (snp, n, z array, n2, z2); ld: (block_idx, snp, ldscore); h1, h2: heritability of each component
+    and of the second trait; d: the rank of the LD.  Weighted least squares of z z2 on [1, score * n / mean(n)],
+    reweighted `iterations` times.  Every fit is a pass over the joined rows that leaves a block's sums for each
+    component; the blocks' sums use the same final weights as the totals, so that leaving one out is a
+    subtraction.  Returns components, and blocks (in order) x components.
     """
-    score = np.maximum(np.asarray(score, float), 1)
-    d, y = len(score), z1 * z2
-    n = np.sqrt(n1 * n2)
-    h1, h2 = min(max(h1, 0), 1), min(max(h2, 0), 1)
-    x = np.column_stack([np.ones(d), score * n / n.mean()])
-    base = (h1 * n1 / d * score + 1) * (h2 * n2 / d * score + 1)
-    last = (min(max(d * y.mean() / (score * n).mean(), -1), 1) * n / d * score) ** 2
-    for _ in range(iterations):
-        w = 1 / (base + last) / score
-        fit = np.linalg.solve(x.T @ (w[:, None] * x), x.T @ (w * y))
-        rho = min(max(fit[1] * d / n.mean(), -1), 1)
-        last = (rho * n / d * score + fit[0]) ** 2
-    w = 1 / (base + last) / score
-    code = np.unique(blocks, return_inverse=True)[1]
-    own = np.stack([np.bincount(code, v) for v in (w, w * x[:, 1], w * x[:, 1] ** 2, w * y, w * x[:, 1] * y)])
-    total = own.sum(axis=1, keepdims=True)
-    s0, s1, s2, t0, t1 = np.hstack([total, total - own])
-    out = (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1)
-    return float(out[0]), out[1:]
+    wanted = stats_.select("snp", F.sqrt(F.col("n").cast("double") * F.col("n2")).alias("n"), F.col("n").cast("double").alias("n1"), F.col("n2").cast("double"), F.col("z").cast("array<double>"), F.col("z2").cast("double"))
+    path = scratch(stats_.sparkSession, "intercepts")
+    wanted.join(ld.select("snp", "block_idx", F.greatest("ldscore", F.lit(1.0)).alias("score")), "snp").drop("snp").write.parquet(path)
+    rows = stats_.sparkSession.read.parquet(path)
+    h1, h2 = np.clip(np.asarray(h1, float), 0, 1), min(max(h2, 0), 1)
+
+    def product(pdf: pd.DataFrame) -> np.ndarray:
+        return np.stack(pdf["z"].to_numpy()) * pdf["z2"].to_numpy()[:, None]
+
+    def means(pdf: pd.DataFrame) -> np.ndarray:
+        return np.column_stack([np.ones(len(pdf)), pdf["n"], pdf["score"] * pdf["n"], product(pdf)])
+
+    _, sums = _by_block(rows, means)
+    if not len(sums):
+        return np.full(len(h1), np.nan), np.zeros((0, len(h1)))
+    m, n, scored, *products = sums.sum(axis=0)
+    mean_n = n / m
+    slope, level = np.clip(d * np.array(products) / scored, -1, 1), np.zeros(len(products))
+    for k in range(iterations + 1):
+
+        def weighted(pdf: pd.DataFrame, slope=slope, level=level) -> np.ndarray:
+            score, n = pdf["score"].to_numpy()[:, None], pdf["n"].to_numpy()[:, None]
+            base = (h1 * pdf["n1"].to_numpy()[:, None] / d * score + 1) * (h2 * pdf["n2"].to_numpy()[:, None] / d * score + 1)
+            w = 1 / (base + (slope * n / d * score + level) ** 2) / score
+            x, y = score * n / mean_n, product(pdf)
+            return np.hstack([w, w * x, w * x * x, w * y, w * x * y])
+
+        _, sums = _by_block(rows, weighted)
+        sums = sums.reshape(len(sums), 5, -1)
+        total = sums.sum(axis=0)
+        s0, s1, s2, t0, t1 = np.moveaxis(np.concatenate([total[None], total - sums]), 1, 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            fits = (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1)
+            slope, level = np.clip((s0 * t1 - s1 * t0)[0] / (s0 * s2 - s1 * s1)[0] * d / mean_n, -1, 1), fits[0]
+    return fits[0], fits[1:]
 
 
 def ld_prune(variants: DataFrame, r2: float = 0.3, width: int = 500_000) -> DataFrame:

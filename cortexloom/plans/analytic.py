@@ -350,10 +350,28 @@ def cross_trait_overlap(spark, sf_dir):
     table, cov = _component_stats(s)
     blocks = _blocks(s)
     est = ld.Heritability(table, blocks, np.eye(2), cov, two=True)
-    rows = table.join(blocks.select("snp", "block_idx", "ldscore"), "snp").toPandas().sort_values("snp")  # the panel's variants
-    z = np.stack(rows["z"].to_numpy())
-    fits = [ld.ldsc_intercept(z[:, j], rows["z2"].to_numpy(), rows["n"].to_numpy(), rows["n2"].to_numpy(), rows["ldscore"].to_numpy(), 0.1, 0.1, rows["block_idx"].to_numpy()) for j in range(2)]
-    return spark.createDataFrame(est.cross_trait_overlap(np.array([f[0] for f in fits]), np.stack([f[1] for f in fits], axis=1)))
+    return spark.createDataFrame(est.cross_trait_overlap(*est.intercepts(table, blocks)))
+
+
+@query("o173_intercepts", """WITH r AS (SELECT CAST(l_suppkey % 20 AS INTEGER) AS block, greatest(l_extendedprice % 50, 1) AS score, l_quantity + 100 AS n1, l_quantity + 300.0 AS n2, sqrt((l_quantity + 100) * (l_quantity + 300.0)) AS n, j,
+  (CASE WHEN j = 1 THEN l_discount * 20 - 1 ELSE l_tax * 25 - 1 END) * (l_discount * 10 + l_tax * 15 - 1) AS y, CASE WHEN j = 1 THEN 0.2 ELSE 0.4 END AS h1 FROM lineitem, (SELECT unnest([1, 2]) AS j)),
+m AS (SELECT j, avg(n) AS mean_n, greatest(least(900 * avg(y) / avg(score * n), 1), -1) AS slope, 0.0 AS level FROM r GROUP BY j),
+w AS (SELECT r.j, block, score * n / mean_n AS x, y, 1 / ((h1 * n1 / 900 * score + 1) * (0.3 * n2 / 900 * score + 1) + power(slope * n / 900 * score + level, 2)) / score AS w FROM r JOIN m ON r.j = m.j),
+s AS (SELECT j, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(w * y) AS t0, sum(w * x * y) AS t1 FROM w GROUP BY j),
+f AS (SELECT j, mean_n, greatest(least((s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1) * 900 / mean_n, 1), -1) AS slope, (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) AS level FROM s JOIN m USING (j)),
+v AS (SELECT r.j, block, score * n / mean_n AS x, y, 1 / ((h1 * n1 / 900 * score + 1) * (0.3 * n2 / 900 * score + 1) + power(slope * n / 900 * score + level, 2)) / score AS w FROM r JOIN f ON r.j = f.j),
+b AS (SELECT j, block, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(w * y) AS t0, sum(w * x * y) AS t1 FROM v GROUP BY j, block),
+t AS (SELECT j, sum(s0) AS s0, sum(s1) AS s1, sum(s2) AS s2, sum(t0) AS t0, sum(t1) AS t1 FROM b GROUP BY j),
+l AS (SELECT b.block, j, t.s0 - b.s0 AS s0, t.s1 - b.s1 AS s1, t.s2 - b.s2 AS s2, t.t0 - b.t0 AS t0, t.t1 - b.t1 AS t1 FROM b JOIN t USING (j) UNION ALL SELECT -1, j, s0, s1, s2, t0, t1 FROM t)
+SELECT block AS left_out, CAST(j AS INTEGER) AS component, round((s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1), 6) AS intercept FROM l""")
+def intercepts(spark, sf_dir):
+    """Intercepts after one reweighting, of two traits that lines of orders have; -1: with all blocks."""
+    x = Study(spark, sf_dir).table("lineitem")
+    snp = F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    table = x.select(snp.alias("snp"), (F.col("l_quantity") + 100).alias("n"), F.array(F.col("l_discount") * 20 - 1, F.col("l_tax") * 25 - 1).alias("z"), (F.col("l_quantity") + 300).alias("n2"), (F.col("l_discount") * 10 + F.col("l_tax") * 15 - 1).alias("z2"))
+    panel = x.select((F.col("l_suppkey") % 20).cast("int").alias("block_idx"), snp.alias("snp"), (F.col("l_extendedprice") % 50).alias("ldscore"))
+    total, left = ld.ldsc_intercepts(table, panel, np.array([0.2, 0.4]), 0.3, 900.0, iterations=1)
+    return spark.createDataFrame([(b - 1, j + 1, round(float(v), 6)) for b, row in enumerate(np.vstack([total[None], left])) for j, v in enumerate(row)], "left_out int, component int, intercept double")
 
 
 @query("o171_tfce")
