@@ -23,7 +23,7 @@ MIN_DOCS, SMOOTHING, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: What a task holds before it hands its counts on: different terms, and bytes of text read.
 HELD_TERMS, HELD_BYTES = 200_000, 64 << 20
 #: Bytes of a text that are taken apart at a time, and postings that a task of the overlaps gets on average.
-PIECE, POSTINGS = 1 << 20, 100_000
+PIECE, POSTINGS = 1 << 20, 10_000
 SCHEMA = "lang string, source string, term string, n long, docs long"
 
 #: Letters and bytes of other characters stay, A to Z in lower case; everything else ends a term.
