@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .spectrum import ImageSpectrum
 
 
 def design(data: DataFrame, numeric: list[str], categorical: list[str] = (), most_levels: int = 1000) -> tuple[DataFrame, list[str]]:
@@ -249,14 +250,9 @@ def reconstruction_quality(images: DataFrame, bases: DataFrame, value: str = "vo
 
 
 def principal_components(images: DataFrame, top: int | None = None, value: str = "voxels") -> tuple[np.ndarray, np.ndarray]:
-    """Bases (N x k) and eigenvalues of the centred images (O-165, O-118): sums and cross products by partition, one N x N problem."""
-    products = cross_products(images.select(F.array(F.lit(1.0)).alias("x"), F.col(value).alias("y")))
-    n, mean = products["n"], products["xy"][0] / products["n"]
-    scatter = products["yy"] - n * np.outer(mean, mean)
-    values, vectors = np.linalg.eigh(scatter)
-    order = np.argsort(values)[::-1]
-    k = n_top(n, len(mean), top)
-    return vectors[:, order[:k]], np.maximum(values[order[:k]], 0)
+    """Bases (N x k) and eigenvalues of the centred images (O-165, O-118), see ImageSpectrum: no N x N matrix is made."""
+    spectrum = ImageSpectrum(images, value)
+    return spectrum.components(n_top(spectrum.n, spectrum.width, top))
 
 
 def n_top(n: int, voxels: int, asked: int | None, everything: bool = False) -> int:

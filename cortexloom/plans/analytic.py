@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import stats
-from ..operators import images, intervals, ld, linear, nulls, permutations, rare, relatedness, variants
+from ..operators import images, intervals, ld, linear, nulls, permutations, rare, relatedness, spectrum, variants
 from .registry import query
 from .surrogate import COMPONENTS, CTE, VOXELS, Study
 
@@ -85,6 +85,13 @@ def principal_components(spark, sf_dir):
     return spark.createDataFrame([(i + 1, float(v), linear.effective_tests(values)) for i, v in enumerate(values)], "component int, eigenvalue double, effective double")
 
 
+@query("o165_total_variance", "SELECT CAST(count(DISTINCT vec_id) AS BIGINT) AS images, CAST(max(v) AS INTEGER) AS voxels, round(sum((CAST(embedding[v] AS DOUBLE) - m) * (CAST(embedding[v] AS DOUBLE) - m)), 6) AS variance FROM embeddings, (SELECT v, avg(CAST(embedding[v] AS DOUBLE)) AS m FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS v) GROUP BY v)")
+def total_variance(spark, sf_dir):
+    """What the eigenvalues of all components add up to."""
+    s = spectrum.ImageSpectrum(Study(spark, sf_dir).images)
+    return spark.createDataFrame([(s.n, s.width, round(s.trace, 6))], "images long, voxels int, variance double")
+
+
 @query("o120_variance_proportions", """WITH e AS (SELECT sum(l_quantity) AS v FROM lineitem GROUP BY l_partkey % 37), c AS (SELECT sum(v) OVER (ORDER BY v DESC ROWS UNBOUNDED PRECEDING) / sum(v) OVER () AS c FROM e)
 SELECT CAST(p AS DOUBLE) AS prop_var, CAST(1 + count(*) FILTER (c <= p) AS INTEGER) AS n_ldrs FROM c, (SELECT unnest([0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) AS p) GROUP BY p""")
 def variance_proportions(spark, sf_dir):
