@@ -321,34 +321,75 @@ def ld_prune(variants: DataFrame, r2: float = 0.3, width: int = 500_000) -> Data
     return variants.groupBy("contig").applyInPandas(run, schema)
 
 
-def ld_prune_calls(calls: DataFrame, n: int, r2: float = 0.3, width: int = 500_000) -> DataFrame:
-    """The same from the calls (contig, pos, snp, iid, dosage) of n subjects; no call is 0, a null dosage the variant's mean.
-
-    Correlations are sums over the calls of two variants, so nothing is made dense but one variant at a time.
+def _linked(pdf: pd.DataFrame, n: int, r2: float, width: int, subjects: int = 4096) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
+    """Pairs (earlier, later) of the calls' variants in the order of (pos, snp) that are linked, as rows of the third: (pos, snp, _own)."""
+    code, names = pd.factorize(pd.MultiIndex.from_frame(pdf[["pos", "snp"]]), sort=True)
+    m, dosage = len(names), pdf["dosage"].to_numpy(float)
+    missing = np.isnan(dosage)
+    total = np.bincount(code, np.where(missing, 0, dosage), m)
+    mean = total / np.maximum(1, n - np.bincount(code, missing, m))
+    dosage = np.where(missing, mean[code], dosage)
+    total, row = np.bincount(code, dosage, m), pd.factorize(pdf["iid"])[0]
+    order, cross = np.argsort(row, kind="stable"), np.zeros((m, m))
+    for lo in range(0, int(row.max()) + 1 if len(row) else 0, subjects):
+        own = order[slice(*np.searchsorted(row[order], [lo, lo + subjects]))]
+        z = np.zeros((subjects, m))
+        z[row[own] - lo, code[own]] = dosage[own]
+        cross += z.T @ z
+    square = n * np.diag(cross) - total * total
+    pos = np.array([k[0] for k in names])
+    strong = (n * cross - np.outer(total, total)) ** 2 > r2 * np.outer(square, square)
+    near = (pos[None, :] - pos[:, None] <= width) & (square > 0)[:, None] & (square > 0)
+    i, j = np.nonzero(np.triu(strong & near, 1))
+    where = pd.DataFrame({"pos": pos, "snp": [k[1] for k in names], "_own": pd.Series(pdf["_own"].to_numpy()).groupby(code).first().to_numpy()})
+    return i, j, where
+
+
+def ld_prune_calls(calls: DataFrame, n: int, r2: float = 0.3, width: int = 500_000, most_rounds: int = 1000) -> DataFrame:
+    """Greedy pruning as in ld_prune, from the calls (contig, pos, snp, iid, dosage) of n subjects; no call is 0, a null dosage the variant's mean.
+
+    A task holds the calls of `width` positions and of the `width` before them, and leaves the links of its own
+    variants to earlier ones.  Then the ranges decide side by side: a variant goes if it is linked to an
+    earlier one that stays, and stays when all earlier ones it is linked to are gone; what a range has
+    decided is handed to the next one.  Each round settles the first open range of a contig at least, most
+    settle in a few, as chains of linked variants are short.
     """
-    schema = "contig string, pos int, snp string"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "snp"], kind="stable")
-        snp, pos = pdf["snp"].to_numpy(), pdf["pos"].to_numpy()
-        iid, dosage = pdf["iid"].to_numpy(int), pdf["dosage"].to_numpy(float)
-        at = np.flatnonzero(np.r_[True, (snp[1:] != snp[:-1]) | (pos[1:] != pos[:-1])])
-        kept, near, row = [], [], np.zeros(n)
-        for a, b in zip(at, np.r_[at[1:], len(pdf)]):
-            own, g = iid[a:b], dosage[a:b]
-            missing = np.isnan(g)
-            if missing.any():
-                g = np.where(missing, np.nansum(g) / max(1, n - missing.sum()), g)
-            total = g.sum()
-            square = n * (g @ g) - total * total
-            near = [x for x in near if pos[a] - x[0] <= width]
-            row[own] = g
-            linked = any((n * (row[i] @ d) - total * t) ** 2 > r2 * square * q for _, i, d, t, q in near if square > 0 and q > 0)
-            row[own] = 0
-            if not linked:
-                kept.append(a)
-                near.append((pos[a], own, g, total, square))
-        out = pdf.iloc[kept]
-        return pd.DataFrame({"contig": out["contig"].astype(str), "pos": out["pos"].astype(np.int32), "snp": out["snp"].astype(str)})
-
-    return calls.select("contig", "pos", "snp", "iid", "dosage").groupBy("contig").applyInPandas(run, schema)
+    kind = "contig string, _range long, pos int, snp string"
+    placed = calls.select(F.col("contig").cast("string").alias("contig"), F.col("pos").cast("int").alias("pos"), F.col("snp").cast("string").alias("snp"), "iid", F.col("dosage").cast("double").alias("dosage"))
+    spread = placed.withColumn("_at", F.floor(F.col("pos") / width)).withColumn("_range", F.explode(F.array("_at", F.col("_at") + 1))).withColumn("_own", F.col("_at") == F.col("_range")).drop("_at")
+
+    def links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, where = _linked(pdf, n, r2, width)
+        own = where["_own"].to_numpy(bool)
+        i, j = i[own[j]], j[own[j]]
+        earlier: list[list] = [[] for _ in range(len(where))]
+        for a, b in zip(i.tolist(), j.tolist()):
+            earlier[b].append((int(where["pos"].iat[a]), where["snp"].iat[a]))
+        out = where[own]
+        return pd.DataFrame({"contig": key[0], "_range": key[1], "pos": out["pos"].astype(np.int32), "snp": out["snp"], "earlier": pd.Series([earlier[k] for k in np.flatnonzero(own)], index=out.index, dtype=object)})
+
+    spark, schema = calls.sparkSession, f"{kind}, earlier array<struct<pos: int, snp: string>>"
+    path = scratch(spark, "links")
+    spread.groupBy("contig", "_range").applyInPandas(links, schema).write.parquet(path)
+    linked = spark.read.parquet(path)
+    nodes = linked.select("contig", "_range", "pos", "snp", F.lit(None).cast("boolean").alias("stays"))
+
+    def decide(key: tuple, own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        state = {(p, s): k for p, s, k in zip(known["pos"], known["snp"], known["stays"])}
+        out = []
+        for p, s, before in own.sort_values(["pos", "snp"])[["pos", "snp", "earlier"]].itertuples(index=False):
+            of = [state.get((e["pos"], e["snp"])) for e in before]
+            now = False if any(x is True for x in of) else None if any(x is None for x in of) else True
+            state[(p, s)] = now
+            out.append((key[0], key[1], p, s, now))
+        return pd.DataFrame(out, columns=["contig", "_range", "pos", "snp", "stays"]).astype({"stays": object})
+
+    for _ in range(most_rounds):
+        known = nodes.where("stays is not null").withColumn("_range", F.explode(F.array("_range", F.col("_range") + 1)))
+        nodes_now = linked.groupBy("contig", "_range").cogroup(known.groupBy("contig", "_range")).applyInPandas(decide, f"{kind}, stays boolean")
+        path = scratch(spark, "pruned")
+        nodes_now.write.parquet(path)
+        nodes = spark.read.parquet(path)
+        if not nodes.where("stays is null").limit(1).count():
+            return nodes.where("stays").select("contig", "pos", "snp")
+    raise ValueError(f"variants are left open after {most_rounds} rounds")

@@ -214,7 +214,7 @@ def burden_table(results: DataFrame) -> DataFrame:
     return results.select(*[F.col(c).alias(n) for c, n in names])
 
 
-def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, variance: np.ndarray, tests: tuple = ("burden", "skat", "staar"), max_p: float = 1.0, cmac_min: int = 2, null: dict | None = None, calls: DataFrame | None = None) -> DataFrame:
+def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, variance: np.ndarray, tests: tuple = ("burden", "skat", "staar"), max_p: float = 1.0, cmac_min: int = 2, null: dict | None = None, calls: DataFrame | None = None, given: DataFrame | None = None, inner: np.ndarray | None = None, df: int = 0) -> DataFrame:
     """index, set_name, mask, n_variants, cmac, and p-values of variant sets (O-179 to O-185, O-196).
 
     burden_effect, burden_se, burden_p: the burden of the plain weights.  burden_1_25, burden_1_1, skat_1_25,
@@ -227,8 +227,22 @@ def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, varia
     of variants is formed that no set needs.
     SKAT and the omnibus are computed for cmac above 100, annotation weights used above 500.  Rows
     whose smallest p-value is above max_p are left out.
+
+    given: (set_name, variant, score, proj), the variants that a set's tests are conditioned on (O-187), each set
+    on its own ones, with inner, the residuals' R'R, and df, n - p, of the null model without them; needs calls.
+    They are swept out of scores, covariances and variance, as a null model refitted for the set would have it;
+    a variant that is given is not tested in that set.
     """
-    by_calls = ld is None  # `run` must not hold the frame
+    by_calls, swept = ld is None, given is not None  # `run` must not hold the frames
+    if swept:
+        if not by_calls or inner is None:
+            raise ValueError("conditional tests need calls, inner and df")
+        tested = members.join(given.select(F.col("set_name").alias("_s"), F.col("variant").alias("_v")).distinct(), (F.col("set_name") == F.col("_s")) & (F.col("variant") == F.col("_v")), "left_anti")
+        tested = tested.select("set_name", "mask", "variant", "maf", "mac", "score", "proj", "annot")
+        own = tested.select("set_name", "mask").distinct()
+        added = given.select("set_name", "variant", "score", "proj").dropDuplicates(["set_name", "variant"]).join(own, "set_name")
+        blank = {c: F.lit(None).cast(tested.schema[c].dataType).alias(c) for c in ("maf", "mac", "annot")}
+        members = tested.withColumn("_given", F.lit(False)).unionByName(added.select("set_name", "mask", "variant", "score", "proj", *blank.values(), F.lit(True).alias("_given")))
     if by_calls:
         joined = members.select(F.col("set_name").alias("set_j"), F.col("mask").alias("mask_j"), F.col("variant").alias("_at")).join(calls.select("variant", "iid", "dosage"), F.col("_at") == F.col("variant")).drop("_at")
     else:
@@ -236,13 +250,15 @@ def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, varia
         two = members.select(F.col("set_name").alias("set_j"), F.col("mask").alias("mask_j"), F.col("variant").alias("at_j"))
         pairs = one.join(ld, F.col("at_i") == F.col("i")).join(two, (F.col("set_i") == F.col("set_j")) & (F.col("mask_i") == F.col("mask_j")) & (F.col("j") == F.col("at_j")))
         joined = pairs.select("set_j", "mask_j", "i", "j", "value")
+    spread = variance
     schema = "index int, set_name string, mask string, n_variants int, cmac long, burden_effect double, burden_se double, burden_p double, skat_p double, staar_o double, " + ", ".join([*(f"{g} array<double>" for g in GROUPS), *(f"staar_{g} double" for g in GROUPS)])
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in schema.split(", ")})
         left = left.sort_values("variant").reset_index(drop=True)
+        held = np.flatnonzero(left["_given"].to_numpy(bool)) if swept else []
         cmac = int(left["mac"].sum())
-        if len(left) < 2 or cmac < cmac_min:
+        if len(left) - len(held) < 2 or cmac < cmac_min:
             return none
         place = {v: k for k, v in enumerate(left["variant"])}
         if by_calls:
@@ -251,8 +267,12 @@ def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, varia
             cov = np.zeros((len(left), len(left)))
             i, j = right["i"].map(place).to_numpy(int), right["j"].map(place).to_numpy(int)
             cov[i, j] = cov[j, i] = right["value"].to_numpy(float)
-        proj, score, maf = np.stack(left["proj"].to_numpy()), np.stack(left["score"].to_numpy()), left["maf"].to_numpy(float)
-        cov = cov - proj @ proj.T
+        proj, score = np.stack(left["proj"].to_numpy()), np.stack(left["score"].to_numpy())
+        cov, variance = cov - proj @ proj.T, spread
+        if len(held):
+            score, cov, variance = sweep(score, cov, held, bases, inner, df)
+            left = left.drop(index=held).reset_index(drop=True)
+        maf = left["maf"].to_numpy(float)
         annot = np.stack(left["annot"].to_numpy()).astype(float) if cmac > 500 and left["annot"].notna().all() else None
         voxels = len(bases)
         effect, se, chi = burden(score, cov, np.ones(len(left)), bases, variance)
@@ -280,6 +300,20 @@ def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, varia
     return members.groupBy("set_name", "mask").cogroup(joined.groupBy("set_j", "mask_j")).applyInPandas(run, schema)
 
 
+def sweep(score: np.ndarray, cov: np.ndarray, held: np.ndarray, bases: np.ndarray, inner: np.ndarray, df: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, covariance and voxel variances of the other variants with those `held` as further covariates (O-187).
+
+    Directions of the held variants that depend on each other or on the covariates count once or not at all."""
+    rest = np.setdiff1d(np.arange(len(score)), held)
+    values, vectors = np.linalg.eigh(cov[np.ix_(held, held)])
+    good = values > 1e-9 * max(values.max(), 1e-300)
+    half = vectors[:, good] / np.sqrt(values[good])  # its outer product is the inverse
+    moved, across = half.T @ score[held], half.T @ cov[np.ix_(held, rest)]
+    left = inner - moved.T @ moved
+    variance = np.einsum("vi,ij,vj->v", bases, left, bases) / (df - int(good.sum()))
+    return score[rest] - across.T @ moved, cov[np.ix_(rest, rest)] - across.T @ across, variance
+
+
 def exceeds_band(members: DataFrame, bands: DataFrame) -> DataFrame:
     """Sets whose last variant lies outside the band of their first (O-128): members (set_name, variant_idx), bands (variant_idx, band)."""
     ends = members.groupBy("set_name").agg(F.min("variant_idx").alias("_first"), F.max("variant_idx").alias("_last"))
@@ -291,9 +325,15 @@ def genotype_rows(geno: DataFrame) -> Column:
 
 
 def conditional_null(subjects: DataFrame, geno: DataFrame, conditions: list) -> DataFrame:
-    """(iid, x, y) with the dosages of the conditioning variants as further covariates (O-187)."""
-    wide = geno.where(F.col("variant").isin(conditions)).groupBy("iid").pivot("variant", conditions).agg(F.first("dosage"))
-    added = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in conditions])
+    """(iid, x, y) with the dosages of the conditioning variants as further covariates (O-187); a missing dosage is the variant's mean."""
+    if not conditions:
+        return subjects.select("iid", "x", "y")
+    own = geno.where(F.col("variant").isin(conditions)).join(subjects.select("iid"), "iid", "left_semi")
+    n = subjects.count()
+    means = {r["variant"]: (r["total"] or 0.0) / max(1, n - r["missing"]) for r in own.groupBy("variant").agg(F.sum("dosage").cast("double").alias("total"), F.count_if(F.col("dosage").isNull()).alias("missing")).collect()}  # a row a condition
+    value = F.coalesce(F.col("dosage").cast("double"), *[F.when(F.col("variant") == k, F.lit(m)) for k, m in means.items()])
+    wide = own.withColumn("_d", value).groupBy("iid").pivot("variant", conditions).agg(F.first("_d"))
+    added = F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in conditions])
     return subjects.join(wide, "iid", "left").select("iid", F.concat("x", added).alias("x"), "y")
 
 

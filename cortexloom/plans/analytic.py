@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import stats
-from ..operators import images, intervals, ld, linear, nulls, permutations, rare, relatedness, spectrum, variants
+from ..operators import images, intervals, ld, linear, masks, nulls, permutations, rare, relatedness, spectrum, variants
+from ..session import scratch
 from .registry import query
 from .surrogate import COMPONENTS, CTE, VOXELS, Study
 
@@ -256,6 +257,50 @@ def conditional_test(spark, sf_dir):
     return linear.gwas(s.geno.where(~F.col("variant").isin(given)), subjects)
 
 
+def _tested_variants(s: Study) -> tuple:
+    """Scores and projections of all called variants with their annotations, and the null model's sums."""
+    null, products = linear.residuals(s.subjects), linear.cross_products(s.subjects)
+    qc = variants.variant_qc(s.geno, s.n).select("variant", "maf", "mac")
+    summary = qc.join(rare.scores(s.geno, null), "variant").join(rare.projections(s.geno, null, products["xx"]), "variant")
+    path = scratch(s.spark, "summary")
+    summary.write.parquet(path)  # read again by masks and by conditions
+    inner = linear.cross_products(null.select("iid", F.array(F.lit(1.0)).alias("x"), F.col("resid").alias("y")))["yy"]
+    return s.spark.read.parquet(path), null, inner, products["n"] - len(products["xx"])
+
+
+def _mask_members(s: Study, summary: DataFrame, noncoding: bool = False) -> DataFrame:
+    placed = s.variants.join(summary.where(variants.maf_filter(0, 0.05)), "variant").withColumn("annot", F.array("phred"))
+    own = masks.noncoding_members(placed.withColumns({"cage": F.lit(None).cast("string"), "dhs": F.lit(None).cast("string")}), s.genes) if noncoding else masks.coding_members(placed, s.genes)
+    return own.select("set_name", "mask", "variant", "maf", "mac", "score", "proj", "annot")
+
+
+def known_loci(s: Study, null: DataFrame) -> DataFrame:
+    """contig, pos, snp, variant of the variants that a component shows at p < 0.01, pruned to r2 of 0.3 (O-187)."""
+    hits = linear.gwas(s.geno, null.select("iid", "x", "y")).where(F.exists("p_value", lambda p: p < 0.01)).select("variant")
+    calls = _calls(s).join(hits, "variant", "left_semi")
+    return ld.ld_prune_calls(calls, s.n, 0.3, 20).withColumn("variant", F.substring("snp", 3, 18).cast("long"))
+
+
+@query("o187_conditional_sets")
+def conditional_sets(spark, sf_dir):
+    """Coding masks of each gene, conditioned on the known loci up to 40 positions from it."""
+    s = Study(spark, sf_dir)
+    summary, null, inner, df = _tested_variants(s)
+    near = s.genes.select("set_name", "contig", (F.col("start") - 40).alias("start"), (F.col("end") + 40).alias("end"))
+    given = intervals.interval_join(known_loci(s, null).join(summary.select("variant", "score", "proj"), "variant"), near).select("set_name", "variant", "score", "proj")
+    bases = np.eye(2)
+    return rare.named(rare.set_tests(_mask_members(s, summary), None, bases, np.diag(inner) / df, calls=s.geno, given=given, inner=inner, df=df), ["phred"])
+
+
+@query("o185_mask_tests")
+def mask_tests(spark, sf_dir):
+    """Coding and noncoding masks of all genes into set tests."""
+    s = Study(spark, sf_dir)
+    summary, _, inner, df = _tested_variants(s)
+    members = _mask_members(s, summary).unionByName(_mask_members(s, summary, noncoding=True))
+    return rare.named(rare.set_tests(members, None, np.eye(2), np.diag(inner) / df, calls=s.geno), ["phred"])
+
+
 @query("o184_cauchy", CTE + "SELECT snp, pos, n, round(0.5 - atan((tan((0.5 - p1) * pi()) + tan((0.5 - p2) * pi())) / 2) / pi(), 6) AS p FROM (SELECT snp, pos, n, (n + 0.5) / 60 AS p1, (maf + 0.01) / 2 AS p2 FROM panel)")
 def cauchy(spark, sf_dir):
     p = Study(spark, sf_dir).panel
