@@ -441,17 +441,36 @@ def smooth_images(spark, sf_dir):
     return images.smooth(s.images, weights).select("iid", F.posexplode("voxels").alias("voxel", "value"))
 
 
+def _loco(s: Study) -> DataFrame:
+    """iid, contig, pred: leave-one-chromosome-out predictions of both components."""
+    path = scratch(s.spark, "arranged")
+    relatedness.arrange(linear.residuals(s.plain_subjects)).write.parquet(path)
+    arranged = s.spark.read.parquet(path)
+    moments = arranged.select(*[F.stddev_pop(F.get("resid", j)).alias(f"s{j}") for j in range(2)]).first()
+    scale = np.array([moments["s0"], moments["s1"]])
+    subjects = arranged.select("row", "fold", "x", "resid").toPandas().sort_values("row")  # null-model size
+    subjects["y"] = list(np.stack(subjects["resid"].to_numpy()) / scale)
+    called = s.variants.join(s.geno.select("variant"), "variant", "left_semi").select("variant", "contig", "pos", F.col("rsid").alias("snp"))
+    blocks = intervals.equal_blocks(called, 150, "snp").select("variant", "contig", "snp", (F.col("contig").cast("int") * 1_000_000 + F.col("block")).cast("int").alias("block"))
+    calls = s.geno.join(blocks, "variant").join(arranged.select("iid", "row"), "iid").select("block", "contig", "snp", F.col("row").cast("int").alias("iid"), "dosage")
+    path = scratch(s.spark, "features")
+    relatedness.level0(calls, subjects, called.count(), calls=True).write.parquet(path)  # read for the fit and for the predictions
+    return relatedness.by_subject(relatedness.level1(s.spark.read.parquet(path), relatedness.targets(arranged, scale), scale), arranged)
+
+
 @query("o189_loco_predictions")
 def loco_predictions(spark, sf_dir):
+    return _loco(Study(spark, sf_dir))
+
+
+@query("o189_loco_association")
+def loco_association(spark, sf_dir):
+    """Association of the variants of each chromosome, with what the others predict taken off (O-137S, O-161)."""
     s = Study(spark, sf_dir)
-    subjects = linear.residuals(s.plain_subjects).withColumn("fold", relatedness.fold_of("iid")).toPandas().sort_values("iid")  # null-model size
-    y = np.stack(subjects["resid"].to_numpy())
-    scale = y.std(axis=0)
-    subjects["y"] = list(y / scale)
-    called = s.variants.join(s.geno.select("variant"), "variant", "left_semi").select("variant", "contig", "pos", F.col("rsid").alias("snp"))
-    blocks = intervals.equal_blocks(called, 150, "snp").select("variant", "contig", "snp", (F.col("contig").cast("int") * 1_000_000 + F.col("block")).cast("int").alias("block"))
-    preds = relatedness.level0(s.geno.join(blocks, "variant").select("block", "contig", "snp", "iid", "dosage"), subjects, called.count(), calls=True)
-    return relatedness.level1(preds, subjects, scale)
+    path = scratch(spark, "loco")
+    _loco(s).write.parquet(path)
+    geno = s.geno.join(s.variants.select("variant", "contig"), "variant")
+    return linear.gwas_loco(geno, s.plain_subjects, spark.read.parquet(path), variants.chromosomes(s.variants))
 
 
 @query("o190_wild_bootstrap")

@@ -58,7 +58,7 @@ def test_component_statistics_of_all_variants(spark, wide, dosages):
 
 def test_loco_over_all_contigs(spark, wide):
     got = analytic.loco_predictions(spark, wide).collect()
-    assert {r["contig"] for r in got} == {"1", "2", "3", "4"} and all(len(r["pred"]) == 1500 for r in got)
+    assert {r["contig"] for r in got} == {"1", "2", "3", "4"} and all(len(r["pred"]) == 2 for r in got) and len({(r["iid"], r["contig"]) for r in got}) == len(got) == 4 * 1500
 
 
 def test_conditional_test_of_all_variants(spark, wide, dosages):
