@@ -208,7 +208,7 @@ def gwas_loco(geno: DataFrame, subjects: DataFrame, loco: DataFrame, contigs: li
 
 def project(images: DataFrame, bases: DataFrame, value: str = "voxels") -> DataFrame:
     """(iid, ldr array): image times bases (O-162); bases (voxel, b array), one row a voxel, collected to the size N x r."""
-    b = _matrix(bases)
+    b = matrix_of(bases)
 
     def run(batches):
         for pdf in batches:
@@ -219,7 +219,8 @@ def project(images: DataFrame, bases: DataFrame, value: str = "voxels") -> DataF
     return images.select("iid", value).mapInPandas(run, f"iid {kind}, ldr array<double>")
 
 
-def _matrix(bases: DataFrame) -> np.ndarray:
+def matrix_of(bases: DataFrame) -> np.ndarray:
+    """Bases (voxel, b array) as a matrix, of image size."""
     got = bases.select("voxel", "b").toPandas().sort_values("voxel")
     return np.stack(got["b"].to_numpy()).astype(float)
 
@@ -227,7 +228,7 @@ def _matrix(bases: DataFrame) -> np.ndarray:
 def reconstruction_quality(images: DataFrame, bases: DataFrame, value: str = "voxels", steps: int = 10) -> DataFrame:
     """share, corr: mean over subjects of the correlation of the image with its reconstruction from the first
     10 %, 20 % ... of the components (O-159, O-162)."""
-    b = _matrix(bases)
+    b = matrix_of(bases)
 
     def run(batches):
         total, n = np.zeros(steps), 0
@@ -288,7 +289,7 @@ def recover_voxels(sumstats: DataFrame, bases: DataFrame, cov: np.ndarray, max_p
     sumstats: variant columns and arrays beta, z and n; rows are expanded to voxels inside the
     vectorised step, and with max_p only the significant ones leave it (O-084).
     """
-    b = _matrix(bases)
+    b = matrix_of(bases)
     chosen = np.arange(len(b)) if voxels is None else np.array(voxels)
     b, sigma = b[chosen], np.diag(cov)
     quad = np.einsum("vi,ij,vj->v", b, cov, b)

@@ -1,84 +1,191 @@
 """Bootstrap and permutation nulls, cluster sizes, and threshold-free cluster enhancement.
 
-Replicates are rows of a sample_id column; the randomness of a replicate depends on its id and the
-subject or batch only, so a task that is run again gives the same rows.
+The randomness of a replicate depends on its number and the subject's place only, so a task that is
+run again gives the same rows, and the plan is the same for any number of replicates.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .intervals import numbered
-from .linear import covariance, cross_products, gwas, recover_voxels, residuals
+from .linear import matrix_of, residuals
+from .permutations import Side, normals, shuffled
+from .rare import set_products, set_tests, test_set, weighted_sums
 
 
 def wild_bootstrap(resid: DataFrame, samples: int, seed: int = 1) -> DataFrame:
     """sample_id, iid, resid: each subject's residuals times a standard normal of its own (O-190)."""
-    spread = resid.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    normal = normal_of(F.col("iid"), F.col("sample_id"), seed)
-    return spread.withColumn("_w", normal).select("sample_id", "iid", F.transform("resid", lambda x: x * F.col("_w")).alias("resid"))
 
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                y = np.stack(pdf["resid"].to_numpy())
+                for k, w in enumerate(normals(pdf["place"].to_numpy(), np.arange(samples), seed)):
+                    yield pd.DataFrame({"sample_id": np.int32(k), "iid": pdf["iid"], "resid": list(y * w[:, None])})
+
+    return Side(resid, ["resid"], 0).placed.mapInPandas(run, f"sample_id int, iid {resid.schema['iid'].dataType.simpleString()}, resid array<double>")
+
+
+def _replicate_sums(side: Side, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """X'X, and for each replicate X'Y* and Y*'Y* of the residuals times their normals; n: numbers of the size of covariates and components for each."""
+    p, r = side.sizes["x"], side.sizes["resid"]
+
+    def run(batches):
+        xx, xy, yy = np.zeros((p, p)), np.zeros((samples, p, r)), np.zeros((samples, r, r))
+        for pdf in batches:
+            for lo in range(0, len(pdf), 4096):
+                part = pdf.iloc[lo : lo + 4096]
+                x, y = (np.stack(part[c].to_numpy()) for c in ("x", "resid"))
+                xx += x.T @ x
+                for k, w in enumerate(normals(part["place"].to_numpy(), np.arange(samples), seed)):
+                    own = y * w[:, None]
+                    xy[k] += x.T @ own
+                    yy[k] += own.T @ own
+        yield pd.DataFrame({"k": np.arange(-1, samples), "sums": [xx.ravel(), *(np.concatenate([a.ravel(), b.ravel()]) for a, b in zip(xy, yy))]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "sums": [np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)]})
 
-def normal_of(iid: Column, sample: Column, seed: int) -> Column:
-    """A standard normal that depends on subject, replicate and seed only."""
-    u = lambda k: (F.pmod(F.xxhash64(iid, sample, F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
+    got = {row["k"]: np.array(row["sums"]) for row in side.placed.mapInPandas(run, "k int, sums array<double>").groupBy("k").applyInPandas(add, "k int, sums array<double>").collect()}
+    rest = np.array([got[k] for k in range(samples)]).reshape(samples, -1)
+    return got[-1].reshape(p, p), rest[:, : p * r].reshape(-1, p, r), rest[:, p * r :].reshape(-1, r, r)
 
 
-def bootstrap_clusters(geno: DataFrame, subjects: DataFrame, bases: DataFrame, samples: int, max_p: float = 2.5e-6, seed: int = 1, at_once: int = 10) -> DataFrame:
+def bootstrap_clusters(geno: DataFrame, subjects: DataFrame, bases: DataFrame, samples: int, max_p: float = 2.5e-6, seed: int = 1, at_once: int = 25, shards: int | None = None, most_side: int | None = None) -> DataFrame:
     """sample_id, variant, size: for each variant and wild-bootstrap replicate the number of voxels that are significant (O-190).
 
     The chain of one replicate: residuals times a normal for each subject, association with all variants,
-    voxel effects from component effects, voxels with p <= max_p counted, 0 included.  `at_once`
-    replicates share a pass over the genotypes, as further components of one association.
+    voxel effects from component effects, voxels with p <= max_p counted, 0 included.  All replicates are
+    made in one pass over the calls, which are dealt by variant: a task looks the residuals of its carriers
+    up in the null model it holds and makes the normals, `at_once` replicates at a time.  A null model too
+    large to be held is joined to the calls, and the variants' sums meet after that.
     """
-    null = residuals(subjects).select("iid", "x", "resid")
-    first = null.select(F.size("resid").alias("r")).first()
-    if first is None:
-        raise ValueError("no subject")
-    r, out = first["r"], None
-
-    def times_normal(k: int) -> Column:
-        return F.transform("resid", lambda v: v * normal_of(F.col("iid"), F.lit(k), seed))
-
-    for lo in range(0, samples, at_once):
-        own = range(lo, min(lo + at_once, samples))
-        wide = null.select("iid", "x", F.concat(*[times_normal(k) for k in own]).alias("y"))
-        products = cross_products(wide)
-        sigma = covariance(products)
-        tested = gwas(geno, wide)
-        for i, k in enumerate(own):
-            part = slice(i * r, (i + 1) * r)
-            table = tested.select("variant", F.col("n_called").cast("double").alias("n"), F.slice("beta", part.start + 1, r).alias("beta"), F.slice("t_stat", part.start + 1, r).alias("z"))
-            usable = table.where(~F.exists("z", lambda v: v.isNull() | F.isnan(v)))
-            found = recover_voxels(usable, bases, sigma[part, part], max_p=max_p).groupBy("variant").agg(F.count("*").alias("_n"))
-            counted = table.select("variant").join(found, "variant", "left").select(F.lit(k).alias("sample_id"), "variant", F.coalesce("_n", F.lit(0)).alias("size"))
-            out = counted if out is None else out.unionAll(counted)
-    return out
-
-
-def permuted_clusters(members: DataFrame, calls: DataFrame, null: DataFrame, bases: np.ndarray, variance: np.ndarray, samples: int, max_p: float = 2.5e-6, seed: int = 1) -> DataFrame:
+    side = Side(residuals(subjects), ["x", "resid"], most_side)
+    n, p, r = side.n, side.sizes["x"], side.sizes["resid"]
+    xx, xy, yy = _replicate_sums(side, samples, seed)
+    inverse, b, limit, df = np.linalg.inv(xx), matrix_of(bases), float(stats.chi2_isf(max_p)), n - p - 1
+    kind = geno.schema["variant"].dataType.simpleString()
+    schema = f"sample_id int, variant {kind}, size long"
+
+    def products(at, x, y, dosage, code, m, replicates) -> np.ndarray:
+        """variants x sums: count, square and missing calls, x of calls and of missing ones, and y* of both for each replicate."""
+        missing = np.isnan(dosage)
+        d, order = np.where(missing, 0, dosage), np.argsort(code, kind="stable")
+        first = np.searchsorted(code[order], np.arange(m))
+        w = normals(at, replicates, seed)
+        star = np.einsum("kc,cj->ckj", w, y).reshape(len(at), -1)
+        parts = [d[:, None], (d * d)[:, None], missing[:, None], d[:, None] * x, missing[:, None] * x, d[:, None] * star, missing[:, None] * star]
+        return np.hstack([np.add.reduceat(v[order].astype(float), first, axis=0) for v in parts])
+
+    def sizes(sums: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+        """replicates x variants."""
+        own = len(replicates) * r
+        ac, gg, missing, gx, mx, gy, my = np.split(sums, np.cumsum([1, 1, 1, p, p, own]), axis=1)
+        have = n - missing
+        mean = np.divide(ac, have, out=np.zeros_like(ac), where=have > 0)
+        gg, gx, gy = gg + mean * mean * missing, gx + mean * mx, (gy + mean * my).reshape(len(sums), -1, r)
+        left = gg[:, 0] - np.einsum("ij,jk,ik->i", gx, inverse, gx)
+        left[(left <= 1e-10 * np.maximum(gg[:, 0], 1e-300)) | (df <= 0)] = np.nan
+        out = np.zeros((len(replicates), len(sums)), np.int64)
+        for i, k in enumerate(replicates):
+            sigma = (yy[k] - xy[k].T @ inverse @ xy[k]) / n
+            beta = (gy[:, i] - gx @ inverse @ xy[k]) / left[:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                se = np.sqrt(np.maximum(np.diag(sigma) * n - beta**2 * left[:, None], 0) / max(df, 1) / left[:, None])
+                scale = ((se**2 + beta**2 / have) / np.diag(sigma)).mean(axis=1)
+                bv = beta @ b.T
+                z2 = bv**2 / (scale[:, None] * np.einsum("vi,ij,vj->v", b, sigma, b) - bv**2 / have)
+                out[i] = (z2 >= limit).sum(axis=1)
+        return out
+
+    def frame(names, found: np.ndarray, replicates: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"sample_id": np.repeat(replicates.astype(np.int32), len(names)), "variant": np.tile(names, len(replicates)), "size": found.ravel()})
+
+    batches = [np.arange(k, min(k + at_once, samples)) for k in range(0, samples, at_once)]
+    if side.held is not None:
+        held, shards = side.held, shards or max(1, geno.sparkSession.sparkContext.defaultParallelism * 3)
+
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            iids, sides = held.value
+            at = iids.get_indexer(pdf["iid"])
+            pdf, at = pdf[at >= 0], at[at >= 0]
+            code, names = pd.factorize(pdf["variant"])
+            x, y, dosage = sides["x"][at], sides["resid"][at], pdf["dosage"].to_numpy(float)
+            found = [frame(names, sizes(products(at, x, y, dosage, code, len(names), k), k), k) for k in batches] if len(at) else []
+            return pd.concat(found) if found else pd.DataFrame({"sample_id": np.zeros(0, np.int32), "variant": pdf["variant"], "size": np.zeros(0, np.int64)})
+
+        dealt = geno.select("variant", "iid", "dosage").withColumn("_shard", F.pmod(F.xxhash64("variant"), F.lit(shards)))
+        return dealt.groupBy("_shard").applyInPandas(run, schema)
+    rows = geno.select("variant", "iid", "dosage").join(side.placed, "iid")
+
+    def partial(batches_):
+        for pdf in batches_:
+            if len(pdf):
+                code, names = pd.factorize(pdf["variant"])
+                x, y = (np.stack(pdf[c].to_numpy()) for c in ("x", "resid"))
+                for i, k in enumerate(batches):
+                    yield pd.DataFrame({"variant": names, "batch": np.int32(i), "sums": list(products(pdf["place"].to_numpy(), x, y, pdf["dosage"].to_numpy(float), code, len(names), k))})
+
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return frame([key[0]], sizes(np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)[None], batches[key[1]]), batches[key[1]])
+
+    return rows.mapInPandas(partial, f"variant {kind}, batch int, sums array<double>").groupBy("variant", "batch").applyInPandas(finish, schema)
+
+
+def permuted_clusters(members: DataFrame, calls: DataFrame, null: DataFrame, bases: np.ndarray, variance: np.ndarray, samples: int, max_p: float = 2.5e-6, seed: int = 1, most_side: int | None = None) -> DataFrame:
     """sample_id, set_name, mask, size: for each set and permutation of the residual rows the number of voxels whose
     omnibus (burden where there is none) is significant (O-191).
 
     members: (set_name, mask, variant, maf, mac, proj, annot); calls: (variant, iid, dosage); null: (iid, resid).
-    The sets' covariances do not change, so only the scores of the variants are made anew.
+    A set's covariance is made once; its task looks up which residuals its carriers get in each replicate.
+    Where the null model is too large to be held, scores of all replicates come from one join, and a set is
+    tested for each replicate under a name of its own.
     """
-    from .rare import scores, set_tests
-
-    drawn = permuted_rows(null.select("iid", "resid"), samples, seed)
-    out = None
-    for k in range(samples):
-        own = scores(calls, drawn.where(F.col("sample_id") == k).select("iid", "resid"))
-        tested = set_tests(members.join(own, "variant"), None, bases, variance, max_p=1.0, calls=calls)
+    side = Side(null, ["resid"], most_side)
+    tests, schema = ("burden", "skat", "staar"), "sample_id int, set_name string, mask string, size long"
+    if side.held is None:
+        drawn = permuted_rows(null.select("iid", "resid"), samples, seed)
+        placed = calls.join(drawn, "iid").withColumn("_key", F.struct("variant", "sample_id"))
+        scored = weighted_sums(placed.select("_key", "dosage", "resid"), "_key", "dosage", "resid", side.sizes["resid"]).select("_key.variant", "_key.sample_id", F.col("sums").alias("score"))
+        wide = members.join(scored, "variant").withColumn("set_name", F.to_json(F.struct("sample_id", F.col("set_name").alias("s"))))
+        tested = set_tests(wide, None, bases, variance, max_p=1.0, calls=calls)
+        of = F.from_json("set_name", "sample_id int, s string")
         hit = F.coalesce(F.col("staar_o"), F.col("burden_p")) <= max_p
-        counted = tested.groupBy("set_name", "mask").agg(F.count_if(hit).alias("size")).select(F.lit(k).alias("sample_id"), "set_name", "mask", "size")
-        out = counted if out is None else out.unionAll(counted)
-    return out
+        return tested.groupBy(of.alias("_of"), "mask").agg(F.count_if(hit).alias("size")).select("_of.sample_id", F.col("_of.s").alias("set_name"), "mask", "size")
+    held, n = side.held, side.n
+    own = members.select(F.col("set_name").alias("set_j"), F.col("mask").alias("mask_j"), F.col("variant").alias("_at")).join(calls.select("variant", "iid", "dosage"), F.col("_at") == F.col("variant")).drop("_at")
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("variant").reset_index(drop=True)
+        cmac = int(left["mac"].sum())
+        if len(left) < 2 or cmac < 2:
+            return pd.DataFrame({"sample_id": np.zeros(0, np.int32), "set_name": "", "mask": "", "size": np.zeros(0, np.int64)})
+        iids, sides = held.value
+        where = {v: k for k, v in enumerate(left["variant"])}
+        proj = np.stack(left["proj"].to_numpy())
+        cov, maf = set_products(right, where) - proj @ proj.T, left["maf"].to_numpy(float)
+        annot = np.stack(left["annot"].to_numpy()).astype(float) if left["annot"].notna().all() else None
+        at, code, dosage = iids.get_indexer(right["iid"]), right["variant"].map(where).to_numpy(int), right["dosage"].to_numpy(float)
+        order = np.argsort(code, kind="stable")
+        order = order[at[order] >= 0]
+        places, back = np.unique(at[order], return_inverse=True)
+        found, first = [], np.searchsorted(code[order], np.arange(len(left)))
+        empty = np.diff(np.r_[first, len(order)]) == 0
+        for k in range(samples):
+            rows = sides["resid"][shuffled(places, n, np.array([k]), seed)[0]][back] * dosage[order][:, None]
+            score = np.zeros((len(left), rows.shape[1]))
+            if (~empty).any():
+                score[~empty] = np.add.reduceat(rows, first[~empty], axis=0)
+            out, _ = test_set(score, cov, maf, cmac, annot, bases, variance, tests)
+            p = np.where(np.isnan(out["staar_o"]), out["burden_p"], out["staar_o"])
+            found.append(int((p <= max_p).sum()))
+        return pd.DataFrame({"sample_id": np.arange(samples, dtype=np.int32), "set_name": key[0], "mask": key[1], "size": np.array(found, np.int64)})
+
+    return members.groupBy("set_name", "mask").cogroup(own.groupBy("set_j", "mask_j")).applyInPandas(run, schema)
 
 
 def cluster_sizes(significant: DataFrame, variants: DataFrame, samples: int) -> DataFrame:
@@ -104,17 +211,18 @@ def merge_permutations(frames: list[DataFrame], keep: float = 2.5e-6) -> DataFra
 
 
 def permuted_rows(resid: DataFrame, samples: int, seed: int = 1) -> DataFrame:
-    """sample_id, iid, resid: the residual rows of all subjects dealt to them in a new order (O-191); no task takes all subjects of a replicate."""
-    spread = resid.select("iid", "resid").withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    """sample_id, iid, resid: the residual rows of all subjects dealt to them in a new order (O-191); where a subject's come
+    from follows from its place, so no task takes all subjects of a replicate."""
+    side = Side(resid.select("iid", "resid"), ["resid"], 0)
+    n, kind = side.n, resid.schema["iid"].dataType.simpleString()
 
-    def dealt(at: Column, value: str) -> DataFrame:
-        """Numbers from 0 in the order of a hash, a 1024th of its range at a time."""
-        rows = spread.select(F.col("sample_id").alias("contig"), at.alias("pos"), "iid", "resid")
-        return numbered(rows, ["iid"], 1 << 54).select(F.col("contig").alias("sample_id"), "_rank", value)
+    def run(batches):
+        for pdf in batches:
+            for k in range(samples) if len(pdf) else ():
+                yield pd.DataFrame({"sample_id": np.int32(k), "iid": pdf["iid"], "place": shuffled(pdf["place"].to_numpy(), n, np.array([k]), seed)[0]})
 
-    places = dealt(F.xxhash64("iid", F.lit(seed)), "iid")
-    drawn = dealt(F.xxhash64("iid", "sample_id", F.lit(seed)), "resid")
-    return places.join(drawn, ["sample_id", "_rank"]).select("sample_id", "iid", "resid")
+    sent = side.placed.select("iid", "place").mapInPandas(run, f"sample_id int, iid {kind}, place long")
+    return sent.join(side.placed.select("place", "resid"), "place").select("sample_id", "iid", "resid")
 
 
 def grid_neighbours(coords: np.ndarray) -> np.ndarray:

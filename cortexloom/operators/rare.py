@@ -214,6 +214,34 @@ def burden_table(results: DataFrame) -> DataFrame:
     return results.select(*[F.col(c).alias(n) for c, n in names])
 
 
+def test_set(score: np.ndarray, cov: np.ndarray, maf: np.ndarray, cmac: int, annot: np.ndarray | None, bases: np.ndarray, variance: np.ndarray, tests: tuple, null: dict | None = None) -> tuple[dict, dict]:
+    """Columns of set_tests for one set, by voxel, and the p-values of each group, weights x voxels, or None."""
+    voxels = len(bases)
+    annot = annot if cmac > 500 else None
+    effect, se, chi = burden(score, cov, np.ones(len(score)), bases, variance)
+    nothing = np.full(voxels, np.nan)
+    out = {"burden_effect": effect, "burden_se": se, "burden_p": burden_p(chi, cmac, null), "skat_p": nothing, "staar_o": nothing}
+    groups: dict = dict.fromkeys(GROUPS)
+    every = annotation_weights(annot, maf, "burden")
+    if {"burden", "staar"} & set(tests):
+        for name, own in _by_beta(every):
+            groups[f"burden_{name}"] = np.stack([burden_p(burden(score, cov, w, bases, variance)[2], cmac, null) for w in own])
+    if cmac > 100 and {"skat", "staar"} & set(tests):
+        for name, own in _by_beta(annotation_weights(annot, maf, "skat")):
+            groups[f"skat_{name}"] = np.stack([skat(score, cov, w, bases, variance) for w in own])
+        out["skat_p"] = stats.cauchy_combination(np.concatenate([groups["skat_1_25"], groups["skat_1_1"]]))
+        if "staar" in tests:
+            out["staar_o"] = stats.cauchy_combination(np.concatenate([groups[g] for g in GROUPS]))
+    for g in GROUPS:
+        p = groups[g]
+        out[g] = [None] * voxels if p is None else list(p.T)
+        out[f"staar_{g}"] = stats.cauchy_combination(p) if p is not None and len(p) > 1 else nothing
+    return out, groups
+
+
+test_set.__test__ = False  # not a test of the suite
+
+
 def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, variance: np.ndarray, tests: tuple = ("burden", "skat", "staar"), max_p: float = 1.0, cmac_min: int = 2, null: dict | None = None, calls: DataFrame | None = None, given: DataFrame | None = None, inner: np.ndarray | None = None, df: int = 0) -> DataFrame:
     """index, set_name, mask, n_variants, cmac, and p-values of variant sets (O-179 to O-185, O-196).
 
@@ -273,26 +301,9 @@ def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, varia
             score, cov, variance = sweep(score, cov, held, bases, inner, df)
             left = left.drop(index=held).reset_index(drop=True)
         maf = left["maf"].to_numpy(float)
-        annot = np.stack(left["annot"].to_numpy()).astype(float) if cmac > 500 and left["annot"].notna().all() else None
+        annot = np.stack(left["annot"].to_numpy()).astype(float) if left["annot"].notna().all() else None
+        out, groups = test_set(score, cov, maf, cmac, annot, bases, variance, tests, null)
         voxels = len(bases)
-        effect, se, chi = burden(score, cov, np.ones(len(left)), bases, variance)
-        nothing = np.full(voxels, np.nan)
-        out = {"burden_effect": effect, "burden_se": se, "burden_p": burden_p(chi, cmac, null), "skat_p": nothing, "staar_o": nothing}
-        groups: dict = dict.fromkeys(GROUPS)
-        every = annotation_weights(annot, maf, "burden")
-        if {"burden", "staar"} & set(tests):
-            for name, own in _by_beta(every):
-                groups[f"burden_{name}"] = np.stack([burden_p(burden(score, cov, w, bases, variance)[2], cmac, null) for w in own])
-        if cmac > 100 and {"skat", "staar"} & set(tests):
-            for name, own in _by_beta(annotation_weights(annot, maf, "skat")):
-                groups[f"skat_{name}"] = np.stack([skat(score, cov, w, bases, variance) for w in own])
-            out["skat_p"] = stats.cauchy_combination(np.concatenate([groups["skat_1_25"], groups["skat_1_1"]]))
-            if "staar" in tests:
-                out["staar_o"] = stats.cauchy_combination(np.concatenate([groups[g] for g in GROUPS]))
-        for g in GROUPS:
-            p = groups[g]
-            out[g] = [None] * voxels if p is None else list(p.T)
-            out[f"staar_{g}"] = stats.cauchy_combination(p) if p is not None and len(p) > 1 else nothing
         frame = pd.DataFrame({"index": np.arange(1, voxels + 1, dtype=np.int32), "set_name": key[0], "mask": key[1], "n_variants": np.int32(len(left)), "cmac": np.int64(cmac), **out})
         found = np.vstack([frame[["burden_p", "skat_p", "staar_o", *(f"staar_{g}" for g in GROUPS)]].to_numpy(float).T, *(p for p in groups.values() if p is not None)])
         return frame[~(np.fmin.reduce(found, axis=0) > max_p)]

@@ -230,14 +230,14 @@ def named_results(spark, sf_dir):
 def bootstrap_clusters(spark, sf_dir):
     s = Study(spark, sf_dir)
     bases = spark.createDataFrame([(v, [math.cos(v / 5), math.sin(v / 5)]) for v in range(20)], "voxel int, b array<double>")
-    return nulls.bootstrap_clusters(s.geno, s.plain_subjects, bases, 4, 0.05)
+    return nulls.bootstrap_clusters(s.geno, s.plain_subjects, bases, 100, 0.05)
 
 
 @query("o191_permuted_clusters")
 def permuted_clusters(spark, sf_dir):
     s = Study(spark, sf_dir)
     members, calls, bases, variance, _ = _summary(s)
-    return nulls.permuted_clusters(members.drop("score"), calls, linear.residuals(s.plain_subjects), bases, variance, 2, 0.05)
+    return nulls.permuted_clusters(members.drop("score"), calls, linear.residuals(s.plain_subjects), bases, variance, 100, 0.05)
 
 
 @query("o122_sliding_window_tests")

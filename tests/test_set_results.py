@@ -82,8 +82,8 @@ def test_bootstrap_chain(spark, study):
     z, x, y, geno, subjects = study
     bases = np.random.default_rng(4).normal(size=(12, 2))
     frame = spark.createDataFrame([(v, b.tolist()) for v, b in enumerate(bases)], "voxel int, b array<double>")
-    for at_once in (2, 3):
-        got = {(r["sample_id"], r["variant"]): r["size"] for r in nulls.bootstrap_clusters(geno, subjects, frame, 3, 0.2, at_once=at_once).collect()}
+    for at_once, side in ((2, None), (3, None), (2, 0)):
+        got = {(r["sample_id"], r["variant"]): r["size"] for r in nulls.bootstrap_clusters(geno, subjects, frame, 3, 0.2, at_once=at_once, most_side=side).collect()}
         draws = nulls.wild_bootstrap(linear.residuals(subjects).select("iid", "resid"), 3)
         want = {}
         for k in range(3):
@@ -111,7 +111,8 @@ def test_permutation_chain(spark, study):
     sets = {"a": [0, 1, 2, 3], "b": [4, 5, 6, 7, 8]}
     members = members_of(spark, z, x, resid, annot, sets)
     null = linear.residuals(subjects)
-    got = {(r["sample_id"], r["set_name"]): r["size"] for r in nulls.permuted_clusters(members.drop("score"), geno, null, bases, variance, 2, 0.9).collect()}
+    got, joined = ({(r["sample_id"], r["set_name"]): r["size"] for r in nulls.permuted_clusters(members.drop("score"), geno, null, bases, variance, 2, 0.9, most_side=side).collect()} for side in (None, 0))
+    assert got == joined
     drawn = nulls.permuted_rows(null, 2)
     for k in range(2):
         own = np.array([r["resid"] for r in drawn.where(F.col("sample_id") == k).orderBy("iid").collect()])
@@ -119,3 +120,25 @@ def test_permutation_chain(spark, study):
         for r in again.groupBy("set_name").agg(F.count_if(F.expr("staar_o <= 0.9")).alias("n")).collect():
             assert got[k, r["set_name"]] == r["n"]
     assert len(got) == 4
+
+
+def test_plans_do_not_grow_with_replicates(spark, study):
+    z, x, y, geno, subjects = study
+    frame = spark.createDataFrame([(0, [1.0, 0.0])], "voxel int, b array<double>")
+    m = np.eye(900) - x @ np.linalg.solve(x.T @ x, x.T)
+    members = members_of(spark, z, x, m @ y, np.full((9, 1), 10.0), {"a": [0, 1]}).drop("score")
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    for side in (None, 0):
+        few, many = (size(nulls.bootstrap_clusters(geno, subjects, frame, k, 0.2, most_side=side)) for k in (2, 200))
+        assert few == many
+        few, many = (size(nulls.permuted_clusters(members, geno, linear.residuals(subjects), np.eye(2), np.ones(2), k, 0.2, most_side=side)) for k in (2, 200))
+        assert few == many
+
+
+def test_bootstrap_takes_missing_calls_as_the_mean(spark, study):
+    z, x, y, geno, subjects = study
+    gone = geno.withColumn("dosage", F.when(F.col("iid") % 11 == 0, None).otherwise(F.col("dosage")))
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.3, 0.6])], "voxel int, b array<double>")
+    got = {(r["sample_id"], r["variant"]): r["size"] for r in nulls.bootstrap_clusters(gone, subjects, frame, 8, 0.5).collect()}
+    joined = {(r["sample_id"], r["variant"]): r["size"] for r in nulls.bootstrap_clusters(gone, subjects, frame, 8, 0.5, most_side=0).collect()}
+    assert got == joined and len(got) == 72 and 0 < sum(got.values()) < 144
