@@ -161,8 +161,8 @@ def cauchy_combination(p, weights=None) -> np.ndarray:
     return out[0] if flat else out
 
 
-def moment_match(q: float, lam: np.ndarray) -> float:
-    """Tail of a weighted sum of chi-squares by matching its first moments to one chi-square (O-182 fallback)."""
+def moment_match(q, lam: np.ndarray) -> np.ndarray:
+    """Tails of a weighted sum of chi-squares by matching its first moments to one chi-square (O-182 fallback)."""
     c1, c2, c3, c4 = (float(np.sum(lam**k)) for k in (1, 2, 3, 4))
     s1, s2 = c3 / c2**1.5, c4 / c2**2
     if s1 * s1 > s2:
@@ -171,37 +171,47 @@ def moment_match(q: float, lam: np.ndarray) -> float:
     else:
         df, a = 1 / s2, math.sqrt(1 / s2)
     # the noncentrality only shifts the reference chi-square, so it cancels here
-    x = (q - c1) / math.sqrt(2 * c2) * math.sqrt(2) * a + df
-    return float(chi2_sf(x, df))
+    x = (np.asarray(q, float) - c1) / math.sqrt(2 * c2) * math.sqrt(2) * a + df
+    return chi2_sf(x, df)
 
 
-def saddlepoint(q: float, lam) -> float:
-    """Upper tail at q of the sum of chi-squares (one degree each) weighted by lam (O-182)."""
-    lam = np.sort(np.asarray(lam, float))[::-1]
-    if math.isnan(q) or not len(lam) or not lam[0] > 0:
-        return math.nan
-    q = q if q > 0 else 1e-4
+#: Values times weights that the bisection holds at a time.
+SADDLE_CELLS = 1 << 20
+
+
+def saddlepoint(q, lam) -> np.ndarray:
+    """Upper tails at each q of the sum of chi-squares (one degree each) weighted by lam (O-182): all of them bisected together."""
+    lam, q = np.sort(np.asarray(lam, float))[::-1], np.asarray(q, float)
+    flat, out = q.ravel(), np.full(q.size, np.nan)
+    if len(lam) and lam[0] > 0:
+        step = max(1, SADDLE_CELLS // len(lam))
+        for k in range(0, len(flat), step):
+            own = flat[k : k + step]
+            usable = ~np.isnan(own)
+            out[k : k + step][usable] = _saddlepoint(np.where(own > 0, own, 1e-4)[usable], lam)
+    return out.reshape(q.shape)
+
+
+def _saddlepoint(q: np.ndarray, lam: np.ndarray) -> np.ndarray:
     scale = lam[0]
+    whole, plain = q, lam
     q, lam = q / scale, lam / scale
-    low = -0.01 if q > lam.sum() else -len(lam) / (2 * q)
-    high = 0.499995 / lam[0]
-    slope = lambda x: float(np.sum(lam / (1 - 2 * lam * x)))
+    low, high = np.where(q > lam.sum(), -0.01, -len(lam) / (2 * q)), np.full(len(q), 0.499995)
     for _ in range(30):
         x = (low + high) / 2
-        if slope(x) > q:
-            high = x
-        else:
-            low = x
+        above = (lam / (1 - 2 * lam * x[:, None])).sum(axis=1) > q
+        low, high = np.where(above, low, x), np.where(above, x, high)
     x = (low + high) / 2
-    if abs(x) < 1e-4:
-        return moment_match(q * scale, lam * scale)
-    k0 = -0.5 * float(np.sum(np.log(1 - 2 * lam * x)))
-    k2 = float(np.sum(2 * lam**2 / (1 - 2 * lam * x) ** 2))
-    inner = 2 * (x * q - k0)
-    if inner <= 0:
-        return moment_match(q * scale, lam * scale)
-    w, v = math.copysign(math.sqrt(inner), x), x * math.sqrt(k2)
-    return float(norm_sf(w + math.log(v / w) / w))
+    left = 1 - 2 * lam * x[:, None]
+    inner = 2 * (x * q + 0.5 * np.log(left).sum(axis=1))
+    matched = (np.abs(x) < 1e-4) | (inner <= 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w = np.copysign(np.sqrt(np.where(matched, 1, inner)), x)
+        v = x * np.sqrt((2 * lam**2 / left**2).sum(axis=1))
+        out = norm_sf(w + np.log(v / w) / w)
+    if matched.any():
+        out[matched] = moment_match(whole[matched], plain)
+    return out
 
 
 def hwe_exact(hom: int, het: int, alt: int, mid: bool = True) -> float:

@@ -156,7 +156,7 @@ def permuted_clusters(members: DataFrame, calls: DataFrame, null: DataFrame, bas
         of = F.from_json("set_name", "sample_id int, s string")
         hit = F.coalesce(F.col("staar_o"), F.col("burden_p")) <= max_p
         return tested.groupBy(of.alias("_of"), "mask").agg(F.count_if(hit).alias("size")).select("_of.sample_id", F.col("_of.s").alias("set_name"), "mask", "size")
-    held, n = side.held, side.n
+    held, n, rank = side.held, side.n, side.sizes["resid"]
     own = members.select(F.col("set_name").alias("set_j"), F.col("mask").alias("mask_j"), F.col("variant").alias("_at")).join(calls.select("variant", "iid", "dosage"), F.col("_at") == F.col("variant")).drop("_at")
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -175,14 +175,17 @@ def permuted_clusters(members: DataFrame, calls: DataFrame, null: DataFrame, bas
         places, back = np.unique(at[order], return_inverse=True)
         found, first = [], np.searchsorted(code[order], np.arange(len(left)))
         empty = np.diff(np.r_[first, len(order)]) == 0
-        for k in range(samples):
-            rows = sides["resid"][shuffled(places, n, np.array([k]), seed)[0]][back] * dosage[order][:, None]
-            score = np.zeros((len(left), rows.shape[1]))
+        step = max(1, 4_000_000 // max(1, len(left) * len(variance), rank * len(order)))
+        for k in range(0, samples, step):  # replicates are further voxels
+            replicates = np.arange(k, min(k + step, samples))
+            rows = sides["resid"][shuffled(places, n, replicates, seed)][:, back] * dosage[order][:, None]
+            score = np.zeros((len(replicates), len(left), rank))
             if (~empty).any():
-                score[~empty] = np.add.reduceat(rows, first[~empty], axis=0)
-            out, _ = test_set(score, cov, maf, cmac, annot, bases, variance, tests)
-            p = np.where(np.isnan(out["staar_o"]), out["burden_p"], out["staar_o"])
-            found.append(int((p <= max_p).sum()))
+                score[:, ~empty] = np.add.reduceat(rows, first[~empty], axis=1)
+            moved = np.moveaxis(score @ bases.T, 1, 0).reshape(len(left), -1)
+            out, _ = test_set(moved, cov, maf, cmac, annot, None, np.tile(variance, len(replicates)), tests)
+            p = np.where(np.isnan(out["staar_o"]), out["burden_p"], out["staar_o"]).reshape(len(replicates), -1)
+            found += (p <= max_p).sum(axis=1).tolist()
         return pd.DataFrame({"sample_id": np.arange(samples, dtype=np.int32), "set_name": key[0], "mask": key[1], "size": np.array(found, np.int64)})
 
     return members.groupBy("set_name", "mask").cogroup(own.groupBy("set_j", "mask_j")).applyInPandas(run, schema)

@@ -103,10 +103,10 @@ def annotation_weights(annot: np.ndarray | None, maf: np.ndarray, kind: str) ->
     return out
 
 
-def burden(score: np.ndarray, cov: np.ndarray, w: np.ndarray, bases: np.ndarray, variance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Effect, error and chi-square of each voxel (O-180)."""
+def burden(score: np.ndarray, cov: np.ndarray, w: np.ndarray, bases: np.ndarray | None, variance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Effect, error and chi-square of each voxel (O-180); bases None: the scores are those of voxels."""
     denominator = float(w @ cov @ w)
-    effect = (w @ score) @ bases.T / denominator
+    effect = (w @ score if bases is None else (w @ score) @ bases.T) / denominator
     se = np.sqrt(variance / denominator)
     return effect, se, (effect / se) ** 2
 
@@ -125,13 +125,42 @@ def burden_p(chi: np.ndarray, cmac: int, null: dict | None = None) -> np.ndarray
     return np.where(p >= most, np.nan, p)
 
 
-def skat(score: np.ndarray, cov: np.ndarray, w: np.ndarray, bases: np.ndarray, variance: np.ndarray) -> np.ndarray:
-    """p of each voxel (O-181): all voxels share the eigenvalues of WCW."""
-    s = w[:, None] * score
-    q = ((s @ bases.T) ** 2).sum(axis=0) / variance
-    values = np.linalg.eigvalsh(w[:, None] * cov * w)
+def spectra(cov: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+    """Eigenvalues of WCW for each of the weights, in one batch; those that are rounding only are 0."""
+    w = np.stack(weights)
+    values = np.linalg.eigvalsh(w[:, :, None] * cov * w[:, None, :])
     values[values < 1e-8] = 0
-    return np.array([stats.saddlepoint(float(x), values) for x in q])
+    return values
+
+
+def skat_statistics(score: np.ndarray, w: np.ndarray, bases: np.ndarray | None, variance: np.ndarray) -> np.ndarray:
+    s = w[:, None] * score
+    return ((s if bases is None else s @ bases.T) ** 2).sum(axis=0) / variance
+
+
+def skat(score: np.ndarray, cov: np.ndarray, weights: list[np.ndarray], bases: np.ndarray | None, variance: np.ndarray) -> np.ndarray:
+    """p of each of the weights and voxel (O-181): all voxels share the eigenvalues of WCW."""
+    return np.stack([stats.saddlepoint(skat_statistics(score, w, bases, variance), values) for w, values in zip(weights, spectra(cov, weights))])
+
+
+def skat_tails(members: DataFrame, calls: DataFrame, bases: np.ndarray, variance: np.ndarray) -> DataFrame:
+    """set_name, mask, weights, index (one-based voxel), q, eigenvalues, p: the SKAT statistic of each set, beta
+    weights and voxel with the spectrum that its tail comes from (O-181, O-182)."""
+    own = members.select(F.col("set_name").alias("set_j"), F.col("mask").alias("mask_j"), F.col("variant").alias("_at")).join(calls.select("variant", "iid", "dosage"), F.col("_at") == F.col("variant")).drop("_at")
+    schema = "set_name string, mask string, weights string, index int, q double, eigenvalues array<double>, p double"
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("variant")
+        proj, score = np.stack(left["proj"].to_numpy()), np.stack(left["score"].to_numpy())
+        cov = set_products(right, {v: k for k, v in enumerate(left["variant"])}) - proj @ proj.T
+        names, weights = zip(*annotation_weights(None, left["maf"].to_numpy(float), "skat"))
+        rows = []
+        for name, w, values in zip(names, weights, spectra(cov, list(weights))):
+            q = skat_statistics(score, w, bases, variance)
+            rows += [(key[0], key[1], name, v + 1, float(q[v]), values, p) for v, p in enumerate(stats.saddlepoint(q, values).tolist())]
+        return pd.DataFrame(rows, columns=["set_name", "mask", "weights", "index", "q", "eigenvalues", "p"])
+
+    return members.groupBy("set_name", "mask").cogroup(own.groupBy("set_j", "mask_j")).applyInPandas(run, schema)
 
 
 def acat_v(score: np.ndarray, cov: np.ndarray, maf: np.ndarray, mac: np.ndarray, w: np.ndarray, bases: np.ndarray, variance: np.ndarray, thresh: int = 10) -> np.ndarray:
@@ -214,9 +243,11 @@ def burden_table(results: DataFrame) -> DataFrame:
     return results.select(*[F.col(c).alias(n) for c, n in names])
 
 
-def test_set(score: np.ndarray, cov: np.ndarray, maf: np.ndarray, cmac: int, annot: np.ndarray | None, bases: np.ndarray, variance: np.ndarray, tests: tuple, null: dict | None = None) -> tuple[dict, dict]:
-    """Columns of set_tests for one set, by voxel, and the p-values of each group, weights x voxels, or None."""
-    voxels = len(bases)
+def test_set(score: np.ndarray, cov: np.ndarray, maf: np.ndarray, cmac: int, annot: np.ndarray | None, bases: np.ndarray | None, variance: np.ndarray, tests: tuple, null: dict | None = None) -> tuple[dict, dict]:
+    """Columns of set_tests for one set, by voxel, and the p-values of each group, weights x voxels, or None.
+
+    bases None: the scores are those of voxels already."""
+    voxels = len(variance)
     annot = annot if cmac > 500 else None
     effect, se, chi = burden(score, cov, np.ones(len(score)), bases, variance)
     nothing = np.full(voxels, np.nan)
@@ -228,7 +259,7 @@ def test_set(score: np.ndarray, cov: np.ndarray, maf: np.ndarray, cmac: int, ann
             groups[f"burden_{name}"] = np.stack([burden_p(burden(score, cov, w, bases, variance)[2], cmac, null) for w in own])
     if cmac > 100 and {"skat", "staar"} & set(tests):
         for name, own in _by_beta(annotation_weights(annot, maf, "skat")):
-            groups[f"skat_{name}"] = np.stack([skat(score, cov, w, bases, variance) for w in own])
+            groups[f"skat_{name}"] = skat(score, cov, own, bases, variance)
         out["skat_p"] = stats.cauchy_combination(np.concatenate([groups["skat_1_25"], groups["skat_1_1"]]))
         if "staar" in tests:
             out["staar_o"] = stats.cauchy_combination(np.concatenate([groups[g] for g in GROUPS]))

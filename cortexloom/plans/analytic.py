@@ -528,6 +528,13 @@ def burden_by_permutation(spark, sf_dir):
     return rare.burden_table(permutations.burden_by_null(tested, _drawn_null(s)))
 
 
+@query("o181_skat_tails")
+def skat_tails(spark, sf_dir):
+    """Statistics, spectra and tails of the sets of genes."""
+    members, calls, bases, variance, _ = _summary(Study(spark, sf_dir))
+    return rare.skat_tails(members, calls, bases, variance)
+
+
 @query("o181_saddlepoint")
 def saddlepoint(spark, sf_dir):
     """Tail of a mixture of four chi-squares at a value of each supplier."""
@@ -535,6 +542,6 @@ def saddlepoint(spark, sf_dir):
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "q": pdf["q"], "p": [stats.saddlepoint(float(q), np.array([4.0, 3.0, 2.0, 1.0])) for q in pdf["q"]]})
+            yield pd.DataFrame({"id": pdf["id"], "q": pdf["q"], "p": stats.saddlepoint(pdf["q"], np.array([4.0, 3.0, 2.0, 1.0]))})
 
     return Study(spark, sf_dir).table("supplier").select(F.col("s_suppkey").alias("id"), (F.abs("s_acctbal") / 100 + 0.01).alias("q")).mapInPandas(run, "id long, q double, p double")
