@@ -2,7 +2,10 @@
 
 Writing: each task writes members compressed record by record to a file of its own, and the length
 of each member to an index beside it; commit writes a manifest that names the files of the tasks
-that succeeded, and only those are read, so a task that is run again leaves no double records.
+that succeeded, and only those are read, so a task that is run again leaves no double records.  Each
+job has a manifest of its own: appending adds one, overwriting replaces all that were there.
+A folder without manifests is read too: its .warc and .warc.gz files, whoever wrote them, one
+partition each, record by record.
 Reading: one partition for each range of members of a file; filters on the record type and on
 headers are taken over from Spark; the headers of a record are parsed first, and its payload is
 decoded only if the filters let the record pass and payloads are asked for.  Else the reader goes
@@ -33,7 +36,8 @@ VERSION = b"WARC/1.1\r\n"
 DATE = "1970-01-01T00:00:00Z"  # a fixed date: equal tables give equal archives
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, record_bytes long, payload binary"
-MANIFEST = "manifest.json"
+#: Names of the manifests, one a job.
+MANIFEST = "manifest"
 #: Ending of the index of a file: the compressed length of each member, 32-bit little-endian, 0 for one beyond that range (found by inflating it).
 INDEX = ".lengths"
 #: Characters of a url that stay as they are in WARC-Target-URI; others are percent-encoded, and X-Page-URL has the url as a JSON string.
@@ -82,9 +86,25 @@ class Written(WriterCommitMessage):
     files: list
 
 
+def manifests(fs, root: str) -> list[str]:
+    """Paths of the manifests of an archive folder."""
+    return sorted(f.path for f in files_of(fs, root) if f.base_name.startswith(MANIFEST) and f.base_name.endswith(".json"))
+
+
+def files_of(fs, root: str) -> list:
+    from pyarrow.fs import FileSelector
+
+    return [f for f in fs.get_file_info(FileSelector(root, allow_not_found=True)) if f.is_file]
+
+
+def named_files(fs, manifest: str) -> list[dict]:
+    with fs.open_input_stream(manifest, compression=None) as f:
+        return json.loads(f.read())["files"]
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path, self.level = options["path"], int(options.get("level", "1"))
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.level, self.overwrite = options["path"], int(options.get("level", "1")), overwrite
 
     def write(self, iterator) -> Written:
         fs, root = filesystem(self.path)
@@ -111,8 +131,12 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
+        before = manifests(fs, root) if self.overwrite else []
+        stale = [f["name"] for m in before for f in named_files(fs, m)]
+        with fs.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps({"files": [f for m in messages if m for f in m.files]}).encode())
+        for path in [*before, *(f"{root}/{name}{end}" for name in stale for end in ("", INDEX))]:
+            fs.delete_file(path)
 
     def abort(self, messages) -> None:
         fs, root = filesystem(self.path)
@@ -128,6 +152,76 @@ class Members(InputPartition):
         self.name, self.start, self.end, self.first, self.last = name, start, end, first, last
 
 
+class _Whole:
+    """The bytes of a file from its start to its end, inflated if it is compressed, however its members are cut."""
+
+    def __init__(self, raw, compressed: bool):
+        self.raw, self.buffer = raw, b""
+        self.inflate = zlib.decompressobj(31) if compressed else None
+        self.pending = b""
+
+    def _more(self) -> bool:
+        """Add bytes to the buffer; False at the end of the file."""
+        while True:
+            data = self.pending or self.raw.read(_READ)
+            if not data:
+                return False
+            if self.inflate is None:
+                self.buffer += data
+                return True
+            if self.inflate.eof:
+                self.inflate, data = zlib.decompressobj(31), data.lstrip(b"\0")  # some writers pad members
+                if not data:
+                    self.pending = b""
+                    continue
+            got = self.inflate.decompress(data, _READ)
+            self.pending = self.inflate.unconsumed_tail or self.inflate.unused_data
+            if got:
+                self.buffer += got
+                return True
+
+    def begin(self) -> bool:
+        """Go to the next record, past the line ends behind the last one; False if there is none."""
+        while True:
+            self.buffer = self.buffer.lstrip(b"\r\n")
+            if self.buffer:
+                return True
+            if not self._more():
+                return False
+
+    def until(self, mark: bytes) -> bytes:
+        start = 0
+        while (at := self.buffer.find(mark, start)) < 0:
+            start = max(0, len(self.buffer) - len(mark) + 1)
+            if not self._more():
+                raise ValueError("a record without end of headers")
+        got, self.buffer = self.buffer[:at], self.buffer[at + len(mark) :]
+        return got
+
+    def take(self, n: int) -> bytes:
+        parts, have = [self.buffer], len(self.buffer)
+        while have < n:
+            self.buffer = b""
+            if not self._more():
+                raise ValueError("a record that ends early")
+            parts.append(self.buffer)
+            have += len(self.buffer)
+        data = b"".join(parts)
+        self.buffer = data[n:]
+        return data[:n]
+
+    def skip(self, n: int) -> None:
+        """Past n bytes, of which no more than a read is held."""
+        while n > len(self.buffer):
+            n, self.buffer = n - len(self.buffer), b""
+            if self.inflate is None and n > _READ:
+                self.raw.seek(n, 1)
+                n = 0
+            elif n and not self._more():
+                raise ValueError("a record that ends early")
+        self.buffer = self.buffer[n:]
+
+
 class _Stream:
     """The decompressed bytes of one member after the other, read in blocks; what is skipped is not inflated."""
 
@@ -233,8 +327,13 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, root = filesystem(self.path)
-        with fs.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-            files = json.loads(f.read())["files"]
+        known = manifests(fs, root)
+        if not known:
+            others = sorted((f.base_name, f.size) for f in files_of(fs, root) if f.base_name.lower().endswith((".warc", ".warc.gz")))
+            if not others:
+                raise FileNotFoundError(f"{self.path}: no manifest, no .warc and no .warc.gz file")
+            return [Members(name, 0, size, -1, -1) for name, size in others]
+        files = [f for m in known for f in named_files(fs, m)]
         ranges = lambda f: zip(f["starts"], [*f["starts"][1:], f["size"]], f["firsts"], [*f["firsts"][1:], f["records"]])
         return [Members(f["name"], *r) for f in files for r in ranges(f)] or [Members("", 0, 0, 0, 0)]
 
@@ -243,10 +342,21 @@ class WarcReader(DataSourceReader):
             return
         fs, root = filesystem(self.path)
         rows, held = [], 0
-        with fs.open_input_file(f"{root}/{part.name}{INDEX}") as index:
+        for row in self._whole(fs, f"{root}/{part.name}") if part.first < 0 else self._indexed(fs, f"{root}/{part.name}", part):
+            rows.append(row)
+            held += len(row["payload"] or b"")
+            if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def _indexed(self, fs, path: str, part: Members):
+        """Rows of a range of members of a file that this library wrote."""
+        with fs.open_input_file(f"{path}{INDEX}") as index:
             index.seek(4 * part.first)
             lengths = np.frombuffer(index.read(4 * (part.last - part.first)), "<u4")
-        with fs.open_input_file(f"{root}/{part.name}") as raw:
+        with fs.open_input_file(path) as raw:
             stream = _Stream(raw, part.start, part.end, lengths)
             while stream.begin():
                 row = fields(parse_headers(stream.until(b"\r\n\r\n")))
@@ -257,13 +367,26 @@ class WarcReader(DataSourceReader):
                     row["payload"] = stream.take(row["record_bytes"])
                     if digest(row["payload"]) != row["payload_digest"]:
                         raise ValueError(f"the payload of page {row['page_id']} does not have its digest")
-                    held += row["record_bytes"]
-                rows.append(row)
-                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, held = [], 0
-        if rows:
-            yield _batch(rows)
+                yield row
+
+    def _whole(self, fs, path: str):
+        """Rows of a file of any writer: the block of a response, without the HTTP headers if it has them, is its payload."""
+        with fs.open_input_file(path) as raw:
+            stream = _Whole(raw, raw.read(2) == b"\x1f\x8b")
+            raw.seek(0)
+            while stream.begin():
+                head = parse_headers(stream.until(b"\r\n\r\n"))
+                row = fields(head)
+                if not self.passes(row):
+                    stream.skip(row["record_bytes"])
+                    continue
+                row["payload"] = None
+                if self.payloads and row["record_type"] in ("response", "resource", "conversion"):
+                    block = stream.take(row["record_bytes"])
+                    row["payload"] = block.partition(b"\r\n\r\n")[2] if head.get("content-type", "").startswith("application/http") else block
+                else:
+                    stream.skip(row["record_bytes"])
+                yield row
 
 
 _ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("record_bytes", pa.int64()), ("payload", pa.binary())])
@@ -285,7 +408,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark) -> None:
@@ -293,9 +416,12 @@ def register(spark) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
+def write_pages(pages: DataFrame, path: str, least: int = 0, mode: str = "append") -> None:
     """Write a record for each row of pages (page_id, url, html) to the archive folder `path`.
 
+    mode: `append` adds to what is there, `overwrite` replaces it when the new records are written.
+    Revisits refer to pages of the same call; payloads are told apart by their SHA-1.
+
     The payload is the html in UTF-8, null as empty.  Of the rows with equal payloads of at least
     `least` bytes the one with the largest page_id is a response, the others are revisits that refer
     to it; rows with smaller payloads are all responses.  If rows repeat a page_id, all with the
@@ -314,10 +440,13 @@ def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     base32 = F.concat(*[F.substring(F.lit(letters), 1 + F.shiftright(value(i), 15 - 5 * k).bitwiseAND(31), F.lit(1)) for i in range(8) for k in range(4)])
     out = marked.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), base32.alias("payload_digest"), F.when(revisit, F.col("_first")).alias("refers_to"))
-    out.write.format("warc").mode("append").save(path)
+    out.write.format("warc").mode(mode).save(path)
 
 
 def read_archive(spark, path: str, payload: bool = True) -> DataFrame:
-    """The records of an archive folder; see READ_SCHEMA. Without payload, only headers are parsed."""
+    """The records of an archive folder; see READ_SCHEMA. Without payload, only headers are parsed.
+
+    Records of other writers have no page_id, their payload is not checked against its digest, and
+    payload_bytes is the length of the whole block, HTTP headers included."""
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
