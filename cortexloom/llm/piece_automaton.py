@@ -12,9 +12,13 @@ side, the state is the start state whatever came before.
 
 Texts are read in blocks, and blocks are cut into chunks.  A chunk's state map takes the state
 before it to the state after it.  From the first boundary in the chunk on where nothing is carried
-over the map is constant.  The maps of chunks without one are tabulated over the states that occur
-between chunks (equal chunks share a map, and a run ends early where it meets the run from the start
-state), and a prefix scan composes them in as many rounds as the number of chunks has bits.
+over the map is constant.  Chunks without one are run from the state that the chunk before ends in,
+side by side, again for those whose predecessor then ends elsewhere: as states differ for a few
+characters only, most texts agree after a round or two.  Where they do not (a few letters that
+repeat), the maps are tabulated over the states that occur between chunks (equal chunks share a map,
+and a run ends early where it meets the one that is known), and a prefix scan composes them in as
+many rounds as the number of chunks has bits; if there are too many states for that, the rounds of
+agreement go on, each of which settles one more chunk of every run at least.
 """
 
 from __future__ import annotations
@@ -34,8 +38,10 @@ STRIDE = 192
 BLOCK = 1 << 18
 #: States that a worker keeps; beyond them it forgets all and compiles anew what is needed.
 MOST_STATES = 1 << 18
-#: Pairs of a chunk and a state that maps are tabulated over; beyond them chunks follow one another.
-MOST_MAPPED = 1 << 16
+#: Rounds of agreement before maps are tabulated, and pairs of a chunk and a state that they are tabulated over.
+ROUNDS, MOST_MAPPED = 6, 1 << 16
+#: States and classes whose transitions lie in a plain table; those of others are hashed.
+DENSE_STATES, DENSE_CLASSES = 1 << 16, 128
 
 
 #: Values of the field model_type of a model file's trainer_spec: fixed by the format.
@@ -138,6 +144,7 @@ class PieceAutomaton:
         self.known: dict[bytes, int] = {}
         self.keys: list[bytes] = []
         self.next = Transitions()
+        self.table = np.full(1024 * DENSE_CLASSES, -1, np.int32)
         self.delta = np.zeros(1024, np.int16)
         self.token = np.zeros(1024, np.int32)
         self.start = self._state((*START, 0, -1))
@@ -151,6 +158,8 @@ class PieceAutomaton:
             if s >= len(self.delta):
                 for table in (self.delta, self.token):
                     table.resize(len(table) * 3 // 2, refcheck=False)
+            if s < DENSE_STATES and s * DENSE_CLASSES >= len(self.table):
+                self.table = np.concatenate([self.table, np.full(len(self.table), -1, np.int32)])
             self.delta[s], self.token[s] = key[3], key[4]
         return s
 
@@ -237,15 +246,28 @@ class PieceAutomaton:
 
     def _next(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Next states, adding the transitions that are missing."""
-        keys = keys_of(states, codes)
-        got = self.next.get(keys)
+        cells = states * np.int32(DENSE_CLASSES) + codes
+        if self.hashed:  # some lie beyond the table
+            far = (states >= DENSE_STATES) | (codes >= DENSE_CLASSES)
+            got = self.table[np.where(far, 0, cells)]
+            got[far] = self.next.get(keys_of(states[far], codes[far]))
+        else:
+            got = self.table[cells]
         if len(got) and got.min() < 0:
-            new = np.unique(keys[got < 0])
-            to = [self._state(self.step(_unpacked(self.keys[k >> CLASS_BITS]), self.classes[k & ((1 << CLASS_BITS) - 1)])) for k in new.tolist()]
-            self.next.put(new, np.array(to, np.int32))
-            got = self.next.get(keys)
+            new = np.unique(keys_of(states, codes)[got < 0])
+            state, code = new >> CLASS_BITS, new & ((1 << CLASS_BITS) - 1)
+            to = np.array([self._state(self.step(_unpacked(self.keys[a]), self.classes[c])) for a, c in zip(state.tolist(), code.tolist())], np.int32)
+            near = (state < DENSE_STATES) & (code < DENSE_CLASSES)
+            self.table[state[near] * DENSE_CLASSES + code[near]] = to[near]
+            if not near.all():
+                self.next.put(new[~near], to[~near])
+            return self._next(states, codes)
         return got
 
+    @property
+    def hashed(self) -> bool:
+        return len(self.classes) > DENSE_CLASSES or len(self.keys) > DENSE_STATES
+
     def _lockstep(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, states: np.ndarray, out: np.ndarray) -> None:
         """Run lanes begin..end side by side from the given states; out gets the state after each character."""
         order = np.argsort(begin - end, kind="stable")
@@ -258,6 +280,30 @@ class PieceAutomaton:
             at = begin[:live] + k
             states[:live] = out[at] = self._next(states[:live], codes[at])
 
+    def _agree(self, codes: np.ndarray, begin: np.ndarray, states: np.ndarray, out: np.ndarray, rounds: int | None) -> bool:
+        """Run whole chunks from the state that `out` has before them, until it has the same for all of them.
+
+        states: those that the runs in `out` began from.  A run ends where it meets the one before.  False: not in so many rounds."""
+        states = states.copy()
+        while True:
+            want = out[begin - 1]
+            lane = np.flatnonzero(want != states)
+            if not len(lane):
+                return True
+            if rounds == 0:
+                return False
+            states[lane] = want[lane]
+            rounds = None if rounds is None else rounds - 1
+            now = want[lane].astype(np.int32)
+            for k in range(STRIDE):
+                at = begin[lane] + k
+                now = self._next(now, codes[at])
+                apart = now != out[at]
+                lane, now, at = lane[apart], now[apart], at[apart]
+                if not len(lane):
+                    break
+                out[at] = now
+
     def _exits(self, codes: np.ndarray, begin: np.ndarray, states: np.ndarray, trace: np.ndarray) -> np.ndarray:
         """State after each whole chunk from the given state, given the states of its run from the start state in `trace`."""
         out = trace[begin + STRIDE - 1].copy()
@@ -327,12 +373,16 @@ class PieceAutomaton:
         free = np.flatnonzero((here < 0) & (stop - chunk == STRIDE))
         heads, ready = np.flatnonzero(here != chunk), here >= 0
         if len(free) > 1:
-            self._lockstep(codes, chunk[free], stop[free], np.full(len(free), self.start), out)
-            before = self._compose(codes, chunk, free, out)
-            if before is not None:
-                self._lockstep(codes, chunk[free], stop[free], before, out)
-                ready[free] = True
-                heads = heads[~np.isin(heads, free)]
+            began = np.full(len(free), self.start)
+            self._lockstep(codes, chunk[free], stop[free], began, out)
+            if not self._agree(codes, chunk[free], began, out, ROUNDS):
+                before = self._compose(codes, chunk, free, out)
+                if before is None:
+                    self._agree(codes, chunk[free], np.full(len(free), -1), out, None)
+                else:
+                    self._lockstep(codes, chunk[free], stop[free], before, out)
+            ready[free] = True
+            heads = heads[~np.isin(heads, free)]
         while len(heads):  # one round, unless chunks have to follow one another
             now = heads[ready[heads - 1] | (heads == 0)]
             self._lockstep(codes, chunk[now], np.where(here[now] >= 0, here[now], stop[now]), out[chunk[now] - 1], out)

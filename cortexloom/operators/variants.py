@@ -73,7 +73,11 @@ def quality(variants: DataFrame, options: VariantFilter) -> DataFrame:
 
 def plink_filter(geno: DataFrame, n: int, maf_min: float) -> DataFrame:
     """Variants with min(f, 1 - f) above maf_min that aren't all heterozygous or missing (O-082, O-105)."""
-    qc = variant_qc(geno, n)
+    return common_enough(variant_qc(geno, n), n, maf_min)
+
+
+def common_enough(qc: DataFrame, n: int, maf_min: float) -> DataFrame:
+    """The same of measures that are there, such as those of packed calls."""
     freq = F.col("ac") / (2 * F.col("n_called"))
     return qc.where((F.least(freq, 1 - freq) > maf_min) & (F.col("n_het") + (n - F.col("n_called")) < n))
 

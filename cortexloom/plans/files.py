@@ -107,9 +107,9 @@ def _plink(spark, s: Study) -> str:
     name = F.col("variant").cast("string")
     lines(n, F.lit("1"), F.concat(F.lit("rs"), name), F.lit("0"), (F.col("variant") * 10 + 5).cast("string"), F.lit("A"), F.lit("G")).write.text(f"{prefix}.bim")
     lines(p.withColumn("_s", F.col("sample").cast("string")), F.lit("f"), F.concat(F.lit("s"), "_s"), F.lit("0"), F.lit("0"), F.lit("1"), F.lit("-9")).write.text(f"{prefix}.fam")
-    rows = calls.groupBy("variant").agg(F.array_sort(F.collect_list(F.struct("sample", F.coalesce("dosage", F.lit(-1)).alias("d")))).alias("c")).orderBy("variant").collect()  # nations x suppliers
-    genotypes.write_bed(f"{prefix}.bed".removeprefix("file://"), np.array([[x["d"] for x in r["c"]] for r in rows]))
-    return prefix.removeprefix("file://")
+    rows = calls.groupBy("variant").agg(F.array_sort(F.collect_list(F.struct("sample", "dosage"))).alias("c"))
+    genotypes.save_bed(rows.select(F.col("variant").alias("snp_idx"), F.transform("c", lambda x: x["dosage"]).alias("dosages")), f"{prefix}.bed", p.count())
+    return prefix
 
 
 @query("o013_plink_tables", "SELECT 'bim' AS kind, n_nationkey + 0 AS idx, 'rs' || n_nationkey AS name, CAST(n_nationkey * 10 + 5 AS INTEGER) AS pos FROM nation UNION ALL SELECT 'fam', row_number() OVER (ORDER BY s_suppkey) - 1, 's' || s_suppkey, NULL FROM supplier")
@@ -134,9 +134,19 @@ def plink_maf(spark, sf_dir):
 @query("o105_plink_frequency", CTE + PANEL + """, f AS (SELECT variant, avg(dosage) / 2 AS f, count(*) FILTER (dosage = 1 OR dosage IS NULL) AS odd, count(*) AS n FROM calls GROUP BY variant)
 SELECT variant, round(f, 6) AS af FROM f WHERE least(f, 1 - f) > 0.2 AND odd < n""")
 def plink_frequency(spark, sf_dir):
+    """Of the packed calls, which are counted without being unpacked."""
     s = Study(spark, sf_dir)
-    _, fam, bed = genotypes.read_plink(spark, _plink(spark, s))
-    return variants.plink_filter(genotypes.to_sparse(bed, fam), fam.count(), 0.2).select("variant", F.round("af", 6).alias("af"))
+    n, m = s.table("supplier").count(), s.table("nation").count()
+    counts = genotypes.open_bed(spark, f"{_plink(spark, s)}.bed", n, m, counts=True)
+    return variants.common_enough(genotypes.packed_qc(counts, n), n, 0.2).select("variant", F.round("af", 6).alias("af"))
+
+
+@query("o105_packed_counts", CTE + PANEL + "SELECT variant AS snp_idx, count(*) FILTER (dosage = 2) AS n_two, count(*) FILTER (dosage IS NULL) AS n_missing, count(*) FILTER (dosage = 1) AS n_one, count(*) FILTER (dosage = 0) AS n_none FROM calls WHERE sample % 3 = 1 AND variant >= 5 AND variant < 20 GROUP BY variant")
+def packed_counts(spark, sf_dir):
+    """A range of variants and a third of the samples; the other rows of the file are not read."""
+    s = Study(spark, sf_dir)
+    samples = np.array([r[0] for r in s.table("supplier").select("s_suppkey").orderBy("s_suppkey").collect()])  # the order of the fam file
+    return genotypes.open_bed(spark, f"{_plink(spark, s)}.bed", len(samples), s.table("nation").count(), counts=True, keep=samples % 3 == 1).where("snp_idx >= 5 and snp_idx < 20")
 
 
 @query("o017_vcf", CTE + PANEL + "SELECT 'chr1' AS contig, CAST(variant * 10 + 5 AS INTEGER) AS pos, 's' || sample AS iid, CAST(dosage AS INTEGER) AS dosage FROM calls WHERE variant % 9 <> 4 AND (dosage IS NULL OR dosage > 0)")
