@@ -293,22 +293,34 @@ def to_sparse(bed: DataFrame, fam: DataFrame) -> DataFrame:
     return long.join(fam.select("iid_idx", "iid"), "iid_idx").select("variant", "iid", "dosage")
 
 
-def read_vcf(spark: SparkSession, path: str, genome: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_vcf(spark: SparkSession, path: str, genome: str | None = None, intervals: list[tuple[str, int, int]] | None = None) -> tuple[DataFrame, DataFrame]:
     """variants (contig, pos, rsid, ref, alt, filters, info) and geno (contig, pos, ref, alt, iid, dosage) of
-    biallelic records of a .vcf, .vcf.gz or .vcf.bgz (O-017)."""
+    biallelic records of a .vcf, .vcf.gz or .vcf.bgz (O-017).
+
+    intervals: (contig as in the file, first, last): only records in them; stretches of a block-gzip file without any
+    are not read if it has a tabix index.  Sample names are a table of the header line's columns, joined to the calls.
+    """
     if not path.endswith((".vcf", ".vcf.gz", ".vcf.bgz")):
         raise ValueError(f"{path}: .vcf, .vcf.gz or .vcf.bgz")
-    text = lines(spark, path)
-    samples = text.where(F.col("value").startswith("#CHROM")).first()[0].split("\t")[9:]
+    from .blocks import read_lines
+
+    text = lines(spark, path) if path.endswith(".vcf") else read_lines(spark, [path], intervals)
+    header = (lines(spark, path) if path.endswith(".vcf") else read_lines(spark, [path], [])).where(F.col("value").startswith("#CHROM"))
+    samples = header.select(F.posexplode(F.slice(F.split("value", "\t"), 10, F.greatest(F.lit(1), F.size(F.split("value", "\t")) - 9))).alias("_k", "iid"))
     parts = F.split("value", "\t")
-    body = text.where(~F.col("value").startswith("#")).where(~parts.getItem(4).contains(","))
+    body = text.where(~F.col("value").startswith("#") & (F.col("value") != "")).where(~parts.getItem(4).contains(","))
+    if intervals is not None:
+        pos, inside = parts.getItem(1).cast("int"), F.lit(False)
+        for contig, first, last in intervals:
+            inside = inside | ((parts.getItem(0) == contig) & (pos >= first) & (pos <= last))
+        body = body.where(inside)
     contig = recode_contig(parts.getItem(0), genome) if genome else parts.getItem(0)
-    named = body.select(contig.alias("contig"), parts.getItem(1).cast("int").alias("pos"), parts.getItem(2).alias("rsid"), parts.getItem(3).alias("ref"), parts.getItem(4).alias("alt"), F.when(parts.getItem(6).isin("PASS", "."), F.array().cast("array<string>")).otherwise(F.split(parts.getItem(6), ";")).alias("filters"), parts.getItem(7).alias("info"), parts.getItem(8).alias("_format"), F.slice(parts, 10, max(1, len(samples))).alias("_calls"))
+    named = body.select(contig.alias("contig"), parts.getItem(1).cast("int").alias("pos"), parts.getItem(2).alias("rsid"), parts.getItem(3).alias("ref"), parts.getItem(4).alias("alt"), F.when(parts.getItem(6).isin("PASS", "."), F.array().cast("array<string>")).otherwise(F.split(parts.getItem(6), ";")).alias("filters"), parts.getItem(7).alias("info"), parts.getItem(8).alias("_format"), F.slice(parts, 10, F.greatest(F.lit(1), F.size(parts) - 9)).alias("_calls"))
     calls = named.select("contig", "pos", "ref", "alt", F.array_position(F.split("_format", ":"), "GT").alias("_gt"), F.posexplode("_calls").alias("_k", "_call"))
     gt = F.split(F.get(F.split("_call", ":"), F.col("_gt").cast("int") - 1), "[/|]")
     dosage = F.when(F.exists(gt, lambda a: a == "."), None).otherwise(F.aggregate(gt, F.lit(0), lambda s, a: s + a.cast("int"))).cast("tinyint")
-    who = F.get(F.array(*[F.lit(s) for s in samples]), F.col("_k"))
-    return named.drop("_format", "_calls"), calls.select("contig", "pos", "ref", "alt", who.alias("iid"), dosage.alias("dosage")).where("dosage is null or dosage > 0")
+    called = calls.select("contig", "pos", "ref", "alt", "_k", dosage.alias("dosage")).where("dosage is null or dosage > 0")
+    return named.drop("_format", "_calls"), called.join(samples, "_k").select("contig", "pos", "ref", "alt", "iid", "dosage")
 
 
 def save_sparse(geno: DataFrame, variants: DataFrame, samples: DataFrame, path: str) -> None:

@@ -56,19 +56,10 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     for p in paths:
         check_compression(p)
     bgz = [p for p in paths if p.lower().endswith(".bgz")]
-    if bgz:  # Spark chooses a codec by the ending; block gzip is gzip
-        raw = spark.read.format("binaryFile").load(bgz)
+    if bgz:  # Spark chooses a codec by the ending
+        from .blocks import read_lines
 
-        def run(batches):
-            import gzip
-
-            import pandas as pd
-
-            for pdf in batches:
-                for content in pdf["content"]:
-                    yield pd.DataFrame({"value": gzip.decompress(bytes(content)).decode().splitlines()})
-
-        got = raw.select("content").mapInPandas(run, "value string")
+        got = read_lines(spark, bgz)
         rest = [p for p in paths if p not in bgz]
         return got.unionByName(spark.read.text(rest)) if rest else got
     return spark.read.text(paths)
