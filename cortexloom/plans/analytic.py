@@ -433,12 +433,26 @@ def tfce(spark, sf_dir):
     return nulls.tfce(results, s.coords, ["set_name"], 1e-3)
 
 
-@query("o163_smooth_images")
+@query("o163_smooth_images", """WITH g AS (SELECT v, CAST(v // 16 AS DOUBLE) AS x, CAST(v // 4 % 4 AS DOUBLE) AS y, CAST(v % 4 AS DOUBLE) AS z FROM (SELECT unnest(generate_series(0, 63)) AS v)),
+p AS (SELECT a.v, b.v AS near, b.x - a.x AS x, b.y - a.y AS y, b.z - a.z AS z FROM g a, g b WHERE abs(b.x - a.x) < 1.6 AND abs(b.y - a.y) < 1.6 AND abs(b.z - a.z) < 1.6),
+k AS (SELECT *, power(1 / (sqrt(2 * pi()) * CAST(0.4 AS DOUBLE)), 3) * exp(-(x * x + y * y + z * z) / (2 * CAST(0.16 AS DOUBLE))) AS k FROM p),
+m AS (SELECT v, sum(k) + 1e-6 AS a, sum(k * x) AS bx, sum(k * y) AS by_, sum(k * z) AS bz, sum(k * x * x) + 1e-6 AS xx, sum(k * y * y) + 1e-6 AS yy, sum(k * z * z) + 1e-6 AS zz, sum(k * x * y) AS xy, sum(k * x * z) AS xz, sum(k * y * z) AS yz FROM k GROUP BY v),
+d AS (SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM m),
+u AS (SELECT v, a, bx, by_, bz, ((yy * zz - yz * yz) * bx + (xz * yz - xy * zz) * by_ + (xy * yz - xz * yy) * bz) / det AS ux, ((xz * yz - xy * zz) * bx + (xx * zz - xz * xz) * by_ + (xy * xz - xx * yz) * bz) / det AS uy,
+  ((xy * yz - xz * yy) * bx + (xy * xz - xx * yz) * by_ + (xx * yy - xy * xy) * bz) / det AS uz FROM d),
+w AS (SELECT k.v, near, k * (1 - ux * x - uy * y - uz * z) / (a - bx * ux - by_ * uy - bz * uz) AS w FROM k JOIN u ON k.v = u.v)
+SELECT vec_id AS iid, CAST(v AS INTEGER) AS voxel, round(sum(w * CAST(embedding[near + 1] AS DOUBLE)), 6) + 0.0 AS value FROM embeddings, w WHERE abs(w) > 1 / CAST(64 AS DOUBLE) GROUP BY vec_id, v""")
 def smooth_images(spark, sf_dir):
     s = Study(spark, sf_dir)
-    grid = np.array([[v // 16, v // 4 % 4, v % 4] for v in range(VOXELS)], float)
-    weights = images.smoothing_weights(grid, 0.4)
-    return images.smooth(s.images, weights).select("iid", F.posexplode("voxels").alias("voxel", "value"))
+    smoothed = images.smooth(s.images, images.smoothing_table(s.coords, [0.4]), VOXELS)
+    return smoothed.select("iid", F.posexplode("voxels").alias("voxel", "value")).select("iid", F.col("voxel").cast("int").alias("voxel"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query("o164_bandwidths")
+def bandwidth_scores(spark, sf_dir):
+    s = Study(spark, sf_dir)
+    best, scores = images.choose_bandwidth(s.images, s.coords)
+    return spark.createDataFrame([(float(b), float(v), b == best) for b, v in scores], "bandwidth double, score double, chosen boolean")
 
 
 def _loco(s: Study) -> DataFrame:

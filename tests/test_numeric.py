@@ -18,40 +18,50 @@ def plain_weights(coords, bw, i):
     return np.where(np.abs(w) > 1 / n, w, 0)
 
 
+def voxels_of(spark, coords):
+    return spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(coords)], "voxel int, xyz array<double>")
+
+
 @pytest.mark.parametrize("shape, bw", [((6, 6, 6), 1.0), ((7, 5, 4), 0.6), ((30, 30), 0.9), ((400,), 0.5), ((6, 6, 6), np.array([0.8, 0.6, 1.0]))])
-def test_smoothing_weights(shape, bw):
+def test_smoothing_weights(spark, shape, bw, monkeypatch):
+    monkeypatch.setattr(images, "PAIRS", 5000)
     coords = np.argwhere(np.ones(shape)).astype(float)
     want = np.array([plain_weights(coords, bw, i) for i in range(len(coords))])
-    got = images.smoothing_weights(coords, bw)
-    if (want != 0).sum() / len(coords) > len(coords) // 10:
-        assert got is None
-        return
+    table = images.smoothing_table(voxels_of(spark, coords), [bw, 0.3])
     dense = np.zeros_like(want)
-    for i, (near, w) in got.items():
-        dense[i, near] = w
+    for r in table.where("bw = 0").collect():
+        assert dense[r["voxel"], r["near"]] == 0
+        dense[r["voxel"], r["near"]] = r["w"]
     assert dense == pytest.approx(want, abs=1e-10)
+    assert (0 in images.sparse_bandwidths(table, len(coords), 2)) == ((want != 0).sum() / len(coords) <= len(coords) // 10)
     if shape == (6, 6, 6) and np.isscalar(bw):
         assert (want < 0).sum() > 100  # negative weights stay
 
 
-def test_wide_bandwidths_are_left_out():
+def test_wide_bandwidths_are_left_out(spark):
     coords = np.argwhere(np.ones((4, 4, 4))).astype(float)
-    assert images.smoothing_weights(coords, 3.0) is None
+    assert images.sparse_bandwidths(images.smoothing_table(voxels_of(spark, coords), [3.0, 0.2]), 64, 2) == [1]
 
 
-def test_choice_of_bandwidth(spark):
+@pytest.mark.parametrize("held", [256 << 20, 20_000])
+def test_choice_of_bandwidth(spark, held, monkeypatch):
+    """All candidates in one pass, or a pass for each range of voxels."""
+    monkeypatch.setattr(images, "WEIGHT_BYTES", held)
     rng = np.random.default_rng(2)
     coords = np.argwhere(np.ones((15, 15))).astype(float)
     signal = np.sin(coords[:, 0] / 3) + np.cos(coords[:, 1] / 4)
     y = signal + rng.normal(0, 0.3, (20, 225))
     frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(y)], "iid long, voxels array<double>")
-    best, scores = images.choose_bandwidth(frame, coords)
+    best, scores = images.choose_bandwidth(frame, voxels_of(spark, coords))
     want = {}
     for bw in images.bandwidths(225, 2):
         s = np.array([plain_weights(coords, bw, i) for i in range(225)])
         if (s != 0).sum() / 225 <= 22:
             want[bw] = ((y - y @ s.T) ** 2).sum(axis=1).mean() / (1 - np.trace(s) / 225 + 1e-10) ** 2
     assert dict(scores) == pytest.approx(want) and best == min(want, key=want.get)
+    s = np.array([plain_weights(coords, best, i) for i in range(225)])
+    got = {r["iid"]: r["voxels"] for r in images.smooth(frame, images.smoothing_table(voxels_of(spark, coords), [9.0, best]), 225, 1).collect()}
+    assert np.array([got[i] for i in range(20)]) == pytest.approx(y @ s.T)
 
 
 def plain_tfce(coords, p, dh=0.1):
