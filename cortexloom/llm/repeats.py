@@ -1,16 +1,16 @@
-"""Substring dedup over words with prefix-partitioned suffix trees.
+"""Substring dedup over words: windows of suffixes, partitioned by prefixes, grouped by their hash.
 
 A suffix is a text from one of its words on.  Suffixes are split by variable-length prefixes: by
 their first word, and where that many suffixes share it that they would not fit in memory, by their
 first 2, 4, 8 or `window` words; one pass counts hash buckets of these prefixes, and groups of
-prefixes are packed into shards of bounded size.  In each shard the suffixes' subtree is built down
-to the depth of the window: sorted by the hash of their first `window` words, equal neighbours are
-the leaves below one internal node of that depth.  A node with leaves from several documents is a
-repeat; it is maximal when the windows that follow each other in a document are joined into spans.
+prefixes are packed into shards of bounded size.  A shard builds no tree: it sorts its suffixes by
+the hash of their first `window` words, and equal neighbours are what would be the leaves below one
+node of that depth.  Such a group with several documents is a repeat; it is maximal when the windows
+that follow each other in a document are joined into spans.
 
 What can't repeat is left out early: each window has an anchor, the smallest hash among the runs of
 HALF words in it.  Equal windows have equal anchors, so only windows whose anchor occurs in several
-documents enter the trees.  Before anything is shuffled, a task keeps of each window or anchor only
+documents enter the shards.  Before anything is shuffled, a task keeps of each window or anchor only
 the occurrences of its smallest document; the others are decided on the spot.  Shuffled rows are
 packed: one for each task and shard, with arrays of hashes and places.
 """
