@@ -244,30 +244,30 @@ class PieceAutomaton:
             return self.dense[before, after]
         return np.isin(before.astype(np.int64) << 16 | after, self.joins)
 
+    def _known(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Next states, negative where the transition is missing."""
+        got = self.table.take(states * np.int32(DENSE_CLASSES) + codes, mode="clip")
+        if len(self.keys) > DENSE_STATES or len(self.classes) > DENSE_CLASSES:
+            far = np.flatnonzero((states >= DENSE_STATES) | (codes >= DENSE_CLASSES))
+            if len(far):
+                got[far] = self.next.get(keys_of(states[far], codes[far]))
+        return got
+
     def _next(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Next states, adding the transitions that are missing."""
-        cells = states * np.int32(DENSE_CLASSES) + codes
-        if self.hashed:  # some lie beyond the table
-            far = (states >= DENSE_STATES) | (codes >= DENSE_CLASSES)
-            got = self.table[np.where(far, 0, cells)]
-            got[far] = self.next.get(keys_of(states[far], codes[far]))
-        else:
-            got = self.table[cells]
+        got = self._known(states, codes)
         if len(got) and got.min() < 0:
-            new = np.unique(keys_of(states, codes)[got < 0])
+            miss = np.flatnonzero(got < 0)
+            new = np.unique(keys_of(states[miss], codes[miss]))
             state, code = new >> CLASS_BITS, new & ((1 << CLASS_BITS) - 1)
             to = np.array([self._state(self.step(_unpacked(self.keys[a]), self.classes[c])) for a, c in zip(state.tolist(), code.tolist())], np.int32)
             near = (state < DENSE_STATES) & (code < DENSE_CLASSES)
             self.table[state[near] * DENSE_CLASSES + code[near]] = to[near]
             if not near.all():
                 self.next.put(new[~near], to[~near])
-            return self._next(states, codes)
+            got[miss] = self._known(states[miss], codes[miss])
         return got
 
-    @property
-    def hashed(self) -> bool:
-        return len(self.classes) > DENSE_CLASSES or len(self.keys) > DENSE_STATES
-
     def _lockstep(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, states: np.ndarray, out: np.ndarray) -> None:
         """Run lanes begin..end side by side from the given states; out gets the state after each character."""
         order = np.argsort(begin - end, kind="stable")
