@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from .linear import matrix_of, residuals
 from .permutations import Side, normals, shuffled
-from .rare import set_products, set_tests, test_set, weighted_sums
+from .rare import by_set, set_products, set_tests, test_set, weighted_sums
 
 
 def wild_bootstrap(resid: DataFrame, samples: int, seed: int = 1) -> DataFrame:
@@ -188,7 +188,7 @@ def permuted_clusters(members: DataFrame, calls: DataFrame, null: DataFrame, bas
             found += (p <= max_p).sum(axis=1).tolist()
         return pd.DataFrame({"sample_id": np.arange(samples, dtype=np.int32), "set_name": key[0], "mask": key[1], "size": np.array(found, np.int64)})
 
-    return members.groupBy("set_name", "mask").cogroup(own.groupBy("set_j", "mask_j")).applyInPandas(run, schema)
+    return by_set(members, own, run, schema)
 
 
 def cluster_sizes(significant: DataFrame, variants: DataFrame, samples: int) -> DataFrame:

@@ -23,6 +23,71 @@ def weighted_sums(rows: DataFrame, key: str, weight: str, value: str, size: int)
     return sums_by_key(rows.withColumn(weight, F.col(weight).cast("double")), key, [(weight, value, size)])
 
 
+#: Rows that a task gathers before it hands their sets on; a set with more is one batch by itself.
+GATHERED = 50_000
+
+
+def by_set(members: DataFrame, joined: DataFrame, run, schema: str) -> DataFrame:
+    """run(key, members of the set, rows of `joined` of the set) for each (set_name, mask) of members.
+
+    As members.groupBy("set_name", "mask").cogroup(joined.groupBy("set_j", "mask_j")).applyInPandas(run, schema), but
+    the rows of many sets are handed to Python together, as a set has few rows and a group costs more than its test."""
+    sides = (members, joined.withColumnsRenamed({"set_j": "set_name", "mask_j": "mask"}))
+    names = [[c for c in side.columns if c not in ("set_name", "mask")] for side in sides]
+
+    def tagged(at: int) -> DataFrame:
+        columns = []
+        for k, side in enumerate(sides):
+            for i, c in enumerate(names[k]):
+                kind = side.schema[c].dataType  # zeros, not nulls, in the other side's rows keep whole numbers whole
+                blank = F.lit(None) if kind.typeName() in ("array", "struct", "map") else F.lit("0")
+                columns.append((F.col(c) if k == at else blank.cast(kind)).alias(f"_{k}_{i}"))
+        return sides[at].select("set_name", "mask", F.lit(at).alias("_side"), *columns)
+
+    def finished(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        parts = []
+        for k in (0, 1):
+            own = pdf[pdf["_side"].to_numpy() == k].reset_index(drop=True)
+            name, mask = own["set_name"].to_numpy(object), own["mask"].to_numpy(object)
+            first = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (mask[1:] != mask[:-1])]).tolist() if len(own) else []
+            rows = own[[f"_{k}_{i}" for i in range(len(names[k]))]].set_axis(names[k], axis=1)
+            rows.insert(0, "mask" if k == 0 else "mask_j", own["mask"])
+            rows.insert(0, "set_name" if k == 0 else "set_j", own["set_name"])
+            parts.append((rows, {(name[a], mask[a]): (a, b) for a, b in zip(first, [*first[1:], len(own)])}))
+        (left, lefts), (right, rights) = parts
+        out = []
+        for key, (a, b) in lefts.items():
+            lo, hi = rights.get(key, (0, 0))
+            got = run(key, left.iloc[a:b].reset_index(drop=True), right.iloc[lo:hi].reset_index(drop=True))
+            if len(got):
+                out.append(got)
+        return pd.concat(out, ignore_index=True) if out else None
+
+    def gather(batches):
+        held, first, rows = [], None, 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            last = (pdf["set_name"].iloc[-1], pdf["mask"].iloc[-1])
+            first = first or (pdf["set_name"].iloc[0], pdf["mask"].iloc[0])
+            held.append(pdf)
+            rows += len(pdf)
+            if rows >= GATHERED and first != last:
+                whole = pd.concat(held, ignore_index=True)
+                cut = int(((whole["set_name"].to_numpy(object) == last[0]) & (whole["mask"].to_numpy(object) == last[1])).argmax())
+                got = finished(whole.iloc[:cut])
+                held, first, rows = [whole.iloc[cut:]], last, len(whole) - cut
+                if got is not None:
+                    yield got
+        if held:
+            got = finished(pd.concat(held, ignore_index=True))
+            if got is not None:
+                yield got
+
+    both = tagged(0).unionByName(tagged(1))
+    return both.repartition("set_name", "mask").sortWithinPartitions("set_name", "mask", "_side").mapInPandas(gather, schema)
+
+
 def _size(null: DataFrame, column: str) -> int:
     """Elements of the column's arrays, from one row."""
     first = null.select(F.size(column)).first()
@@ -160,7 +225,7 @@ def skat_tails(members: DataFrame, calls: DataFrame, bases: np.ndarray, variance
             rows += [(key[0], key[1], name, v + 1, float(q[v]), values, p) for v, p in enumerate(stats.saddlepoint(q, values).tolist())]
         return pd.DataFrame(rows, columns=["set_name", "mask", "weights", "index", "q", "eigenvalues", "p"])
 
-    return members.groupBy("set_name", "mask").cogroup(own.groupBy("set_j", "mask_j")).applyInPandas(run, schema)
+    return by_set(members, own, run, schema)
 
 
 def acat_v(score: np.ndarray, cov: np.ndarray, maf: np.ndarray, mac: np.ndarray, w: np.ndarray, bases: np.ndarray, variance: np.ndarray, thresh: int = 10) -> np.ndarray:
@@ -210,7 +275,7 @@ def set_covariances(members: DataFrame, calls: DataFrame) -> DataFrame:
         return pd.DataFrame({"set_name": key[0], "mask": key[1], "i": names[i], "j": names[j], "value": cov[i, j]})
 
     kind = members.schema["variant"].dataType.simpleString()
-    return members.groupBy("set_name", "mask").cogroup(own.groupBy("set_j", "mask_j")).applyInPandas(run, f"set_name string, mask string, i {kind}, j {kind}, value double")
+    return by_set(members, own, run, f"set_name string, mask string, i {kind}, j {kind}, value double")
 
 
 #: Kinds of p-values of a set: the test and the beta density of its weights.
@@ -313,12 +378,11 @@ def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, varia
     schema = "index int, set_name string, mask string, n_variants int, cmac long, burden_effect double, burden_se double, burden_p double, skat_p double, staar_o double, " + ", ".join([*(f"{g} array<double>" for g in GROUPS), *(f"staar_{g} double" for g in GROUPS)])
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in schema.split(", ")})
         left = left.sort_values("variant").reset_index(drop=True)
         held = np.flatnonzero(left["_given"].to_numpy(bool)) if swept else []
         cmac = int(left["mac"].sum())
         if len(left) - len(held) < 2 or cmac < cmac_min:
-            return none
+            return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in schema.split(", ")})
         place = {v: k for k, v in enumerate(left["variant"])}
         if by_calls:
             cov = set_products(right, place)
@@ -339,7 +403,7 @@ def set_tests(members: DataFrame, ld: DataFrame | None, bases: np.ndarray, varia
         found = np.vstack([frame[["burden_p", "skat_p", "staar_o", *(f"staar_{g}" for g in GROUPS)]].to_numpy(float).T, *(p for p in groups.values() if p is not None)])
         return frame[~(np.fmin.reduce(found, axis=0) > max_p)]
 
-    return members.groupBy("set_name", "mask").cogroup(joined.groupBy("set_j", "mask_j")).applyInPandas(run, schema)
+    return by_set(members, joined, run, schema)
 
 
 def sweep(score: np.ndarray, cov: np.ndarray, held: np.ndarray, bases: np.ndarray, inner: np.ndarray, df: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -177,16 +177,23 @@ def voxel_variance(spark, sf_dir):
     return spark.createDataFrame([(round(float(v[0]), 2), round(float(v[1]), 2))], "v1 double, v2 double")
 
 
+def _kept_calls(s: Study) -> DataFrame:
+    """The genotypes, written once: counts, scores, projections and products read them apart."""
+    path = scratch(s.spark, "calls")
+    s.geno.write.parquet(path)
+    return s.spark.read.parquet(path)
+
+
 def _summary(s: Study):
     """Members of genes with scores and projections, and the calls of rare variants; one covariate, two components."""
-    null = linear.residuals(s.plain_subjects)
+    null, geno = linear.residuals(s.plain_subjects), _kept_calls(s)
     xx, bases = np.array([[float(s.n)]]), np.eye(2)
-    qc = variants.variant_qc(s.geno, s.n).where(variants.maf_filter(0, 0.01)).select("variant", "maf", "mac")
-    table = qc.join(rare.scores(s.geno, null), "variant").join(rare.projections(s.geno, null, xx), "variant")
+    qc = variants.variant_qc(geno, s.n).where(variants.maf_filter(0, 0.01)).select("variant", "maf", "mac")
+    table = qc.join(rare.scores(geno, null), "variant").join(rare.projections(geno, null, xx), "variant")
     variance = rare.voxel_variance(null, bases, 1)
     placed = table.join(s.variants.select("variant", "contig", "pos", "phred"), "variant")
     members = intervals.interval_join(placed, s.genes).select("set_name", F.lit("all").alias("mask"), "variant", "maf", "mac", "score", "proj", F.array("phred").alias("annot"))
-    calls = s.geno.join(qc.select("variant"), "variant", "left_semi")
+    calls = geno.join(qc.select("variant"), "variant", "left_semi")
     return members, calls, bases, variance, table
 
 
@@ -258,14 +265,15 @@ def conditional_test(spark, sf_dir):
 
 
 def _tested_variants(s: Study) -> tuple:
-    """Scores and projections of all called variants with their annotations, and the null model's sums."""
+    """Scores and projections of all called variants with their annotations, the null model's sums, and the calls."""
     null, products = linear.residuals(s.subjects), linear.cross_products(s.subjects)
-    qc = variants.variant_qc(s.geno, s.n).select("variant", "maf", "mac")
-    summary = qc.join(rare.scores(s.geno, null), "variant").join(rare.projections(s.geno, null, products["xx"]), "variant")
+    geno = _kept_calls(s)
+    qc = variants.variant_qc(geno, s.n).select("variant", "maf", "mac")
+    summary = qc.join(rare.scores(geno, null), "variant").join(rare.projections(geno, null, products["xx"]), "variant")
     path = scratch(s.spark, "summary")
     summary.write.parquet(path)  # read again by masks and by conditions
     inner = linear.cross_products(null.select("iid", F.array(F.lit(1.0)).alias("x"), F.col("resid").alias("y")))["yy"]
-    return s.spark.read.parquet(path), null, inner, products["n"] - len(products["xx"])
+    return s.spark.read.parquet(path), null, inner, products["n"] - len(products["xx"]), geno
 
 
 def _mask_members(s: Study, summary: DataFrame, noncoding: bool = False) -> DataFrame:
@@ -285,20 +293,20 @@ def known_loci(s: Study, null: DataFrame) -> DataFrame:
 def conditional_sets(spark, sf_dir):
     """Coding masks of each gene, conditioned on the known loci up to 40 positions from it."""
     s = Study(spark, sf_dir)
-    summary, null, inner, df = _tested_variants(s)
+    summary, null, inner, df, geno = _tested_variants(s)
     near = s.genes.select("set_name", "contig", (F.col("start") - 40).alias("start"), (F.col("end") + 40).alias("end"))
     given = intervals.interval_join(known_loci(s, null).join(summary.select("variant", "score", "proj"), "variant"), near).select("set_name", "variant", "score", "proj")
     bases = np.eye(2)
-    return rare.named(rare.set_tests(_mask_members(s, summary), None, bases, np.diag(inner) / df, calls=s.geno, given=given, inner=inner, df=df), ["phred"])
+    return rare.named(rare.set_tests(_mask_members(s, summary), None, bases, np.diag(inner) / df, calls=geno, given=given, inner=inner, df=df), ["phred"])
 
 
 @query("o185_mask_tests")
 def mask_tests(spark, sf_dir):
     """Coding and noncoding masks of all genes into set tests."""
     s = Study(spark, sf_dir)
-    summary, _, inner, df = _tested_variants(s)
+    summary, _, inner, df, geno = _tested_variants(s)
     members = _mask_members(s, summary).unionByName(_mask_members(s, summary, noncoding=True))
-    return rare.named(rare.set_tests(members, None, np.eye(2), np.diag(inner) / df, calls=s.geno), ["phred"])
+    return rare.named(rare.set_tests(members, None, np.eye(2), np.diag(inner) / df, calls=geno), ["phred"])
 
 
 @query("o184_cauchy", CTE + "SELECT snp, pos, n, round(0.5 - atan((tan((0.5 - p1) * pi()) + tan((0.5 - p2) * pi())) / 2) / pi(), 6) AS p FROM (SELECT snp, pos, n, (n + 0.5) / 60 AS p1, (maf + 0.01) / 2 AS p2 FROM panel)")

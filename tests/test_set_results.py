@@ -142,3 +142,28 @@ def test_bootstrap_takes_missing_calls_as_the_mean(spark, study):
     got = {(r["sample_id"], r["variant"]): r["size"] for r in nulls.bootstrap_clusters(gone, subjects, frame, 8, 0.5).collect()}
     joined = {(r["sample_id"], r["variant"]): r["size"] for r in nulls.bootstrap_clusters(gone, subjects, frame, 8, 0.5, most_side=0).collect()}
     assert got == joined and len(got) == 72 and 0 < sum(got.values()) < 144
+
+
+def test_sets_are_handed_over_whole_and_together(spark, monkeypatch):
+    """Many sets, one of several batches, one without calls, ids beyond doubles: the rows of each as a cogroup gives them, in few batches."""
+    import os
+
+    import pandas as pd
+
+    monkeypatch.setattr(rare, "GATHERED", 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        big = 2**60 + 1
+        members = spark.createDataFrame([(f"S{k}", m, big + k, [float(k)]) for k in range(60) for m in ("a", "b")], "set_name string, mask string, variant long, proj array<double>")
+        joined = spark.createDataFrame([(f"S{k}", m, big + k, i) for k in range(59) for m in ("a", "b") for i in range(2000 if k == 7 else 5)], "set_j string, mask_j string, variant long, iid long").repartition(7)
+
+        def run(key, left, right):
+            assert set(left["set_name"]) == {key[0]} and set(right["mask_j"]) <= {key[1]}
+            same = len(right) == 0 or set(right["variant"]) == set(left["variant"])
+            return pd.DataFrame({"set_name": key[0], "mask": key[1], "n": [len(right)], "total": int(right["iid"].sum()), "variant": left["variant"], "same": same, "pid": os.getpid()})
+
+        got = rare.by_set(members, joined, run, "set_name string, mask string, n long, total long, variant long, same boolean, pid long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 120 and all(r["same"] for r in got)
+    assert {(r["set_name"], r["mask"]): (r["n"], r["total"], r["variant"]) for r in got} == {(f"S{k}", m): (n, n * (n - 1) // 2, big + k) for k in range(60) for m in ("a", "b") for n in [0 if k == 59 else 2000 if k == 7 else 5]}
