@@ -60,9 +60,10 @@ def bootstrap_clusters(geno: DataFrame, subjects: DataFrame, bases: DataFrame, s
 
     The chain of one replicate: residuals times a normal for each subject, association with all variants,
     voxel effects from component effects, voxels with p <= max_p counted, 0 included.  All replicates are
-    made in one pass over the calls, which are dealt by variant: a task looks the residuals of its carriers
-    up in the null model it holds and makes the normals, `at_once` replicates at a time.  A null model too
-    large to be held is joined to the calls, and the variants' sums meet after that.
+    made in one pass over the calls, which are dealt and sorted by variant: a task takes a batch of calls at a
+    time, looks the residuals of its carriers up in the null model it holds and makes the normals, `at_once`
+    replicates at a time, so that its memory does not grow with the calls.  A null model too large to be held is
+    joined to the calls before that.
     """
     side = Side(residuals(subjects), ["x", "resid"], most_side)
     n, p, r = side.n, side.sizes["x"], side.sizes["resid"]
@@ -106,34 +107,39 @@ def bootstrap_clusters(geno: DataFrame, subjects: DataFrame, bases: DataFrame, s
         return pd.DataFrame({"sample_id": np.repeat(replicates.astype(np.int32), len(names)), "variant": np.tile(names, len(replicates)), "size": found.ravel()})
 
     batches = [np.arange(k, min(k + at_once, samples)) for k in range(0, samples, at_once)]
-    if side.held is not None:
-        held, shards = side.held, shards or max(1, geno.sparkSession.sparkContext.defaultParallelism * 3)
-
-        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            iids, sides = held.value
-            at = iids.get_indexer(pdf["iid"])
-            pdf, at = pdf[at >= 0], at[at >= 0]
+    shards, held = shards or geno.sparkSession.sparkContext.defaultParallelism * 3, side.held
+    calls = geno.select("variant", "iid", "dosage")
+
+    def run(parts):
+        """Calls in the order of variants; the last variant of a batch waits for the next batch, with its sums only."""
+        name, waiting = None, None
+        for pdf in parts:
+            if held is not None:
+                iids, sides = held.value
+                at = iids.get_indexer(pdf["iid"])
+                pdf, at = pdf[at >= 0], at[at >= 0]
+                x, y = sides["x"][at], sides["resid"][at]
+            elif len(pdf):
+                at, x, y = pdf["place"].to_numpy(), np.stack(pdf["x"].to_numpy()), np.stack(pdf["resid"].to_numpy())
+            if not len(pdf):
+                continue
             code, names = pd.factorize(pdf["variant"])
-            x, y, dosage = sides["x"][at], sides["resid"][at], pdf["dosage"].to_numpy(float)
-            found = [frame(names, sizes(products(at, x, y, dosage, code, len(names), k), k), k) for k in batches] if len(at) else []
-            return pd.concat(found) if found else pd.DataFrame({"sample_id": np.zeros(0, np.int32), "variant": pdf["variant"], "size": np.zeros(0, np.int64)})
-
-        dealt = geno.select("variant", "iid", "dosage").withColumn("_shard", F.pmod(F.xxhash64("variant"), F.lit(shards)))
-        return dealt.groupBy("_shard").applyInPandas(run, schema)
-    rows = geno.select("variant", "iid", "dosage").join(side.placed, "iid")
-
-    def partial(batches_):
-        for pdf in batches_:
-            if len(pdf):
-                code, names = pd.factorize(pdf["variant"])
-                x, y = (np.stack(pdf[c].to_numpy()) for c in ("x", "resid"))
-                for i, k in enumerate(batches):
-                    yield pd.DataFrame({"variant": names, "batch": np.int32(i), "sums": list(products(pdf["place"].to_numpy(), x, y, pdf["dosage"].to_numpy(float), code, len(names), k))})
-
-    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return frame([key[0]], sizes(np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)[None], batches[key[1]]), batches[key[1]])
-
-    return rows.mapInPandas(partial, f"variant {kind}, batch int, sums array<double>").groupBy("variant", "batch").applyInPandas(finish, schema)
+            sums = [products(at, x, y, pdf["dosage"].to_numpy(float), code, len(names), k) for k in batches]
+            if waiting is not None:
+                if names[0] == name:
+                    for own, more in zip(sums, waiting):
+                        own[0] += more
+                else:
+                    yield from (frame([name], sizes(own[None], k), k) for own, k in zip(waiting, batches))
+            if len(names) > 1:
+                yield from (frame(names[:-1], sizes(own[:-1], k), k) for own, k in zip(sums, batches))
+            name, waiting = names[-1], [own[-1].copy() for own in sums]
+        if waiting is not None:
+            yield from (frame([name], sizes(own[None], k), k) for own, k in zip(waiting, batches))
+
+    if held is None:
+        calls = calls.join(side.placed, "iid")
+    return calls.repartition(shards, "variant").sortWithinPartitions("variant").mapInPandas(run, schema)
 
 
 def permuted_clusters(members: DataFrame, calls: DataFrame, null: DataFrame, bases: np.ndarray, variance: np.ndarray, samples: int, max_p: float = 2.5e-6, seed: int = 1, most_side: int | None = None) -> DataFrame:

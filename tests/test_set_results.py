@@ -167,3 +167,19 @@ def test_sets_are_handed_over_whole_and_together(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == 120 and all(r["same"] for r in got)
     assert {(r["set_name"], r["mask"]): (r["n"], r["total"], r["variant"]) for r in got} == {(f"S{k}", m): (n, n * (n - 1) // 2, big + k) for k in range(60) for m in ("a", "b") for n in [0 if k == 59 else 2000 if k == 7 else 5]}
+
+
+@pytest.mark.parametrize("side", [None, 0])
+def test_bootstrap_takes_calls_by_batches(spark, study, side):
+    """Variants whose calls span many batches, in one task: the sizes are those of whole variants."""
+    *_, geno, subjects = study
+    frame = spark.createDataFrame([(v, [float(np.cos(v)), float(np.sin(v))]) for v in range(4)], "voxel int, b array<double>")
+    want = {(r["sample_id"], r["variant"]): r["size"] for r in nulls.bootstrap_clusters(geno, subjects, frame, 4, 0.3, at_once=3, shards=1, most_side=side).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = nulls.bootstrap_clusters(geno, subjects, frame, 4, 0.3, at_once=3, shards=1, most_side=side)
+        rows = made.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == len(want) and {(r["sample_id"], r["variant"]): r["size"] for r in rows} == want and len(set(want.values())) > 1
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()  # no task takes all calls of a shard at once
