@@ -23,6 +23,7 @@ import json
 import uuid
 import zlib
 from array import array
+from contextlib import contextmanager
 from dataclasses import dataclass
 from urllib.parse import quote, urlparse
 
@@ -47,6 +48,8 @@ RANGE_BYTES = 32 << 20
 #: Bytes fetched at once, and decoded at once while headers are looked for.
 _READ, _STEP = 1 << 20, 1024
 BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
+#: Rows of a batch that goes to the writer.
+WRITE_BATCH = 500
 
 
 def digest(payload: bytes) -> str:
@@ -416,6 +419,21 @@ def register(spark) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+@contextmanager
+def smaller_batches(spark):
+    """Arrow batches of WRITE_BATCH rows and BATCH_BYTES at most while a job runs: a row holds a whole page, and a batch
+    is there in the executor and in its Python worker at once."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": WRITE_BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def write_pages(pages: DataFrame, path: str, least: int = 0, mode: str = "append") -> None:
     """Write a record for each row of pages (page_id, url, html) to the archive folder `path`.
 
@@ -440,7 +458,8 @@ def write_pages(pages: DataFrame, path: str, least: int = 0, mode: str = "append
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     base32 = F.concat(*[F.substring(F.lit(letters), 1 + F.shiftright(value(i), 15 - 5 * k).bitwiseAND(31), F.lit(1)) for i in range(8) for k in range(4)])
     out = marked.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), base32.alias("payload_digest"), F.when(revisit, F.col("_first")).alias("refers_to"))
-    out.write.format("warc").mode(mode).save(path)
+    with smaller_batches(pages.sparkSession):
+        out.write.format("warc").mode(mode).save(path)
 
 
 def read_archive(spark, path: str, payload: bool = True) -> DataFrame:

@@ -102,3 +102,23 @@ def test_filters_on_headers(spark):
     assert archive.where(F.col("url").isin("http://h/3", "http://h/19")).count() == 2
     assert sorted(r["page_id"] for r in archive.where("record_type = 'response'").collect()) == [16, 17, 18, 19]
     assert archive.where("payload_bytes > 100").count() == 0
+
+
+def test_pages_reach_the_writer_in_small_batches(spark, tmp_path, monkeypatch):
+    """Settings hold for the job only, whether it fails or not."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    names, seen, save = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"), [], DataFrameWriter.save
+    before = [spark.conf.get(k, None) for k in names]
+
+    def watched(self, *args, **kwargs):
+        seen.append([int(spark.conf.get(k)) for k in names])
+        return save(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "save", watched)
+    pages = spark.createDataFrame([(k, f"u{k}", "x" * (k % 3)) for k in range(1200)], "page_id long, url string, html string").coalesce(1)
+    warc.write_pages(pages, f"file://{tmp_path}/a")
+    with pytest.raises(Exception):
+        warc.write_pages(pages.withColumn("html", F.raise_error(F.lit("no")).cast("string")), f"file://{tmp_path}/b")
+    assert seen == [[warc.WRITE_BATCH, warc.BATCH_BYTES]] * 2 and [spark.conf.get(k, None) for k in names] == before
+    assert warc.read_archive(spark, f"file://{tmp_path}/a").where("record_type = 'response'").count() == 3
