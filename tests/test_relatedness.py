@@ -97,3 +97,52 @@ def test_association_takes_the_predictions_off(spark, study):
     for v in range(4):
         full = np.column_stack([x, z[v]])
         assert got[v]["contig"] == str(v % 2 + 1) and got[v]["beta"] == pytest.approx(np.linalg.lstsq(full, y - off[v % 2], rcond=None)[0][-1])
+
+
+@pytest.mark.parametrize("size", [13, None])
+def test_from_calls_alone(spark, study, size, monkeypatch):
+    """The same without any dense block, with calls that lack a dosage, in chunks that cross folds, and sums in several pieces."""
+    monkeypatch.setattr(relatedness, "PIECE", 50)
+    monkeypatch.setattr(relatedness, "level0", None)
+    z, null, _ = study
+    arranged = relatedness.arrange(null)
+    people = arranged.toPandas().sort_values("row")
+    resid, x = np.stack(people["resid"].to_numpy()), np.stack(people["x"].to_numpy())
+    scale = resid.std(axis=0)
+    zz = z[:, people["iid"].to_numpy() - 1000]
+    lacking = {(v, int(np.flatnonzero(zz[v])[0])) for v in range(0, len(z), 4)}
+    calls = [(v // SIZE, str(v // SIZE % 3 + 1), f"rs{v}", int(people["iid"].iloc[i]), None if (v, i) in lacking else int(zz[v, i])) for v in range(len(z)) for i in range(N) if zz[v, i]]
+    for v, i in lacking:
+        zz[v, i] = np.nan
+    zz = np.where(np.isnan(zz), np.nanmean(zz, axis=1, keepdims=True), zz)
+    frame = spark.createDataFrame(calls, "block int, contig string, variant string, iid long, dosage int")
+    want = dense(zz, x, resid / scale, people["fold"].to_numpy(), lambda b: str(b % 3 + 1))
+    got = {(r["iid"], r["contig"]): r["pred"] for r in relatedness.called_loco(frame, arranged, scale, len(z), len(calls), size=size).collect()}
+    assert len(got) == 3 * N
+    for k, iid in enumerate(people["iid"].tolist()):
+        for c in "123":
+            assert got[iid, c] == pytest.approx([want[r, c][k] * scale[r] for r in range(2)], rel=1e-7, abs=1e-9)
+
+
+def test_association_reads_the_calls_once(spark, study):
+    """One plan for all contigs, whatever their number; covariates, missing dosages and subjects without a prediction count by contig."""
+    z, _, null = study
+    off = np.random.default_rng(2).normal(size=(3, N, 2))
+    loco = spark.createDataFrame([(1000 + i, str(c), off[c, i].tolist()) for c in range(3) for i in range(N - c)], "iid long, contig string, pred array<double>")
+    geno = spark.createDataFrame([(v, 1000 + i, None if (v + i) % 9 == 0 else int(z[v, i]), str(v % 3)) for v in range(9) for i in range(N) if z[v, i]], "variant int, iid long, dosage int, contig string")
+    got = linear.gwas_loco(geno, null, loco, ["0", "1", "2"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD [variant") + plan.count("LocalRelation [variant") == 1
+    people = null.toPandas().sort_values("iid")
+    x, y = np.stack(people["x"].to_numpy()), np.stack(people["y"].to_numpy())
+    got = {r["variant"]: r for r in got.collect()}
+    for v in range(9):
+        c, n = v % 3, N - v % 3
+        d = np.array([np.nan if z[v, i] and (v + i) % 9 == 0 else z[v, i] for i in range(n)])
+        d = np.where(np.isnan(d), np.nanmean(d), d)
+        full = np.column_stack([x[:n], d])
+        beta, rss = np.linalg.lstsq(full, (y - off[c])[:n], rcond=None)[:2]
+        se = np.sqrt(rss / (n - 3) * np.linalg.inv(full.T @ full)[-1, -1])
+        assert got[v]["contig"] == str(c) and got[v]["beta"] == pytest.approx(beta[-1]) and got[v]["standard_error"] == pytest.approx(se)
+    with pytest.raises(ValueError, match="no predictions"):
+        linear.gwas_loco(geno, null, loco, ["0", "7"])
