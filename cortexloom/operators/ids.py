@@ -90,10 +90,14 @@ def common_variants(tables: list[DataFrame], lists: list[DataFrame] = (), exclud
 
     tables: key and alleles.  Returns the key and each table's alleles as <allele>_<i>.
     """
-    merged = functools.reduce(lambda a, b: a.join(b, key), [t.select(key, *[F.col(a).alias(f"{a}_{i}") for a in alleles]) for i, t in enumerate(tables)])
+    def once(t: DataFrame, columns: list[Column]) -> DataFrame:
+        counted = t.groupBy(key).agg(F.count("*").alias("_n"), *columns)
+        return counted.where("_n = 1").drop("_n")
+
+    # a key is there once in the merge if it is there once in each table and list, so no merge is counted and joined back
+    merged = functools.reduce(lambda a, b: a.join(b, key), [once(t, [F.any_value(a).alias(f"{a}_{i}") for a in alleles]) for i, t in enumerate(tables)])
     for x in lists:
-        merged = merged.join(x.select(key), key)
-    merged = unique_keys(merged, [key])
+        merged = merged.join(once(x, []), key)
     for x in excluded:
         merged = merged.join(x.select(key), key, "left_anti")
     columns = [F.col(f"{a}_{i}") for i in range(len(tables)) for a in alleles]

@@ -24,6 +24,16 @@ def test_id_sets(spark):
     assert len(rows(ids.keep_subjects(a, b, merge=True))) == 3
 
 
+def test_common_variants_counts_each_table_once(spark):
+    """No merge is counted and joined back; keys repeated in a table or list, null keys and null alleles."""
+    one = spark.createDataFrame([("a", "A", "C"), ("b", "A", "C"), ("b", "A", "C"), ("c", "A", None), (None, "A", "C"), ("d", "A", "C")], "snp string, a1 string, a2 string")
+    two = spark.createDataFrame([("a", "C", "A"), ("b", "A", "C"), ("c", "A", None), (None, "A", "C"), ("d", "A", "C")], "snp string, a1 string, a2 string")
+    listed = spark.createDataFrame([("a",), ("c",), ("d",), ("d",)], "snp string")
+    got = ids.common_variants([one, two], [listed])
+    assert {tuple(r) for r in got.collect()} == {("a", "A", "C", "C", "A"), ("c", "A", None, "A", None)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
 def test_common_variants(spark):
     make = lambda *r: spark.createDataFrame(r, "snp string, a1 string, a2 string")
     gwas, one = make(("rs1", "G", "A"), ("rs3", "C", "A")), make(("rs1", "A", "G"), ("rs2", "C", "T"), ("rs3", "C", "A"))
