@@ -285,8 +285,8 @@ def _mask_members(s: Study, summary: DataFrame, noncoding: bool = False) -> Data
 def known_loci(s: Study, null: DataFrame) -> DataFrame:
     """contig, pos, snp, variant of the variants that a component shows at p < 0.01, pruned to r2 of 0.3 (O-187)."""
     hits = linear.gwas(s.geno, null.select("iid", "x", "y")).where(F.exists("p_value", lambda p: p < 0.01)).select("variant")
-    calls = _calls(s).join(hits, "variant", "left_semi")
-    return ld.ld_prune_calls(calls, s.n, 0.3, 20).withColumn("variant", F.substring("snp", 3, 18).cast("long"))
+    called = _called(s, s.geno.join(hits, "variant", "left_semi"))
+    return ld.ld_prune_called(called, s.n, 0.3, 20).withColumn("variant", F.substring("snp", 3, 18).cast("long"))
 
 
 @query("o187_conditional_sets")
@@ -355,6 +355,11 @@ def _calls(s: Study) -> DataFrame:
     return s.geno.join(s.variants.select("variant", "contig", "pos", F.col("rsid").alias("snp")), "variant")
 
 
+def _called(s: Study, geno: DataFrame) -> DataFrame:
+    """A row a variant with its calls and place; only numbers are shuffled for each call."""
+    return ld.called_rows(geno, "variant").join(s.variants.select("variant", "contig", "pos", F.col("rsid").alias("snp")), "variant")
+
+
 def _blocks(s: Study) -> DataFrame:
     return ld.ld_blocks(_calls(s).select(F.floor(F.col("pos") / 50).cast("int").alias("block_idx"), "snp", "pos", "iid", "dosage"), n=s.n)
 
@@ -377,7 +382,7 @@ def ld_scores(spark, sf_dir):
 @query("o187_ld_prune")
 def ld_prune(spark, sf_dir):
     s = Study(spark, sf_dir)
-    return ld.ld_prune_calls(_calls(s), s.n, 0.3, 20)
+    return ld.ld_prune_called(_called(s, s.geno), s.n, 0.3, 20)
 
 
 def _component_stats(s: Study) -> tuple:
