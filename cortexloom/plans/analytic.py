@@ -134,7 +134,7 @@ def significant_voxels(spark, sf_dir):
     s = Study(spark, sf_dir)
     subjects = linear.project(s.images, s.bases).select("iid", F.array(F.lit(1.0)).alias("x"), F.col("ldr").alias("y"))
     cov = linear.covariance(linear.cross_products(subjects))
-    g = linear.gwas(s.geno.join(subjects.select("iid"), "iid", "left_semi"), subjects)
+    g = linear.gwas(s.geno_of(s.images.select("iid")), subjects)
     table = g.select("variant", F.col("n_called").cast("double").alias("n"), "beta", F.col("t_stat").alias("z")).where(~F.exists("z", lambda v: F.isnan(v)))
     return linear.recover_voxels(table, s.bases, cov, max_p=1e-3)
 
