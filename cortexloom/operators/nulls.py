@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from .linear import matrix_of, residuals
 from .permutations import Side, normals, shuffled
-from .rare import by_set, set_products, set_tests, test_set, weighted_sums
+from .rare import CalledSets, by_called_set, set_tests, test_set, weighted_sums
 
 
 def wild_bootstrap(resid: DataFrame, samples: int, seed: int = 1) -> DataFrame:
@@ -142,17 +142,25 @@ def bootstrap_clusters(geno: DataFrame, subjects: DataFrame, bases: DataFrame, s
     return calls.repartition(shards, "variant").sortWithinPartitions("variant").mapInPandas(run, schema)
 
 
-def permuted_clusters(members: DataFrame, calls: DataFrame, null: DataFrame, bases: np.ndarray, variance: np.ndarray, samples: int, max_p: float = 2.5e-6, seed: int = 1, most_side: int | None = None) -> DataFrame:
+def permuted_clusters(members: DataFrame, calls: DataFrame, null: DataFrame, bases: np.ndarray, variance: np.ndarray, samples: int, max_p: float = 2.5e-6, seed: int = 1, most_side: int | None = None, side: Side | None = None) -> DataFrame:
     """sample_id, set_name, mask, size: for each set and permutation of the residual rows the number of voxels whose
     omnibus (burden where there is none) is significant (O-191).
 
-    members: (set_name, mask, variant, maf, mac, proj, annot); calls: (variant, iid, dosage); null: (iid, resid).
+    members: (set_name, mask, variant, maf, mac, proj, annot); calls: (variant, iid, dosage), or with `side`, the null
+    model's without an index, a row a variant whose iids are places (rare.variant_rows); null: (iid, resid).
     A set's covariance is made once; its task looks up which residuals its carriers get in each replicate.
     Where the null model is too large to be held, scores of all replicates come from one join, and a set is
     tested for each replicate under a name of its own.
     """
-    side = Side(null, ["resid"], most_side)
     tests, schema = ("burden", "skat", "staar"), "sample_id int, set_name string, mask string, size long"
+    if side is None:
+        side = Side(null, ["resid"], most_side, index=False)
+        if side.held is not None:
+            who = F.coalesce("place", -1 - F.pmod(F.xxhash64("iid"), F.lit(1 << 62)))
+            calls = calls.join(side.placed.select("iid", "place"), "iid", "left").select("variant", who.alias("iid"), "dosage")
+    elif side.held is None:
+        each = calls.select("variant", F.explode(F.arrays_zip("iids", "dosages")).alias("_c"))
+        calls = each.join(side.placed.select("iid", "place"), F.col("_c.iids") == F.col("place")).select("variant", "iid", F.col("_c.dosages").alias("dosage"))
     if side.held is None:
         drawn = permuted_rows(null.select("iid", "resid"), samples, seed)
         placed = calls.join(drawn, "iid").withColumn("_key", F.struct("variant", "sample_id"))
@@ -163,38 +171,35 @@ def permuted_clusters(members: DataFrame, calls: DataFrame, null: DataFrame, bas
         hit = F.coalesce(F.col("staar_o"), F.col("burden_p")) <= max_p
         return tested.groupBy(of.alias("_of"), "mask").agg(F.count_if(hit).alias("size")).select("_of.sample_id", F.col("_of.s").alias("set_name"), "mask", "size")
     held, n, rank = side.held, side.n, side.sizes["resid"]
-    own = members.select(F.col("set_name").alias("set_j"), F.col("mask").alias("mask_j"), F.col("variant").alias("_at")).join(calls.select("variant", "iid", "dosage"), F.col("_at") == F.col("variant")).drop("_at")
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("variant").reset_index(drop=True)
-        cmac = int(left["mac"].sum())
-        if len(left) < 2 or cmac < 2:
-            return pd.DataFrame({"sample_id": np.zeros(0, np.int32), "set_name": "", "mask": "", "size": np.zeros(0, np.int64)})
-        iids, sides = held.value
-        where = {v: k for k, v in enumerate(left["variant"])}
-        proj = np.stack(left["proj"].to_numpy())
-        cov, maf = set_products(right, where) - proj @ proj.T, left["maf"].to_numpy(float)
-        annot = np.stack(left["annot"].to_numpy()).astype(float) if left["annot"].notna().all() else None
-        at, code, dosage = iids.get_indexer(right["iid"]), right["variant"].map(where).to_numpy(int), right["dosage"].to_numpy(float)
-        order = np.argsort(code, kind="stable")
-        order = order[at[order] >= 0]
-        places, back = np.unique(at[order], return_inverse=True)
-        found, first = [], np.searchsorted(code[order], np.arange(len(left)))
-        empty = np.diff(np.r_[first, len(order)]) == 0
-        step = max(1, 4_000_000 // max(1, len(left) * len(variance), rank * len(order)))
-        for k in range(0, samples, step):  # replicates are further voxels
-            replicates = np.arange(k, min(k + step, samples))
-            rows = sides["resid"][shuffled(places, n, replicates, seed)][:, back] * dosage[order][:, None]
-            score = np.zeros((len(replicates), len(left), rank))
-            if (~empty).any():
-                score[:, ~empty] = np.add.reduceat(rows, first[~empty], axis=1)
-            moved = np.moveaxis(score @ bases.T, 1, 0).reshape(len(left), -1)
-            out, _ = test_set(moved, cov, maf, cmac, annot, None, np.tile(variance, len(replicates)), tests)
-            p = np.where(np.isnan(out["staar_o"]), out["burden_p"], out["staar_o"]).reshape(len(replicates), -1)
-            found += (p <= max_p).sum(axis=1).tolist()
-        return pd.DataFrame({"sample_id": np.arange(samples, dtype=np.int32), "set_name": key[0], "mask": key[1], "size": np.array(found, np.int64)})
-
-    return by_set(members, own, run, schema)
+
+    def run(sets: CalledSets) -> pd.DataFrame:
+        resid, out = held.value[1]["resid"], []
+        every, mafs, macs, annots = sets.matrix("proj"), sets.column("maf").astype(float), sets.column("mac"), sets._table["annot"]
+        for i, (key, a, b) in enumerate(zip(sets.keys, sets.cuts.tolist(), sets.cuts[1:].tolist())):
+            cmac, m = int(macs[a:b].sum()), b - a
+            if m < 2 or cmac < 2:
+                continue
+            cov, annot = sets.products(i) - every[a:b] @ every[a:b].T, annots.slice(a, m).to_pylist()
+            annot = np.array(annot, float) if all(v is not None for v in annot) else None
+            code, at, dosage = (v[sets.calls(i)[1] >= 0] for v in sets.calls(i))
+            places, back = np.unique(at, return_inverse=True)
+            found, first = [], np.searchsorted(code, np.arange(m))
+            empty = np.diff(np.r_[first, len(code)]) == 0
+            step = max(1, 4_000_000 // max(1, m * len(variance), rank * len(code)))
+            for k in range(0, samples, step):  # replicates are further voxels
+                replicates = np.arange(k, min(k + step, samples))
+                rows = resid[shuffled(places, n, replicates, seed)][:, back] * dosage[:, None]
+                score = np.zeros((len(replicates), m, rank))
+                if (~empty).any():
+                    score[:, ~empty] = np.add.reduceat(rows, first[~empty], axis=1)
+                moved = np.moveaxis(score @ bases.T, 1, 0).reshape(m, -1)
+                got, _ = test_set(moved, cov, mafs[a:b], cmac, annot, None, np.tile(variance, len(replicates)), tests)
+                p = np.where(np.isnan(got["staar_o"]), got["burden_p"], got["staar_o"]).reshape(len(replicates), -1)
+                found += (p <= max_p).sum(axis=1).tolist()
+            out.append(pd.DataFrame({"sample_id": np.arange(samples, dtype=np.int32), "set_name": key[0], "mask": key[1], "size": np.array(found, np.int64)}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
+
+    return by_called_set(members.select("set_name", "mask", "variant", "maf", "mac", "proj", "annot"), calls, run, schema)
 
 
 def cluster_sizes(significant: DataFrame, variants: DataFrame, samples: int) -> DataFrame:

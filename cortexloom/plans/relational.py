@@ -383,8 +383,7 @@ def row_index(spark, sf_dir):
 SELECT w.contig || '_' || w.start AS set_name, count(*) AS n FROM w JOIN variants v ON v.contig = w.contig AND v.pos >= w.start AND v.pos < w.start + 50 GROUP BY 1""")
 def sliding_windows(spark, sf_dir):
     v = Study(spark, sf_dir).variants
-    windows = intervals.sliding_windows(variants.range_summary(v), 50)
-    return intervals.interval_join(v, windows, bucket=64).groupBy("set_name").agg(F.count("*").alias("n"))
+    return intervals.window_members(v, variants.range_summary(v), 50).groupBy("set_name").agg(F.count("*").alias("n"))
 
 
 @query("o123_equal_blocks", CTE + """, c AS (SELECT *, count(*) OVER (PARTITION BY contig) AS n, row_number() OVER (PARTITION BY contig ORDER BY pos) - 1 AS rn FROM variants)
