@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cortexloom.operators import linear, relatedness
+from cortexloom.plans.surrogate import Study
 
 N, BLOCKS, SIZE = 90, 6, 5
 
@@ -146,3 +147,24 @@ def test_association_reads_the_calls_once(spark, study):
         assert got[v]["contig"] == str(c) and got[v]["beta"] == pytest.approx(beta[-1]) and got[v]["standard_error"] == pytest.approx(se)
     with pytest.raises(ValueError, match="no predictions"):
         linear.gwas_loco(geno, null, loco, ["0", "7"])
+
+
+def test_systems_are_solved_in_turns(spark, study, monkeypatch):
+    """The driver holds vectors of a few systems at a time, never of all: the same predictions."""
+    plain = linear.residuals(Study(spark, "/root/testdata/sf0.001").plain_subjects)
+    s = Study(spark, "/root/testdata/sf0.001")
+    arranged = relatedness.arrange(plain)
+    calls = s.geno.join(s.variants.select("variant", (F.col("variant") % 3 + 1).cast("string").alias("contig")), "variant").withColumn("block", (F.col("contig").cast("int") * 10 + F.floor(F.col("variant") / 50)).cast("int"))
+    asked, times = [], relatedness._Features.times
+    monkeypatch.setattr(relatedness._Features, "times", lambda self, v, out_of: asked.append(v.shape[1]) or times(self, v, out_of))
+
+    def made():
+        asked.clear()
+        got = relatedness.called_loco(calls, arranged, np.array([1.0, 2.0]), 200, calls.count())
+        return {(r["iid"], r["contig"]): r["pred"] for r in got.collect()}
+
+    want, before = made(), max(asked)
+    monkeypatch.setattr(relatedness, "SOLVED", 1)
+    got = made()
+    assert before > 1 and max(asked) == 1 and got.keys() == want.keys() and len(want) > 300
+    assert np.array([got[k] for k in sorted(want)]) == pytest.approx(np.array([want[k] for k in sorted(want)]), rel=1e-6, abs=1e-6)
