@@ -108,6 +108,15 @@ class CalledSets:
         self.iid = lists.flatten().to_numpy(zero_copy_only=False)
         self.dosage = table["dosages"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
         self.first_call = np.r_[0, np.cumsum(length)][cuts]
+        # subjects of each set numbered from 0, for all sets at once
+        code, names = pd.factorize(self.iid)
+        of = np.repeat(np.arange(len(cuts) - 1), np.diff(self.first_call)) * max(1, len(names)) + code
+        order = np.argsort(of, kind="stable")
+        place = np.cumsum(np.r_[False, of[order][1:] != of[order][:-1]]) if len(of) else np.zeros(0, int)
+        at = np.r_[place, place[-1:] + 1][np.minimum(self.first_call, len(place))] if len(place) else np.zeros(len(cuts), int)
+        self.many, self.subject = np.diff(at), np.empty(len(of), int)
+        self.subject[order] = place
+        self.subject -= np.repeat(at[:-1], np.diff(self.first_call))
 
     def column(self, name: str) -> np.ndarray:
         return self._table[name].to_numpy()
@@ -124,9 +133,9 @@ class CalledSets:
 
     def products(self, k: int, subjects: int = 4096) -> np.ndarray:
         """Z'Z of set k, by blocks of the subjects that carry any of it."""
-        column, iid, dosage = self.calls(k)
-        m, row = int(self.cuts[k + 1] - self.cuts[k]), pd.factorize(iid)[0]
-        many, out = int(row.max()) + 1 if len(row) else 0, np.zeros((m, m))
+        column, _, dosage = self.calls(k)
+        m, row = int(self.cuts[k + 1] - self.cuts[k]), self.subject[self.first_call[k] : self.first_call[k + 1]]
+        many, out = int(self.many[k]), np.zeros((m, m))
         for lo in range(0, many, subjects):
             own = slice(None) if many <= subjects else (row >= lo) & (row < lo + subjects)
             z = np.zeros((min(subjects, many - lo), m))

@@ -118,3 +118,17 @@ def test_windows_are_not_joined(spark, sf_dir):
     for query in (analytic.sliding_window_tests, relational.sliding_windows):
         assert "_bucket" not in query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert analytic.sliding_window_tests(spark, sf_dir).where(F.col("n_variants") > 20).count() == 0 and Study(spark, sf_dir).n > 0
+
+
+def test_products_by_blocks_of_subjects():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    z = rng.binomial(2, 0.3, (7, 500)).astype(float)
+    z[2], rows = 0, [np.flatnonzero(v) for v in z]
+    table = pa.table({"set_name": ["a", "a", "a", "b", "c", "c", "c"], "mask": ["m"] * 7, "iids": [rng.permutation(r) * 7 for r in rows], "dosages": [np.zeros(0)] * 7})
+    table = table.set_column(3, "dosages", pa.array([z[k][np.asarray(i, int) // 7] for k, i in enumerate(table["iids"].to_pylist())]))
+    sets = rare.CalledSets(table, np.array([0, 3, 4, 7]))
+    for k, own in enumerate((slice(0, 3), slice(3, 4), slice(4, 7))):
+        for subjects in (4096, 64):
+            assert sets.products(k, subjects) == pytest.approx(z[own] @ z[own].T)
